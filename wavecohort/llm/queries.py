@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, packing, quality_rules
+from . import ball_tree, chat, language_id, packing, quality_rules, warc
+from .common import written
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), k=5, every=50)
+
+
+SQL_OP3 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])) as score
+  from v as q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.assessed(docs, quality_rules.learn_from(docs, table(spark, sf_dir, "labels")))
@@ -68,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": SQL_OP8}
+    return {"op3_top_k": SQL_OP3, "op8_chat_format": SQL_OP8}
