@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavecohort.llm import language_id, packing, quality_rules
+from wavecohort.llm import language_id, near_dedup, packing, quality_rules, suffix_dedup
 from wavecohort.llm.common import written
 from wavecohort.llm.queries import table, vocabulary
 
@@ -17,11 +17,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.train_on(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", quality), ("language", language), ("pack", pack)]
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("pack", pack)]
 
 #: Learned rules, a trained network and sampled registers are no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, warc
+from . import ball_tree, chat, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, warc
 from .common import written
 
 
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    out = sentencepieces.encoded(table(spark, sf_dir, "documents"), path, k=2)
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", F.sha2(sentencepieces.decoder(path)("ids"), 256).alias("decoded_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
