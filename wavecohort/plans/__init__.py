@@ -1,4 +1,4 @@
 """Queries over the given tables, one or more for each operator."""
 
-from . import evaluation, thresholds  # noqa: F401
+from . import decisions, evaluation, thresholds  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
