@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def corrected_qt(df: DataFrame, irregular_above: float = 0.15) -> DataFrame:
@@ -14,3 +15,181 @@ def corrected_qt(df: DataFrame, irregular_above: float = 0.15) -> DataFrame:
     extreme = (F.col("rr_cv") > irregular_above) | (rate < 60) | (rate > 100)
     out = df.withColumns({"bazett": F.when(sound, qt / F.sqrt("rr_sec") * 1000), "fridericia": F.when(sound, qt / F.cbrt("rr_sec") * 1000), "formula": F.when(~F.coalesce(sound, F.lit(False)), "n/a").when(extreme, "fridericia").otherwise("bazett")})
     return out.withColumn("preferred", F.when(F.col("formula") == "fridericia", F.col("fridericia")).when(F.col("formula") == "bazett", F.col("bazett")))
+
+
+#: Bounds of plausible intervals in ms, by name.
+BOUNDS = {"pr_ms": (80.0, 400.0), "qrs_ms": (40.0, 220.0), "qt_ms": (200.0, 700.0)}
+
+
+def detect(df: DataFrame, by: list[str], width: int, refractory: int, reach: int, factor: float = 0.5) -> DataFrame:
+    """Beats (…, r_i, beat_no) of detrended samples (…, i, mv).
+
+    Energy is the moving mean over ``width`` samples of the squared first difference. Samples above mean + factor * sd that
+    are no smaller than both neighbours are peaks; peaks nearer than ``refractory`` to the one before them are one cluster,
+    of which the strongest stays. A beat is moved to the largest deviation from the series' mean within ``reach``. Clusters
+    are the parallel form of a refractory scan: they differ where a chain of near peaks is longer than the period.
+    """
+    w = Window.partitionBy(*by).orderBy("i")
+    all_ = Window.partitionBy(*by)
+    d = df.withColumn("d", F.coalesce(F.pow(F.col("mv") - F.lag("mv").over(w), 2), F.lit(0.0)))
+    e = d.withColumn("e", F.avg("d").over(w.rowsBetween(-(width // 2), width // 2)))
+    e = e.withColumns({"cut": F.avg("e").over(all_) + factor * F.stddev_pop("e").over(all_), "before": F.lag("e").over(w), "after": F.lead("e").over(w)})
+    peak = e.where((F.col("e") > F.col("cut")) & (F.col("e") >= F.coalesce("before", F.lit(-1.0))) & (F.col("e") > F.coalesce("after", F.lit(-1.0)))).select(*by, "i", "e")
+    cluster = peak.withColumn("new", F.when(F.col("i") - F.lag("i").over(w) < refractory, 0).otherwise(1)).withColumn("cluster", F.sum("new").over(w))
+    top = cluster.groupBy(*by, "cluster").agg(F.max_by("i", F.struct(F.round("e", 12), (-F.col("i")).alias("o"))).alias("p"))
+    near = top.withColumn("i", F.explode(F.sequence(F.col("p") - reach, F.col("p") + reach)))
+    level = df.withColumn("dev", F.abs(F.col("mv") - F.avg("mv").over(all_))).select(*by, "i", "dev")
+    moved = near.join(level, [*by, "i"]).groupBy(*by, "cluster").agg(F.max_by("i", F.struct(F.round("dev", 12), (-F.col("i")).alias("o"))).alias("r_i")).select(*by, "r_i").distinct()
+    return moved.withColumn("beat_no", F.row_number().over(Window.partitionBy(*by).orderBy("r_i")) - 1)
+
+
+def rr(beats: DataFrame, by: list[str]) -> DataFrame:
+    """Adds rr, the distance to the beat before."""
+    return beats.withColumn("rr", F.col("r_i") - F.lag("r_i").over(Window.partitionBy(*by).orderBy("r_i")))
+
+
+def rate(beats: DataFrame, by: list[str], fs: float, low: float = 25.0, high: float = 220.0) -> DataFrame:
+    """bpm of the median plausible distance between beats; null without one."""
+    each = rr(beats, by).withColumn("ok", F.when((F.col("rr") >= 60 * fs / high) & (F.col("rr") <= 60 * fs / low), F.col("rr")))
+    return each.groupBy(*by).agg(F.count("*").alias("n_beats"), (60 * fs / F.percentile("ok", 0.5)).alias("bpm"))
+
+
+def autocorrelation_rate(df: DataFrame, by: list[str], fs: float, lag_low: int, lag_high: int, share: float = 0.3) -> DataFrame:
+    """bpm of the first local maximum of the autocorrelation between two lags that reaches that share of lag 0."""
+    z = df.withColumn("z", F.col("mv") - F.avg("mv").over(Window.partitionBy(*by)))
+    left = z.select(*by, "i", "z").withColumn("lag", F.explode(F.sequence(F.lit(lag_low - 1).cast("long"), F.lit(lag_high + 1).cast("long")))).withColumn("j", F.col("i") + F.col("lag"))
+    r = left.join(z.select(*by, F.col("i").alias("j"), F.col("z").alias("y")), [*by, "j"]).groupBy(*by, "lag").agg(F.sum(F.col("z") * F.col("y")).alias("r"))
+    w = Window.partitionBy(*by).orderBy("lag")
+    r = r.join(z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("r0")), by).withColumns({"p": F.lag("r").over(w), "q": F.lead("r").over(w)})
+    peak = r.where((F.col("r") >= F.col("p")) & (F.col("r") > F.col("q")) & (F.col("r") >= share * F.col("r0"))).groupBy(*by).agg(F.min("lag").alias("lag"))
+    return peak.select(*by, "lag", (60 * fs / F.col("lag")).alias("bpm"))
+
+
+def measurement_lead(df: DataFrame, record: str, lead: str, preferred: list, least_sd: float = 0.1) -> DataFrame:
+    """The first lead in order of preference that is not flat."""
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, preferred)), F.col(lead)), F.lit(0))
+    sd = df.groupBy(record, lead).agg(F.stddev_pop("mv").alias("sd")).where(F.col("sd") >= least_sd)
+    place = Window.partitionBy(record).orderBy(F.when(order == 0, len(preferred) + 1).otherwise(order), lead)
+    return sd.withColumn("__p", F.row_number().over(place)).where("__p = 1").select(record, lead)
+
+
+def around(beats: DataFrame, df: DataFrame, by: list[str], before: int, after: int) -> DataFrame:
+    """Samples in the window around each beat: one equality join on the exploded window."""
+    return beats.withColumn("i", F.explode(F.sequence(F.col("r_i") - before, F.col("r_i") + after))).join(df, [*by, "i"])
+
+
+def qrs_bounds(beats: DataFrame, df: DataFrame, by: list[str], half: int, share: float = 0.15) -> DataFrame:
+    """qrs_on and qrs_off: first and last sample near the beat whose gradient is above that share of the local maximum."""
+    w = Window.partitionBy(*by).orderBy("i")
+    g = df.withColumn("g", F.abs(F.coalesce(F.lead("mv").over(w), F.col("mv")) - F.coalesce(F.lag("mv").over(w), F.col("mv"))) / 2).withColumn("g", F.avg("g").over(w.rowsBetween(-2, 2))).select(*by, "i", "g")
+    near = around(beats, g, by, half, half)
+    top = near.withColumn("m", F.max("g").over(Window.partitionBy(*by, "r_i")))
+    hit = F.when(F.col("g") > share * F.col("m"), F.col("i"))
+    return top.groupBy(*by, "r_i", "beat_no").agg(F.min(hit).alias("qrs_on"), F.max(hit).alias("qrs_off"))
+
+
+def waves(beats: DataFrame, df: DataFrame, by: list[str], before: int, after: int, swing: float = 0.10, foot: float = 0.20) -> DataFrame:
+    """p_on, t_end and baseline of beats with qrs_on and qrs_off.
+
+    P: of the window before qrs_on the largest sample above the window's median by ``swing`` of the beat's range, walked
+    back to ``foot`` of its height. T: of the window after qrs_off the largest deviation, then the steepest slope after it,
+    whose tangent meets the baseline. The baseline is the median of the window before qrs_on.
+    """
+    keys = [*by, "r_i"]
+    pre = beats.where("qrs_on is not null").withColumn("i", F.explode(F.sequence(F.col("qrs_on") - before, F.col("qrs_on") - 1))).join(df, [*by, "i"])
+    base = pre.groupBy(*keys).agg(F.percentile("mv", 0.5).alias("baseline"), F.max_by("i", F.struct("mv", "i")).alias("p_i"), F.max("mv").alias("p_v"), (F.max("mv") - F.min("mv")).alias("pre_range"))
+    span = around(beats, df, by, before, after).groupBy(*keys).agg((F.max("mv") - F.min("mv")).alias("range"))
+    p = base.join(span, keys).withColumn("p_i", F.when(F.col("p_v") - F.col("baseline") >= swing * F.col("range"), F.col("p_i")))
+    low = pre.join(p, keys).where((F.col("i") <= F.col("p_i")) & (F.col("mv") - F.col("baseline") <= foot * (F.col("p_v") - F.col("baseline")))).groupBy(*keys).agg(F.max("i").alias("p_on"))
+    post = beats.where("qrs_off is not null").withColumn("i", F.explode(F.sequence(F.col("qrs_off") + 1, F.col("qrs_off") + after))).join(df, [*by, "i"]).join(base.select(*keys, "baseline"), keys)
+    peak = post.groupBy(*keys, "baseline").agg(F.max_by("i", F.struct(F.abs(F.col("mv") - F.col("baseline")), -F.col("i"))).alias("t_i"))
+    w = Window.partitionBy(*keys).orderBy("i")
+    slope = post.join(peak.drop("baseline"), keys).withColumn("s", F.col("mv") - F.lag("mv").over(w)).where("i > t_i and s is not null")
+    steep = slope.groupBy(*keys, "baseline").agg(F.max_by(F.struct("i", "mv", "s"), F.struct(F.abs("s"), -F.col("i"))).alias("m"))
+    end = steep.select(*keys, F.when(F.abs(F.col("m.s")) > 1e-12, F.round(F.col("m.i") + (F.col("baseline") - F.col("m.mv")) / F.col("m.s")).cast("long")).alias("t_end"))
+    return beats.join(base.select(*keys, "baseline"), keys, "left").join(low, keys, "left").join(end, keys, "left")
+
+
+def interval(start: Column, end: Column, fs: float, name: str) -> Column:
+    """A duration in ms if it is plausible."""
+    ms = (end - start) / fs * 1000
+    return F.when((end > start) & ms.between(*BOUNDS[name]), ms)
+
+
+def intervals(beats: DataFrame, by: list[str], fs: float, least: int = 3) -> DataFrame:
+    """Median pr_ms, qrs_ms and qt_ms of each series, n_beats, the share of beats with a QT, and quality."""
+    each = beats.select(*by, interval(F.col("p_on"), F.col("qrs_on"), fs, "pr_ms").alias("pr"), interval(F.col("qrs_on"), F.col("qrs_off"), fs, "qrs_ms").alias("qrs"), interval(F.col("qrs_on"), F.col("t_end"), fs, "qt_ms").alias("qt"))
+    out = each.groupBy(*by).agg(F.count("*").alias("n_beats"), *[F.percentile(c, 0.5).alias(f"{c}_ms") for c in ("pr", "qrs", "qt")], (F.count("qt") / F.count("*")).alias("qt_rate"))
+    few = F.col("n_beats") < least
+    return out.withColumns({f"{c}_ms": F.when(~few, F.col(f"{c}_ms")) for c in ("pr", "qrs", "qt")}).withColumn("quality", measurement_quality())
+
+
+def measurement_quality() -> Column:
+    """good from 6 beats and a QT in half of them; unmeasurable without any QT."""
+    return F.when(F.col("qt_rate") == 0, "unmeasurable").when((F.col("n_beats") >= 6) & (F.col("qt_rate") >= 0.5), "good").otherwise("low")
+
+
+def rr_statistics(beats: DataFrame, by: list[str], fs: float) -> DataFrame:
+    """n_beats, rr_mean_ms, rr_cv (population sd), rr_rmssd_ms and regular (cv below 0.12)."""
+    w = Window.partitionBy(*by).orderBy("r_i")
+    each = rr(beats, by).withColumn("dd", F.col("rr") - F.lag("rr").over(w))
+    out = each.groupBy(*by).agg(F.count("*").alias("n_beats"), (F.avg("rr") / fs * 1000).alias("rr_mean_ms"), (F.stddev_pop("rr") / (F.avg("rr") + 1e-9)).alias("rr_cv"), (F.sqrt(F.avg(F.pow("dd", 2))) / fs * 1000).alias("rr_rmssd_ms"))
+    return out.withColumn("regular", F.col("rr_cv") < 0.12)
+
+
+def premature_wide(beats: DataFrame, by: list[str], fs: float, early: float = 0.80, wide: float = 1.35, floor_ms: float = 110.0, least: int = 4) -> DataFrame:
+    """Number of beats that come early and are much wider than the series' median; 0 with too few widths."""
+    each = rr(beats, by).withColumn("width", (F.col("qrs_off") - F.col("qrs_on")) / fs * 1000)
+    med = each.groupBy(*by).agg(F.percentile("rr", 0.5).alias("mrr"), F.percentile("width", 0.5).alias("mw"), F.count("width").alias("nw"))
+    hit = (F.col("rr") < early * F.col("mrr")) & (F.col("width") > wide * F.col("mw")) & (F.col("width") >= floor_ms) & (F.col("nw") >= least)
+    return each.join(med, by).groupBy(*by).agg(F.count_if(hit).alias("n_premature"))
+
+
+def p_fraction(beats: DataFrame, by: list[str]) -> DataFrame:
+    """Share of beats with a QRS onset that have a P wave; 0 without any."""
+    return beats.groupBy(*by).agg(F.coalesce(F.try_divide(F.count_if(F.col("p_on").isNotNull() & F.col("qrs_on").isNotNull()).cast("double"), F.count("qrs_on")), F.lit(0.0)).alias("p_fraction"))
+
+
+def rhythm(df: DataFrame) -> DataFrame:
+    """Adds rate_category, rhythm_basis and classification of bpm, rr_cv and p_fraction. 60, 100, 0.12, 0.16, 0.35, 0.5."""
+    category = F.when(F.col("bpm").isNull(), "unknown").when(F.col("bpm") < 60, "bradycardia").when(F.col("bpm") > 100, "tachycardia").otherwise("normal")
+    basis = F.when((F.col("rr_cv") >= 0.16) & (F.col("p_fraction") < 0.35), "atrial_fibrillation").when((F.col("rr_cv") < 0.12) & (F.col("p_fraction") >= 0.5), "sinus").otherwise("undetermined")
+    fast, slow = F.col("rate_category") == "tachycardia", F.col("rate_category") == "bradycardia"
+    said = lambda f, s, n: F.when(fast, f).when(slow, s).otherwise(n)
+    label = F.when(F.col("rhythm_basis") == "atrial_fibrillation", said("Atrial fibrillation with rapid ventricular response", "Atrial fibrillation with slow ventricular response", "Atrial fibrillation")).when(F.col("rhythm_basis") == "sinus", said("Sinus tachycardia", "Sinus bradycardia", "Normal sinus rhythm")).otherwise(said("Undetermined rhythm (tachycardic)", "Undetermined rhythm (bradycardic)", "Undetermined rhythm"))
+    return df.withColumns({"rate_category": category, "rhythm_basis": basis}).withColumn("classification", label)
+
+
+def morphology(beats: DataFrame, df: DataFrame, by: list[str], fs: float, half: int, share: float = 0.18) -> DataFrame:
+    """Shape of each beat within its QRS bounds: r and s heights, polarity, initial deflection, pattern, RS interval, notches.
+
+    Samples are taken against the window's median; deflections count from ``share`` of the largest one.
+    """
+    keys = [*by, "r_i", "beat_no"]
+    seg = around(beats, df, by, half, half).where("i between qrs_on and qrs_off")
+    mid = seg.groupBy(*keys).agg(F.percentile("mv", 0.5).alias("base"))
+    d = seg.join(mid, keys).withColumn("v", F.col("mv") - F.col("base"))
+    top = d.groupBy(*keys).agg(F.max(F.abs("v")).alias("peak"))
+    d = d.join(top, keys)
+    w = Window.partitionBy(*keys).orderBy("i")
+    up, down = F.col("v") >= share * F.col("peak"), F.col("v") <= -share * F.col("peak")
+    d = d.withColumns({"up": up, "down": down, "slope": F.signum(F.col("v") - F.lag("v").over(w))}).withColumn("turn", (F.col("slope") != F.lag("slope").over(w)) & (F.col("slope") != 0))
+    out = d.groupBy(*keys).agg(F.greatest(F.max("v"), F.lit(0.0)).alias("r"), F.greatest(-F.min("v"), F.lit(0.0)).alias("s"), F.min(F.when(F.col("up"), F.col("i"))).alias("first_up"), F.min(F.when(F.col("down"), F.col("i"))).alias("first_down"), F.max_by("i", "v").alias("r_at"), F.min_by("i", "v").alias("s_at"), F.count_if("turn").alias("turns"), F.min("i").alias("on"))
+    has_r, has_s = F.col("first_up").isNotNull(), F.col("first_down").isNotNull()
+    r_first = has_r & (~has_s | (F.col("first_up") < F.col("first_down")))
+    pattern = F.when(has_r & ~has_s, "r").when(~has_r & has_s, "qs").when(r_first, "rs").when(has_r & has_s & (F.col("s_at") > F.col("r_at")), "qrs").when(has_r & has_s, "qr")
+    return out.select(*keys, pattern.alias("pattern"), F.when(r_first, "r").when(has_s, "q").alias("initial"), F.when(F.col("r") > F.col("s"), "positive").when(F.col("r") < F.col("s"), "negative").otherwise("mixed").alias("polarity"), F.try_divide("r", "s").alias("r_s"), (F.col("turns") > 2).alias("notched"), F.when(has_r & has_s & (F.col("s_at") > F.col("r_at")), (F.col("s_at") - F.col("r_at")) / fs * 1000).alias("rs_ms"), F.when(has_s, (F.col("s_at") - F.col("on")) / fs * 1000).alias("nadir_ms"))
+
+
+def lead_morphology(shapes: DataFrame, by: list[str]) -> DataFrame:
+    """Medians, modes (of equal counts the first seen) and majorities of each series' beats."""
+    first = shapes.groupBy(*by, "pattern").agg(F.count("*").alias("k"), F.min("beat_no").alias("seen")).where("pattern is not null").groupBy(*by).agg(F.max_by("pattern", F.struct("k", -F.col("seen"))).alias("pattern"))
+    most = lambda c: F.count_if(c) >= F.greatest(F.lit(1), F.floor(F.count("*") / 2))
+    out = shapes.groupBy(*by).agg(F.count("*").alias("beats"), F.percentile("r_s", 0.5).alias("r_s"), F.percentile("rs_ms", 0.5).alias("rs_ms"), most(F.col("notched")).alias("notched"), most(F.col("rs_ms").isNotNull()).alias("has_rs"))
+    return out.join(first, by, "left")
+
+
+def record_features(leads: DataFrame, record: str, lead: str, precordial: list, least: int = 3) -> DataFrame:
+    """Of each record the number of precordial leads with enough beats, whether none has an RS, and the longest RS."""
+    chest = leads.where(F.col(lead).isin(precordial) & (F.col("beats") >= least))
+    return chest.groupBy(record).agg(F.count("*").alias("leads"), F.every(~F.col("has_rs")).alias("rs_absent"), F.max("rs_ms").alias("max_rs_ms"))

@@ -62,23 +62,28 @@ def expect_hash(df: DataFrame, digest: str, expected: str) -> DataFrame:
     return df.where(F.when(differs, F.raise_error(F.concat(F.lit("digest differs: "), F.col(digest))).cast("boolean")).otherwise(True))
 
 
-def natural_order(stem: Column) -> list[Column]:
+def natural_order(stem: str) -> list[Column]:
     """Numeric stems first, by number, then names."""
-    number = F.try_to_number(stem, F.lit("9999999999")) if False else F.expr(f"try_cast({stem._jc.toString()} as bigint)")
-    return [number.isNull().asc(), number.asc(), stem.asc()]
+    number = F.expr(f"try_cast(`{stem}` as bigint)")
+    return [number.isNull().asc(), number.asc(), F.col(stem).asc()]
 
 
 def list_files(spark: SparkSession, path: str, pattern: str, most: int | None = None) -> DataFrame:
     """path and stem of the files that match, in natural order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
-    files = files.withColumn("stem", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).orderBy(*natural_order(F.col("stem")))
+    files = files.withColumn("stem", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)).orderBy(*natural_order("stem"))
     return files.limit(most) if most is not None else files
 
 
-def sweep_cells(spark: SparkSession, path: str, pattern: str = r"(\w+)_f(\d+)_s(\d+)\.json$") -> DataFrame:
+def sweep_key(file: Column, pattern: str = r"(\w+)_f(\d+)_s(\d+)\.json$") -> list[Column]:
+    """arm, fold and seed of a cell's file name."""
+    return [F.regexp_extract(file, pattern, 1).alias("arm"), F.regexp_extract(file, pattern, 2).cast("int").alias("fold"), F.regexp_extract(file, pattern, 3).cast("int").alias("seed")]
+
+
+def sweep_cells(spark: SparkSession, path: str) -> DataFrame:
     """One row for each JSON file, with arm, fold and seed from its name."""
-    rows = spark.read.option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
-    return rows.withColumns({"arm": F.regexp_extract("__file", pattern, 1), "fold": F.regexp_extract("__file", pattern, 2).cast("int"), "seed": F.regexp_extract("__file", pattern, 3).cast("int")}).drop("__file")
+    rows = spark.read.option("multiLine", True).json(path)
+    return rows.select("*", *sweep_key(F.col("_metadata.file_name")))
 
 
 def write_report(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -120,10 +125,10 @@ def reference_key(category: Column, identifier: Column, prefix: str, stripped: s
     return F.when(category.startswith(prefix), F.concat(F.lit(stripped), F.regexp_replace(identifier, f"^{prefix}", ""))).otherwise(identifier)
 
 
-def case_and_variant(stem: Column) -> dict[str, Column]:
+def case_and_variant(stem: str) -> dict[str, Column]:
     """Both sides of the first double underscore; without one the variant is ``original``."""
     at = F.instr(stem, "__")
-    return {"case_id": F.when(at > 0, F.substring_index(stem, "__", 1)).otherwise(stem), "variant": F.when(at > 0, F.expr(f"substring({stem._jc.toString()}, instr({stem._jc.toString()}, '__') + 2)")).otherwise("original")}
+    return {"case_id": F.substring_index(stem, "__", 1), "variant": F.when(at > 0, F.expr(f"substring(`{stem}`, instr(`{stem}`, '__') + 2)")).otherwise("original")}
 
 
 def layout_without_rhythm(layout: Column, mode: Column, of_mode: str) -> Column:
