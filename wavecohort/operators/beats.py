@@ -32,11 +32,13 @@ def detect(df: DataFrame, by: list[str], width: int, refractory: int, reach: int
     w = Window.partitionBy(*by).orderBy("i")
     all_ = Window.partitionBy(*by)
     d = df.withColumn("d", F.coalesce(F.pow(F.col("mv") - F.lag("mv").over(w), 2), F.lit(0.0)))
-    e = d.withColumn("e", F.avg("d").over(w.rowsBetween(-(width // 2), width // 2)))
+    e = d.withColumn("e", F.round(F.avg("d").over(w.rowsBetween(-(width // 2), width // 2)), 6))
     e = e.withColumns({"cut": F.avg("e").over(all_) + factor * F.stddev_pop("e").over(all_), "before": F.lag("e").over(w), "after": F.lead("e").over(w)})
-    peak = e.where((F.col("e") > F.col("cut")) & (F.col("e") >= F.coalesce("before", F.lit(-1.0))) & (F.col("e") > F.coalesce("after", F.lit(-1.0)))).select(*by, "i", "e")
+    peak = e.where((F.col("e") > F.col("cut")) & (F.col("e") >= F.coalesce("before", F.lit(-1.0))) & (F.col("e") >= F.coalesce("after", F.lit(-1.0)))).select(*by, "i", "e")
     cluster = peak.withColumn("new", F.when(F.col("i") - F.lag("i").over(w) < refractory, 0).otherwise(1)).withColumn("cluster", F.sum("new").over(w))
-    top = cluster.groupBy(*by, "cluster").agg(F.max_by("i", F.struct(F.round("e", 12), (-F.col("i")).alias("o"))).alias("p"))
+    # the middle of the strongest samples: a moving mean has a plateau
+    strongest = F.when(F.col("e") == F.max("e").over(Window.partitionBy(*by, "cluster")), F.col("i"))
+    top = cluster.withColumn("top", strongest).groupBy(*by, "cluster").agg(F.floor(F.avg("top")).alias("p"))
     near = top.withColumn("i", F.explode(F.sequence(F.col("p") - reach, F.col("p") + reach)))
     level = df.withColumn("dev", F.abs(F.col("mv") - F.avg("mv").over(all_))).select(*by, "i", "dev")
     moved = near.join(level, [*by, "i"]).groupBy(*by, "cluster").agg(F.max_by("i", F.struct(F.round("dev", 12), (-F.col("i")).alias("o"))).alias("r_i")).select(*by, "r_i").distinct()

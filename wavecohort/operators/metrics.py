@@ -99,6 +99,13 @@ def vector_comparison(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b
     return pairs.groupBy(*by).agg(ratio(F.sum(x * y), size).alias("cosine"), F.avg(F.abs(x - y)).alias("mean_abs_difference"), F.avg(((x >= threshold) == (y >= threshold)).cast("double")).alias("agreement"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation over pairs that are there; null where a side is constant, and never an error."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Adds average ranks of ``column`` in each group."""
     order, same = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
@@ -109,7 +116,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """rho of each group; null where a column is constant or there are fewer than two rows."""
     ranked = midranks(midranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "__x"), by, y, "__y")
     steady = (F.stddev_pop("__x") == 0) | (F.stddev_pop("__y") == 0) | (F.count("*") < 2)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(~steady, F.corr("__x", "__y")).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(~steady, correlation(F.col("__x"), F.col("__y"))).alias("rho"))
 
 
 def separation(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -160,7 +160,7 @@ def platt_fit(scores: DataFrame, by: list[str], rounds: int = 12) -> DataFrame:
 
     # equal scores are one weighted row
     x = scores.groupBy(*by, "prob").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count("*").cast("double").alias("n")).withColumn("x", logit(F.col("prob")))
-    fit = x.groupBy(*by).agg(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    fit = x.groupBy(*by).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.sum("pos").alias("p"), F.sum("n").alias("m"))
     for k in range(rounds):
         if k:
             rows = fit.collect()  # a row for each group

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
+from ..operators import metrics as M
 from . import decisions  # noqa: F401  (its proxies)
 from .evaluation import rounded
 from .proxies import audit, audit_b, read, scores
@@ -230,7 +231,7 @@ def _(spark, sf):
     d, y = F.col("b") - F.col("a"), F.col("y") == 1
     r = pairs(spark, sf).where("class = 'FN'").withColumn("stratum", F.explode(F.array(F.when(F.col("record_id") % 100 > 60, "poor").otherwise("fine"), F.lit("all"))))
     hit = lambda c: F.try_divide(F.count_if((F.col(c) >= 0.5) & y).cast("double"), F.count_if(y))
-    out = r.groupBy("stratum").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.percentile(F.abs(d), 0.5).alias("median_abs"), F.avg(d).alias("shift"), F.corr("a", "b").alias("correlation"), hit("a").alias("sensitivity_a"), hit("b").alias("sensitivity_b"))
+    out = r.groupBy("stratum").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.percentile(F.abs(d), 0.5).alias("median_abs"), F.avg(d).alias("shift"), M.correlation(F.col("a"), F.col("b")).alias("correlation"), hit("a").alias("sensitivity_a"), hit("b").alias("sensitivity_b"))
     return rounded(out, *out.columns[2:])
 
 

@@ -215,7 +215,7 @@ def arms(spark, sf):
 r as (select corr(a, b) as r from pairs where class = 'FN') select arm, tp, fp, tn, fn, {SQL_RATES}, n, positives, round(auroc, 6) as auroc, round(average_precision, 6) as average_precision, round(r, 6) as score_correlation from c join rk using (arm), r""")
 def _(spark, sf):
     point = M.operating_point(arms(spark, sf).where("class = 'FN'"), ["arm"])
-    r = pairs(spark, sf).where("class = 'FN'").agg(F.corr("a", "b").alias("score_correlation"))
+    r = pairs(spark, sf).where("class = 'FN'").agg(M.correlation(F.col("a"), F.col("b")).alias("score_correlation"))
     return rounded(point.crossJoin(r), *RATES, "auroc", "average_precision", "score_correlation")  # r is one row
 
 
