@@ -107,7 +107,7 @@ def test_reports_are_not_overwritten(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         T.write_report(df, str(tmp_path / "r"))
     T.write_report(df, str(tmp_path / "r"), overwrite=True)
-    assert spark.read.option("header", True).csv(str(tmp_path / "r/csv")).first().r == '["a"]'
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "r/csv")).first().r == '["a"]'
     T.write_manifest(df, str(tmp_path / "m"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         T.write_manifest(df, str(tmp_path / "m"))

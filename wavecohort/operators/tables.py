@@ -91,7 +91,7 @@ def write_report(df: DataFrame, path: str, overwrite: bool = False) -> None:
     mode = "overwrite" if overwrite else "errorifexists"
     flat = [F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes]
     df.write.mode(mode).json(f"{path}/json")
-    df.select(*flat).write.mode(mode).option("header", True).csv(f"{path}/csv")
+    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as C
 from ..operators import tables as T
-from . import decisions  # noqa: F401  (its proxies)
+from . import decisions
 from .proxies import audit, audit_b, read, scores
 from .registry import query
 
@@ -76,6 +76,29 @@ def _(spark, sf):
     return scores(spark, sf).select(name.alias("file")).select(*T.sweep_key(F.col("file"))).groupBy("arm", "fold", "seed").agg(F.count("*").alias("n"))
 
 
+def _scratch(spark, name):
+    """A new path in the folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reports-")
+    return f"{held}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S10_report_sink", "with $gated select cast(image_id as varchar) as image_id, prediction, case when len(codes) = 0 then '[]' else '[\"' || array_to_string(codes, '\",\"') || '\"]' end as reason_codes from gated")
+def _(spark, sf):
+    path = _scratch(spark, "report")
+    T.write_report(decisions.gated(spark, sf).select("image_id", "prediction", "reason_codes"), path)
+    return spark.read.option("header", True).option("escape", '"').schema("image_id string, prediction string, reason_codes string").csv(f"{path}/csv")
+
+
+@query("S11_manifest_sink", "select s_suppkey, s_name from supplier")
+def _(spark, sf):
+    path = _scratch(spark, "manifest")
+    T.write_manifest(read(spark, sf, "supplier").select("s_suppkey", "s_name"), path)
+    return spark.read.schema("s_suppkey long, s_name string").json(path)
+
+
 @query("S12_validity_cache", "with $audit select count(*) as n, count(*) filter (status = 'success' and median_correlation is not null) as n_valid from audit")
 def _(spark, sf):
     v = T.with_validity(audit(spark, sf), (F.col("status") == "success") & F.col("median_correlation").isNotNull())
