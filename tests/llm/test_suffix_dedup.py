@@ -47,6 +47,12 @@ def test_suffix_array_of_small_alphabets():
         own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         suffixes = [data.tobytes()[i : ends[own[i]]] for i in order]
         assert sorted(order.tolist()) == list(range(len(data))) and suffixes == sorted(suffixes)
+        # of a part of the suffixes, the same order
+        wanted = np.array([rng.randrange(0, len(t) + 1) for t in texts])
+        some = S.suffix_array(data, ends, 200, wanted)
+        begin = ends - [len(t) for t in texts]
+        asked = [i for i in some.tolist() if i - begin[own[i]] < wanted[own[i]]]
+        assert len(asked) == wanted.sum() and [data.tobytes()[i : ends[own[i]]] for i in asked] == sorted(data.tobytes()[i : ends[own[i]]] for i in asked)
 
 
 def test_common_prefixes():

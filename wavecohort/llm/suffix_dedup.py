@@ -30,10 +30,12 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of the strings in ``data`` (string k ends before ``ends[k]``), sorted to ``depth`` bytes.
+def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of the strings in ``data`` (string k ends before ``ends[k]``), sorted to ``depth`` bytes.
 
     A string's end is smaller than every byte. Suffixes that agree in ``depth`` bytes are neighbours in any order.
+    ``wanted``: only suffixes that begin among a string's first so many bytes are asked for. Later ones are left out,
+    but for those up to the first that is sorted directly, from which the wanted ones before it are induced.
     """
     n = len(data)
     # ends take a place of their own in the text: character 0 with bytes above it
@@ -49,6 +51,16 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     following[:-1] = codes[last[:-1]]
     smaller = np.repeat(codes[first] < following, last - first)
     smaller[stops] = False
+    larger = ~smaller
+    larger[stops] = False
+    if wanted is not None:
+        opens = np.concatenate(([0], stops[:-1] + 1))
+        # of each string the first directly sorted suffix at or after the wanted ones; its end if there is none
+        direct = np.concatenate((np.flatnonzero(smaller), [total]))
+        last_needed = np.minimum(direct[np.searchsorted(direct, opens + np.maximum(wanted - 1, 0))], stops)
+        needed = np.arange(total) <= np.repeat(last_needed, np.diff(np.concatenate(([-1], stops))))
+        smaller &= needed
+        larger &= needed
     # stage one: sort the smaller ones by their first bytes, eight at a time from the last
     own = np.flatnonzero(smaller)
     text = np.zeros(total, np.uint8)
@@ -67,8 +79,6 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     own_start = np.searchsorted(own_codes, np.arange(258))
     # stage two: scan the buckets; each suffix found places its predecessor, if that one is the larger
     queue: list[list[np.ndarray]] = [[] for _ in range(257)]
-    larger = ~smaller
-    larger[stops] = False
     out = []
 
     def induce(found: np.ndarray, c: int) -> np.ndarray:
@@ -229,7 +239,7 @@ class Bytes(routed.Unit):
         size = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum(size)
-        order = suffix_array(data, ends, WIDTH)
+        order = suffix_array(data, ends, WIDTH, size - WIDTH + 1)
         text = np.repeat(np.arange(len(texts)), size)
         order = order[ends[text[order]] - order >= WIDTH]
         prefix = common_prefixes(data, order, WIDTH)
