@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from .common import checkpointed, id_hash
 
 _EXACT = 2.0**53
+NONE = np.iinfo(np.int64).min
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -71,22 +72,22 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if bound < _EXACT:
         return (q @ x.T).astype(np.int64)
     exact = np.array([[int(v) for v in row] for row in q], object) @ np.array([[int(v) for v in row] for row in x], object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)  # beyond a long: the nearest long
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)  # beyond a long: the nearest long
 
 
 def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores (k columns; id -1 where none) of each query's best vectors but its own.
+    """Ids and scores (k columns; score NONE where there is none) of each query's best vectors but its own.
 
     floor: for each query a score that its kth best is known to reach. Equal bounds are visited, since a tie may have
     a smaller id. A node is visited for all queries of the block whose kth score it may still reach, and nodes come in
     the order of the largest such bound.
     """
     n = len(qid)
-    best = np.full((n, k), np.iinfo(np.int64).min)
-    ids = np.full((n, k), -1, np.int64)
+    best = np.full((n, k), NONE)
+    ids = np.zeros((n, k), np.int64)
     kth = floor.astype(float).copy()
     size = np.sqrt((q.astype(float) ** 2).sum(1))
-    slack = 1e-9 * size * max(1.0, float(np.abs(tree["x"]).max(initial=0))) * q.shape[1] + 1e-6
+    slack = 1e-9 * (1 + size) * max(1.0, float(np.abs(tree["x"]).max(initial=0))) * q.shape[1] + 1e-6
 
     def bound(at: int, rows: np.ndarray) -> np.ndarray:
         return q[rows] @ tree["centre"][at] + size[rows] * tree["radius"][at] + slack[rows]
@@ -111,11 +112,10 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: n
         scores = _scores(q[rows], tree["x"][a:z])
         own = np.broadcast_to(tree["ids"][a:z], scores.shape)
         out = own == qid[rows, None]
-        all_s = np.concatenate((best[rows], np.where(out, np.iinfo(np.int64).min, scores)), 1)
-        all_i = np.concatenate((ids[rows], np.where(out, -1, own)), 1)
-        order = np.lexsort((all_i, -all_s.astype(float) if np.abs(scores).max(initial=0) < _EXACT else ~all_s), axis=1)[:, :k]
-        missing = np.take_along_axis(all_i, order, 1) < 0
-        best[rows] = np.where(missing, np.iinfo(np.int64).min, np.take_along_axis(all_s, order, 1))
+        all_s = np.concatenate((best[rows], np.where(out, NONE, scores)), 1)
+        all_i = np.concatenate((ids[rows], own), 1)
+        order = np.lexsort((all_i, ~all_s), axis=1)[:, :k]  # ~s falls as s grows
+        best[rows] = np.take_along_axis(all_s, order, 1)
         ids[rows] = np.take_along_axis(all_i, order, 1)
         kth[rows] = np.maximum(kth[rows], best[rows, -1])
     return ids, best
@@ -159,13 +159,12 @@ def _one_dimension(held: DataFrame, k: int, every: int, shards: int, blocks: int
         for batch in batches:
             for row in batch.itertuples():
                 asked, built = _unpacked(row.queries), _unpacked(row.tree)
-                floor = asked.get("floor", np.full(len(asked["id"]), np.iinfo(np.int64).min))
+                floor = asked.get("floor", np.full(len(asked["id"]), NONE))
                 ids, best = search(built, asked["id"], asked["x"], floor, k)
                 if sharing:
-                    kth = np.where(ids[:, -1] >= 0, best[:, -1], np.iinfo(np.int64).min)
-                    yield pd.DataFrame({"block": [row.block], "queries": [_packed(id=asked["id"], x=asked["x"], floor=kth)]})
+                    yield pd.DataFrame({"block": [row.block], "queries": [_packed(id=asked["id"], x=asked["x"], floor=best[:, -1])]})
                 else:
-                    q, r = np.nonzero(ids >= 0)
+                    q, r = np.nonzero(best > NONE)
                     yield pd.DataFrame({"query_id": asked["id"][q], "vec_id": ids[q, r], "score": best[q, r]})
 
     # repeated rows of an id are one candidate
