@@ -200,8 +200,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **
     to broadcast and to fit on the driver. Null labels and labels without a document teach nothing.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(id_hash("doc_id", seed=6), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", text_stats("text").alias("s")).select("quality", *features("s")).toPandas()
-    rows = rows.head(4 * sample_rows)  # repeated document ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text_stats("text").alias("s")).select("doc_id", "quality", *features("s")).toPandas()
+    rows = rows.sort_values(["doc_id", "quality", *FEATURES]).head(4 * sample_rows)  # one order in any partitioning; ids may repeat
     if rows.empty:
         return DecisionList(())
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["quality"].to_numpy() == 0, **options)
