@@ -80,4 +80,5 @@ def test_query_rows(spark):
     assert all(r.back == text[r.doc_id] for r in rows)
     again = {(r.doc_id, r.sample): tuple(r.ids) for r in S.encoded(docs.repartition(3), PATH, k=3).collect()}
     assert again == {(r.doc_id, r.sample): tuple(r.ids) for r in rows}
+    assert all(r.text == text[r.doc_id] for r in S.encoded(docs, PATH, k=2, decoded=True).collect())
     assert S.encoded(docs.limit(0), PATH).count() == 0

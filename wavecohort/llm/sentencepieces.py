@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import flat_ranges, mixed
 
 #: Chunks whose lattices a worker remembers; they begin anew when it is full.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 250_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -49,16 +49,13 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         pieces: dict[bytes, int] = {}
-        self.bytes_of: list[bytes] = [b""] * n
+        self.bytes_of = piece_bytes(path)
         self.byte_id = np.zeros(256, np.int64)
-        for i in range(n):
+        for i, b in enumerate(self.bytes_of):
             if model.is_byte(i):
-                value = int(model.id_to_piece(i)[3:5], 16)
-                self.byte_id[value] = i
-                self.bytes_of[i] = bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.bytes_of[i] = model.id_to_piece(i).replace("▁", " ").encode()
-                pieces[self.bytes_of[i]] = i
+                self.byte_id[b[0]] = i
+            elif b:
+                pieces[b] = i
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(n)], kind="stable"))
         self.weight = -sharpness * np.log(rank + 2.0)
         self.weight[self.byte_id] = -sharpness * np.log(n + 2.0)
@@ -79,7 +76,7 @@ class Vocabulary:
                 self.child[inner[prefix[:-1]], prefix[-1]] = k
 
     def decode(self, ids) -> bytes:
-        joined = b"".join([self.bytes_of[i] for i in ids])
+        joined = b"".join(map(self.bytes_of.__getitem__, ids))
         return joined[1:] if joined[:1] == b" " else joined
 
 
@@ -97,8 +94,10 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.n_states = 0
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.first = self.end = self.next = self.id = self.log_p = self.cumulative = None
+        self.n_edges = 0
+        self.first = self.end = np.empty(0, np.int32)
+        self.next = self.id = np.empty(0, np.int32)
+        self.log_p, self.cumulative = np.empty(0), np.empty(0, np.float32)
 
     def states(self, chunks: list[bytes]) -> np.ndarray:
         """The first state of each chunk."""
@@ -109,7 +108,7 @@ class Lattices:
                 fresh = list(set(chunks))
             self._add(fresh)
         known = self.known
-        return np.array([known[c] for c in chunks], np.int64)
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def _add(self, chunks: list[bytes]) -> None:
         v = self.vocabulary
@@ -118,7 +117,8 @@ class Lattices:
         stop = np.repeat(np.cumsum(size), size)
         n = len(data)
         # edges: walk the trie from all bytes at once
-        start, end, piece = [], [], []
+        start, end, piece, nth = [], [], [], []
+        filled = np.zeros(n, np.int32)  # edges of each byte so far
         at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
         while len(at):
             row = v.row[node]
@@ -127,9 +127,12 @@ class Lattices:
             node = v.child[row, data[at + depth]].astype(np.int64)
             go = node >= 0
             at, node, depth = at[go], node[go], depth + 1
-            hit = v.piece[node] >= 0
-            start.append(at[hit]), end.append(at[hit] + depth), piece.append(v.piece[node[hit]].astype(np.int64))
-        start, end, piece = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (start, end, piece))
+            found = v.piece[node]
+            hit = np.flatnonzero(found >= 0)
+            begun = at[hit]
+            start.append(begun), end.append(begun + depth), piece.append(found[hit].astype(np.int64)), nth.append(filled[begun])
+            filled[begun] += 1
+        start, end, piece, nth = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (start, end, piece, nth))
         # characters that are no piece: an edge for each byte
         begins = (data & 0xC0) != 0x80
         char = np.maximum(np.cumsum(begins) - 1, 0)
@@ -139,7 +142,8 @@ class Lattices:
         ones = begins[start] & (end == closing[np.minimum(char[start], len(closing) - 1)])
         whole[char[start[ones]]] = True
         loose = np.flatnonzero(~whole[char])
-        start, end, piece = np.concatenate((start, loose)), np.concatenate((end, loose + 1)), np.concatenate((piece, v.byte_id[data[loose]]))
+        start, end, piece, nth = (np.concatenate(x) for x in ((start, loose), (end, loose + 1), (piece, v.byte_id[data[loose]]), (nth, filled[loose])))
+        filled[loose] += 1
         # a state for each byte and one for each chunk's end
         shift = np.repeat(np.arange(len(chunks)), size)
         state_of = np.arange(n) + shift
@@ -147,10 +151,14 @@ class Lattices:
         source = state_of[start]
         target = source + (end - start)
         weight = v.weight[piece]
-        order = np.argsort(source, kind="stable")
+        many = np.zeros(total, np.int64)
+        many[state_of] = filled
+        last = np.cumsum(many)
+        first = last - many
+        # edges by state: each knows its place
+        order = np.empty(len(source), np.int64)
+        order[first[source] + nth] = np.arange(len(source))
         source, target, weight, piece = source[order], target[order], weight[order], piece[order]
-        first = np.searchsorted(source, np.arange(total))
-        last = np.append(first[1:], len(source))
         beta = np.full(total, -np.inf)
         ends = np.cumsum(size + 1) - 1
         beta[ends] = 0.0
@@ -168,22 +176,32 @@ class Lattices:
         with np.errstate(invalid="ignore"):
             log_p = weight + beta[target] - beta[source]
         log_p[~np.isfinite(log_p)] = -np.inf  # edges that lead to no end
-        order = np.lexsort((-log_p, source))
-        target, piece, log_p = target[order], piece[order], log_p[order]
         p = np.exp(log_p)
+        order = np.argsort(source + (1 - np.minimum(p, 1)) * 0.999)  # likeliest first in each state
+        target, piece, log_p, p = target[order], piece[order], log_p[order], p[order]
         run = np.cumsum(p)
         before = np.concatenate(([0.0], run))[first[np.repeat(np.arange(total), last - first)]]
         cumulative = run - before
         filled = last > first
         cumulative[last[filled] - 1] = 2.0  # rounding must not lead past a state's edges
-        edges = sum(len(x[2]) for x in self.parts)
-        self.parts.append((first + edges, last + edges, target + self.n_states, piece, log_p, cumulative))
-        if len(self.parts) > 1:
-            self.parts = [tuple(np.concatenate([p[k] for p in self.parts]) for k in range(6))]
-        self.first, self.end, self.next, self.id, self.log_p, self.cumulative = self.parts[0]
+        edges = len(target)
+        self.first, self.end = (self._put(old, self.n_states, new) for old, new in ((self.first, first + self.n_edges), (self.end, last + self.n_edges)))
+        self.next, self.id = (self._put(old, self.n_edges, new) for old, new in ((self.next, target + self.n_states), (self.id, piece)))
+        self.log_p, self.cumulative = (self._put(old, self.n_edges, new) for old, new in ((self.log_p, log_p), (self.cumulative, cumulative)))
         starts = np.cumsum(size + 1) - (size + 1) + self.n_states
         self.known.update(zip(chunks, starts.tolist()))
         self.n_states += total
+        self.n_edges += edges
+
+    @staticmethod
+    def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        """``new`` at position ``at`` of an array that grows by a quarter when it is full."""
+        if at + len(new) > len(held):
+            grown = np.empty((at + len(new)) * 5 // 4, held.dtype)
+            grown[:at] = held[:at]
+            held = grown
+        held[at : at + len(new)] = new
+        return held
 
     def walk(self, state: np.ndarray, key: np.ndarray, place: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
         """Random edges from each state to its chunk's end: all edges in order, and how many each state took."""
@@ -217,10 +235,6 @@ def _truncated(mu: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(mu), -np.inf, mu - np.log(-np.log(u) + np.exp(np.minimum(mu - top, 700))))
 
 
-def _log_rest(p: float) -> float:
-    return float(np.log1p(-p)) if p < 1 - 1e-12 else -np.inf
-
-
 def sample(lattices: Lattices, keys: list[int], texts: list[bytes], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct segmentations: ids, log-probability, perturbed value, log inclusion probability.
 
@@ -334,42 +348,64 @@ def lattices(path: str, sharpness: float) -> Lattices:
     return _lattices[path, sharpness]
 
 
-def encoded(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed: int = 1, part_bytes: int = 400_000) -> DataFrame:
+def encoded(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed: int = 1, part_bytes: int = 400_000, decoded: bool = False) -> DataFrame:
     """doc_id, sample (1 is the greatest perturbed value), ids, log_prob, perturbed, log_inclusion: up to ``k`` rows a document.
 
     log_inclusion is the log-probability that the segmentation is among the k winners, given the greatest perturbed
-    value that is not. Null and empty texts have one empty segmentation. Rows that repeat an id and a text repeat its
+    value that is not. ``decoded`` adds the text that the ids decode to. Null and empty texts have one empty segmentation. Rows that repeat an id and a text repeat its
     samples; a null id is a key like others. Other columns are ignored.
     """
 
+    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"] + ["text"] * decoded
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = lattices(path, sharpness)
         for batch in batches:
-            texts = [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+            given = batch["text"].tolist()
             ids = batch["doc_id"].astype("Int64")
             a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= part_bytes):
-                    size += len(texts[z])
+            while a < len(given):
+                z, size, texts = a, 0, []
+                while z < len(given) and (z == a or size < part_bytes):
+                    t = given[z]
+                    texts.append(b"" if t is None or t != t else t.encode("utf-8", "surrogatepass"))
+                    size += len(texts[-1])
                     z += 1
                 keys = [xxhash.xxh3_64_intdigest(f"{seed}|{i}".encode()) for i in ids.iloc[a:z]]
-                rows = [(i, s + 1, x[0].astype(np.int32), *x[1:]) for i, found in zip(ids.iloc[a:z], sample(held, np.array(keys, np.uint64).view(np.int64).tolist(), texts[a:z], k)) for s, x in enumerate(found)]
-                out = pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+                rows = [(i, s + 1, x[0].astype(np.int32), *x[1:], *([held.vocabulary.decode(x[0].tolist()).decode("utf-8", "surrogatepass")] if decoded else [])) for i, found in zip(ids.iloc[a:z], sample(held, np.array(keys, np.uint64).view(np.int64).tolist(), texts, k)) for s, x in enumerate(found)]
+                out = pd.DataFrame(rows, columns=names)
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
                 a = z
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
+
+
+def piece_bytes(path: str) -> list[bytes]:
+    """The text of each id, with a space for the piece mark; of ids that are no text, nothing."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    skip = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+    return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if skip(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
+
+
+_pieces: dict[str, list[bytes]] = {}
 
 
-def decoder(path: str, sharpness: float = 1.0):
+def decoder(path: str):
     """A scalar pandas UDF: the text of an array of ids."""
 
     @F.pandas_udf(T.StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = lattices(path, sharpness).vocabulary
+        if path not in _pieces:
+            _pieces[path] = piece_bytes(path)
+        get = _pieces[path].__getitem__
         for ids in batches:
-            yield pd.Series([v.decode(x.tolist()).decode("utf-8", "surrogatepass") for x in ids], dtype=object)
+            out = []
+            for x in ids:
+                joined = b"".join(map(get, x.tolist()))
+                out.append((joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "surrogatepass"))
+            yield pd.Series(out, dtype=object)
 
     return decode
