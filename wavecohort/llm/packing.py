@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import id_hash
 
 END_ID = 1
+#: Fixed value: how this byte-level vocabulary cuts text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = re.compile(r"\s\s| $|^ ")
 
 
@@ -28,65 +30,97 @@ class CachedTokenizer:
 
     A byte-level BPE first cuts a text by a pattern, and a lone space between two other characters always begins a
     token there, so that chunks cut before such spaces have ids of their own. Texts with other white space around a
-    space are encoded whole. The cache holds ``most`` chunks; when it is full, rarer chunks are encoded anew.
+    space are encoded whole. The cache holds about ``most`` chunks of each of two generations, so that rare chunks go and are encoded anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, ranks: str | None = None, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode_batch_fast
+        self._joined = self._joined_encoder(ranks) if ranks else None
         self._most = most
+        # two generations: when the younger is full it becomes the older, whose entries come back when they are used
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _joined_encoder(ranks: str):
+        """The same ids by a faster library, for many chunks at once: they are joined, and cut again by their bytes."""
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        size = np.zeros(max(known.values()) + 1, np.int64)
+        size[list(known.values())] = [len(b) for b in known]
+        encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+
+        def packed(chunks: list[str]) -> list[bytes]:
+            ids = np.array(encode("".join(chunks)), "<u4")
+            stops = np.cumsum([len(c.encode()) for c in chunks])
+            ends = np.searchsorted(np.cumsum(size[ids]), stops) + 1
+            raw = ids.tobytes()
+            return [raw[4 * a : 4 * z] for a, z in zip([0, *ends.tolist()], ends.tolist())]
+
+        return packed
+
+    def _fresh(self, chunks: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of new chunks. Chunks of a space and printable characters keep their cuts when they are joined."""
+        plain = [c for c in chunks if self._joined and c[:1] == " " and len(c) > 1 and c.replace("\n", "").isprintable()]
+        rest = list(set(chunks).difference(plain)) if len(plain) < len(chunks) else []
+        return [*(zip(plain, self._joined(plain)) if plain else ()), *zip(rest, self._packed(rest))]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._encode(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self._known) > self._most:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         cut: list[list[str] | None] = []
         fresh: dict[str, bytes] = {}
         for t in texts:
             if "<|" in t or _SPACES.search(t):
                 cut.append(None)
                 continue
-            first, *rest = t.split(" ")
-            chunks = [first] + [f" {x}" for x in rest]
+            chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
             cut.append(chunks)
-            for c in chunks:
-                if c not in self._known:
+            for c in set(chunks or ()).difference(known):
+                ids = older.get(c)
+                if ids is None:
                     fresh[c] = b""
+                else:
+                    known[c] = ids
         if fresh:
-            fresh = dict(zip(fresh, self._packed(list(fresh))))
-            for c, ids in fresh.items():
-                if len(self._known) >= self._most:
-                    break
-                self._known[c] = ids
+            known.update(self._fresh(list(fresh)))
         whole = iter(self._packed([t for t, c in zip(texts, cut) if c is None]))
-        known = self._known
-        return [next(whole) if c is None else b"".join([known[x] if x in known else fresh[x] for x in c]) for c in cut]
+        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
+_tokenizers: dict[tuple[str, str | None], CachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> CachedTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, ranks: str | None = None) -> CachedTokenizer:
+    if (path, ranks) not in _tokenizers:
+        _tokenizers[path, ranks] = CachedTokenizer(path, ranks)
+    return _tokenizers[path, ranks]
 
 
-def pieces(docs: DataFrame, path: str, size: int = 2048, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 2048, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
     """Pieces of at most ``size`` ids of every document: doc_id, start, length, ids_crc32, doc_tokens[, ids].
 
-    A null or empty text is the end id alone. Repeated rows are documents of their own.
+    path: the tokenizer; ranks: the same vocabulary as ranks, if there is such a file. A null or empty text is the end id
+    alone. Repeated rows are documents of their own.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode
+        encode = tokenizer(path, ranks).encode
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 rows: list[tuple] = []
                 for doc, ids in zip(part["doc_id"], encode(["" if t is None or t != t else t for t in part["text"]])):
                     ids += end
@@ -135,14 +169,14 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return where, offset
 
 
-def packed(docs: DataFrame, path: str, size: int = 2048, group_docs: int = 4096, keep_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, size: int = 2048, group_docs: int = 4096, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
     """Pieces with the sequence_id and offset they are packed at.
 
     Groups are dealt by a hash of doc_id, about ``group_docs`` documents each; a sequence_id is the group number times
     2**32 plus the bin. Ties of length are ordered by doc_id (null first), start and checksum. Empty table: no rows.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, path, size, keep_ids)
+    cut = pieces(docs, path, size, keep_ids, ranks)
     cut = cut.withColumn("__group", F.pmod(id_hash("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32")), seed=7), F.lit(groups)))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:

@@ -21,14 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    out = sentencepieces.encoded(table(spark, sf_dir, "documents"), path, k=2)
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", F.sha2(sentencepieces.decoder(path)("ids"), 256).alias("decoded_sha256"))
+    out = sentencepieces.encoded(table(spark, sf_dir, "documents"), path, k=2, decoded=True)
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+SQL_OP2 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, k, md5(array_to_string(w[k:k + 34], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 33)) as k from d)),
+r as (select h from s group by h having count(*) > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(k, k + 35)) as p from s join r using (h))),
+kept as (select x.doc_id, string_agg(x.word, ' ' order by x.p) as t from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) x left join gone g on g.doc_id = x.doc_id and g.p = x.p where g.p is null group by x.doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), k=5, every=50)
 
@@ -52,17 +63,38 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+SQL_OP4 = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+b as (select *, array_to_string(list_transform(range(1, 41), lambda k: (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])[strpos('0123456789abcdef', h[k])]), '') as bits, max(page_id) over (partition by h, n) as newest from p)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int]), '') as payload_digest,
+  case when page_id = newest then 'response' else 'revisit' end as record_type, case when page_id <> newest then newest end as refers_to from b
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SQL_OP5 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[k:k + 4], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from s a join s b on a.h = b.h and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+sides as (select a, b from links union select b, a from links),
+reach as (select a as i, a as j from sides union select r.i, l.b from reach r join sides l on l.a = r.j),
+c as (select i as doc_id, min(j) as component_id from reach group by i)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept from d left join n using (doc_id) left join c using (doc_id)
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.assessed(docs, quality_rules.learn_from(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ranks=vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +138,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+SQL_OP10 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+s as (select doc_id, k, md5_number(substr(x, 2 * k + 1, 100)) as h from (select doc_id, x, unnest(range(0, n - 49)) as k from d)),
+f as (select h, min(doc_id) as least from s group by h having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(k, k + 50)) as p from s join f using (h) where least < doc_id)),
+runs as (select doc_id, min(p) as a, max(p) + 1 as z from (select doc_id, p, p - row_number() over (partition by doc_id order by p) as r from gone) group by doc_id, r),
+m as (select doc_id, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans from runs group by doc_id),
+left_ as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as s, a as e from runs union all select doc_id, max(z), null from runs group by doc_id),
+kept as (select doc_id, string_agg(substr(x, 2 * cast(s as integer) + 1, 2 * cast(coalesce(e, n) - s as integer)), '' order by s) as t from left_ join d using (doc_id) group by doc_id)
+select d.doc_id, cast(n as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(t, x))) as kept_sha256 from d left join m using (doc_id) left join kept using (doc_id)
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": SQL_OP3, "op8_chat_format": SQL_OP8}
+    return {"op2_substring_dedup": SQL_OP2, "op3_top_k": SQL_OP3, "op4_warc": SQL_OP4, "op5_near_dedup": SQL_OP5, "op8_chat_format": SQL_OP8, "op10_suffix_array_dedup": SQL_OP10}
