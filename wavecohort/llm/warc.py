@@ -12,13 +12,13 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_hash, utf8
+from .common import id_hash
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -169,34 +169,48 @@ def read_archive(data: bytes) -> Iterator[dict]:
         at = end
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary; null html is empty), revisit and refers_to.
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha, refers_to) of the pages that repeat the payload of another one.
 
-    Among pages of equal payloads of at least ``min_bytes`` the largest page_id is the response, the others revisit
-    it; repeated rows of that page are responses all. A null page_id is smaller than any other. Only digests and ids
-    are shuffled to find the response: the group's maximum is pre-aggregated, so that a hot payload is a few rows.
+    Among pages of equal payloads of at least ``min_bytes`` (null html is empty) the largest page_id is the response, the
+    others revisit it; repeated rows of that page are responses all. A null page_id is smaller than any other. Only ids
+    and digests are shuffled, and a payload's largest id is aggregated before, so that a hot payload is a few rows.
     """
-    held = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumns({"bytes": F.octet_length("payload"), "sha": F.sha1("payload")})
-    newest = held.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("newest"), F.count("*").alias("same")).where("same > 1").drop("same")
-    out = held.join(newest, ["sha", "bytes"], "left")
-    revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
-    return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("newest")).alias("refers_to"))
+    held = pages.select("page_id", _payload().alias("payload")).select("page_id", F.octet_length("payload").alias("bytes"), F.sha1("payload").alias("sha")).where(F.col("bytes") >= min_bytes)
+    newest = held.groupBy("sha", "bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("same")).where("same > 1").drop("same")
+    return held.join(newest, ["sha", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
+
+
+def _payload() -> Column:
+    return F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
 
 
 def write_archives(pages: DataFrame, archive_pages: int = 1000, min_bytes: int = 0) -> DataFrame:
     """(archive_id, content): a WARC record for each page, about ``archive_pages`` of them in an archive.
 
-    An empty table gives no archive. Pages are dealt by id hash, so that no source or host can fill an archive.
+    An empty table gives no archive. Pages are dealt by id hash, so that no source or host can fill an archive; their
+    payloads are shuffled once, to the archive, where they meet the list of revisits.
     """
     archives = max(1, -(-pages.count() // archive_pages))
-    dealt = with_revisits(pages, min_bytes).withColumn("archive_id", F.pmod(id_hash("page_id", F.when(F.col("page_id").isNull(), F.xxhash64("payload")), seed=4), F.lit(archives)))
+    place = F.pmod(id_hash("page_id", F.when(F.col("page_id").isNull(), F.col("sha")), seed=4), F.lit(archives))
+    dealt = pages.select("page_id", "url", _payload().alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("archive_id", place).select("page_id", "url", "payload", "archive_id")
+    told = revisits(pages, min_bytes).select(F.col("page_id").alias("again"), "sha", "refers_to", place.alias("archive_id"))
+
+    def number(x: object) -> int | None:
+        return None if pd.isna(x) else int(x)
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
+    def build(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame({"archive_id": np.empty(0, np.int64), "content": []})
+        of = {(number(p), s): number(r) for p, s, r in zip(told["again"].astype("Int64"), told["sha"], told["refers_to"].astype("Int64"))}
         part = part.sort_values("page_id", na_position="first", kind="stable")
-        records = [make_record(*(None if pd.isna(v) else int(v) for v in (p,)), u, bytes(b), None if pd.isna(r) else int(r), bool(v)) for p, u, b, v, r in zip(part["page_id"].astype("Int64"), part["url"], part["payload"], part["revisit"], part["refers_to"].astype("Int64"))]
+        records = []
+        for p, url, payload in zip(part["page_id"].astype("Int64"), part["url"], part["payload"]):
+            key = (number(p), hashlib.sha1(payload).hexdigest())
+            records.append(make_record(key[0], url, bytes(payload), of.get(key), key in of))
         return pd.DataFrame({"archive_id": [part["archive_id"].iloc[0]], "content": [make_archive(records)]})
 
-    return dealt.groupBy("archive_id").applyInPandas(build, "archive_id long, content binary")
+    return dealt.groupBy("archive_id").cogroup(told.groupBy("archive_id")).applyInPandas(build, "archive_id long, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
