@@ -10,10 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 in the same places.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a new one."""
     found = spark.sparkContext.getCheckpointDir()
@@ -81,14 +77,6 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
 
 
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """A mask of the ``n`` positions that lie in a window of ``width`` beginning at one of ``starts``."""
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + width, n), -1)
-    return np.cumsum(edges[:n]) > 0
-
-
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``concatenate([arange(s, s + l) ...])`` without the loop."""
     total = int(lengths.sum())

@@ -19,6 +19,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,9 +160,9 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
         if not docs.num_rows:
             return pa.schema([f for f in docs.schema if f.name != "batch"] + list(extra)).empty_table()
         batch, rows = _loaded(docs, unit, at)
-        is_bits = pa.compute.is_valid(told.column("bits"))
+        is_bits = pc.is_valid(told.column("bits"))
         hot = _hot(batch, told.filter(is_bits), buckets)
-        answers = told.filter(pa.compute.invert(is_bits))
+        answers = told.filter(pc.invert(is_bits))
         anchor, _, _ = unit.segments(batch, hot)
         order, found, start = _by_bucket(anchor, buckets)
         place = {int(b): k for k, b in enumerate(found)}
@@ -185,8 +186,6 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
             out = out.append_column(field, pa.array([m[k] for m in made], field.type))
         return out
 
-    import pyarrow.compute  # noqa: F401  (pa.compute in the functions above)
-
     kinds = ", ".join(f"`{_POSITION.format(i)}` {t}" for i, t in enumerate(t for _, t in plain.dtypes))
     sent = dealt.groupBy("batch").applyInArrow(anchors, "bucket long, batch long, blob binary")
     bits = sent.groupBy("bucket").applyInArrow(shared, "batch long, bucket long, bits binary")

@@ -7,7 +7,6 @@ whose neighbours in the array have a common prefix of the full width are equal.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
