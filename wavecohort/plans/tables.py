@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cohort as C
 from ..operators import tables as T
 from . import decisions
-from .proxies import audit, audit_b, read, scores
+from .proxies import audit, read, scores
 from .registry import query
 
 
