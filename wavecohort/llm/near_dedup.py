@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 60, 4
+HUBS = 3
 MANTISSA = 10
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
@@ -120,31 +121,34 @@ def _estimated(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.S
     return pd.Series(estimate(x, y, na.to_numpy(float), nb.to_numpy(float)))
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[str, np.ndarray] = {}
+def confirmed(pairs: DataFrame, docs: DataFrame, block: int = 128) -> DataFrame:
+    """Those of ``pairs`` (part, a, b) that are links, by the full shingle sets of the two texts.
 
-    def of(text: str) -> np.ndarray:
-        if len(known) > 200:
-            known.clear()
-        if text not in known:
-            known[text] = shingle_set(text.encode("utf-8", "surrogatepass"))
-        return known[text]
-
-    out = []
-    for x, y in zip(a, b):
-        sa, sb = of(x), of(y)
-        both = len(np.intersect1d(sa, sb, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(sa) + len(sb) - both))
-    return pd.Series(out, dtype=bool)
+    A part's documents are dealt by hash to blocks of about ``block`` and pairs to cells, pairs of blocks; a text goes
+    once to each cell that needs it. A cell is bounded whatever the part's shape, a star or a dense group, and where many
+    pairs lie among few documents, texts are not repeated for each pair.
+    """
+    side = lambda c: F.pmod(id_hash(c, seed=53), F.col("blocks"))
+    sizes = pairs.select("part", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("part").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = pairs.join(sizes, "part").select("a", "b", F.xxhash64("part", side("a"), side("b")).alias("cell"))
+    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    held = wanted.join(texts, "id").select(F.col("cell").alias("place"), "id", "text")
 
+    def links(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, text in zip(held["id"], held["text"]):
+            sets.setdefault(i, []).append(shingle_set(text.encode("utf-8", "surrogatepass")))
+        out = []
+        for x, y in zip(asked["a"].tolist(), asked["b"].tolist()):
+            for p in sets.get(x, ()):
+                for q in sets.get(y, ()):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                        out.append((x, y))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype(np.int64)
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are links, by the full shingle sets of the two texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    return both.where(_linked("ta", "tb")).select("a", "b").distinct()
+    return dealt.groupBy("cell").cogroup(held.groupBy("place")).applyInPandas(links, "a long, b long")
 
 
 def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -152,48 +156,56 @@ def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
     # sets of very different sizes can't be links, whatever their registers
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    return near.where(_estimated("ra", "rb", "na", "nb") >= PRUNE).select("a", "b").distinct()
+    return near.where(_estimated("ra", "rb", "na", "nb") >= PRUNE).select(F.col("hub").alias("part"), "a", "b").dropDuplicates(["a", "b"])
 
 
 def _across(members: DataFrame, label: DataFrame, reps: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a band, with an estimate not below PRUNE.
+    """Pairs (part, a, b) of different components that share a band, with an estimate not below PRUNE; part groups them.
 
     In a band the members outside its least member's component meet every member of another component. They do so in
     cells of at most ``block`` by ``block`` rows, and a cell gives out promising pairs only.
     """
     placed = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = checkpointed(placed)
-    bands = placed.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")).where("first <> last")
-    # one count for each side, so that hot bands are cut into more blocks
-    mixed_rows = placed.join(bands, "band")
-    others = mixed_rows.where("component <> first").groupBy("band").agg(F.count("*").alias("n_others"))
-    mixed_rows = checkpointed(mixed_rows.join(others, "band").join(reps.select("rep", "n_shingles", "registers"), "rep"))
-    across, down = F.ceil(F.col("n_others") / block), F.ceil(F.col("n") / block)
-    spread = lambda seed, parts: F.pmod(id_hash("rep", seed=seed), parts)
-    keep = ["band", "rep", "component", "n_shingles", "registers"]
-    stray = mixed_rows.where("component <> first").withColumn("i", spread(51, across)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), down - 1))).select(*keep, "i", "j", F.lit(True).alias("stray"))
-    every = mixed_rows.withColumn("j", spread(52, down)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), across - 1))).select(*keep, "i", "j", F.lit(False).alias("stray"))
+    bands = placed.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    held = placed.join(bands, "band")
+    others = held.where("component <> first").groupBy("band").agg(F.count("*").alias("n_others"))
+    held = held.join(others, "band").withColumns({"across": F.ceil(F.col("n_others") / block), "down": F.ceil(F.col("n") / block), "stray": F.col("component") != F.col("first")})
+    # row i, column j of a band's grid: strays of part i meet all members of part j. In a grid of one cell a row stands for both
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    part = lambda seed, parts: F.pmod(id_hash("rep", seed=seed), parts)
+    as_member = F.transform(to(F.col("across")), lambda i: F.struct(i.alias("i"), part(52, F.col("down")).alias("j"), F.lit(False).alias("copy")))
+    as_stray = F.transform(to(F.col("down")), lambda j: F.struct(part(51, F.col("across")).alias("i"), j.alias("j"), F.lit(True).alias("copy")))
+    single = (F.col("across") == 1) & (F.col("down") == 1)
+    cells = F.explode(F.when(single | ~F.col("stray"), as_member).otherwise(F.concat(as_member, as_stray)))
+    rows = held.select("band", "at", "first", "rep", "component", "stray", single.alias("single"), cells.alias("c")).select("band", "at", "first", "rep", "component", "stray", "single", "c.*")
+    rows = rows.join(reps.select("rep", "n_shingles", "registers"), "rep")
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
-        s, e = part[part["stray"]], part[~part["stray"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        one = bool(part["single"].iloc[0])
+        s, e = part[part["stray"] if one else part["copy"]], part if one else part[~part["copy"]]
+        none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("part", "a", "b")})
         if s.empty or e.empty:
             return none
-        regs = np.stack(e["registers"].to_numpy()).astype(np.int64).view(np.uint16)
+        keys = np.stack(e["registers"].to_numpy()).astype(np.int64)
+        regs = keys.view(np.uint16)
         ids, comp, n = (e[c].to_numpy(np.int64) for c in ("rep", "component", "n_shingles"))
+        stray, band, first = e["stray"].to_numpy(bool), int(part["at"].iloc[0]), int(part["first"].iloc[0])
         found = []
         for row in s.itertuples():
-            near = np.flatnonzero((comp != row.component) & (100 * np.minimum(n, row.n_shingles) >= PERCENT * np.maximum(n, row.n_shingles)))
+            # two strays meet twice; each pair is handled once, in the first band that it shares
+            mine = np.asarray(row.registers, np.int64)
+            near = (comp != row.component) & (~stray | (ids > row.rep)) & (100 * np.minimum(n, row.n_shingles) >= PERCENT * np.maximum(n, row.n_shingles))
+            near = np.flatnonzero(near & ((keys == mine).argmax(1) == band))
             if len(near):
-                mine = np.asarray(row.registers, np.int64).view(np.uint16)[None]
-                hit = near[estimate(regs[near], mine, n[near].astype(float), float(row.n_shingles)) >= PRUNE]
-                found += [(min(row.rep, x), max(row.rep, x)) for x in ids[hit].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]) if found else none
+                hit = near[estimate(regs[near], mine.view(np.uint16)[None], n[near].astype(float), float(row.n_shingles)) >= PRUNE]
+                found += [(first, min(row.rep, x), max(row.rep, x)) for x in ids[hit].tolist()]
+        return pd.DataFrame(found, columns=["part", "a", "b"]) if found else none
 
-    return stray.unionByName(every).groupBy("band", "i", "j").applyInPandas(cell, "a long, b long").distinct()
+    return rows.groupBy("band", "i", "j").applyInPandas(cell, "part long, a long, b long").dropDuplicates(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; other columns are ignored).
 
     Equal shingle sets are one class, whose least doc_id stands for it; only classes are compared. Null or empty texts
@@ -204,15 +216,18 @@ def near_duplicates(docs: DataFrame, block: int = 1000) -> DataFrame:
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = checkpointed(sets.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "registers").dropDuplicates(["rep"]))
-    banded = reps.select("rep", F.posexplode("registers").alias("at", "key")).select("rep", F.xxhash64("at", "key").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
+    banded = reps.select("rep", F.posexplode("registers").alias("at", "key")).select("rep", "at", F.xxhash64("at", "key").alias("band"))
+    # several hubs, each the least member in an order of its own, so that who is linked with none of them is rare
+    least = [F.min_by("rep", id_hash("rep", seed=s)).alias(f"hub{s}") for s in range(1, HUBS)]
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub0"), F.max("rep").alias("top"), *least).where("hub0 <> top").drop("top")
     members = checkpointed(banded.join(hubs, "band"))
-    tried = checkpointed(_promising(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps))
+    starred = members.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array(*[f"hub{s}" for s in range(HUBS)]))).alias("b")).where("a <> b")
+    starred = starred.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("b").alias("hub"))
+    tried = checkpointed(_promising(starred, reps))
     links = checkpointed(confirmed(tried, docs))
     label = components(links)
-    more = _across(members.select("band", "rep"), label, reps, block)
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    further = checkpointed(confirmed(more.join(done, ["a", "b"], "left_anti"), docs))
+    more = _across(members.select("band", "at", "rep"), label, reps, block)
+    further = checkpointed(confirmed(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), docs))
     if not further.isEmpty():
         label = components(links.unionByName(further))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
