@@ -51,3 +51,29 @@ def test_parse_equals_counts():
                 seen[tuple(s[k : k + 5])] = seen.get(tuple(s[k : k + 5]), 0) + w
         want = [k + 5 <= len(s) and seen[tuple(s[k : k + 5])] > 1 for s in segments for k in range(len(s))]
         assert got.tolist() == want, trial
+
+
+def test_segments_of_a_common_line_are_split(spark):
+    rng = random.Random(6)
+    line = [f"line{k}" for k in range(34)]
+    near = lambda: [f"n{rng.randrange(4000)}" for _ in range(3)]
+    rows = [(k, " ".join([f"x{k}"] * 2 + near() + line + near() + [f"y{k}"] * 2)) for k in range(4000)]
+
+    class Watched(D.Words):
+        def resolve(self, anchor, weight, content):
+            assert np.unique(anchor, return_counts=True)[1].max(initial=0) <= 1000, "an anchor's segments are in one block"
+            return super().resolve(anchor, weight, content)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = D.pa.schema([("n", D.pa.int64())])
+    want = {k: v[1] for k, v in repeated_words(rows).items()}
+    assert 0 < sum(v > 0 for v in want.values()) < len(rows)
+    for size in (6_000_000, 100_000):
+        out = D.routed.repeats(docs, Watched(), lambda _, s: (sum(z - a for a, z in D.spans(s, D.WIDTH)),), extra, "n long", batch_bytes=size)
+        assert {r.doc_id: r.n for r in out.collect()} == want
+
+
+def test_split_anchors_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole, split = (sorted(D.duplicate_passages(docs, batch_bytes=50_000, split=n).collect(), key=str) for n in (10**9, 1))
+    assert whole == split and any(r.spans for r in whole)

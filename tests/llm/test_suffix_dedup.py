@@ -59,3 +59,29 @@ def test_common_prefixes():
     data = np.frombuffer(b"abcdefgh12345678abcdefgh12345699abcdefgX12345678", np.uint8)
     assert S.common_prefixes(data, np.array([0, 16, 32]), 16).tolist() == [14, 7]
     assert S.common_prefixes(data, np.array([0, 16]), 10).tolist() == [10]
+
+
+def test_segments_of_a_common_line_are_split(spark):
+    rng = random.Random(6)
+    line = "this common line has 49 bytes, one below a window"
+    near = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    rows = [(k, f"{k:09d}{near()}{line}{near()}{k:09d}") for k in range(4000)]
+
+    class Watched(S.Bytes):
+        def resolve(self, anchor, weight, content):
+            assert np.unique(anchor, return_counts=True)[1].max(initial=0) <= 1000, "an anchor's segments are in one block"
+            return super().resolve(anchor, weight, content)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = S.pa.schema([("n", S.pa.int64())])
+    want = {k: v[1] for k, v in repeated_bytes(rows).items()}
+    assert 0 < sum(v > 0 for v in want.values()) < len(rows)
+    for size in (6_000_000, 50_000):
+        out = S.routed.repeats(docs, Watched(), lambda _, s: (sum(z - a for a, z in S.spans(s, S.WIDTH)),), extra, "n long", batch_bytes=size)
+        assert {r.doc_id: r.n for r in out.collect()} == want
+
+
+def test_split_anchors_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole, split = (sorted(S.duplicate_spans(docs, batch_bytes=50_000, split=n).collect(), key=str) for n in (10**9, 1))
+    assert whole == split and any(r.spans for r in whole)

@@ -24,6 +24,7 @@ WIDTH = 35
 GRAM = 6
 BLOCK_WORDS = 400_000
 _FACTORS = np.random.default_rng(2**31 - 3).integers(0, 2**62, WIDTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHERS = np.random.default_rng(2**31 - 4).integers(0, 2**62, WIDTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -138,6 +139,7 @@ def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = W
 @dataclass
 class _Batch:
     words: list[bytes]
+    hashes: np.ndarray
     offsets: np.ndarray
     rows: int
     start: np.ndarray
@@ -152,6 +154,9 @@ class _Batch:
 class Words(routed.Unit):
     """Windows of WIDTH words; one repeats if its word sequence begins anywhere else, its own document included."""
 
+    width = WIDTH
+    merge = np.add
+
     def load(self, ids, texts):
         cut = [t.split() for t in texts]
         offsets = np.cumsum([0] + [len(c) for c in cut])
@@ -171,7 +176,7 @@ class Words(routed.Unit):
         where = np.searchsorted(alone, grams)
         hit = alone[np.minimum(where, max(0, len(alone) - 1))] == grams if len(alone) else np.zeros(len(grams), bool)
         shared = np.bincount(where[hit], minlength=len(alone)) > 1
-        return _Batch(words, offsets, len(texts), start, count, anchor, row, alone, shared[: len(alone)])
+        return _Batch(words, h, offsets, len(texts), start, count, anchor, row, alone, shared[: len(alone)])
 
     def segments(self, batch, hot):
         if "segments" not in batch.kept:
@@ -214,10 +219,22 @@ class Words(routed.Unit):
             a = z
         return [found[i] for i in which.tolist()]
 
-    def finish(self, batch, hot, told):
+    def keys(self, batch, start):
+        k1, k2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for k in range(WIDTH):
+            h = batch.hashes[start + k]
+            k1 += h * _FACTORS[k]
+            k2 += h * _OTHERS[k]
+        return mixed(k1), mixed(k2)
+
+    def weights(self, batch, row):
+        return np.ones(len(row), np.int64)
+
+    def finish(self, batch, hot, told, single):
         self.segments(batch, hot)
         pick, which = batch.kept["pick"], batch.kept["which"]
-        rows, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        again = single.weight[single.which] > 1
+        rows, starts = [single.row[again]], [single.start[again]]
         for k, (w, r, s) in enumerate(zip(which.tolist(), batch.row[pick].tolist(), batch.start[pick].tolist())):
             hit = told.get(w)
             if hit is not None:

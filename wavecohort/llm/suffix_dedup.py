@@ -21,6 +21,7 @@ WIDTH = 50
 GRAM = 16
 BLOCK = 1_000_000
 _NO_ID = np.iinfo(np.int64).max
+_FACTORS = np.random.default_rng(2**31 - 5).integers(0, 2**62, (2, 7), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -147,6 +148,9 @@ class _Batch:
 class Bytes(routed.Unit):
     """Strings of WIDTH bytes; a window repeats if it begins in a document with a smaller id too."""
 
+    width = WIDTH
+    merge = np.minimum
+
     def load(self, ids, texts):
         offsets = np.cumsum([0] + [len(t) for t in texts])
         data = b"".join(texts)
@@ -248,7 +252,19 @@ class Bytes(routed.Unit):
         by_start[order] = np.repeat(least, np.diff(np.append(first, len(order))))
         return [by_start[e - s : e - WIDTH + 1] for s, e in zip(size.tolist(), ends.tolist())]
 
-    def finish(self, batch, hot, told):
+    def keys(self, batch, start):
+        eight = words_at(np.frombuffer(batch.data, np.uint8))
+        k1, k2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for k, at in enumerate((0, 8, 16, 24, 32, 40, WIDTH - 8)):
+            h = mixed(eight[start + at])
+            k1 += h * _FACTORS[0, k]
+            k2 += h * _FACTORS[1, k]
+        return mixed(k1), mixed(k2)
+
+    def weights(self, batch, row):
+        return batch.ids[row]
+
+    def finish(self, batch, hot, told, single):
         _, weight, _ = self.segments(batch, hot)
         pick, which = batch.kept["pick"], batch.kept["which"]
         row, start, count = batch.row[pick], batch.start[pick], batch.count[pick]
@@ -256,6 +272,8 @@ class Bytes(routed.Unit):
         full = weight[which] < ids
         gone: list[tuple[np.ndarray, np.ndarray]] = [(row[full], flat_ranges(start[full], count[full]))]
         gone[0] = (np.repeat(row[full], count[full]), gone[0][1])
+        again = single.weight[single.which] < batch.ids[single.row]
+        gone.append((single.row[again], single.start[again]))
         for k in np.flatnonzero(~full).tolist():
             answer = told.get(int(which[k]))
             if answer is not None and len(hit := np.flatnonzero(answer < ids[k])):
