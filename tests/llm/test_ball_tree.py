@@ -57,3 +57,20 @@ def test_search_prunes():
     finally:
         B._scores = kept
     assert sum(opened) < 950 and best[0].tolist() == sorted((x @ np.full(8, 300.0)).astype(int).tolist())[-5:][::-1]
+
+
+def test_an_id_with_several_vectors_is_a_candidate_by_its_best(spark):
+    rng = random.Random(12)
+    rows = [(i % 60, [float(rng.randrange(-9, 10)) for _ in range(4)]) for i in range(900)]
+    scores = {}
+    for q, x in rows:
+        for v, y in rows:
+            if q % 10 == 0 and q != v:
+                scores[q, v] = max(scores.get((q, v), B.NONE), sum(int(256 * a) * int(256 * b) for a, b in zip(x, y)))
+    want = []
+    for q in range(0, 60, 10):
+        best = sorted((-s, v) for (a, v), s in scores.items() if a == q)[:5]
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(best)]
+    vectors = spark.createDataFrame(rows, "id long, x array<double>")
+    for size in (8192, 100):
+        assert sorted(tuple(r) for r in B.top_k(vectors, 5, 10, shard_rows=size, block_rows=7).collect()) == want

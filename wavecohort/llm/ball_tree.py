@@ -92,6 +92,7 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: n
     def bound(at: int, rows: np.ndarray) -> np.ndarray:
         return q[rows] @ tree["centre"][at] + size[rows] * tree["radius"][at] + slack[rows]
 
+    repeated = len(np.unique(tree["ids"])) < len(tree["ids"])
     everyone = np.arange(n)
     top = bound(0, everyone)
     heap = [(-float(top.max(initial=0)), 0, everyone, top)]
@@ -114,6 +115,12 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, floor: n
         out = own == qid[rows, None]
         all_s = np.concatenate((best[rows], np.where(out, NONE, scores)), 1)
         all_i = np.concatenate((ids[rows], own), 1)
+        if repeated:  # an id keeps its best score only
+            o = np.lexsort((~all_s, all_i), axis=1)
+            i = np.take_along_axis(all_i, o, 1)
+            again = np.zeros(i.shape, bool)
+            again[:, 1:] = i[:, 1:] == i[:, :-1]
+            np.put_along_axis(all_s, o, np.where(again, NONE, np.take_along_axis(all_s, o, 1)), 1)
         order = np.lexsort((all_i, ~all_s), axis=1)[:, :k]  # ~s falls as s grows
         best[rows] = np.take_along_axis(all_s, order, 1)
         ids[rows] = np.take_along_axis(all_i, order, 1)
@@ -132,8 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 819
     """query_id, rank, vec_id, score of the ``k`` best vectors for each vector whose id is divisible by ``every``.
 
     vectors: id long, x array of numbers; vectors that are null or hold null or non-finite components take no part,
-    nor do those of another dimension than the query's. A query's own id is no candidate; repeated ids are candidates
-    once each for other queries. Ties go to the smaller id. An empty table gives no rows.
+    nor do those of another dimension than the query's. A query's own id is no candidate; a repeated id is one
+    candidate, with the best score that any of its vectors has with any of the query's. Ties go to the smaller id. An empty table gives no rows.
     """
     held = checkpointed(usable(vectors, scale))
     facts = held.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("nq")).collect()  # a row for each dimension
@@ -152,7 +159,6 @@ def _one_dimension(held: DataFrame, k: int, every: int, shards: int, blocks: int
         return pd.DataFrame({"shard": [part["shard"].iloc[0]], "tree": [_packed(**built)]})
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("id")
         return pd.DataFrame({"block": [part["block"].iloc[0]], "queries": [_packed(id=part["id"].to_numpy(np.int64), x=np.stack(part["x"].to_numpy()).astype(float))]})
 
     def visit(batches: Iterator[pd.DataFrame], sharing: bool) -> Iterator[pd.DataFrame]:
@@ -167,15 +173,16 @@ def _one_dimension(held: DataFrame, k: int, every: int, shards: int, blocks: int
                     q, r = np.nonzero(best > NONE)
                     yield pd.DataFrame({"query_id": asked["id"][q], "vec_id": ids[q, r], "score": best[q, r]})
 
-    # repeated rows of an id are one candidate
-    distinct = held.groupBy("id").agg(F.min("x").alias("x"))
-    trees = checkpointed(distinct.withColumn("shard", F.pmod(id_hash("id", seed=3), F.lit(shards))).groupBy("shard").applyInPandas(tree, "shard long, tree binary"))
-    asked = distinct.where(F.col("id") % every == 0).withColumn("block", F.pmod(id_hash("id", seed=5), F.lit(blocks)))
+    # equal rows are one; an id's vectors are dealt each by itself, so that a common id fills no shard
+    distinct = held.distinct()
+    trees = checkpointed(distinct.withColumn("shard", F.pmod(id_hash("id", "x", seed=3), F.lit(shards))).groupBy("shard").applyInPandas(tree, "shard long, tree binary"))
+    asked = distinct.where(F.col("id") % every == 0).withColumn("block", F.pmod(id_hash("id", "x", seed=5), F.lit(blocks)))
     asked = asked.groupBy("block").applyInPandas(block, "block long, queries binary")
     home = asked.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees.hint("shuffle_hash"), "shard")
     bounded = checkpointed(home.select("block", "queries", "tree").mapInPandas(lambda b: visit(b, True), "block long, queries binary"))
     pairs = trees.select("tree", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(bounded.hint("shuffle_hash"), "block")
     pairs = pairs.repartition(F.col("block"), F.col("shard")).select("block", "queries", "tree")
     found = pairs.mapInPandas(lambda b: visit(b, False), "query_id long, vec_id long, score long")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
