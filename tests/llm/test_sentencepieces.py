@@ -48,6 +48,34 @@ def test_log_probabilities_are_exact(held):
     assert all(x[3] == 0 for x in found)  # all were found, so all are surely in
 
 
+@pytest.mark.parametrize("text", [b"    x", b"a   b", b"\xe6\xbc\xa2\xe5\xad\x97 !", b"  "])
+def test_runs_of_spaces_and_odd_characters_have_all_their_segmentations(held, text):
+    v = held.vocabulary
+    pieces = {b for i, b in enumerate(v.bytes_of) if b and i not in set(v.byte_id.tolist())}
+    whole = b" " + text
+    ends = {len(whole[: k + 1].decode("utf-8", "ignore").encode()) for k in range(len(whole))} | {0}
+
+    def count(at):
+        if at == len(whole):
+            return 1
+        stop = min(e for e in ends if e > at)
+        n = sum(count(e) for e in ends if e > at and whole[at:e] in pieces)
+        return n if whole[at:stop] in pieces else n + count(stop)  # a character that is no piece is written in bytes
+
+    found = S.sample(held, [5], [text], 5000)[0]
+    assert len({tuple(x[0]) for x in found}) == len(found) == count(0)
+    assert sum(np.exp(x[1]) for x in found) == pytest.approx(1)
+    assert all(v.decode(x[0].tolist()) == text for x in found)
+
+
+def test_long_chunks_are_cut_exactly(held, monkeypatch):
+    text = ("\u6f22\u5b57\U0001f642abc\u00e9\u00df" * 40).encode()
+    want = [(x[0].tolist(), round(x[1], 6)) for x in S.sample(held, [7], [text], 3)[0]]
+    monkeypatch.setattr(S, "LONG", 10**9)
+    whole = S.Lattices(held.vocabulary)
+    assert [(x[0].tolist(), round(x[1], 6)) for x in S.sample(whole, [7], [text], 3)[0]] == want
+
+
 def test_samples_without_replacement_have_the_right_frequencies(held):
     """The first is a draw from the distribution, and the second a draw from what is left of it."""
     want = exact(held, b" thes")
@@ -78,7 +106,9 @@ def test_query_rows(spark):
     rows = out.withColumn("back", S.decoder(PATH)("ids")).collect()
     text = dict(enumerate(ODD)) | {50: "", None: "the"}
     assert all(r.back == text[r.doc_id] for r in rows)
-    again = {(r.doc_id, r.sample): tuple(r.ids) for r in S.encoded(docs.repartition(3), PATH, k=3).collect()}
-    assert again == {(r.doc_id, r.sample): tuple(r.ids) for r in rows}
+    every = lambda df: sorted((str(r.doc_id), r.sample, tuple(r.ids), r.log_prob, r.perturbed, r.log_inclusion) for r in df.collect())
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (docs, given):  # all columns are equal to the last bit
+        assert every(S.encoded(df.repartition(3), PATH, k=3)) == every(S.encoded(df, PATH, k=3, part_bytes=100))
     assert all(r.text == text[r.doc_id] for r in S.encoded(docs, PATH, k=2, decoded=True).collect())
     assert S.encoded(docs.limit(0), PATH).count() == 0

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: glibc's; other C libraries have none
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a new one."""
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was told.
+
+    Where neither is set, a local master gets a new folder of its own; on a cluster that would be a folder which
+    executors don't see, and it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -32,6 +46,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def spare_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Give memory that a finished task held back to the system: Python workers live on, and executors have many uses for it."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def id_hash(*columns: str | Column, seed: int = 0) -> Column:
     """A 63-bit hash of the columns, the same on every cluster and in every partitioning."""
     return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

@@ -1,39 +1,51 @@
 """SentencePiece encoding by sampling without replacement, and decoding.
 
-A text is cut before each space; every chunk has a lattice of vocabulary pieces, and a text's segmentations are the
-paths through its chunks' lattices. Gumbel top-k draws k distinct segmentations: each path's log-probability is
+A text is cut before each run of spaces, where no piece can lie across; every chunk has a lattice of vocabulary pieces,
+and a text's segmentations are the paths through its chunks' lattices. Gumbel top-k draws k distinct segmentations: each path's log-probability is
 perturbed by a Gumbel variable and the k greatest win. They are found by A* search over the tree of prefixes, whose
 nodes carry the exact greatest perturbed value below them: the root's is drawn, a child's given its parent's (the
 chosen child inherits it, the others' maximum is a truncated Gumbel), so the greatest node is expanded next and every
-leaf that is reached is the next sample. Draws are hashes of seed, row key and place, whatever the partitioning.
+leaf that is reached is the next sample. Draws are hashes of seed, row key and place, and sums run within a state or a
+text, so that all numbers are the same whatever the partitioning.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_ranges, mixed
+from .common import flat_ranges, mixed, release
 
 #: Chunks whose lattices a worker remembers; they begin anew when it is full.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 200_000
+#: Bytes of a chunk above which it is cut further.
+LONG = 256
+_RUNS = re.compile(rb" +[^ ]*")
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def uniform(*parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) that are a hash of the parts."""
+def salted(*parts) -> np.ndarray:
+    """The parts of a draw, added up; further parts may be added to it."""
     x = np.uint64(0)
     with np.errstate(over="ignore"):
         for p, c in zip(parts, _C):
             x = x + np.asarray(p).astype(np.uint64) * c
-    return ((mixed(np.atleast_1d(mixed(np.atleast_1d(x)))) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return np.atleast_1d(x)
+
+
+def uniform(salt: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) that are a hash of what is added up in ``salt``."""
+    return ((mixed(salt) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 class Vocabulary:
@@ -59,6 +71,7 @@ class Vocabulary:
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(n)], kind="stable"))
         self.weight = -sharpness * np.log(rank + 2.0)
         self.weight[self.byte_id] = -sharpness * np.log(n + 2.0)
+        self.linear = np.exp(self.weight)
         # trie nodes that have children get a row of 256
         number: dict[bytes, int] = {b"": 0}
         inner: dict[bytes, int] = {b"": 0}
@@ -75,7 +88,8 @@ class Vocabulary:
             if prefix:
                 self.child[inner[prefix[:-1]], prefix[-1]] = k
 
-    def decode(self, ids) -> bytes:
+
+    def decode(self, ids: list[int]) -> bytes:
         joined = b"".join(map(self.bytes_of.__getitem__, ids))
         return joined[1:] if joined[:1] == b" " else joined
 
@@ -83,121 +97,164 @@ class Vocabulary:
 class Lattices:
     """The lattices of the chunks seen so far: states are byte positions, edges are pieces.
 
-    Edges of a state are contiguous, likeliest first. ``log_p`` is an edge's probability given its state, after the
-    backward sums over everything that may follow it in the chunk.
+    Edges of a state are contiguous, longest first. ``p`` is an edge's probability given its state, after the backward
+    sums over everything that may follow it in the chunk; ``rest`` is that of the state's other edges together, summed
+    without it.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.first = self.end = self.next = self.id = np.empty(0, np.int32)
+        self.p = self.rest = np.empty(0)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.n_states = 0
         self.n_edges = 0
-        self.first = self.end = np.empty(0, np.int32)
-        self.next = self.id = np.empty(0, np.int32)
-        self.log_p, self.cumulative = np.empty(0), np.empty(0, np.float32)
 
     def states(self, chunks: list[bytes]) -> np.ndarray:
-        """The first state of each chunk."""
-        fresh = list({c for c in chunks if c not in self.known})
+        """The first state of each of these distinct chunks; a chunk is named without the space that it begins with."""
+        found = list(map(self.known.get, chunks))
+        fresh = [c for c, s in zip(chunks, found) if s is None]
         if fresh:
             if len(self.known) + len(fresh) > MOST_CHUNKS:
                 self.clear()
-                fresh = list(set(chunks))
+                fresh = chunks
             self._add(fresh)
-        known = self.known
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            found = list(map(self.known.__getitem__, chunks))
+        return np.array(found, np.int64)
 
     def _add(self, chunks: list[bytes]) -> None:
+        data = np.frombuffer(b" " + b" ".join(chunks), np.uint8)
+        bounds = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        bounds = np.append(0, bounds)
+        n = len(data)
+        matches = self._matches(data, bounds)
+        depth = max(k for k, _, _ in matches)
+        cut = np.zeros(n, bool)
+        cut[bounds[:-1]] = True
+        if int(np.diff(bounds).max()) > LONG:
+            cut |= self._seams(bounds, matches)
+        starts = np.flatnonzero(cut)
+        size = np.diff(np.append(starts, n))
+        # stretches by falling length: those of a distance to the end are the first ones, and states go by distance
+        by_size = np.argsort(-size, kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[by_size] = np.arange(len(size))
+        longest = int(size.max())
+        held = np.searchsorted(-size[by_size], -np.arange(longest + 1), side="right")
+        level = np.cumsum(np.append(0, held))
+        stretch = np.cumsum(cut) - 1
+        left = (starts + size)[stretch] - np.arange(n)  # distance of each byte to its stretch's end
+        state_of = level[left] + rank[stretch]
+        total = int(level[-1])
+        # pieces by state, longest first, and their weights
+        piece, weight = np.full((total, depth), -1, np.int32), np.zeros((depth, total))
+        for k, at, which in matches:
+            to = state_of[at]
+            piece[to, depth - k] = which
+            weight[depth - k, to] = self.vocabulary.linear[which]
+        beta, sums = np.ones(total), np.empty_like(weight)
+        for d in range(1, longest + 1):
+            a, z = level[d], level[d + 1]
+            here = weight[:, a:z]
+            for k in range(1, min(depth, d) + 1):
+                here[depth - k] *= beta[level[d - k] : level[d - k] + z - a]
+            np.cumsum(here, 0, out=sums[:, a:z])
+            beta[a:z] = sums[-1, a:z]
+            faint = np.flatnonzero((beta[a:z] < 1e-150) & (beta[a:z] > 0))
+            if len(faint):  # only ratios count, so that a stretch may be scaled as far back as pieces reach
+                for k in range(min(depth, d + 1)):
+                    beta[level[d - k] + faint] *= 1e150
+                here[:, faint] *= 1e150
+                sums[:, a + faint] *= 1e150
+        flat = np.flatnonzero(piece.ravel() >= 0)
+        state = flat // depth
+        row = flat - state * depth
+        many = np.bincount(state, minlength=total)
+        last = np.cumsum(many)
+        first = last - many
+        # what the other edges of a state weigh: those before, and those behind, from the last one on
+        w, whole = weight[row, state], sums[-1, state]
+        others = np.zeros(len(flat))
+        place = np.arange(len(flat))
+        later = np.flatnonzero(place > first[state])
+        others[later] = sums[row[later - 1], state[later]]
+        behind, to_end = np.zeros(len(flat)), last[state] - 1 - place
+        inner = np.flatnonzero(to_end > 0)
+        for k in range(1, int(to_end.max()) + 1):
+            e = inner[to_end[inner] == k]
+            behind[e] = behind[e + 1] + w[e + 1]
+        others += behind
+        # the end of a stretch inside a chunk is the next one's start
+        final = np.zeros(len(size), bool)
+        final[stretch[bounds[1:] - 1]] = True
+        follower = np.minimum(np.arange(1, len(size) + 1), len(size) - 1)
+        ends = np.where(final, rank, level[size[follower]] + rank[follower])[by_size]
+        distance = np.repeat(np.arange(longest + 1), held)[state]
+        to = distance - depth + row
+        column = state - level[distance]
+        target = np.where(to > 0, level[to] + column, ends[column])
+        self.first, self.end = (self._put(old, self.n_states, new) for old, new in ((self.first, first + self.n_edges), (self.end, last + self.n_edges)))
+        self.next, self.id = (self._put(old, self.n_edges, new) for old, new in ((self.next, target + self.n_states), (self.id, piece.ravel()[flat])))
+        self.p, self.rest = (self._put(old, self.n_edges, new) for old, new in ((self.p, w / whole), (self.rest, others / whole)))
+        self.known.update(zip(chunks, (state_of[bounds[:-1]] + self.n_states).tolist()))
+        self.n_states += total
+        self.n_edges += len(flat)
+
+    @staticmethod
+    def _seams(bounds: np.ndarray, matches: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Places inside chunks of over LONG bytes that no piece lies across: long chunks are cut there, so that no stretch is long."""
+        n = int(bounds[-1])
+        across = np.zeros(n + 1, np.int64)
+        for k, at, _ in matches:
+            if k > 1:
+                across += np.bincount(at + 1, minlength=n + 1) - np.bincount(at + k, minlength=n + 1)
+        return (np.cumsum(across)[:n] == 0) & np.repeat(np.diff(bounds) > LONG, np.diff(bounds))
+
+    def _matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Piece lengths that occur, and for each where such pieces begin and which they are: the trie is walked from all bytes at once.
+
+        Characters that are no piece have an edge for each byte.
+        """
         v = self.vocabulary
-        size = np.array([len(c) for c in chunks], np.int64)
-        data = np.frombuffer(b"".join(chunks), np.uint8)
-        stop = np.repeat(np.cumsum(size), size)
         n = len(data)
-        # edges: walk the trie from all bytes at once
-        start, end, piece, nth = [], [], [], []
-        filled = np.zeros(n, np.int32)  # edges of each byte so far
-        at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+        stop = np.repeat(bounds[1:], np.diff(bounds))
+        node = v.child[0, data].astype(np.int64)
+        at = np.flatnonzero(node >= 0)
+        node, depth = node[at], 1
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         while len(at):
+            which = v.piece[node]
+            hit = np.flatnonzero(which >= 0)
+            if len(hit):
+                found.append((depth, at[hit], which[hit]))
             row = v.row[node]
-            go = (row >= 0) & (at + depth < stop[at])
-            at, row = at[go], row[go]
-            node = v.child[row, data[at + depth]].astype(np.int64)
-            go = node >= 0
+            go = np.flatnonzero((row >= 0) & (at + depth < stop[at]))
+            at = at[go]
+            node = v.child[row[go], data[at + depth]]
+            go = np.flatnonzero(node >= 0)
             at, node, depth = at[go], node[go], depth + 1
-            found = v.piece[node]
-            hit = np.flatnonzero(found >= 0)
-            begun = at[hit]
-            start.append(begun), end.append(begun + depth), piece.append(found[hit].astype(np.int64)), nth.append(filled[begun])
-            filled[begun] += 1
-        start, end, piece, nth = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (start, end, piece, nth))
-        # characters that are no piece: an edge for each byte
         begins = (data & 0xC0) != 0x80
         char = np.maximum(np.cumsum(begins) - 1, 0)
         opening = np.flatnonzero(begins)
-        closing = np.append(opening[1:], n)
-        whole = np.zeros(len(opening), bool)
-        ones = begins[start] & (end == closing[np.minimum(char[start], len(closing) - 1)])
-        whole[char[start[ones]]] = True
+        size = np.diff(np.append(opening, n))
+        whole = np.zeros(max(1, len(opening)), bool)
+        for k, begun, _ in found:
+            if k <= 4:
+                of = char[begun[begins[begun]]]
+                whole[of[size[of] == k]] = True
         loose = np.flatnonzero(~whole[char])
-        start, end, piece, nth = (np.concatenate(x) for x in ((start, loose), (end, loose + 1), (piece, v.byte_id[data[loose]]), (nth, filled[loose])))
-        filled[loose] += 1
-        # a state for each byte and one for each chunk's end
-        shift = np.repeat(np.arange(len(chunks)), size)
-        state_of = np.arange(n) + shift
-        total = n + len(chunks)
-        source = state_of[start]
-        target = source + (end - start)
-        weight = v.weight[piece]
-        many = np.zeros(total, np.int64)
-        many[state_of] = filled
-        last = np.cumsum(many)
-        first = last - many
-        # edges by state: each knows its place
-        order = np.empty(len(source), np.int64)
-        order[first[source] + nth] = np.arange(len(source))
-        source, target, weight, piece = source[order], target[order], weight[order], piece[order]
-        beta = np.full(total, -np.inf)
-        ends = np.cumsum(size + 1) - 1
-        beta[ends] = 0.0
-        # backward sums, all chunks at once, by distance to the end
-        distance = np.repeat(ends, size + 1) - np.arange(total)
-        by_distance = np.argsort(distance, kind="stable")
-        level = np.searchsorted(distance[by_distance], np.arange(int(size.max(initial=0)) + 2))
-        for d in range(1, int(size.max(initial=0)) + 1):
-            s = by_distance[level[d] : level[d + 1]]
-            s = s[last[s] > first[s]]
-            if len(s):
-                width = last[s] - first[s]
-                e = flat_ranges(first[s], width)
-                beta[s] = np.logaddexp.reduceat(weight[e] + beta[target[e]], np.cumsum(width) - width)
-        with np.errstate(invalid="ignore"):
-            log_p = weight + beta[target] - beta[source]
-        log_p[~np.isfinite(log_p)] = -np.inf  # edges that lead to no end
-        p = np.exp(log_p)
-        order = np.argsort(source + (1 - np.minimum(p, 1)) * 0.999)  # likeliest first in each state
-        target, piece, log_p, p = target[order], piece[order], log_p[order], p[order]
-        run = np.cumsum(p)
-        before = np.concatenate(([0.0], run))[first[np.repeat(np.arange(total), last - first)]]
-        cumulative = run - before
-        filled = last > first
-        cumulative[last[filled] - 1] = 2.0  # rounding must not lead past a state's edges
-        edges = len(target)
-        self.first, self.end = (self._put(old, self.n_states, new) for old, new in ((self.first, first + self.n_edges), (self.end, last + self.n_edges)))
-        self.next, self.id = (self._put(old, self.n_edges, new) for old, new in ((self.next, target + self.n_states), (self.id, piece)))
-        self.log_p, self.cumulative = (self._put(old, self.n_edges, new) for old, new in ((self.log_p, log_p), (self.cumulative, cumulative)))
-        starts = np.cumsum(size + 1) - (size + 1) + self.n_states
-        self.known.update(zip(chunks, starts.tolist()))
-        self.n_states += total
-        self.n_edges += edges
+        if len(loose):
+            found.append((1, loose, v.byte_id[data[loose]]))
+        return found
 
     @staticmethod
     def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
-        """``new`` at position ``at`` of an array that grows by a quarter when it is full."""
+        """``new`` at position ``at`` of an array that grows by half when it is full, and stays when chunks are forgotten."""
         if at + len(new) > len(held):
-            grown = np.empty((at + len(new)) * 5 // 4, held.dtype)
+            grown = np.empty((at + len(new)) * 3 // 2, held.dtype)
             grown[:at] = held[:at]
             held = grown
         held[at : at + len(new)] = new
@@ -209,19 +266,22 @@ class Lattices:
         rounds = []
         active = np.flatnonzero(self.end[state] > self.first[state])
         at = state[active]
-        step = 0
+        salt = salted(key[active], place[active], 0, draw)
         while len(active):
-            u = uniform(key[active], place[active], step, draw)
+            u = uniform(salt)
             e = self.first[at]
-            behind = np.flatnonzero(self.cumulative[e] < u)
+            last = self.end[at] - 1
+            u -= self.p[e]
+            behind = np.flatnonzero((u >= 0) & (e < last))
             while len(behind):
                 e[behind] += 1
-                behind = behind[self.cumulative[e[behind]] < u[behind]]
+                u[behind] -= self.p[e[behind]]
+                behind = behind[(u[behind] >= 0) & (e[behind] < last[behind])]
             rounds.append((active, e))
             count[active] += 1
             at = self.next[e]
             go = self.end[at] > self.first[at]
-            active, at, step = active[go], at[go], step + 1
+            active, at, salt = active[go], at[go], salt[go] + _C[2]
         offset = np.cumsum(count) - count
         flat = np.empty(int(count.sum()), np.int64)
         for t, (a, e) in enumerate(rounds):
@@ -229,6 +289,26 @@ class Lattices:
         return flat, count
 
 
+def chunked(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct chunks, without their first space; which one each chunk of the texts is; where each text's begin."""
+    odd = np.array([b"  " in t or t[:1] == b" " for t in texts], bool)
+    # Arrow splits at single spaces; runs of spaces stay whole
+    lists = pc.split_pattern(pa.array([None if o or not t else t for t, o in zip(texts, odd.tolist())], pa.large_binary()), b" ")
+    count = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    runs = [[c[1:] for c in _RUNS.findall(b" " + t)] for t, o in zip(texts, odd) if o]
+    plain = pc.list_flatten(lists)
+    if runs:
+        plain = pa.concat_arrays([plain, pa.array([c for r in runs for c in r], plain.type)])
+    coded = plain.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    first = np.cumsum(count) - count
+    if runs:
+        count[odd] = [len(r) for r in runs]
+        first[odd] = len(code) - count[odd].sum() + np.cumsum(count[odd]) - count[odd]
+        code = code[flat_ranges(first, count)]
+    return coded.dictionary.to_pylist(), code, np.append(0, np.cumsum(count))
+
+
 def _truncated(mu: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables with location ``mu``, given that they are at most ``top``."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -240,40 +320,41 @@ def sample(lattices: Lattices, keys: list[int], texts: list[bytes], k: int) -> l
 
     An empty text has one, the empty one.
     """
-    chunks, offset = [], [0]
-    for t in texts:
-        if t:
-            chunks += [b" " + c for c in t.split(b" ")]
-        offset.append(len(chunks))
-    state = lattices.states(chunks) if chunks else np.empty(0, np.int64)
-    offset = np.array(offset, np.int64)
+    chunks, code, offset = chunked(texts)
+    state = lattices.states(chunks)[code] if len(code) else np.empty(0, np.int64)
     key = np.array(keys, np.int64).view(np.uint64)
     n = len(texts)
     doc = np.repeat(np.arange(n), np.diff(offset))
     number = np.arange(len(state)) - offset[doc] if len(state) else np.empty(0, np.int64)
-    root = -np.log(-np.log(uniform(key, 0, 0, 1 << 40)))
+    root = -np.log(-np.log(uniform(salted(key, 0, 0, 1 << 40))))
     # a path: its edges, the chunk of each, log-probability before each, whole log-probability, perturbed value
     paths: list[list[tuple]] = [[] for _ in range(n)]
     heaps: list[list[tuple]] = [[] for _ in range(n)]
 
     def grow(rows, base, chunk0, flat, count, lengths, top, draw):
         """Add for each of ``rows`` a path: ``base`` (edges, chunks, logs before, log so far) and then its new steps."""
-        log_p = lattices.log_p[flat] if len(flat) else np.empty(0)
+        log_p = np.log(lattices.p[flat])
         where = np.repeat(chunk0, count)
         ends = np.cumsum(lengths)
         owner = np.repeat(np.arange(len(rows)), lengths)
-        run = np.concatenate(([0.0], np.cumsum(log_p)))
-        before = run[:-1] - run[(ends - lengths)][owner] + np.array([b[3] for b in base])[owner] if len(flat) else log_p
+        before, totals = np.empty(len(flat)), []
+        for b, a, z in zip(base, (ends - lengths).tolist(), ends.tolist()):
+            run = np.cumsum(np.concatenate(([b[3]], log_p[a:z])))
+            before[a:z] = run[:-1]
+            totals.append(float(run[-1]))
+        place = np.arange(len(flat)) - (ends - lengths)[owner]
         with np.errstate(divide="ignore"):
-            rest = np.log1p(-np.minimum(np.exp(log_p), 1.0))
-        rest[log_p > -1e-12] = -np.inf
-        place = np.arange(len(flat)) - (ends - lengths)[owner] if len(flat) else flat
-        bound = _truncated(before + rest, np.asarray(top)[owner], uniform(key[np.asarray(rows)[owner]], place, draw, 1 << 41)) if len(flat) else log_p
+            before_rest = before + np.log(lattices.rest[flat])
+        bound = _truncated(before_rest, np.asarray(top)[owner], uniform(salted(key[np.asarray(rows)[owner]], place, draw, 1 << 41))) if len(flat) else log_p
         for i, (r, b, a, z) in enumerate(zip(rows, base, (ends - lengths).tolist(), ends.tolist())):
             skip = len(b[0])
-            edges, logs = np.concatenate((b[0], flat[a:z])), np.concatenate((b[2], before[a:z]))
-            total = b[3] + float(run[z] - run[a])
-            paths[r].append((edges, np.concatenate((b[1], where[a:z])), logs, total, float(top[i])))
+            if draw == k - 1:  # of alternatives the greatest counts only, for what is not among the winners
+                paths[r].append((np.concatenate((b[0], flat[a:z])), None, None, totals[i], float(top[i])))
+                g = float(bound[a:z].max()) if z > a else -np.inf
+                if g > -np.inf:
+                    heapq.heappush(heaps[r], (-g, len(paths[r]) - 1, 0, ()))
+                continue
+            paths[r].append((np.concatenate((b[0], flat[a:z])), np.concatenate((b[1], where[a:z])), np.concatenate((b[2], before[a:z])), totals[i], float(top[i])))
             g = bound[a:z]
             best = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))
             for j in best.tolist():
@@ -295,16 +376,16 @@ def sample(lattices: Lattices, keys: list[int], texts: list[bytes], k: int) -> l
             chunk = int(where[j])
             s = int(lattices.next[edges[j - 1]]) if j and where[j - 1] == chunk else int(state[chunk])
             free = [e for e in range(int(lattices.first[s]), int(lattices.end[s])) if e not in taken]
-            p_free = np.exp(lattices.log_p[free])
-            u = float(uniform(key[r], j, draw, 1 << 42)[0]) * p_free.sum()
+            p_free = lattices.p[free]
+            u = float(uniform(salted(key[r], j, draw, 1 << 42))[0]) * p_free.sum()
             pick = free[min(int(np.searchsorted(np.cumsum(p_free), u)), len(free) - 1)]
-            left = float(p_free.sum() - np.exp(lattices.log_p[pick]))
-            mu = float(logs[j]) + (np.log(left) if len(free) > 1 and left > 1e-12 else -np.inf)
-            again = float(_truncated(np.array([mu]), np.array([-g]), uniform(key[r], j, draw, 1 << 43))[0])
+            left = float(p_free[np.array(free) != pick].sum())
+            mu = float(logs[j]) + (np.log(left) if left > 0 else -np.inf)
+            again = float(_truncated(np.array([mu]), np.array([-g]), uniform(salted(key[r], j, draw, 1 << 43)))[0])
             if again > -np.inf:
                 heapq.heappush(heaps[r], (-again, p, j, (*taken, pick)))
             rows.append(r)
-            base.append((np.append(edges[:j], pick), np.append(where[:j], chunk), logs[: j + 1], float(logs[j] + lattices.log_p[pick])))
+            base.append((np.append(edges[:j], pick), np.append(where[:j], chunk), logs[: j + 1], float(logs[j] + np.log(lattices.p[pick]))))
             tops.append(-g)
             first_state.append(int(lattices.next[pick]))
             first_chunk.append(chunk)
@@ -377,6 +458,7 @@ def encoded(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
                 a = z
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
