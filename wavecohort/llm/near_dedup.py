@@ -3,9 +3,10 @@
 A document is the set of its five-word shingles. Each of its buckets has a hash function of its own and keeps, of the
 least hash, the count of leading zeros and the first mantissa bits: two bytes. Buckets are banded four by four, a band
 of two documents agreeing with probability J^4, so that a pair at the threshold shares none of 60 bands once in 10^10.
-Within a band documents are paired with the band's least document, not with each other; a collision-corrected estimate
-of the Jaccard index prunes, and full shingle sets confirm. What a band then still holds of different components is
-compared across components, in blocks, so that no link between different texts is lost.
+Within a band documents are first compared with a few hubs, not with each other; a collision-corrected estimate of the
+Jaccard index prunes, and full shingle sets confirm. What a band then still holds of different components is compared
+across components. Both run in cells of bounded size, which give out rows of documents and as many links as connect them,
+never pairs, so that no link between different texts is lost and no table grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -14,12 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpointed, id_hash, mixed, utf8
+from .common import checkpointed, id_hash, mixed, release, utf8, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -33,25 +32,12 @@ _STEPS = (np.random.default_rng(2**31 - 1).integers(0, 2**31, _BUCKETS, np.int64
 _FACTORS = np.random.default_rng(2**31 - 2).integers(0, 2**62, SHINGLE, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
 def shingle_set(text: bytes) -> np.ndarray:
     """The sorted distinct shingle hashes; fewer than five words are one shingle, no words are none."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)
@@ -109,128 +95,201 @@ def signatures(docs: DataFrame) -> DataFrame:
                     k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     k2 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_shingles": n, "k1": k1, "k2": k2, "registers": regs})
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, k1 long, k2 long, registers array<long>")
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimated(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    if a.empty:
-        return pd.Series([], dtype=float)
-    x, y = (np.stack(s.to_numpy()).astype(np.int64).view(np.uint16) for s in (a, b))
-    return pd.Series(estimate(x, y, na.to_numpy(float), nb.to_numpy(float)))
-
+# A cell is a bounded piece of comparing: rows (k, i, j, id, role) of equal (k, i, j). Strays meet members there.
+#: A member; a stray as a member; a stray as such; a stray that is both, where a grid has one cell.
+MEMBER, ODD_MEMBER, STRAY, BOTH = range(4)
+_CELL = ["k", "i", "j"]
 
-def confirmed(pairs: DataFrame, docs: DataFrame, block: int = 128) -> DataFrame:
-    """Those of ``pairs`` (part, a, b) that are links, by the full shingle sets of the two texts.
 
-    A part's documents are dealt by hash to blocks of about ``block`` and pairs to cells, pairs of blocks; a text goes
-    once to each cell that needs it. A cell is bounded whatever the part's shape, a star or a dense group, and where many
-    pairs lie among few documents, texts are not repeated for each pair.
-    """
-    side = lambda c: F.pmod(id_hash(c, seed=53), F.col("blocks"))
-    sizes = pairs.select("part", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("part").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = pairs.join(sizes, "part").select("a", "b", F.xxhash64("part", side("a"), side("b")).alias("cell"))
-    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    held = wanted.join(texts, "id").select(F.col("cell").alias("place"), "id", "text")
+def _dealt(cells: DataFrame, rows: int) -> DataFrame:
+    """Cells dealt by hash to groups of about ``rows`` rows, so that small cells share a call."""
+    groups = max(256, -(-cells.count() // rows))
+    return cells.withColumn("dealt", F.pmod(F.xxhash64(*_CELL), F.lit(groups)))
 
-    def links(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, text in zip(held["id"], held["text"]):
-            sets.setdefault(i, []).append(shingle_set(text.encode("utf-8", "surrogatepass")))
-        out = []
-        for x, y in zip(asked["a"].tolist(), asked["b"].tolist()):
-            for p in sets.get(x, ()):
-                for q in sets.get(y, ()):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(p) + len(q) - both):
-                        out.append((x, y))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype(np.int64)
 
-    return dealt.groupBy("cell").cogroup(held.groupBy("place")).applyInPandas(links, "a long, b long")
+def _cells(part: pd.DataFrame) -> Iterator[np.ndarray]:
+    """The places of each cell's rows."""
+    keys = [part[c].to_numpy(np.int64) for c in (*_CELL, "id")]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for c in keys[:3]:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return iter(np.split(order, np.flatnonzero(new)))
 
 
-def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose estimate is not below PRUNE."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    # sets of very different sizes can't be links, whatever their registers
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    return near.where(_estimated("ra", "rb", "na", "nb") >= PRUNE).select(F.col("hub").alias("part"), "a", "b").dropDuplicates(["a", "b"])
+def promising(cells: DataFrame, reps: DataFrame, banded: bool) -> DataFrame:
+    """Those rows of ``cells`` (k, i, j, id, role, component) that have a partner of another component with an estimate not below PRUNE.
 
+    Where cells belong to bands (``banded``: the last six bits of k are the band's place) a pair counts in the first band
+    that it shares only.
+    """
+    rows = _dealt(checkpointed(cells), 4000).join(reps.select(F.col("rep").alias("id"), "n_shingles", "registers"), "id")
+
+    def pruned(part: pd.DataFrame) -> pd.DataFrame:
+        ids, role, comp, n, k = (part[c].to_numpy(np.int64) for c in ("id", "role", "component", "n_shingles", "k"))
+        keys = np.stack(part["registers"].to_numpy()).astype(np.int64)
+        regs, size = keys.view(np.uint16), n.astype(float)
+        wanted = np.zeros(len(ids), bool)
+        for at in _cells(part):
+            strays, members = at[role[at] >= STRAY], at[role[at] != STRAY]
+            odd = role[members] != MEMBER
+            for x in strays.tolist():
+                # two strays meet twice, and count once
+                near = members[(comp[members] != comp[x]) & (~odd | (ids[members] > ids[x])) & (100 * np.minimum(n[members], n[x]) >= PERCENT * np.maximum(n[members], n[x]))]
+                if banded and len(near):
+                    near = near[(keys[near] == keys[x]).argmax(1) == (k[x] & 63)]
+                if len(near):
+                    hit = near[estimate(regs[near], regs[x][None], size[near], size[x]) >= PRUNE]
+                    wanted[hit] = True
+                    wanted[x] |= len(hit) > 0
+        return part.loc[wanted, [*_CELL, "id", "role"]]
+
+    return checkpointed(rows.groupBy("dealt").applyInPandas(pruned, "k long, i long, j long, id long, role int"))
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, left x right: products of membership matrices, some columns at a time."""
+    known = left[0] if len(left) == 1 else np.unique(np.concatenate(left))
+    owner = np.repeat(np.arange(len(right)), [len(r) for r in right])
+    flat = np.concatenate(right)
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    held = known[at] == flat
+    if len(left) == 1:
+        return np.bincount(owner[held], minlength=len(right))[None]
+    owner, at = owner[held], at[held]
+    used, at = np.unique(at, return_inverse=True)  # columns that both sides have
+    known = known[used]
+    first = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    flat = np.concatenate(left)
+    to = np.searchsorted(known, flat)
+    held = np.append(known, 0)[to] == flat
+    held &= to < len(known)
+    first, to = first[held], to[held]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, len(known), columns):
+        x, y = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        mine, yours = (to >= a) & (to < a + columns), (at >= a) & (at < a + columns)
+        x[first[mine], to[mine] - a] = 1
+        y[owner[yours], at[yours] - a] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
 
-def _across(members: DataFrame, label: DataFrame, reps: DataFrame, block: int) -> DataFrame:
-    """Pairs (part, a, b) of different components that share a band, with an estimate not below PRUNE; part groups them.
 
-    In a band the members outside its least member's component meet every member of another component. They do so in
-    cells of at most ``block`` by ``block`` rows, and a cell gives out promising pairs only.
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links of a matrix (rows and columns are two kinds of nodes) as many as connect what they all connect."""
+    edges: list[tuple[int, int]] = []
+    rows, columns = linked.any(1), linked.any(0)
+    while rows.any():
+        edge = np.array([int(rows.argmax())])
+        rows[edge] = False
+        while len(edge):
+            reached = np.flatnonzero(linked[edge].any(0) & columns)
+            columns[reached] = False
+            edges += zip(edge[linked[np.ix_(edge, reached)].argmax(0)].tolist(), reached.tolist()) if len(reached) else ()
+            edge = np.flatnonzero(linked[:, reached].any(1) & rows)
+            rows[edge] = False
+            edges += zip(edge.tolist(), reached[linked[np.ix_(edge, reached)].argmax(1)].tolist()) if len(edge) else ()
+    return edges
+
+
+def confirmed(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between strays and members of ``cells`` by their texts' full shingle sets: in each cell as many as connect what its links connect."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    held = _dealt(cells, 1000).join(texts, "id")
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in utf8(part["text"])]
+        ids, role = part["id"].to_numpy(np.int64), part["role"].to_numpy(np.int64)
+        full = np.array([len(s) > 0 for s in sets], bool)
+        out: list[tuple[int, int]] = []
+        for at in _cells(part):
+            at = at[full[at]]
+            strays, members = at[role[at] >= STRAY], at[role[at] != STRAY]
+            if len(strays) and len(members):
+                both = intersections([sets[x] for x in strays], [sets[x] for x in members])
+                n, m = (np.array([len(sets[x]) for x in side], np.int64) for side in (strays, members))
+                linked = 100 * both >= PERCENT * (n[:, None] + m[None] - both)
+                out += ((ids[strays[x]], ids[members[y]]) for x, y in forest(linked))
+        release()
+        return pd.DataFrame(sorted({(min(x), max(x)) for x in out if x[0] != x[1]}), columns=["a", "b"]).astype(np.int64)
+
+    return checkpointed(held.groupBy("dealt").applyInPandas(links, "a long, b long").distinct())
+
+
+def _blocks(count: str, shingles: str, block: int) -> Column:
+    """How many blocks hold ``count`` documents with ``shingles`` shingles: ``block`` documents, or 250 times as many shingles, each."""
+    return F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(shingles) / (250 * block)))
+
+
+def stars(members: DataFrame, block: int) -> DataFrame:
+    """Cells of each hub with the documents that share a band with it: a hub is a stray, and meets each block of them."""
+    # several hubs a band, each the least member in an order of its own, so that who is linked with none of them is rare
+    least = [F.min_by("rep", id_hash("rep", seed=s)).alias(f"hub{s}") for s in range(1, HUBS)]
+    hubs = members.groupBy("band").agg(F.min("rep").alias("hub0"), *least)
+    pairs = members.join(hubs, "band").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"hub{s}" for s in range(HUBS)]))).alias("hub")).where("rep <> hub")
+    low, high = F.least("rep", "hub"), F.greatest("rep", "hub")
+    pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("hub").alias("k"), F.max(F.when(F.col("rep") == low, F.col("n"))).alias("n_low"), F.max(F.when(F.col("rep") == high, F.col("n"))).alias("n_high"))
+    first = F.col("k") == F.col("low")
+    spokes = checkpointed(pairs.select("k", F.when(first, F.col("high")).otherwise(F.col("low")).alias("id"), F.when(first, F.col("n_high")).otherwise(F.col("n_low")).alias("n")))
+    sizes = spokes.groupBy("k").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).select("k", _blocks("count", "shingles", block).alias("blocks"))
+    several = sizes.where("blocks > 1")
+    zero = F.lit(0).cast("long").alias("j")
+    spokes = spokes.join(several, "k", "left").select("k", F.pmod(id_hash("id", seed=53), F.coalesce("blocks", F.lit(1))).alias("i"), zero, "id", F.lit(MEMBER).alias("role"))
+    centres = sizes.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), zero, F.col("k").alias("id"), F.lit(STRAY).alias("role"))
+    return spokes.unionByName(centres).withColumn("component", F.col("id"))
+
+
+def grids(members: DataFrame, label: DataFrame, block: int) -> DataFrame:
+    """Cells in which the documents of a band that do not belong to its largest component meet all the others of other components.
+
+    Bands of the same documents stand for each other, the one with the least place for all.
     """
     placed = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = checkpointed(placed)
-    bands = placed.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    held = placed.join(bands, "band")
-    others = held.where("component <> first").groupBy("band").agg(F.count("*").alias("n_others"))
-    held = held.join(others, "band").withColumns({"across": F.ceil(F.col("n_others") / block), "down": F.ceil(F.col("n") / block), "stray": F.col("component") != F.col("first")})
+    mark = [F.xxhash64(F.lit(s), "rep") for s in (61, 62)]
+    small = [F.sum(F.pmod(m, F.lit(2**31 - 1))).alias(f"m{k}") for k, m in enumerate(mark)]
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.bit_xor(mark[0]).alias("m"), *small)
+    bands = parts.groupBy("band").agg(F.max(F.struct("n_docs", "component")).alias("most"), F.count("*").alias("components"), F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.max_by("n", F.struct("n_docs", "component")).alias("n_most"), F.bit_xor("m").alias("m"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
+    bands = bands.where("components > 1").withColumn("first", F.row_number().over(Window.partitionBy("m", "m0", "m1", "n_docs").orderBy(F.col("band").bitwiseAND(63), "band"))).where("first = 1")
+    bands = bands.select("band", F.col("most.component").alias("main"), (F.col("n_docs") - F.col("most.n_docs")).alias("others"), (F.col("n") - F.col("n_most")).alias("n_others"), "n_docs", F.col("n").alias("n_all"))
+    bands = bands.select("band", "main", _blocks("others", "n_others", block).alias("across"), _blocks("n_docs", "n_all", block).alias("down"))
+    held = placed.join(bands, "band").withColumn("odd", F.col("component") != F.col("main"))
     # row i, column j of a band's grid: strays of part i meet all members of part j. In a grid of one cell a row stands for both
     to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     part = lambda seed, parts: F.pmod(id_hash("rep", seed=seed), parts)
-    as_member = F.transform(to(F.col("across")), lambda i: F.struct(i.alias("i"), part(52, F.col("down")).alias("j"), F.lit(False).alias("copy")))
-    as_stray = F.transform(to(F.col("down")), lambda j: F.struct(part(51, F.col("across")).alias("i"), j.alias("j"), F.lit(True).alias("copy")))
-    single = (F.col("across") == 1) & (F.col("down") == 1)
-    cells = F.explode(F.when(single | ~F.col("stray"), as_member).otherwise(F.concat(as_member, as_stray)))
-    rows = held.select("band", "at", "first", "rep", "component", "stray", single.alias("single"), cells.alias("c")).select("band", "at", "first", "rep", "component", "stray", "single", "c.*")
-    rows = rows.join(reps.select("rep", "n_shingles", "registers"), "rep")
-
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        one = bool(part["single"].iloc[0])
-        s, e = part[part["stray"] if one else part["copy"]], part if one else part[~part["copy"]]
-        none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("part", "a", "b")})
-        if s.empty or e.empty:
-            return none
-        keys = np.stack(e["registers"].to_numpy()).astype(np.int64)
-        regs = keys.view(np.uint16)
-        ids, comp, n = (e[c].to_numpy(np.int64) for c in ("rep", "component", "n_shingles"))
-        stray, band, first = e["stray"].to_numpy(bool), int(part["at"].iloc[0]), int(part["first"].iloc[0])
-        found = []
-        for row in s.itertuples():
-            # two strays meet twice; each pair is handled once, in the first band that it shares
-            mine = np.asarray(row.registers, np.int64)
-            near = (comp != row.component) & (~stray | (ids > row.rep)) & (100 * np.minimum(n, row.n_shingles) >= PERCENT * np.maximum(n, row.n_shingles))
-            near = np.flatnonzero(near & ((keys == mine).argmax(1) == band))
-            if len(near):
-                hit = near[estimate(regs[near], mine.view(np.uint16)[None], n[near].astype(float), float(row.n_shingles)) >= PRUNE]
-                found += [(first, min(row.rep, x), max(row.rep, x)) for x in ids[hit].tolist()]
-        return pd.DataFrame(found, columns=["part", "a", "b"]) if found else none
-
-    return rows.groupBy("band", "i", "j").applyInPandas(cell, "part long, a long, b long").dropDuplicates(["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, block: int = 4000) -> DataFrame:
+    member = F.when(F.col("odd"), ODD_MEMBER).otherwise(MEMBER)
+    as_member = F.transform(to(F.col("across")), lambda i: F.struct(i.alias("i"), part(52, F.col("down")).alias("j"), member.alias("role")))
+    as_stray = F.transform(to(F.col("down")), lambda j: F.struct(part(51, F.col("across")).alias("i"), j.alias("j"), F.lit(STRAY).alias("role")))
+    as_both = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(BOTH).alias("role")))
+    cells = F.when(~F.col("odd"), as_member).when((F.col("across") == 1) & (F.col("down") == 1), as_both).otherwise(F.concat(as_member, as_stray))
+    return held.select(F.col("band").alias("k"), "rep", "component", F.explode(cells).alias("c")).select("k", "c.i", "c.j", F.col("rep").alias("id"), "c.role", "component")
+
+
+def near_duplicates(docs: DataFrame, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; other columns are ignored).
 
     Equal shingle sets are one class, whose least doc_id stands for it; only classes are compared. Null or empty texts
     have no shingles and are linked with nothing. Rows that repeat a doc_id are judged by their own texts and share
     that id's links; a row without doc_id belongs to no component (null) and is kept. Empty table: no rows.
     """
-    signed = checkpointed(signatures(docs))
+    signed = written(signatures(docs), "signed")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = checkpointed(sets.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "registers").dropDuplicates(["rep"]))
-    banded = reps.select("rep", F.posexplode("registers").alias("at", "key")).select("rep", "at", F.xxhash64("at", "key").alias("band"))
-    # several hubs, each the least member in an order of its own, so that who is linked with none of them is rare
-    least = [F.min_by("rep", id_hash("rep", seed=s)).alias(f"hub{s}") for s in range(1, HUBS)]
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub0"), F.max("rep").alias("top"), *least).where("hub0 <> top").drop("top")
-    members = checkpointed(banded.join(hubs, "band"))
-    starred = members.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array(*[f"hub{s}" for s in range(HUBS)]))).alias("b")).where("a <> b")
-    starred = starred.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("b").alias("hub"))
-    tried = checkpointed(_promising(starred, reps))
-    links = checkpointed(confirmed(tried, docs))
+    reps = written(sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
+    banded = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode("registers").alias("at", "key"))
+    banded = banded.select("rep", "n", F.xxhash64("at", "key").bitwiseAND(F.lit(-64)).bitwiseOR(F.col("at").cast("long")).alias("band"))
+    several = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    members = checkpointed(banded.join(several.select("band"), "band"))
+    links = confirmed(promising(stars(members, block), reps, False), docs)
     label = components(links)
-    more = _across(members.select("band", "at", "rep"), label, reps, block)
-    further = checkpointed(confirmed(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), docs))
+    further = confirmed(promising(grids(members, label, block), reps, True), docs)
     if not further.isEmpty():
         label = components(links.unionByName(further))
-    known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    known = reps.select("k1", "k2", "n_shingles", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id"))
     out = signed.drop("registers").join(known, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
