@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wavecohort.llm import suffix_dedup as S
 
@@ -30,6 +31,8 @@ def test_odd_rows_over_many_batches(spark):
     assert out.columns == docs.columns + ["n_bytes", "spans", "kept"]
     assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()} == repeated_bytes(rows)
     assert S.digest(docs.limit(0)).count() == 0
+    clash = S.duplicate_spans(docs.withColumn("Spans", F.lit(1)).withColumn("kept", F.lit("x")), batch_bytes=700)
+    assert clash.columns == docs.columns + ["n_bytes", "spans", "kept"] and clash.count() == len(rows)
     cut = S.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
     assert {r.doc_id: r.text for r in cut.collect()}[90] is None

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_ranges, id_hash, runs
+from .common import flat_ranges, id_hash, release, runs
 
 BATCH_BYTES = 6_000_000
 #: Segments (of two widths) of one anchor above which its windows are dealt one by one.
@@ -44,13 +44,15 @@ class Unit:
     width: int
     #: How the weights of equal windows make one.
     merge: np.ufunc
+    #: What a segment's weight is made of.
+    numbers = 1
 
     def load(self, ids: list[int | None], texts: list[bytes]) -> Any:
         """A batch in memory, with ``start``, ``count``, ``row`` and ``anchor`` of each run of windows, ``alone`` (distinct anchors) and ``shared`` (those of them that repeat within the batch)."""
         raise NotImplementedError
 
     def segments(self, batch: Any, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Distinct segments of the runs whose anchors are in ``hot``: anchor, weight, content."""
+        """Distinct segments of the runs whose anchors are in ``hot``: anchor, weight (``numbers`` of them), content."""
         raise NotImplementedError
 
     def resolve(self, anchor: np.ndarray, weight: np.ndarray, content: list[bytes]) -> list[np.ndarray | None]:
@@ -145,7 +147,7 @@ def _hot(batch: Any, told: pa.Table | None, buckets: int) -> tuple[np.ndarray, n
 
 
 def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl: str, batch_bytes: int = BATCH_BYTES, split: int = SPLIT) -> DataFrame:
-    """All rows and columns of ``docs`` with further ones.
+    """All rows and columns of ``docs`` with further ones, which take the place of columns of the same names.
 
     ``finished(text, starts)`` makes a row's further values, those of ``extra``, from its text and its repeated windows.
     """
@@ -217,6 +219,7 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
         one = table.column("single").to_pylist()
         table = table.drop_columns(["single"])
         out = [resolved(t) for resolved, t in ((whole, table.filter(pa.array([not x for x in one]))), (windows, table.filter(pa.array(one)))) if t.num_rows]
+        release()
         return pa.concat_tables(out)
 
     def answered(table: pa.Table, blobs: list[bytes | None], single: bool) -> pa.Table:
@@ -244,9 +247,11 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             count.append(n)
             anchor.append(np.frombuffer(raw, np.uint64, n, 8))
-            weight.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            ends = 8 + 24 * n + np.cumsum(np.frombuffer(raw, np.int64, n, 8 + 16 * n))
-            content += [raw[a:b] for a, b in zip([8 + 24 * n, *ends.tolist()], ends.tolist())]
+            held = np.frombuffer(raw, np.int64, n * unit.numbers, 8 + 8 * n)
+            weight.append(held if unit.numbers == 1 else held.reshape(n, unit.numbers))
+            first = 8 + 8 * n * (2 + unit.numbers)
+            ends = first + np.cumsum(np.frombuffer(raw, np.int64, n, first - 8 * n))
+            content += [raw[a:b] for a, b in zip([first, *ends.tolist()], ends.tolist())]
         answers = unit.resolve(np.concatenate(anchor), np.concatenate(weight), content)
         pack, at_row, blobs = zstandard.ZstdCompressor(level=3), 0, []
         for n in count:
@@ -292,6 +297,7 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
         out = docs.drop_columns(["batch"])
         for k, field in enumerate(extra):
             out = out.append_column(field, pa.array([m[k] for m in made], field.type))
+        release()
         return out
 
     kinds = ", ".join(f"`{_POSITION.format(i)}` {t}" for i, t in enumerate(t for _, t in plain.dtypes))
@@ -301,4 +307,5 @@ def repeats(docs: DataFrame, unit: Unit, finished, extra: pa.Schema, extra_ddl:
     answers = parts.groupBy("bucket").applyInArrow(resolve, "batch long, bucket long, bits binary, blob binary, single boolean")
     told = bits.select("batch", "bucket", "bits", F.lit(None).cast("binary").alias("blob"), F.lit(False).alias("single")).unionByName(answers)
     out = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, f"{kinds}, {extra_ddl}")
-    return out.select(*[F.col(_POSITION.format(i)).alias(c) for i, c in enumerate(names)], *extra.names)
+    made = {x.lower() for x in extra.names}
+    return out.select(*[F.col(_POSITION.format(i)).alias(c) for i, c in enumerate(names) if c.lower() not in made], *extra.names)

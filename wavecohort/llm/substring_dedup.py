@@ -12,12 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import routed
-from .common import flat_ranges, mixed, runs, sliding_min
+from .common import flat_ranges, mixed, runs, sliding_min, word_hashes
 from .suffix_dedup import spans
 
 WIDTH = 35
@@ -27,23 +26,6 @@ _FACTORS = np.random.default_rng(2**31 - 3).integers(0, 2**62, WIDTH, np.int64).
 _OTHERS = np.random.default_rng(2**31 - 4).integers(0, 2**62, WIDTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of each ``width`` consecutive words."""
     n = len(h) - width + 1
@@ -85,11 +67,13 @@ class Index:
         return np.searchsorted(self.value, window)
 
 
-def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = WIDTH, exact: np.ndarray | None = None) -> np.ndarray:
     """Which window starts of the segments (words ``h``, cut at ``offsets``, each seen ``weight`` times) are duplicates.
 
-    All segments are parsed at once, a factor or literal of each at a time.
+    All segments are parsed at once, a factor or literal of each at a time. ``exact`` numbers the words: hashes find a
+    reference, and a window is accepted when its words are those of the reference.
     """
+    exact = h if exact is None else exact
     n = len(h)
     window = np.zeros(n, np.uint64)
     window[: max(0, n - width + 1)] = windows(h, width)
@@ -100,6 +84,16 @@ def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = W
     if not len(at):
         return duplicate
     index = Index.of(window[at], at, weight[owner[at]].astype(float))
+    across = np.arange(width)
+
+    def accepted(p: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Another place of each window, or its own where its segment itself occurs again; whether the words are the same."""
+        ref = np.where(index.first[found] != p, index.first[found], index.last[found])
+        same = np.ones(len(p), bool)
+        for a in range(0, len(p), 20_000):
+            same[a : a + 20_000] = (exact[p[a : a + 20_000, None] + across] == exact[ref[a : a + 20_000, None] + across]).all(1)
+        return ref, same & ((ref != p) | (weight[owner[p]] > 1))
+
     stop = offsets[1:]
     here = offsets[:-1].copy()
     active = np.flatnonzero(stop - here >= width)
@@ -107,12 +101,13 @@ def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = W
         p = here[active]
         found = index.find(window[p])
         elsewhere = index.count[found] > 1
+        hit = np.flatnonzero(elsewhere)
+        ref, elsewhere[hit] = accepted(p[hit], found[hit])
+        ref = ref[elsewhere[hit]]
         # a literal: the parse goes on at the next word
         here[active[~elsewhere]] += 1
         rows, p, found = active[elsewhere], p[elsewhere], found[elsewhere]
         if len(rows):
-            # the reference is another place of the window, or this one where the segment itself occurs again
-            ref = np.where(index.first[found] != p, index.first[found], index.last[found])
             length = np.full(len(rows), width, np.int64)
             most = np.minimum(stop[rows] - p, stop[owner[ref]] - ref)
             growing = np.flatnonzero(length < most)
@@ -130,7 +125,10 @@ def parse(h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, width: int = W
             tail = flat_ranges(p + length - width + 1, np.full(len(rows), width - 1))
             tail = tail[(tail < np.repeat(stop[rows], width - 1))]
             tail = tail[valid[tail]]
-            duplicate[tail[index.count[index.find(window[tail])] > 1]] = True
+            found = index.find(window[tail])
+            several = index.count[found] > 1
+            tail = tail[several]
+            duplicate[tail[accepted(tail, found[several])[1]]] = True
             here[rows] = p + length
         active = active[stop[active] - here[active] >= width]
     return duplicate
@@ -161,7 +159,7 @@ class Words(routed.Unit):
         cut = [t.split() for t in texts]
         offsets = np.cumsum([0] + [len(c) for c in cut])
         words = [w for c in cut for w in c]
-        h = hashes(words)
+        h = word_hashes(words)
         grams = windows(h, GRAM)
         reach = WIDTH - GRAM + 1
         least = sliding_min(grams, reach)
@@ -212,7 +210,9 @@ class Words(routed.Unit):
             block = order[begin[a] : end[z - 1]].tolist()
             words = [w for i in block for w in texts[i].split(b" ")]
             offsets = np.cumsum([0] + [int(size[i]) for i in block])
-            duplicate = parse(hashes(words), offsets, times[block])
+            number: dict[bytes, int] = {}
+            exact = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+            duplicate = parse(word_hashes(words), offsets, times[block], exact=exact)
             for i, s, e in zip(block, offsets.tolist(), offsets[1:].tolist()):
                 hit = np.flatnonzero(duplicate[s : e - WIDTH + 1])
                 found[i] = hit if len(hit) else None
@@ -250,7 +250,8 @@ def duplicate_passages(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs`` (doc_id, text) with n_words, spans (removed words, maximal runs) and kept.
 
     kept is the words that no repeated window covers, joined by one space. Null text has no words. Rows that repeat a
-    doc_id are documents like others, so that their passages repeat. Empty table: no rows.
+    doc_id are documents like others, so that their passages repeat. Columns of ``docs`` named like a new one give way to it.
+    Empty table: no rows.
     """
 
     def finished(text, starts):

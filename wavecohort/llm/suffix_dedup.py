@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import routed
-from .common import flat_ranges, mixed, runs, sliding_min
+from .common import flat_ranges, mixed, runs, sliding_min, spare_name
 
 WIDTH = 50
 GRAM = 16
@@ -150,6 +150,7 @@ class Bytes(routed.Unit):
 
     width = WIDTH
     merge = np.minimum
+    numbers = 2  # the least document that has a segment, and the one that an answer is asked for
 
     def load(self, ids, texts):
         offsets = np.cumsum([0] + [len(t) for t in texts])
@@ -204,13 +205,20 @@ class Bytes(routed.Unit):
             content = list(known)
             anchor, weight = np.empty(len(content), np.uint64), np.full(len(content), _NO_ID)
             anchor[which] = batch.anchor[pick]
-            np.minimum.at(weight, which, batch.ids[batch.row[pick]])
-            batch.kept["segments"] = (anchor, weight, content)
+            own = batch.ids[batch.row[pick]]
+            np.minimum.at(weight, which, own)
+            # a segment that several documents of the batch have is asked for the next of them
+            asked = np.full(len(content), _NO_ID)
+            larger = own > weight[which]
+            np.minimum.at(asked, which[larger], own[larger])
+            asked = np.where(np.bincount(which[larger], minlength=len(content)) > 0, asked, weight)
+            batch.kept["segments"] = (anchor, np.stack((weight, asked), 1), content)
             batch.kept["pick"], batch.kept["which"] = pick, which
         return batch.kept["segments"]
 
     def resolve(self, anchor, weight, content):
-        """The least document of each window, where it is less than the sender's own."""
+        """The least document of each window, where it is less than the one that is asked for."""
+        weight, asked = weight.T
         known: dict[bytes, int] = {}
         which = np.array([known.setdefault(c, len(known)) for c in content], np.int64)
         texts = list(known)
@@ -232,7 +240,7 @@ class Bytes(routed.Unit):
                 least[i] = found
             a = z
         answers: list[np.ndarray | None] = []
-        for i, own in zip(which.tolist(), weight.tolist()):
+        for i, own in zip(which.tolist(), asked.tolist()):
             answers.append(least[i] if (least[i] < own).any() else None)
         return answers
 
@@ -265,19 +273,21 @@ class Bytes(routed.Unit):
         return batch.ids[row]
 
     def finish(self, batch, hot, told, single):
-        _, weight, _ = self.segments(batch, hot)
+        self.segments(batch, hot)
         pick, which = batch.kept["pick"], batch.kept["which"]
-        row, start, count = batch.row[pick], batch.start[pick], batch.count[pick]
+        row, start = batch.row[pick], batch.start[pick]
         ids = batch.ids[row]
-        full = weight[which] < ids
-        gone: list[tuple[np.ndarray, np.ndarray]] = [(row[full], flat_ranges(start[full], count[full]))]
-        gone[0] = (np.repeat(row[full], count[full]), gone[0][1])
         again = single.weight[single.which] < batch.ids[single.row]
-        gone.append((single.row[again], single.start[again]))
-        for k in np.flatnonzero(~full).tolist():
-            answer = told.get(int(which[k]))
-            if answer is not None and len(hit := np.flatnonzero(answer < ids[k])):
-                gone.append((np.full(len(hit), row[k]), hit + start[k]))
+        gone: list[tuple[np.ndarray, np.ndarray]] = [(single.row[again], single.start[again])]
+        # an answer has the least document of each of its windows: which of them are less than each of its runs' own
+        order = np.argsort(which, kind="stable")
+        begin, end = runs(which[order])
+        for a, z in zip(begin.tolist(), end.tolist()):
+            answer = told.get(int(which[order[a]]))
+            if answer is not None:
+                mine = order[a:z]
+                k, hit = np.nonzero(answer[None] < ids[mine][:, None])
+                gone.append((row[mine][k], hit + start[mine][k]))
         rows, starts = np.concatenate([g[0] for g in gone]), np.concatenate([g[1] for g in gone])
         order = np.argsort(rows, kind="stable")
         rows, starts = rows[order], starts[order] - batch.offsets[rows[order]]
@@ -305,7 +315,8 @@ def duplicate_spans(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs`` (doc_id, text) with n_bytes, spans (repeated bytes, maximal runs) and kept (the rest, binary).
 
     A byte is repeated if it lies in a WIDTH-byte string that begins in a document with a smaller doc_id too. Null text
-    is empty. A row without doc_id counts as larger than all others; rows that share an id repeat nothing of each other.
+    is empty. A row without doc_id counts as the largest id there is; rows that share an id repeat nothing of each other.
+    Columns of ``docs`` named like a new one give way to it. Empty table: no rows.
     """
 
     def finished(text, starts):
@@ -333,9 +344,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         gone = spans(starts, WIDTH)
         return bool(gone), without(text, gone).decode("utf-8", "ignore") if gone else None
 
-    extra = pa.schema([("__cut", pa.bool_()), ("__text", pa.string())])
-    out = routed.repeats(docs, Bytes(), finished, extra, "__cut boolean, __text string")
-    new = {"text": F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text"))}
+    cut, left = spare_name(docs, "cut"), spare_name(docs, "left")
+    extra = pa.schema([(cut, pa.bool_()), (left, pa.string())])
+    out = routed.repeats(docs, Bytes(), finished, extra, f"`{cut}` boolean, `{left}` string")
+    new = {"text": F.when(F.col(cut), F.col(left)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__cut"), F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(cut), F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
