@@ -32,6 +32,58 @@ def test_gradients_equal_differences():
     assert checked > 10
 
 
+def plain_probabilities(m, text):
+    """Label probabilities of a text, byte by byte and number by number, in stretches of T bytes."""
+
+    def states(d, data):
+        hn = d.u.shape[1]
+        h, out = [0.0] * hn, []
+        gate = lambda v: min(1.0, max(0.0, v / 4 + 0.5))
+        for c in data:
+            inner = [sum(float(d.u[r, k]) * h[k] for k in range(hn)) + float(d.b[r]) for r in range(3 * hn)]
+            z = [gate(float(d.w[r, c]) + inner[r]) for r in range(hn)]
+            r_ = [gate(float(d.w[hn + r, c]) + inner[hn + r]) for r in range(hn)]
+            n = [float(d.w[2 * hn + r, c]) + r_[r] * inner[2 * hn + r] for r in range(hn)]
+            n = [v / (1 + abs(v)) for v in n]
+            h = [z[r] * h[r] + (1 - z[r]) * n[r] for r in range(hn)]
+            out.append(h)
+        return out
+
+    total = np.zeros(len(m.labels))
+    for at in range(0, len(text), L.T):
+        part = text[at : at + L.T]
+        for f, b in zip(states(m.forward, part), states(m.backward, part[::-1])[::-1]):
+            logit = [sum(float(w) * s for w, s in zip(row, f + b)) + float(c) for row, c in zip(m.out, m.bias)]
+            e = np.exp(np.array(logit) - max(logit))
+            total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_prediction_equals_a_plain_loop():
+    rng = np.random.default_rng(6)
+    direction = lambda: L.Direction(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.5, (12, 256)), (0.5, (12, 4)), (0.3, (12,)))))
+    m = L.Model(["a", "b", "c"], direction(), direction(), rng.normal(0, 1, (3, 8)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    texts = ["one", "", "über " * 70, "漢字 and more", "x" * L.T, "y" * (L.T + 1)]
+    texts = [t.encode() for t in texts]
+    found = L.predict(m, texts, block=2)
+    for t, p in zip(texts, found):
+        assert np.allclose(p, plain_probabilities(m, t), atol=2e-5)
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ③ ٣ 一"), (2, "½ ² ③ _ 12"), (3, "ª")], "doc_id long, text string")
+    m = L.train([b"abc def", b"xyz uvw"], ["a", "b"], steps=3)
+    assert [r.lang_pred == "und" for r in L.identified(docs, m).orderBy("doc_id").collect()] == [False, True, False]
+
+
+def test_every_language_is_learned(spark):
+    words = {f"l{k:02}": chr(97 + k % 26) + chr(97 + k // 26) + " " for k in range(70)}
+    docs = spark.createDataFrame([(10 * k + i, w * 30, lang) for k, (lang, w) in enumerate(words.items()) for i in range(3)], "doc_id long, text string, lang string")
+    model = L.train_on(docs, steps=2)
+    learnable = {r.lang for r in docs.where(~L.held_out(docs.doc_id)).collect()}
+    assert set(model.labels) == learnable and len(learnable) > 64
+
+
 def test_lanes_hold_every_byte():
     texts = [b"", b"a", b"x" * L.T, b"y" * (2 * L.T + 5)]
     x, length, owner = L.lanes(texts)

@@ -16,11 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash, utf8
+from .common import id_hash, release, spare_name, utf8
 
 T = 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L): fractions, superscripts and other number signs are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 @dataclass
@@ -179,19 +184,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train_on(docs: DataFrame, per_lang: int = 600, most_langs: int = 64, **options) -> Model | None:
+def train_on(docs: DataFrame, per_lang: int = 600, **options) -> Model | None:
     """A model of the learnable documents: lang and text not null, id not held out. None if there are none.
 
-    Fitted on about ``per_lang`` documents of each of the ``most_langs`` commonest languages, chosen by id hash, and on
-    three stretches of T characters of each, so that the sample has a bound whatever the texts' lengths.
+    Every language is learned, from about 1.5 * ``per_lang`` documents chosen by id hash, and from three stretches of T
+    characters of each, so that the sample has a bound for each language whatever the texts' lengths. Rows that repeat
+    an id are chosen together.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_lang / r["n"]))])
     draw = id_hash("doc_id", seed=9)
-    chosen = rows.where((F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    chosen = rows.where((F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
     chosen = chosen.orderBy(draw, "doc_id", "lang").limit(3 * per_lang * len(counts))
     room = F.greatest(F.length("text") - T, F.lit(0))
     sample = chosen.select("lang", *[F.substring("text", (room * k / 2).cast("int") + 1, F.lit(T)).alias(f"part{k}") for k in range(3)]).toPandas()
@@ -205,7 +211,10 @@ def train_on(docs: DataFrame, per_lang: int = 600, most_langs: int = 64, **optio
 
 
 def labelled(model: Model | None):
-    """A scalar pandas UDF of text: struct of lang_pred and score (mean probability of that label, 0 to 1)."""
+    """A scalar pandas UDF of text: struct of lang_pred and score (mean probability of that label, 0 to 1).
+
+    Of labels of the same probability the first in alphabetical order is predicted.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -213,12 +222,13 @@ def labelled(model: Model | None):
             pred, score = [], []
             for at in range(0, len(texts), 512):
                 part = texts.iloc[at : at + 512]
-                spoken = [isinstance(t, str) and bool(_LETTER.search(t)) for t in part]
+                spoken = [isinstance(t, str) and has_letter(t) for t in part]
                 p = predict(model, [t if s else b"" for t, s in zip(utf8(part), spoken)]) if model else None
                 for i, s in enumerate(spoken):
                     pred.append(model.labels[int(p[i].argmax())] if s and model else UNKNOWN)
                     score.append(min(1.0, float(p[i].max())) if s and model else 0.0)
             yield pd.DataFrame({"lang_pred": pred, "score": score})
+        release()
 
     return label
 
@@ -232,7 +242,12 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.3) -> DataFrame:
-    """The documents, all columns unchanged, whose language is known with at least ``min_score``."""
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], labelled(model)("text").alias("__lang"))
-    return held.where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= min_score)).drop("__lang")
+def keep_identified(docs: DataFrame, model: Model | None, margin: float = 1.2) -> DataFrame:
+    """The documents, all columns unchanged, whose language is known: its score is ``margin`` times what chance gives each label, or 0.9.
+
+    A column of any name stays. Nothing learned: no document is known, and none is kept.
+    """
+    least = min(0.9, margin / max(1, len(model.labels))) if model else 1.0
+    told = spare_name(docs, "lang")
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], labelled(model)("text").alias(told))
+    return held.where((F.col(f"{told}.lang_pred") != UNKNOWN) & (F.col(f"{told}.score") >= least)).drop(told)
