@@ -40,6 +40,43 @@ def test_large_components_are_exact(spark):
     assert result(spark, rows, every=10) == brute(rows, 5, 10)
 
 
+def test_repeated_ids_keep_all_their_vectors(spark):
+    rows = [(i % 30, [float(i * 7 % 11 - 5), float(i % 4 - 1)]) for i in range(120)]
+    scores = {}
+    for q, x in rows:
+        for i, y in rows:
+            if q % 10 == 0 and q != i:
+                s = sum(int(256 * a) * int(256 * b) for a, b in zip(x, y))
+                scores[q, i] = max(s, scores.get((q, i), s))
+    want = []
+    for q in (0, 10, 20):
+        best = sorted((-s, i) for (a, i), s in scores.items() if a == q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert result(spark, rows, every=10, shard_rows=17, block_rows=3) == sorted(want)
+
+
+def test_blocks_visit_few_shards_of_clustered_vectors():
+    """After the first visits only shards whose root may reach a kth score are left."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 2000, (40, 16))
+    x = [np.floor(c + rng.normal(0, 40, (300, 16))) for c in centres]
+    trees = [B.build_tree(np.arange(300) + 300 * k, v) for k, v in enumerate(x)]
+    roots = {"shard": np.arange(40), "centre": np.stack([t["centre"][0] for t in trees]), "radius": np.array([t["radius"][0] for t in trees]), "most": np.array([np.abs(t["x"]).max() for t in trees])}
+    left = 0
+    for k in range(40):
+        q = x[k][:20]
+        state = {"id": np.arange(20) - 20, "x": q, "best": np.full((20, 5), B.NONE), "ids": np.zeros((20, 5), np.int64), "seen": np.empty(0, np.int64)}
+        state["seen"] = B.reachable(state, roots, 4)
+        found = [B.search(trees[s], state["id"], q, state["best"][:, -1], 5)[1] for s in state["seen"]]
+        state["best"] = -np.sort(-np.concatenate(found, 1), axis=1)[:, :5]
+        rest = B.reachable(state, roots, None)
+        left += len(rest)
+        every = np.concatenate([(q @ v.T) for v in x], 1)
+        seen = np.concatenate([np.arange(300) + 300 * s for s in [*state["seen"], *rest]])
+        assert (-np.sort(-every[:, seen.astype(int)], axis=1)[:, :5] == -np.sort(-every, axis=1)[:, :5]).all()
+    assert left < 0.1 * 40 * 40
+
+
 def test_table(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert result(spark, rows, shard_rows=130, block_rows=4) == brute(rows, 5, 50)

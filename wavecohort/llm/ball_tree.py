@@ -1,9 +1,11 @@
 """Exact top-k inner-product search by ball trees.
 
-Vectors are dealt to shards and each shard builds a ball tree. Queries travel in blocks: a block visits one shard
-first, and the kth scores it finds there are the bounds that it takes along to every other shard, where branch and
-bound visits nodes in the order of their inner-product upper bound, q.centre + |q| * radius, and skips those below.
-Trees and blocks are rows of bounded size, so that neither all vectors nor all queries meet in one task.
+Vectors are dealt to shards by their nearest pivot, of a bounded sample, and by hash where a pivot has many; each shard
+builds a ball tree. Queries travel in blocks, and go in rounds: of the shards whose root may still reach a query's kth
+score a block visits the most promising one, then a few, then all that are left, and takes the kth scores found so far
+along. In a shard, branch and bound visits nodes in the order of their inner-product upper bound, q.centre + |q| * radius,
+and skips those below. A tree stays where its shard is and is read once a round; blocks, which are smaller, move. Trees
+and blocks are rows of bounded size, so that neither all vectors nor all queries meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, id_hash
+from .common import checkpointed, id_hash, written
 
 _EXACT = 2.0**53
 NONE = np.iinfo(np.int64).min
@@ -140,11 +142,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 819
 
     vectors: id long, x array of numbers; vectors that are null or hold null or non-finite components take no part,
     nor do those of another dimension than the query's. A query's own id is no candidate; a repeated id is one
-    candidate, with the best score that any of its vectors has with any of the query's. Ties go to the smaller id. An empty table gives no rows.
+    candidate, with the best score that any of its vectors has with any of the query's. Ties go to the smaller id. Scores
+    beyond a long are the nearest long. An empty table gives no rows.
     """
     held = checkpointed(usable(vectors, scale))
     facts = held.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("nq")).collect()  # a row for each dimension
-    parts = [_one_dimension(held.where(F.size("x") == r["dim"]), k, every, max(1, -(-r["n"] // shard_rows)), max(1, -(-r["nq"] // block_rows))) for r in facts if r["nq"] and r["dim"]]
+    parts = [_one_dimension(held.where(F.size("x") == r["dim"]), k, every, shard_rows, block_rows) for r in facts if r["nq"] and r["dim"]]
     if not parts:
         return held.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
@@ -153,36 +156,125 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 819
     return found
 
 
-def _one_dimension(held: DataFrame, k: int, every: int, shards: int, blocks: int) -> DataFrame:
+#: Vectors that stand for regions; a bounded sample, held by the driver and every task.
+PIVOTS = 256
+#: Roots that a block is held against at once, and shards of each such pack that it visits in the first rounds; then all.
+PACK = 1024
+ROUNDS = (1, 4)
+
+
+def _regions(held: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds region, the nearest pivot of each vector."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = (pivots * pivots).sum(1) / 2
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.empty((0, pivots.shape[1]))
+            yield batch.assign(region=(half - x @ pivots.T).argmin(1).astype(np.int32))
+
+    return held.mapInPandas(nearest, "id long, x array<double>, region int")
+
+
+def _parts(df: DataFrame, rows: int, name: str, seed: int) -> tuple[DataFrame, int]:
+    """Adds ``name``, the number of a part of about ``rows`` rows of a region, and tells how many parts there are."""
+    sizes = {r["region"]: -(-r["n"] // rows) for r in df.groupBy("region").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows at most
+    regions = range(PIVOTS)
+    many = [sizes.get(k, 0) for k in regions]
+    first = np.cumsum([0, *many]).tolist()
+    at = F.col("region") + 1
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), at)
+    return df.withColumn(name, of(first[:-1]) + F.pmod(id_hash("id", "x", seed=seed), F.greatest(of(many), F.lit(1)))), first[-1]
+
+
+def _bounds(state: dict[str, np.ndarray], roots: dict[str, np.ndarray]) -> np.ndarray:
+    """Upper bounds of each query's scores in each shard of a pack."""
+    q, size = state["x"], np.sqrt((state["x"] ** 2).sum(1))
+    slack = 1e-9 * (1 + size[:, None]) * np.maximum(1.0, roots["most"]) * q.shape[1] + 1e-6
+    return q @ roots["centre"].T + size[:, None] * roots["radius"] + slack
+
+
+def reachable(state: dict[str, np.ndarray], roots: dict[str, np.ndarray], most: int | None) -> np.ndarray:
+    """Shards of a pack that a block has not seen and where a query may still reach its kth score; the ``most`` promising ones."""
+    bound = _bounds(state, roots)
+    bound[bound < state["best"][:, -1:]] = -np.inf
+    reach = bound.max(0, initial=-np.inf)
+    reach[np.isin(roots["shard"], state["seen"])] = -np.inf
+    order = np.argsort(-reach, kind="stable")[:most]
+    return roots["shard"][order[reach[order] > -np.inf]]
+
+
+def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_rows: int) -> DataFrame:
+    # equal rows are one; an id's vectors are dealt each by itself, so that a common id fills no shard
+    distinct = checkpointed(held.distinct())
+    sample = distinct.orderBy(id_hash("id", "x", seed=2), "id").limit(PIVOTS).toPandas()
+    placed = checkpointed(_regions(distinct, np.stack(sample["x"].to_numpy()).astype(float)))
+    vectors, shards = _parts(placed, shard_rows, "shard", 3)
+    queries, _ = _parts(placed.where(F.col("id") % every == 0), block_rows, "block", 5)
+
     def tree(part: pd.DataFrame) -> pd.DataFrame:
         built = build_tree(part["id"].to_numpy(np.int64), np.stack(part["x"].to_numpy()).astype(float))
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "tree": [_packed(**built)]})
+        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "centre": [built["centre"][0]], "radius": [built["radius"][0]], "most": [float(np.abs(built["x"]).max(initial=0))], "tree": [_packed(**built)]})
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "queries": [_packed(id=part["id"].to_numpy(np.int64), x=np.stack(part["x"].to_numpy()).astype(float))]})
+        n = len(part)
+        state = _packed(id=part["id"].to_numpy(np.int64), x=np.stack(part["x"].to_numpy()).astype(float), best=np.full((n, k), NONE), ids=np.zeros((n, k), np.int64), seen=np.empty(0, np.int64))
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "state": [state]})
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        return pd.DataFrame({"pack": [part["pack"].iloc[0]], "roots": [_packed(shard=part["shard"].to_numpy(np.int64), centre=np.stack(part["centre"].to_numpy()), radius=part["radius"].to_numpy(float), most=part["most"].to_numpy(float))]})
 
-    def visit(batches: Iterator[pd.DataFrame], sharing: bool) -> Iterator[pd.DataFrame]:
+    def wanted(batches: Iterator[pd.DataFrame], most: int | None) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                asked, built = _unpacked(row.queries), _unpacked(row.tree)
-                floor = asked.get("floor", np.full(len(asked["id"]), NONE))
-                ids, best = search(built, asked["id"], asked["x"], floor, k)
-                if sharing:
-                    yield pd.DataFrame({"block": [row.block], "queries": [_packed(id=asked["id"], x=asked["x"], floor=best[:, -1])]})
-                else:
-                    q, r = np.nonzero(best > NONE)
-                    yield pd.DataFrame({"query_id": asked["id"][q], "vec_id": ids[q, r], "score": best[q, r]})
+                chosen = reachable(_unpacked(row.state), _unpacked(row.roots), most)
+                yield pd.DataFrame({"block": np.full(len(chosen), row.block, np.int64), "shard": chosen})
 
-    # equal rows are one; an id's vectors are dealt each by itself, so that a common id fills no shard
-    distinct = held.distinct()
-    trees = checkpointed(distinct.withColumn("shard", F.pmod(id_hash("id", "x", seed=3), F.lit(shards))).groupBy("shard").applyInPandas(tree, "shard long, tree binary"))
-    asked = distinct.where(F.col("id") % every == 0).withColumn("block", F.pmod(id_hash("id", "x", seed=5), F.lit(blocks)))
-    asked = asked.groupBy("block").applyInPandas(block, "block long, queries binary")
-    home = asked.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees.hint("shuffle_hash"), "shard")
-    bounded = checkpointed(home.select("block", "queries", "tree").mapInPandas(lambda b: visit(b, True), "block long, queries binary"))
-    pairs = trees.select("tree", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(bounded.hint("shuffle_hash"), "block")
-    pairs = pairs.repartition(F.col("block"), F.col("shard")).select("block", "queries", "tree")
-    found = pairs.mapInPandas(lambda b: visit(b, False), "query_id long, vec_id long, score long")
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by shard, the tree first."""
+        at, built = None, {}
+        for batch in batches:
+            for row in batch.itertuples():
+                if row.block < 0:
+                    at, built = row.shard, _unpacked(row.data)
+                    continue
+                assert at == row.shard
+                state = _unpacked(row.data)
+                ids, best = search(built, state["id"], state["x"], state["best"][:, -1], k)
+                q, r = np.nonzero(best > NONE)
+                yield pd.DataFrame({"block": np.full(len(q), row.block, np.int64), "query_id": state["id"][q], "place": q, "vec_id": ids[q, r], "score": best[q, r]})
+
+    def merged(state: pd.DataFrame, found: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        held = _unpacked(state["state"].iloc[0])
+        place, rank = found["place"].to_numpy(np.int64), found["rank"].to_numpy(np.int64) - 1
+        held["best"][place, rank], held["ids"][place, rank] = found["score"].to_numpy(np.int64), found["vec_id"].to_numpy(np.int64)
+        held["seen"] = np.append(held["seen"], seen)
+        return pd.DataFrame({"block": state["block"], "state": [_packed(**held)]})
+
+    trees = written(vectors.groupBy("shard").applyInPandas(tree, "shard long, centre array<double>, radius double, most double, tree binary"), "trees")
+    roots = checkpointed(trees.select("shard", "centre", "radius", "most", F.expr(f"shard div {PACK}").alias("pack")).groupBy("pack").applyInPandas(pack, "pack long, roots binary"))
+    state = checkpointed(queries.groupBy("block").applyInPandas(block, "block long, state binary"))
+    packs = -(-shards // PACK)
+    every_pack = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack")
+    best = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
+    steps = [m for m in ROUNDS if m < shards]
+    found = None
+    for most in [*steps, None]:
+        asked = state.select("block", "state", every_pack).join(roots.hint("shuffle_hash"), "pack").select("block", "state", "roots")
+        pairs = checkpointed(asked.mapInPandas(lambda b, most=most: wanted(b, most), "block long, shard long"))
+        # blocks go to the shards: a shard's tree leads its rows
+        lead = trees.join(pairs.select("shard").distinct(), "shard", "left_semi").select("shard", F.lit(-1).cast("long").alias("block"), F.col("tree").alias("data"))
+        rows = lead.unionByName(pairs.join(state, "block").select("shard", "block", F.col("state").alias("data")))
+        hits = rows.repartition("shard").sortWithinPartitions("shard", "block").mapInPandas(visit, "block long, query_id long, place long, vec_id long, score long")
+        found = hits if found is None else found.unionByName(hits)
+        # an id's best score with a query's vector; a place is one vector of a query
+        found = found.groupBy("block", "query_id", "place", "vec_id").agg(F.max("score").alias("score"))
+        found = checkpointed(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        if most is not None:
+            gone = pairs.groupBy("block").agg(F.collect_list("shard").alias("shards"))  # a few of each pack
+            known = found.drop("query_id").join(gone, "block")
+            state = checkpointed(state.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(lambda s, f: merged(s, f, f["shards"].iloc[0]) if len(f) else s, "block long, state binary"))
+            found = found.drop("rank")
+    final = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return final.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
