@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_hash, utf8
+from .common import id_hash, release, spare_name, utf8
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -76,6 +76,7 @@ def text_stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         found = np.array([text_counts(t) for t in utf8(texts)], np.int64).reshape(-1, len(COUNTS))
         yield pd.DataFrame(found, columns=list(COUNTS))
+    release()
 
 
 #: What rules may test: counts, and ratios that do not depend on a text's length. Each is never null.
@@ -197,11 +198,13 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **
     """The list for ``labels`` (doc_id, quality: 0 is bad), fitted on at most ``sample_rows`` labelled documents.
 
     The sample is the labelled rows of the smallest id hash: bounded, the same in every partitioning, and small enough
-    to broadcast and to fit on the driver. Null labels and labels without a document teach nothing.
+    to broadcast and to fit on the driver. Where ids repeat, at most twice as many rows are taken, in the same order.
+    Null labels and labels without a document teach nothing.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(id_hash("doc_id", seed=6), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text_stats("text").alias("s")).select("doc_id", "quality", *features("s")).toPandas()
-    rows = rows.sort_values(["doc_id", "quality", *FEATURES]).head(4 * sample_rows)  # one order in any partitioning; ids may repeat
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text_stats("text").alias("s")).select("doc_id", "quality", *features("s"))
+    order = ["doc_id", "quality", *FEATURES]  # one order in any partitioning
+    rows = rows.orderBy(id_hash("doc_id", seed=6), *order).limit(2 * sample_rows).toPandas().sort_values(order)
     if rows.empty:
         return DecisionList(())
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["quality"].to_numpy() == 0, **options)
@@ -224,7 +227,8 @@ def assessed(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The documents, all their columns unchanged, that pass the base rules and the list."""
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text_stats("text").alias("__stats"))
-    verdict = rules.expression(dict(zip(FEATURES, features("__stats"))))
-    return held.where(~base_failed("__stats") & verdict).drop("__stats")
+    """The documents, all their columns unchanged, that pass the base rules and the list; a column of any name stays."""
+    stats = spare_name(docs, "stats")
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text_stats("text").alias(stats))
+    verdict = rules.expression(dict(zip(FEATURES, features(stats))))
+    return held.where(~base_failed(stats) & verdict).drop(stats)
