@@ -48,6 +48,18 @@ def test_table(spark, sf):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()), key=str) == plain([(r.page_id, r.html) for r in pages.collect()])
 
 
+def test_archive_files_and_long_pages(spark, tmp_path):
+    """Archives as files of a folder, read back by the binaryFile source; pages of several MB fill archives by bytes."""
+    rows = [(i, f"<p>{i}</p>" * (400_000 if i % 10 == 0 else 3)) for i in range(40)] + [(99, None), (7, "<p>7</p>" * 3)]
+    pages = spark.createDataFrame([(i, "http://h", t) for i, t in rows], "page_id long, url string, html string")
+    archives = W.write_archives(pages, archive_bytes=4_000_000)
+    for _ in range(2):  # a second run replaces files by equal ones
+        saved = W.save(archives, f"file://{tmp_path}/warc").collect()
+    assert len(saved) > 2 and sorted(p.name for p in (tmp_path / "warc").glob("*.zst")) == sorted(r.file for r in saved)
+    out = W.read_archives(W.load(spark, f"file://{tmp_path}/warc"))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()), key=str) == sorted(plain(rows), key=str)
+
+
 def test_format_and_damage():
     records = [W.make_record(i, f"http://h/{i}", b"<p>text %d</p>" % i * 20, None, False) for i in range(60)]
     a = W.make_archive(records)

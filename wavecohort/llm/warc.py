@@ -2,7 +2,7 @@
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed, and goes on
 with one Zstandard frame for each record. Archives are bounded groups of pages, built and read by Spark tasks; a
-DataFrame row (archive_id, content) is one archive file, as Spark's ``binaryFile`` source would read it.
+DataFrame row (archive_id, content) is one archive file, as Spark's ``binaryFile`` source reads it and ``save`` writes it.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_hash
@@ -185,13 +187,15 @@ def _payload() -> Column:
     return F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
 
 
-def write_archives(pages: DataFrame, archive_pages: int = 1000, min_bytes: int = 0) -> DataFrame:
-    """(archive_id, content): a WARC record for each page, about ``archive_pages`` of them in an archive.
+def write_archives(pages: DataFrame, archive_pages: int = 1000, archive_bytes: int = 32_000_000, min_bytes: int = 0) -> DataFrame:
+    """(archive_id, content): a WARC record for each page, about ``archive_pages`` of them or ``archive_bytes`` of payload in an archive.
 
     An empty table gives no archive. Pages are dealt by id hash, so that no source or host can fill an archive; their
-    payloads are shuffled once, to the archive, where they meet the list of revisits.
+    payloads are shuffled once, to the archive, where they meet the list of revisits. A page's record is held whole, and
+    an archive is a cell of a row: a single payload may have up to 2 GB.
     """
-    archives = max(1, -(-pages.count() // archive_pages))
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(_payload())).alias("bytes")).first()
+    archives = max(1, -(-size["n"] // archive_pages), -(-(size["bytes"] or 0) // archive_bytes))
     place = F.pmod(id_hash("page_id", F.when(F.col("page_id").isNull(), F.col("sha")), seed=4), F.lit(archives))
     dealt = pages.select("page_id", "url", _payload().alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("archive_id", place).select("page_id", "url", "payload", "archive_id")
     told = revisits(pages, min_bytes).select(F.col("page_id").alias("again"), "sha", "refers_to", place.alias("archive_id"))
@@ -216,13 +220,49 @@ def write_archives(pages: DataFrame, archive_pages: int = 1000, min_bytes: int =
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of archives (a ``content`` column): page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
 
+    def told(records: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(records)
+        out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
+        return out
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                records = list(read_archive(bytes(content)))
-                for at in range(0, len(records), 1000):
-                    out = pd.DataFrame(records[at : at + 1000])
-                    out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
-                    yield out
+                records, size = [], 0
+                for record in read_archive(bytes(content)):
+                    records.append(record)
+                    size += len(record["payload"] or b"")
+                    if len(records) == 1000 or size > 8_000_000:
+                        yield told(records)
+                        records, size = [], 0
+                if records:
+                    yield told(records)
 
     return archives.select("content").mapInPandas(parse, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def save(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive as a file of ``folder``, a shared path or URI that pyarrow knows; (archive_id, file, bytes) of each.
+
+    A file is written under another name first and then moved, so that a task that runs again leaves whole files only.
+    Lazy like any other DataFrame: the files are there when it has been evaluated.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for number, content in zip(batch["archive_id"].tolist(), batch["content"]):
+                name = f"pages-{number:08d}.warc.zst"
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                store.move(part, f"{root}/{name}")
+                yield pd.DataFrame({"archive_id": [number], "file": [name], "bytes": [len(content)]})
+
+    return archives.select("archive_id", "content").mapInPandas(write, "archive_id long, file string, bytes long")
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive files of a folder as rows, for ``read_archives``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
