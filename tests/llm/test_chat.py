@@ -46,6 +46,16 @@ def test_trees_rank_their_branches(spark):
     assert {r.branch for r in C.reply_paths(df, branches=1).collect()} == {1}
 
 
+def test_a_comb_grows_by_its_nodes_only(spark):
+    """A spine of 300 messages with a leaf at each: the paths of all leaves would be 45,000 rows, of which one is made."""
+    nodes = [(1, k, k - 1 if k else None, "user", f"s{k}", 0.5) for k in range(300)] + [(1, 1000 + k, k, "user", f"t{k}", 1.0) for k in range(300)]
+    df = spark.createDataFrame(nodes, "conv_id long, node_id long, parent_id long, role string, text string, score double")
+    best = sorted((r.position, r.text, r.branch_score) for r in C.reply_paths(df).collect())
+    assert best == [(k, f"s{k}", 151.0) for k in range(300)] + [(300, "t299", 151.0)]
+    two = C.reply_paths(df, branches=2)
+    assert two.where("branch = 2").count() == 300 and two.count() == 601
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA)
     plan = C.format_conversations(df)._jdf.queryExecution().toString()

@@ -55,30 +55,32 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     nodes: conv_id, node_id (unique in a conversation), parent_id (null at a root), role, text, score (null counts 0);
     other columns are ignored. Returns conv_id, branch (1 = best), branch_score, position (0 = root), role, text.
     Branches are ranked by score, ties by smaller leaf node_id. A message whose parent is missing begins a path of its
-    own; messages of a parent cycle belong to no path. An empty table gives no rows.
+    own; messages of a parent cycle belong to no path. An empty table gives no rows. Scores run along jump pointers, a
+    row for each message however many leaves there are; only the chosen paths are enumerated.
     """
     links = checkpointed(nodes.select(_null_safe("conv_id").alias("conv"), "conv_id", "node_id", "parent_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")))
     known = links.select("conv", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    jump = links.select("conv", "node_id", "parent_id").join(known, ["conv", "parent_id"], "left")
-    jump = checkpointed(jump.select("conv", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("up")))
-    parents = jump.where("up is not null").select("conv", F.col("up").alias("node_id")).distinct()
-    leaves = links.join(parents, ["conv", "node_id"], "left_anti")
-    members = leaves.select("conv", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("distance"))
+    # each node with an ancestor ``up``, the score of the stretch below it, and the stretch's length
+    step = links.select("conv", "node_id", "parent_id", "score").join(known, ["conv", "parent_id"], "left")
+    step = checkpointed(step.select("conv", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("length")))
+    parents = step.where("up is not null").select("conv", F.col("up").alias("node_id")).distinct()
     deepest = links.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
+    jumps, reach = [], 1
     while reach < deepest:
-        ahead = jump.where("up is not null")
-        further = members.join(ahead, ["conv", "node_id"]).select("conv", "leaf", F.col("up").alias("node_id"), (F.col("distance") + reach).alias("distance"))
-        members = checkpointed(members.unionByName(further))
+        jumps.append((reach, step.where("up is not null").select("conv", "node_id", "up")))
+        ahead = step.select("conv", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"), F.col("length").alias("further"))
+        joined = step.join(ahead, ["conv", "up"], "left")
+        step = checkpointed(joined.select("conv", "node_id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")))
         reach *= 2
-        if reach < deepest:
-            jump = checkpointed(ahead.join(ahead.select("conv", F.col("node_id").alias("up"), F.col("up").alias("up2")), ["conv", "up"]).select("conv", "node_id", F.col("up2").alias("up")))
-    told = members.join(links, ["conv", "node_id"])
-    path = Window.partitionBy("conv", "leaf")
-    told = told.withColumns({"branch_score": F.sum("score").over(path), "length": F.max("distance").over(path)})
-    best = Window.partitionBy("conv").orderBy(F.desc("branch_score"), "leaf")
-    told = told.withColumn("branch", F.dense_rank().over(best)).where(F.col("branch") <= branches)
-    return told.select("conv_id", "branch", "branch_score", (F.col("length") - F.col("distance")).alias("position"), "role", "text")
+    # leaves whose pointer ran out reach a root; of these the best are chosen, and only their paths are made
+    leaves = step.where("up is null").join(parents, ["conv", "node_id"], "left_anti")
+    best = Window.partitionBy("conv").orderBy(F.desc("score"), "node_id")
+    chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
+    members = chosen.select("conv", "node_id", "branch", F.col("score").alias("branch_score"), (F.col("length") - 1).alias("position"))
+    for reach, jump in jumps:
+        further = members.join(jump, ["conv", "node_id"]).select("conv", F.col("up").alias("node_id"), "branch", "branch_score", (F.col("position") - reach).alias("position"))
+        members = checkpointed(members.unionByName(further))
+    return members.join(links.drop("score"), ["conv", "node_id"]).select("conv_id", "branch", "branch_score", "position", "role", "text")
 
 
 def format_paths(messages: DataFrame, learned_role: str = "assistant") -> DataFrame:
