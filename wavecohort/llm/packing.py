@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash
+from .common import flat_ranges, id_hash, release
 
 END_ID = 1
 #: Fixed value: how this byte-level vocabulary cuts text before it merges.
@@ -75,28 +77,53 @@ class CachedTokenizer:
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._encode(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self._known) > self._most:
             self._known, self._older = {}, self._known
-        known, older = self._known, self._older
-        cut: list[list[str] | None] = []
-        fresh: dict[str, bytes] = {}
-        for t in texts:
-            if "<|" in t or _SPACES.search(t):
-                cut.append(None)
-                continue
-            chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-            cut.append(chunks)
-            for c in set(chunks or ()).difference(known):
-                ids = older.get(c)
-                if ids is None:
-                    fresh[c] = b""
-                else:
-                    known[c] = ids
+        known = self._known
+        found = list(map(known.get, chunks))
+        missing = [i for i, x in enumerate(found) if x is None]
+        fresh = []
+        for i in missing:
+            ids = self._older.get(chunks[i])
+            if ids is None:
+                fresh.append(chunks[i])
+            else:
+                known[chunks[i]] = ids
         if fresh:
-            known.update(self._fresh(list(fresh)))
-        whole = iter(self._packed([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+            known.update(self._fresh(fresh))
+        for i in missing:
+            found[i] = known[chunks[i]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        cut = [k for k, t in enumerate(texts) if "<|" not in t and not _SPACES.search(t)]
+        if cut:
+            # Arrow cuts the texts and numbers the words; a text's first word has no space before it
+            lists = pc.split_pattern(pa.array([texts[k] for k in cut], pa.large_string()), " ")
+            count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            code = coded.indices.to_numpy().astype(np.int64)
+            opening = np.cumsum(count) - count
+            firsts = np.unique(code[opening])
+            code[opening] = len(words) + np.searchsorted(firsts, code[opening])
+            ids = self._ids([" " + w for w in words] + [words[k] for k in firsts.tolist()])
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            raw = flat[flat_ranges((np.cumsum(size) - size)[code], size[code])].tobytes()
+            ends = 4 * np.cumsum(np.add.reduceat(size[code], opening))
+            for k, a, z in zip(cut, [0, *ends.tolist()], ends.tolist()):
+                out[k] = raw[a:z]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._packed([texts[k] for k in rest])):
+            out[k] = x
+        return out
+
+    def forget(self) -> None:
+        self._known, self._older = {}, {}
 
 
 _tokenizers: dict[tuple[str, str | None], CachedTokenizer] = {}
@@ -131,6 +158,8 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, keep_ids: bool = False,
                 out = pd.DataFrame(rows, columns=names)
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        tokenizer(path, ranks).forget()
+        release()
 
     kinds = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"} | ({"ids": "array<long>"} if keep_ids else {})
     names = list(kinds)
