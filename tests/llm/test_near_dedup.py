@@ -54,6 +54,46 @@ def test_members_not_linked_to_the_hub_are_compared(spark):
     assert result(N.near_duplicates(docs, block=2)) == near_components(rows)
 
 
+def test_links_at_the_threshold_share_a_band_and_are_not_pruned():
+    """400 pairs of J = 0.75, the hardest links there are, over set sizes from 7 to 1400."""
+    rng = np.random.default_rng(8)
+    agree = []
+    for size in (7, 14, 70, 1400):
+        h = rng.integers(0, 2**62, (100, size), np.int64).astype(np.uint64) * np.uint64(3)
+        keep = size * 6 // 7  # both sides hold 6 of 7 parts: 6 / 8 of the union is shared
+        extra = rng.integers(0, 2**62, (100, size - keep), np.int64).astype(np.uint64) * np.uint64(3)
+        a, b = N.registers(list(h)), N.registers([np.concatenate((x[:keep], e)) for x, e in zip(h, extra)])
+        assert (a.view(np.int64) == b.view(np.int64)).any(1).all()
+        n = np.full(100, size, float)
+        found = N.estimate(a, b, n, n)
+        assert (found >= N.PRUNE).all()
+        agree += found.tolist()
+    assert abs(np.mean(agree) - 0.75) < 0.01 and np.std(agree) < 0.035  # binomial: 0.028
+
+
+def test_intersections_and_forests():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90))).astype(np.uint64) for _ in range(40)]
+    for left, right in ((sets[:1], sets[1:]), (sets[:13], sets[13:]), (sets[:2], sets[2:3])):
+        want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+        assert N.intersections(left, right, columns=16).tolist() == want
+    assert N.intersections([np.array([1, 2], np.uint64)] * 2, [np.array([5], np.uint64)]).tolist() == [[0], [0]]
+    for p in (0.02, 0.1, 0.5):
+        linked = rng.random((30, 25)) < p
+        edges = N.forest(linked)
+        assert all(linked[x, y] for x, y in edges) and len(edges) <= 54
+
+        def parts(pairs):
+            top = list(range(55))
+            find = lambda x: x if top[x] == x else find(top[x])
+            for x, y in pairs:
+                top[find(x)] = find(30 + y)
+            return [find(x) for x in range(55)]
+
+        same = lambda label: {(x, y) for x in range(55) for y in range(55) if label[x] == label[y]}
+        assert same(parts(edges)) == same(parts(zip(*np.nonzero(linked))))
+
+
 @pytest.mark.parametrize("sizes", [(300, 300, 260), (40, 50, 36), (2000, 1500, 1400)])
 def test_estimate_is_close(sizes):
     na, nb, both = sizes

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from wavecohort.llm import language_id, packing, quality_rules
 
@@ -40,3 +42,27 @@ def test_rejected_languages_go_and_clean_ones_stay(spark, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
+
+
+def test_odd_tables(spark, sf, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty and long texts, columns that stages use as names, and no rows at all."""
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    some = given.limit(60)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", None, "s", 0), (None, "the cat sat on the mat and then it went away again and again", "en", None, None), (2, "word " * 40_000, "en", "s", 200_000)], given.schema
+    )
+    docs = some.unionByName(some.limit(5)).unionByName(odd)
+    for k, name in enumerate(("__stats", "__lang", "__gone", "__cut", "__left", "spans", "kept", "batch", "registers", "sequence_id")):
+        docs = docs.withColumn(name, F.lit(k))
+    for rows in (docs, docs.limit(0)):
+        folder = str(tmp_path / ("rows" if rows is docs else "none"))
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        held = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in P.STAGES[:-1]:
+            before = held
+            held = P.written(stage(spark, held, folder), f"odd-{name}")
+            assert held.columns == before.columns and held.count() <= before.count()
+        out = P.STAGES[-1][1](spark, held, folder)
+        assert out.select("doc_id").distinct().count() == held.select("doc_id").distinct().count()
+        assert (out.count() > 0) == (rows is docs)
