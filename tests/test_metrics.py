@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,12 +13,51 @@ def table(spark, y, s, c="a"):
     return spark.createDataFrame([(str(i), f"p{i // 2}", c, a, float(b)) for i, (a, b) in enumerate(zip(y, s))], "record_id string, patient_id string, class string, y int, prob double")
 
 
-def test_known_confusion(spark):
-    r = M.operating_point(table(spark, [1, 1, 1, 0, 0, 0], [0.9, 0.8, 0.2, 0.7, 0.1, 0.1]), ["class"]).first()
-    assert (r.tp, r.fn, r.fp, r.tn) == (2, 1, 1, 2)
-    assert r.sensitivity == pytest.approx(2 / 3) and r.specificity == pytest.approx(2 / 3) and r.f1 == pytest.approx(2 / 3)
-    # pairs won: 3 + 3 + 2 of 9
-    assert r.auroc == pytest.approx(8 / 9)
+def plain_ranking(rows):
+    """AUROC by counting pairs, and average precision by walking down the distinct scores."""
+    ups, downs = [s for y, s in rows if y], [s for y, s in rows if not y]
+    if not ups or not downs:
+        return None, None
+    won = sum((u > d) + (u == d) / 2 for u in ups for d in downs)
+    precision = 0.0
+    for cut in sorted({s for _, s in rows}, reverse=True):
+        at = [y for y, s in rows if s >= cut]
+        precision += sum(1 for y, s in rows if y and s == cut) / len(ups) * sum(at) / len(at)
+    return won / len(ups) / len(downs), precision
+
+
+def generated(seed, n, steps):
+    rng = random.Random(seed)
+    return [(int(rng.random() < 0.3), rng.randrange(steps) / steps if steps else rng.random()) for _ in range(n)]
+
+
+@pytest.mark.parametrize("steps", [7, 60, 0])
+def test_rankings_equal_counted_pairs(spark, steps):
+    """Few and many ties, and scores that are all distinct, so that ranges hold several of them."""
+    groups = {g: generated(steps + k, n, steps) for k, (g, n) in enumerate((("big", 400), ("small", 9), (None, 150)))}
+    df = spark.createDataFrame([(g, y, s) for g, rows in groups.items() for y, s in rows], "g string, y int, prob double")
+    found = {r.g: r for r in M.operating_point(df.withColumn("class", F.lit("c")), ["g"], 0.4).collect()}
+    report = {r.g: r for r in M.class_metrics(df, ["g"], 0.4).collect()}
+    for g, rows in groups.items():
+        auroc, ap = plain_ranking(rows)
+        r, c = found[g], report[g]
+        assert (r.tp, r.fp, r.tn, r.fn) == tuple(sum((s >= 0.4) == p and y == v for y, s in rows) for p, v in ((True, 1), (True, 0), (False, 0), (False, 1)))
+        assert r.auroc == pytest.approx(auroc) and r.average_precision == pytest.approx(ap) and r.n == len(rows)
+        assert (c.tp, c.fp, c.fn) == (r.tp, r.fp, r.fn) and c.brier == pytest.approx(sum((s - y) ** 2 for y, s in rows) / len(rows))
+        bins = {}
+        for y, s in rows:
+            bins.setdefault(max(0, math.ceil(round(s * 10, 9)) - 1), []).append((y, s))
+        assert c.ece == pytest.approx(sum(abs(sum(y - s for y, s in b)) for b in bins.values()) / len(rows))
+
+
+def test_cutoff_rates_equal_counts(spark):
+    rows = generated(11, 300, 0)
+    df = spark.createDataFrame([("a", y, s) for y, s in rows], "class string, y int, prob double")
+    at = H.rates_at(df, H.candidates(df, ["class"]), ["class"]).collect()
+    values = sorted({s for _, s in rows})
+    assert sorted(r.cutoff for r in at) == pytest.approx(sorted({min(max((a + b) / 2, 0.001), 0.999) for a, b in zip(values, values[1:])}))
+    for r in at[::17]:
+        assert (r.tp, r.fp) == (sum(y for y, s in rows if s >= r.cutoff), sum(1 - y for y, s in rows if s >= r.cutoff))
 
 
 def test_nothing_predicted_is_zero(spark):
@@ -47,10 +87,16 @@ def test_calibration_bins_close_on_the_right(spark):
     assert M.calibration_error(table(spark, [0, 1], [0.1, 0.11]), ["class"]).first().ece == pytest.approx((0.1 + 0.89) / 2)
 
 
-def test_vector_pair(spark):
-    v = spark.createDataFrame([("r", a, b) for a, b in zip([0.1, 0.8, 0.6, 0.2], [0.2, 0.7, 0.4, 0.3])], "record_id string, a double, b double")
-    r = M.vector_comparison(v, ["record_id"]).first()
-    assert r.mean_abs_difference == pytest.approx(0.125) and r.agreement == 0.75
+def test_vectors_against_plain_sums(spark):
+    rng = random.Random(5)
+    rows = [(r, rng.random(), rng.random()) for r in "uvw" for _ in range(40)]
+    v = spark.createDataFrame(rows, "record_id string, a double, b double")
+    for r in M.vector_comparison(v, ["record_id"]).collect():
+        pairs = [(a, b) for k, a, b in rows if k == r.record_id]
+        size = math.sqrt(sum(a * a for a, _ in pairs) * sum(b * b for _, b in pairs))
+        assert r.cosine == pytest.approx(sum(a * b for a, b in pairs) / size)
+        assert r.mean_abs_difference == pytest.approx(sum(abs(a - b) for a, b in pairs) / 40)
+        assert r.agreement == pytest.approx(sum((a >= 0.5) == (b >= 0.5) for a, b in pairs) / 40)
     assert M.vector_comparison(v.withColumn("a", F.lit(0.0)), ["record_id"]).first().cosine == 0
 
 
@@ -60,6 +106,13 @@ def test_spearman(spark):
     assert r["g"] == pytest.approx(math.sqrt(3) / 2) and r["h"] is None
 
 
+def test_midranks_of_many_values(spark):
+    values = [random.Random(8).randrange(90) for _ in range(300)]
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, x double")
+    want = {v: sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in values}
+    assert all(r.rank == want[int(r.x)] for r in M.midranks(df, ["g"], "x", "rank").collect())
+
+
 def test_rows_in_any_order_give_the_same(spark):
     t = table(spark, [1, 0, 1, 0, 1, 0, 0], [0.9, 0.8, 0.7, 0.6, 0.6, 0.2, 0.1])
     before = M.operating_point(t, ["class"]).collect()

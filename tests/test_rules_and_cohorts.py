@@ -5,30 +5,65 @@ from wavecohort.operators import cohort as C
 from wavecohort.operators import rules as U
 from wavecohort.operators import tables as T
 
-GOOD = {"status": "success", "layout_cost": 0.2, "detected_leads_count": 12, "nonzero_leads_count": 12, "einthoven_score": 0.95, "avg_pixel_per_mm": 9.5, "raw_lines_count": 4}
 SCHEMA = "status string, layout_cost double, detected_leads_count int, nonzero_leads_count int, einthoven_score double, avg_pixel_per_mm double, raw_lines_count int"
-
-
-@pytest.mark.parametrize(
-    ("change", "want", "codes"),
-    [
-        ({}, "accept", []),
-        ({"status": "failed"}, "reject", ["digitization_failed"]),
-        ({"layout_cost": None}, "reject", ["invalid_features"]),
-        ({"einthoven_score": 1.5}, "reject", ["invalid_features"]),
-        ({"nonzero_leads_count": 9}, "reject", ["insufficient_active_leads"]),
-        ({"detected_leads_count": 3}, "reject", ["insufficient_lead_labels"]),
-        ({"einthoven_score": 0.59}, "warn", ["low_einthoven_consistency"]),
-        ({"einthoven_score": 0.9}, "accept", []),
-        ({"layout_cost": 0.6}, "accept", []),
-        ({"layout_cost": 0.61, "einthoven_score": 0.59}, "reject", ["low_einthoven_consistency", "uncertain_layout"]),
-        ({"nonzero_leads_count": 11}, "warn", ["insufficient_active_leads"]),
-        ({"detected_leads_count": 7}, "warn", ["insufficient_lead_labels"]),
-    ],
-)
-def test_gate_edges(spark, change, want, codes):
-    r = U.quality_gate(spark.createDataFrame([tuple((GOOD | change).values())], SCHEMA)).first()
-    assert (r.prediction, r.reason_codes) == (want, codes)
+FEATURES = [c.split()[0] for c in SCHEMA.split(", ")]
+SOUND = dict(zip(FEATURES, ("success", 0.07, 11, 12, 0.99, 12.5, 3)))
+
+
+def beyond(side, limit):
+    """A value just past a limit, and the limit itself, which is still allowed."""
+    step = 1 if isinstance(limit, int) else 0.004
+    return (limit - step if side == "below" else limit + step), limit
+
+
+def judged(spark, **change):
+    return U.quality_gate(spark.createDataFrame([tuple((SOUND | change).values())], SCHEMA)).first()
+
+
+def test_each_gate_rule_acts_beyond_its_limit_only(spark):
+    assert judged(spark).prediction == "accept"
+    for feature, side, limit, level, reason in U.GATE:
+        past, on = beyond(side, limit)
+        r = judged(spark, **{feature: past})
+        assert reason in r.reason_codes and r.prediction == ("reject" if level == "critical" else "warn")
+        there = [of for f, s, at, of, why in U.GATE if f == feature and (on < at if s == "below" else on > at)]
+        assert (judged(spark, **{feature: on}).prediction == "accept") == (not there)
+
+
+def test_severe_risks_add_up_and_broken_records_are_rejected_first(spark):
+    severe = {f: beyond(s, at)[0] for f, s, at, level, _ in U.GATE if level == "severe"}
+    two = dict(list(severe.items())[:2])
+    assert judged(spark, **two).prediction == "reject" and len(judged(spark, **two).reason_codes) == 2
+    assert [judged(spark, **{f: v}).prediction for f, v in two.items()] == ["warn", "warn"]
+    assert judged(spark, status="timeout", **two).reason_codes == ["digitization_failed"]
+    assert all(judged(spark, **{f: None}).reason_codes == ["invalid_features"] for f in FEATURES[1:])
+    assert judged(spark, layout_cost=-0.5).reason_codes == ["invalid_features"]
+
+
+def test_manifest_rules_and_what_is_built(spark):
+    good = ("case_7", "p1", "flat", "tune", "img/a.png", "0" * 64, " True ")
+    names = ["case_id", "photo_id", "variant", "split", "path", "sha256", "phi_reviewed"]
+    bad = {"case_id": "Ann", "variant": "wild", "split": None, "path": "../up", "sha256": "F" * 64, "phi_reviewed": "1"}
+    rows = [good] + [tuple((dict(zip(names, good)) | {"case_id": f"case_{k}", "photo_id": f"q{k}", c: v}).values()) for k, (c, v) in enumerate(bad.items(), 20)]
+    rows += [("case_50", "r", "flat", "tune", "x", "1" * 64, "true"), ("case_50", "s", "flat", "test", "y", "2" * 64, "true"), ("case_60", "p1", "flat", "test", "z", "3" * 64, "true")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, " + ", ".join(f"{c} string" for c in names))
+    found = {(r.field, r.rule) for r in C.manifest_errors(df, ["flat"], ["tune", "test"], "^case_[0-9]+$").collect()}
+    assert found == {("case_id", "pattern"), ("variant", "choice"), ("split", "choice"), ("path", "path"), ("sha256", "digest"), ("phi_reviewed", "flag"), ("split", "leak"), ("photo_id", "repeat")}
+    files = spark.createDataFrame([(0, "0" * 64), (9, "3" * 64)], "k long, found string")
+    built = C.built_manifest(df, files, "k", ["flat"], ["tune", "test"], "^case_[0-9]+$").collect()
+    assert [r.case_id for r in built] == ["case_7"]  # the repeated photo is told of its least case, case_60
+
+
+def test_places_within_groups_and_quantiles(spark):
+    t = spark.range(700).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"))
+    places = {}
+    for r in C.top_by_hash(t, "id", 1, ["g"]).collect():
+        places.setdefault(r.g, []).append(r.place)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values()) and len(places) == 4
+    v = spark.range(301).select(F.when(F.col("id") > 0, F.col("id") * F.col("id") % 97 / 7.0).alias("x"))
+    want = [v.select(F.percentile("x", q)).first()[0] for q in (0.0, 0.1, 0.5, 0.77, 1.0)]
+    assert C.quantiles(v, "x", [0.0, 0.1, 0.5, 0.77, 1.0]).first().edges == pytest.approx(want)
+    assert C.quantiles(v.where("x is null"), "x", [0.5]).first().edges == []
 
 
 def test_exclusive_members(spark):

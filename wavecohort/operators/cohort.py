@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+from .metrics import met, running
+
+
 class CohortError(ValueError):
     """A cohort that breaks its contract."""
 
@@ -98,8 +101,7 @@ def grouped_split(records: DataFrame, group: str, category: str, shares: dict[st
     groups = records.groupBy(group).agg(F.array_join(F.sort_array(F.collect_set(category)), "+").alias("signature"))
     sizes = groups.groupBy("signature").agg(F.count("*").alias("total"))
     quota = sizes.withColumns({f"q_{k}": c for k, c in allocate_groups(F.col("total"), shares).items()})
-    order = Window.partitionBy("signature").orderBy(draw(seed, F.col(group)), group)
-    placed = groups.withColumn("place", F.row_number().over(order)).join(F.broadcast(quota), "signature")
+    placed = met(top_by_hash(groups, group, seed, ["signature"]), quota, ["signature"])
     split, upto = None, F.lit(0)
     for k in shares:
         upto = upto + F.col(f"q_{k}")
@@ -115,9 +117,8 @@ def split_leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
 def group_folds(df: DataFrame, group: str, k: int, positive: str = "y", seed: int = 42) -> DataFrame:
     """(group, fold): groups of equal positive counts are dealt to folds in hash order, back and forth."""
     each = df.groupBy(group).agg(F.sum(positive).alias("positives"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("positives").orderBy(draw(seed, F.col(group)), group)) - 1
-    step = place % (2 * k)
-    return each.withColumn("step", step).select(group, "positives", "n", F.when(F.col("step") < k, F.col("step")).otherwise(2 * k - 1 - F.col("step")).cast("int").alias("fold"))
+    step = (F.col("place") - 1) % (2 * k)
+    return top_by_hash(each, group, seed, ["positives"]).withColumn("step", step).select(group, "positives", "n", F.when(F.col("step") < k, F.col("step")).otherwise(2 * k - 1 - F.col("step")).cast("int").alias("fold"))
 
 
 def fold_summary(df: DataFrame, group: str, positive: str = "y") -> DataFrame:
@@ -126,9 +127,9 @@ def fold_summary(df: DataFrame, group: str, positive: str = "y") -> DataFrame:
 
 def proportional_holdout(df: DataFrame, layout: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds split tune or test: of each layout the rounded share, in hash order, is test."""
-    n = F.count("*").over(Window.partitionBy(layout))
-    place = F.row_number().over(Window.partitionBy(layout).orderBy(draw(seed, F.col(key)), key))
-    return df.withColumn("split", F.when(place <= F.bround(n * share), "test").otherwise("tune"))
+    sizes = df.groupBy(layout).agg(F.bround(F.count("*") * share).alias("__quota"))
+    placed = met(top_by_hash(df, key, seed, [layout]), sizes, [layout])
+    return placed.withColumn("split", F.when(F.col("place") <= F.col("__quota"), "test").otherwise("tune")).drop("place", "__quota")
 
 
 def priority_sample(df: DataFrame, key: str, rules: list[tuple[str, Column, int]], seed: int = 42) -> DataFrame:
@@ -152,13 +153,15 @@ def case_control(df: DataFrame, key: str, ratio: float, positive: str = "y", see
     return df.where(F.col(positive) == 1).unionByName(place.crossJoin(F.broadcast(quota)).where("place <= quota").drop("place", "quota"))  # quota is one row
 
 
-def top_by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds each row's place in hash order, by a two-phase count: places within hash ranges after the ranges before them."""
+def top_by_hash(df: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
+    """Adds each row's place in hash order, of its group ``by`` if told, by a two-phase count: places within hash ranges after the ranges before them."""
+    by = by or []
     ranged = df.withColumn("__h", draw(seed, F.col(key))).withColumn("__r", F.substring("__h", 1, 2))
-    sizes = ranged.groupBy("__r").agg(F.count("*").alias("__n"))  # 256 rows at most
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key))
-    return ranged.withColumn("__w", within).join(F.broadcast(before), "__r").withColumn("place", F.col("__w") + F.col("__before")).drop("__h", "__r", "__w", "__before")
+    order = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*by, "__r").agg(F.count("*").alias("__n"))  # 256 rows of a group at most
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__h", key))
+    return met(ranged.withColumn("__w", within), before, [*by, "__r"]).withColumn("place", F.col("__w") + F.col("__before")).drop("__h", "__r", "__w", "__before")
 
 
 def balanced_pick(df: DataFrame, key: str, category: str, n_categories: int, required: list, n: int, seed: int = 42) -> DataFrame:
@@ -189,10 +192,26 @@ def class_weights(labels: DataFrame, cap: float = 50.0, least: int = 10) -> Data
     return c.withColumn("weight", F.when(F.col("pos") >= least, F.least(F.col("neg") / F.col("pos"), F.lit(cap))))
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row, ``edges``: exact linear-interpolated quantiles of a column, from counts of its distinct values.
+
+    Values are counted, and their places summed up within ranges, so that no buffer holds them all; an edge is made of
+    the one or two values whose places enclose it. No value: no edges.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"), F.lit(1).alias("one"))
+    run = running(values, ["one"], "v", ["n"])
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("n_all") - 1)).alias("at")) for k, q in enumerate(shares)]))
+    near = run.select("v", "n", "n_before", at.alias("q")).select("v", "n", "n_before", "q.k", "q.at")
+    holds = lambda place: (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
+    ends = near.groupBy("k", "at").agg(F.max(F.when(holds(F.floor("at")), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil("at")), F.col("v"))).alias("hi"))
+    edge = F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))
+    return ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", edge.alias("e")))), lambda x: x["e"]).alias("edges"))
+
+
 def quantile_strata(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
     """Adds ``stratum``: right-closed bins between quantiles, so that equal values share a bin; equal edges are merged."""
     k = len(labels)
-    edges = df.agg(F.array_distinct(F.percentile(column, [i / k for i in range(1, k)])).alias("edges"))
+    edges = quantiles(df, column, [i / k for i in range(1, k)]).select(F.array_distinct("edges").alias("edges"))
     held = df.crossJoin(F.broadcast(edges))  # one row
     at = F.size(F.filter("edges", lambda e: F.col(column) > e))
     return held.withColumn("stratum", F.when(F.col(column).isNotNull(), F.element_at(F.array(*map(F.lit, labels)), at + 1))).drop("edges")
@@ -229,15 +248,27 @@ def strict_true(c: Column) -> Column:
 
 
 def manifest_errors(df: DataFrame, variants: list[str], splits: list[str], id_pattern: str) -> DataFrame:
-    """All violations: (case_id, error), of rows and of groups (a case in two splits, a repeated photo)."""
-    from .rules import reasons
-
-    row = reasons({
-        "case_id is not anonymous": ~F.coalesce(F.col("case_id").rlike(id_pattern), F.lit(False)), "PHI review must be explicitly true": ~strict_true(F.col("phi_reviewed")),
-        "unsupported variant": ~F.coalesce(F.col("variant").isin(variants), F.lit(False)), "unsupported split": ~F.coalesce(F.col("split").isin(splits), F.lit(False)),
-        "path must be a safe relative path": ~safe_path(F.col("path")), "sha256 must be lowercase": ~F.coalesce(F.col("sha256").rlike(SHA_PATTERN), F.lit(False)),
-    })
-    rows = df.select("case_id", F.explode(row).alias("error"))
-    leaks = split_leaks(df, "case_id").select("case_id", F.lit("case in several splits").alias("error"))
-    twice = df.groupBy("photo_id").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id")).where("n > 1").select("case_id", F.lit("photo_id is repeated").alias("error"))
-    return rows.unionByName(leaks).unionByName(twice)
+    """All violations: (case_id, field, rule), of rows and of groups (a case in two splits, a repeated photo).
+
+    Rules: pattern, flag (not affirmed), choice (not among the allowed values), path, digest, leak and repeat.
+    """
+    sound = lambda c: F.coalesce(c, F.lit(False))
+    checks = [
+        ("case_id", "pattern", sound(F.col("case_id").rlike(id_pattern))), ("path", "path", safe_path(F.col("path"))), ("phi_reviewed", "flag", strict_true(F.col("phi_reviewed"))),
+        ("sha256", "digest", sound(F.col("sha256").rlike(SHA_PATTERN))), ("split", "choice", sound(F.col("split").isin(splits))), ("variant", "choice", sound(F.col("variant").isin(variants))),
+    ]
+    broken = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"), ok.alias("ok")) for f, r, ok in checks]), lambda x: ~x["ok"])
+    rows = df.select("case_id", F.explode(broken).alias("x")).select("case_id", "x.field", "x.rule")
+    told = lambda found, field, rule: found.select("case_id", F.lit(field).alias("field"), F.lit(rule).alias("rule"))
+    twice = df.groupBy("photo_id").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id")).where("n > 1")
+    return rows.unionByName(told(split_leaks(df, "case_id"), "split", "leak")).unionByName(told(twice, "photo_id", "repeat"))
+
+
+def built_manifest(inventory: DataFrame, files: DataFrame, key: str, variants: list[str], splits: list[str], id_pattern: str) -> DataFrame:
+    """The inventory's rows whose case breaks no rule and whose file is there with the digest told; sha256 is the file's own.
+
+    files: (key, found), the digests of the files that exist. Repeated keys of files are one.
+    """
+    broken = manifest_errors(inventory, variants, splits, id_pattern).select("case_id").distinct()
+    sound = inventory.join(broken, "case_id", "left_anti").join(files.select(key, "found").distinct(), key)
+    return sound.where(F.lower("sha256") == F.lower("found")).withColumn("sha256", F.lower("found")).drop("found")

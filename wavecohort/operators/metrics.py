@@ -1,7 +1,8 @@
 """Ranking, classification and agreement metrics over long score tables (…, y 0/1, prob).
 
-``by`` names the columns of a group; metrics of all groups come from one pass. Ranks are taken over distinct scores,
-which are aggregated before any window, so that a window holds no more rows than a group has distinct scores.
+``by`` names the columns of a group; metrics of all groups come from one pass. Scores are first aggregated to a tie table
+(…, prob, pos, neg); what counts scores before others does so within ranges of scores, after the sums of the ranges
+before them, so that no task sorts a whole group however many distinct scores it has.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges that a group's order is cut into.
+RANGES = 32
+
 
 def tie_table(scores: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """Positives and negatives of each distinct score; ``weight`` weighs negatives."""
@@ -17,16 +21,54 @@ def tie_table(scores: DataFrame, by: list[str], weight: Column | None = None) ->
     return scores.groupBy(*by, "prob").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.sum(neg).alias("neg"))
 
 
+def met(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join in which null groups meet too; the columns of ``by`` stay those of ``df``."""
+    other = other.select(*[F.col(c).alias(f"__other_{c}") if c in by else F.col(c) for c in other.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__other_{c}")) for c in by]
+    return df.join(other, same).drop(*[f"__other_{c}" for c in by])
+
+
+def running(df: DataFrame, by: list[str], key: str, sums: list[str]) -> DataFrame:
+    """Adds for each of ``sums`` <name>_before (its sum over smaller keys of the group) and <name>_all, and key_next (the next key).
+
+    df has one row for each key of a group; a null key comes first. Ranges end at approximate quantiles, so they are about
+    equally large; they decide nothing but how the work is shared out.
+    """
+    cuts = df.groupBy(*by).agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
+    placed = met(df, cuts, by).withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0)))).drop("__cuts")
+    ranges = placed.groupBy(*by, "__range").agg(F.min(key).alias("__least"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    order, whole = Window.partitionBy(*by).orderBy("__range"), Window.partitionBy(*by)  # RANGES + 1 rows at most
+    ranges = ranges.select(*by, "__range", F.lead("__least").over(order).alias("__then"), *[c for s in sums for c in (F.coalesce(F.sum(f"__{s}").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"__{s}"), F.sum(f"__{s}").over(whole).alias(f"{s}_all"))])
+    within = Window.partitionBy(*by, "__range").orderBy(key)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = met(placed, ranges, [*by, "__range"])
+    out = out.withColumns({f"{c}_before": F.col(f"__{c}") + F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in sums} | {f"{key}_next": F.coalesce(F.lead(key).over(within), "__then")})
+    return out.drop("__range", "__then", *[f"__{c}" for c in sums])
+
+
+def _ranks() -> list[Column]:
+    """Aggregates over a running tie table: p, q, u (pairs in order) and a (precision sums)."""
+    pos, neg = F.col("pos"), F.col("neg")
+    tp = F.col("pos_all") - F.col("pos_before")
+    seen = tp + F.col("neg_all") - F.col("neg_before")
+    return [F.sum(pos).alias("p"), F.sum(neg).alias("q"), F.sum(pos * (F.col("neg_before") + neg / 2)).alias("u"), F.sum(F.when(pos > 0, pos * tp / seen).otherwise(0.0)).alias("a")]
+
+
+def _ranked() -> list[Column]:
+    """n, positives, auroc and average_precision of what ``_ranks`` gave."""
+    p, q = F.col("p"), F.col("q")
+    both = (p > 0) & (q > 0)
+    return [(p + q).cast("long").alias("n"), p.cast("long").alias("positives"), F.when(both, F.col("u") / (p * q)).alias("auroc"), F.when(both, F.col("a") / p).alias("average_precision")]
+
+
+def ranking_of(ties: DataFrame, by: list[str]) -> DataFrame:
+    """As ``ranking``, of a tie table."""
+    return running(ties, by, "prob", ["pos", "neg"]).groupBy(*by).agg(*_ranks()).select(*by, *_ranked())
+
+
 def ranking(scores: DataFrame, by: list[str]) -> DataFrame:
     """auroc and average_precision of each group, null where only one class occurs; n and positives."""
-    ties = tie_table(scores, by)
-    up = Window.partitionBy(*by).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    run = ties.select(*by, "pos", "neg", F.coalesce(F.sum("neg").over(up), F.lit(0.0)).alias("below"), F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("seen"))
-    p, n = F.sum("pos"), F.sum("neg")
-    out = run.groupBy(*by).agg(p.alias("p"), n.alias("q"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"))
-    both = (F.col("p") > 0) & (F.col("q") > 0)
-    return out.select(*by, (F.col("p") + F.col("q")).cast("long").alias("n"), F.col("p").cast("long").alias("positives"), F.when(both, F.col("u") / (F.col("p") * F.col("q"))).alias("auroc"), F.when(both, F.col("a") / F.col("p")).alias("average_precision"))
+    return ranking_of(tie_table(scores, by), by)
 
 
 def counts(active: Column) -> list[Column]:
@@ -53,33 +95,53 @@ def with_rates(df: DataFrame) -> DataFrame:
     })
 
 
-def operating_point(scores: DataFrame, by: list[str], threshold: float | Column = 0.5) -> DataFrame:
-    """Counts and rates at ``prob >= threshold``, with ranking metrics: one row for each group."""
-    at = with_rates(scores.groupBy(*by).agg(*counts(F.col("prob") >= threshold))) if by else with_rates(scores.agg(*counts(F.col("prob") >= threshold)))
-    ranks = ranking(scores, by) if by else ranking(scores.withColumn("__g", F.lit(1)), ["__g"]).drop("__g")
-    return at.join(ranks, by) if by else at.crossJoin(ranks)  # one row each
+def operating_point(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Counts and rates at ``prob >= threshold``, with ranking metrics, from one tie table: one row for each group."""
+    keys = by or ["__all"]
+    ties = tie_table(scores if by else scores.withColumn("__all", F.lit(1)), keys)
+    active, pos, neg = F.col("prob") >= threshold, F.col("pos"), F.col("neg")
+    some = lambda c, x: F.sum(F.when(c, x).otherwise(0.0)).cast("long")
+    at = running(ties, keys, "prob", ["pos", "neg"]).groupBy(*keys).agg(*_ranks(), some(active, pos).alias("tp"), some(active, neg).alias("fp"), some(~active, neg).alias("tn"), some(~active, pos).alias("fn"))
+    return with_rates(at.select(*by, "tp", "fp", "tn", "fn", *_ranked()))
 
 
 def brier() -> Column:
     return F.avg(F.pow(F.col("prob") - F.col("y"), 2))
 
 
+def bin_of(prob: Column, bins: int = 10) -> Column:
+    """The number of a score's right-closed bin; 0 lies in the first."""
+    return sum((F.when(prob > k / bins, 1).otherwise(0) for k in range(1, bins)), F.lit(0))
+
+
 def calibration_error(scores: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """Expected calibration error over equal right-closed bins; 0 lies in the first."""
-    edges = [k / bins for k in range(1, bins)]
-    bin_of = sum((F.when(F.col("prob") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    part = scores.groupBy(*by, bin_of.alias("bin")).agg(F.count("*").alias("k"), F.abs(F.avg("prob") - F.avg("y")).alias("gap"))
+    """Expected calibration error over equal right-closed bins."""
+    part = scores.groupBy(*by, bin_of(F.col("prob"), bins).alias("bin")).agg(F.count("*").alias("k"), F.abs(F.avg("prob") - F.avg("y")).alias("gap"))
     return part.groupBy(*by).agg((F.sum(F.col("k") * F.col("gap")) / F.sum("k")).alias("ece"))
 
 
-def multilabel_report(scores: DataFrame, by: list[str] | None = None, threshold: float | Column = 0.5, min_positives: int = 1) -> DataFrame:
+def class_metrics(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Of each group n, positives, auroc, average_precision, tp, fp, fn, brier and ece: all from one tie table."""
+    prob, pos, neg, n = F.col("prob"), F.col("pos"), F.col("neg"), F.col("pos") + F.col("neg")
+    active = prob >= threshold
+    run = running(tie_table(scores, by), by, "prob", ["pos", "neg"])
+    some = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
+    part = run.groupBy(*by, bin_of(prob).alias("bin")).agg(
+        *_ranks(), some(active, pos).alias("tp"), some(active, neg).alias("fp"), some(~active, pos).alias("fn"),
+        F.sum(pos * F.pow(prob - 1, 2) + neg * prob * prob).alias("squares"), F.abs(F.sum(n * prob) - F.sum(pos)).alias("gap"),
+    )
+    whole = part.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("p", "q", "u", "a", "tp", "fp", "fn", "squares", "gap")])
+    size = F.col("p") + F.col("q")
+    return whole.select(*by, *_ranked(), "tp", "fp", "fn", (F.col("squares") / size).alias("brier"), (F.col("gap") / size).alias("ece"))
+
+
+def multilabel_report(scores: DataFrame, by: list[str] | None = None, threshold: float = 0.5, min_positives: int = 1) -> DataFrame:
     """Macro and micro metrics over the eligible classes (min_positives <= positives < n) of each group.
 
     Without any eligible class all metrics are 0.
     """
     by = by or []
-    keys = [*by, "class"]
-    per = ranking(scores, keys).join(scores.groupBy(*keys).agg(*counts(F.col("prob") >= threshold), brier().alias("brier")), keys).join(calibration_error(scores, keys), keys)
+    per = class_metrics(scores, [*by, "class"], threshold)
     ok = (F.col("positives") >= min_positives) & (F.col("positives") < F.col("n"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     mean = lambda c: zero(F.avg(F.when(ok, c)))
@@ -107,16 +169,28 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Adds average ranks of ``column`` in each group."""
-    order, same = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
-    return df.withColumn(name, F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Adds average ranks of ``column`` in each group, from its distinct values."""
+    counted = df.groupBy(*by, column).agg(F.count("*").alias("__times"))
+    return met(df, midranks_of(counted, by, column, name), [*by, column])
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """rho of each group; null where a column is constant or there are fewer than two rows."""
-    ranked = midranks(midranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "__x"), by, y, "__y")
-    steady = (F.stddev_pop("__x") == 0) | (F.stddev_pop("__y") == 0) | (F.count("*") < 2)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(~steady, correlation(F.col("__x"), F.col("__y"))).alias("rho"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__times"))
+    rank = lambda c, name: midranks_of(pairs, by, c, name)
+    ranked = met(met(pairs, rank(x, "__x"), [*by, x]), rank(y, "__y"), [*by, y])
+    n, w, a, b = F.sum("__times"), F.col("__times"), F.col("__x"), F.col("__y")
+    mean = (n + 1) / 2  # of midranks
+    sums = ranked.groupBy(*by).agg(n.alias("n"), (F.min("__x") == F.max("__x")).alias("flat_x"), (F.min("__y") == F.max("__y")).alias("flat_y"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), mean.alias("mean"))
+    spread = lambda c: F.col(c) - F.col("n") * F.col("mean") * F.col("mean")
+    steady = (F.col("n") < 2) | F.col("flat_x") | F.col("flat_y")
+    return sums.select(*by, "n", F.when(~steady, spread("ab") / F.sqrt(spread("aa") * spread("bb"))).alias("rho"))
+
+
+def midranks_of(counted: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Average ranks of the distinct values of ``column`` in a table that counts its rows in ``__times``."""
+    values = counted.groupBy(*by, column).agg(F.sum("__times").cast("double").alias("__n"))
+    return running(values, by, column, ["__n"]).select(*by, column, (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(name))
 
 
 def separation(scores: DataFrame, by: list[str]) -> DataFrame:

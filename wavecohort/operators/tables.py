@@ -108,6 +108,29 @@ def submission(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("decision", F.when(F.col("valid") & (F.col("prob") >= threshold), 1).otherwise(0))
 
 
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` once: where a table is there already, it is read and ``df`` is not evaluated."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_submission(df: DataFrame, path: str, by: list[str]) -> None:
+    """Decisions as CSV in ``path``/rows, and for each group n, positives and positive_rate as JSON in ``path``/metadata."""
+    df.write.option("header", True).csv(f"{path}/rows")
+    df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("decision").cast("long").alias("positives"), F.avg("decision").alias("positive_rate")).write.json(f"{path}/metadata")
+
+
+def signal_state(df: DataFrame, values: str, length: int, peak: float, least: int) -> DataFrame:
+    """Adds active (at least ``least`` samples beyond ``peak``) and sound (the full length, and no NaN) of saved signals."""
+    active = F.size(F.filter(values, lambda x: F.abs(x.cast("double")) > F.lit(peak))) >= least
+    return df.withColumns({"active": active, "sound": (F.size(values) == length) & F.forall(values, lambda x: ~F.isnan(x))})
+
+
+def flat(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Fields of nested records as columns, each by its last name; what a missing struct would hold is null."""
+    return df.select(*[F.col(p).alias(p.rpartition(".")[2]) for p in paths])
+
+
 def code_labels(df: DataFrame, key: str, mapping: dict[str, int]) -> DataFrame:
     """(key, class_idx, y): codes mapped many to one; the presence of a code is what counts, unmapped codes are dropped."""
     names = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair])

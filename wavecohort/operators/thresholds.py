@@ -9,32 +9,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .metrics import ratio, tie_table
+from .metrics import ratio, running, tie_table
 
 LOWEST, HIGHEST, DEFAULT = 0.001, 0.999, 0.5
 
 
-def candidates(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Midpoints of neighbouring distinct scores, clipped; a group of fewer than two gets the default."""
-    w = Window.partitionBy(*by).orderBy("prob")
-    mid = scores.select(*by, "prob").distinct().select(*by, ((F.col("prob") + F.lead("prob").over(w)) / 2).alias("mid"))
+def candidates_of(ties: DataFrame, by: list[str]) -> DataFrame:
+    """As ``candidates``, of a table with a row for each distinct score."""
+    mid = running(ties.select(*by, "prob"), by, "prob", []).select(*by, ((F.col("prob") + F.col("prob_next")) / 2).alias("mid"))
     cut = F.least(F.greatest("mid", F.lit(LOWEST)), F.lit(HIGHEST))
     some = mid.where("mid is not null").select(*by, cut.alias("cutoff")).distinct()
     none = mid.groupBy(*by).agg(F.count("mid").alias("k")).where("k = 0").select(*by, F.lit(DEFAULT).alias("cutoff"))
     return some.unionByName(none)
 
 
-def rates_at(scores: DataFrame, cutoffs: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
-    """tp, fp, p, q (weighted negatives) and rates of ``prob >= cutoff`` for all cutoffs of each group."""
-    ties = tie_table(scores, by, weight).select(*by, F.col("prob").alias("at"), "pos", "neg", F.lit(0).alias("is_cut"))
-    rows = ties.unionByName(cutoffs.select(*by, F.col("cutoff").alias("at"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(1).alias("is_cut")))
-    down = Window.partitionBy(*by).orderBy(F.desc("at"), "is_cut").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*by)
-    run = rows.select(*by, F.col("at").alias("cutoff"), "is_cut", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(everything).alias("p"), F.sum("neg").over(everything).alias("q")).where("is_cut = 1").drop("is_cut")
+def candidates(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Midpoints of neighbouring distinct scores, clipped; a group of fewer than two gets the default."""
+    return candidates_of(scores.select(*by, "prob").distinct(), by)
+
+
+def rates_of(ties: DataFrame, cutoffs: DataFrame, by: list[str]) -> DataFrame:
+    """As ``rates_at``, of a tie table."""
+    rows = ties.select(*by, F.col("prob").alias("cutoff"), "pos", "neg", F.lit(0).alias("is_cut")).unionByName(cutoffs.select(*by, "cutoff", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(1).alias("is_cut")))
+    rows = rows.groupBy(*by, "cutoff").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("is_cut").alias("is_cut"))
+    run = running(rows, by, "cutoff", ["pos", "neg"]).where("is_cut = 1")
+    run = run.select(*by, "cutoff", (F.col("pos_all") - F.col("pos_before")).alias("tp"), (F.col("neg_all") - F.col("neg_before")).alias("fp"), F.col("pos_all").alias("p"), F.col("neg_all").alias("q"))
     tp, fp, p, q = (F.col(c) for c in ("tp", "fp", "p", "q"))
     return run.withColumns({"sensitivity": ratio(tp, p), "specificity": ratio(q - fp, q), "precision": ratio(tp, tp + fp)})
 
 
+def rates_at(scores: DataFrame, cutoffs: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """tp, fp, p, q (weighted negatives) and rates of ``prob >= cutoff`` for all cutoffs of each group."""
+    return rates_of(tie_table(scores, by, weight), cutoffs, by)
+
+
 def fbeta(beta: float = 1.0) -> Column:
     """F-beta of tp, fp and p; 0 where its denominator is."""
     b = beta * beta
@@ -45,10 +53,15 @@ def first_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__place = 1").drop("__place")
 
 
+def best_fbeta_of(ties: DataFrame, by: list[str], beta: float = 1.0) -> DataFrame:
+    """As ``best_fbeta``, of a tie table."""
+    at = rates_of(ties, candidates_of(ties, by), by).withColumn("score", F.round(fbeta(beta), 12))
+    return first_by(at, by, F.desc("score"), F.asc("cutoff"))
+
+
 def best_fbeta(scores: DataFrame, by: list[str], beta: float = 1.0, weight: Column | None = None) -> DataFrame:
     """The cutoff of the greatest F-beta, the smallest among equals."""
-    at = rates_at(scores, candidates(scores, by), by, weight).withColumn("score", F.round(fbeta(beta), 12))
-    return first_by(at, by, F.desc("score"), F.asc("cutoff"))
+    return best_fbeta_of(tie_table(scores, by, weight), by, beta)
 
 
 def at_sensitivity(scores: DataFrame, by: list[str], floor: float) -> DataFrame:
@@ -76,18 +89,22 @@ def crossfit(scores: DataFrame, group: str, by: list[str], blocks: int = 5, repe
     """F-beta cutoffs fitted on the other blocks and applied to the held-out one, pooled over blocks.
 
     Blocks are a hash of (repeat, group), so that a group is never split. One row for each ``by``: the rates pooled over
-    blocks and averaged over repeats, and the median cutoff.
+    blocks and averaged over repeats, and the median cutoff. All comes from one tie table of blocks: what a block is
+    fitted on is the table of all blocks less its own.
     """
     block = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("repeat").cast("string"), F.col(group).cast("string"))), 1, 7), 16, 10).cast("int"), F.lit(blocks))
     rows = scores.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("block", block)
-    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: k != F.col("block"))
-    fit = rows.withColumn("held", F.explode(others))
-    keys = [*by, "repeat", "held"]
-    cut = best_fbeta(fit, keys, beta).select(*by, "repeat", F.col("held").alias("block"), "cutoff")
+    keys = [*by, "repeat"]
+    own = tie_table(rows, [*keys, "block"])
+    each = lambda c, k: F.sum(F.when(F.col("block") == k, F.col(c)).otherwise(0.0))
+    spread = own.groupBy(*keys, "prob").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.array(*[F.struct(F.lit(k).alias("held"), each("pos", k).alias("pos"), each("neg", k).alias("neg")) for k in range(blocks)]).alias("parts"))
+    fit = spread.select(*keys, "prob", F.explode("parts").alias("part"), "all_pos", "all_neg").select(*keys, "part.held", "prob", (F.col("all_pos") - F.col("part.pos")).alias("pos"), (F.col("all_neg") - F.col("part.neg")).alias("neg")).where("pos + neg > 0")
+    there = own.select(*keys, F.col("block").alias("held")).distinct()
+    cut = best_fbeta_of(fit.join(there, [*keys, "held"]), [*keys, "held"], beta).select(*keys, F.col("held").alias("block"), "cutoff")
     active = F.col("prob") >= F.col("cutoff")
-    y = F.col("y") == 1
-    each = rows.join(cut, [*by, "repeat", "block"]).groupBy(*by, "repeat").agg(F.count_if(active & y).alias("tp"), F.count_if(~active & ~y).alias("tn"), F.count_if(y).alias("p"), F.count_if(~y).alias("q"))
-    out = each.groupBy(*by).agg(F.avg(ratio(F.col("tp"), F.col("p"))).alias("sensitivity"), F.avg(ratio(F.col("tn"), F.col("q"))).alias("specificity"))
+    some = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0.0))
+    rates = own.join(cut, [*keys, "block"]).groupBy(*keys).agg(some(active, "pos").alias("tp"), some(~active, "neg").alias("tn"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    out = rates.groupBy(*by).agg(F.avg(ratio(F.col("tp"), F.col("p"))).alias("sensitivity"), F.avg(ratio(F.col("tn"), F.col("q"))).alias("specificity"))
     return out.join(cut.groupBy(*by).agg(F.percentile("cutoff", 0.5).alias("median_cutoff")), by)
 
 
@@ -140,13 +157,16 @@ def bootstrap_interval(sums: DataFrame, unit: str, by: list[str], numerator: str
 
 
 def bootstrap_metric(scores: DataFrame, unit: str, metric, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval of any metric: ``metric(df, by)`` gives a column ``value`` for each replicate.
+    """Percentile interval of a metric of tie tables: ``metric(ties, by)`` gives a column ``value`` for each replicate.
 
-    Units are repeated by their Poisson(1) draw; a null value is a degenerate replicate and is left out.
+    A unit's Poisson(1) draw weighs its scores, which are counted by unit and score before they are repeated for the
+    replicates; a null value is a degenerate replicate and is left out.
     """
-    rows = scores.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    counted = tie_table(scores, [unit])
+    rows = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     rows = rows.withColumn("copies", poisson_one(draw(seed, F.col("replicate"), F.col(unit)))).where("copies > 0")
-    value = metric(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), ["replicate"]).where("value is not null")
+    ties = rows.groupBy("replicate", "prob").agg(F.sum(F.col("copies") * F.col("pos")).alias("pos"), F.sum(F.col("copies") * F.col("neg")).alias("neg"))
+    value = metric(ties, ["replicate"]).where("value is not null")
     return value.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.5).alias("mid"), F.percentile("value", 0.975).alias("high"), F.count("*").alias("n_replicates"))
 
 

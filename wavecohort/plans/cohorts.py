@@ -223,16 +223,16 @@ def _(spark, sf):
     return C.quantile_strata(audit(spark, sf), "layout_cost", ["q1", "q2", "q3", "q4"]).groupBy("stratum").agg(F.count("*").alias("n"), F.min("layout_cost").alias("lo"), F.max("layout_cost").alias("hi"))
 
 
-@query("M16_stratum_damage", """with $scores, p as (select a.record_id, a.y, a.prob as a, b.prob as b, case when a.record_id % 100 > 60 then 'poor' else 'fine' end as stratum from scores a join scores_b b on a.record_id = b.record_id and a.class_idx = b.class_idx where a.class = 'FN'),
-r as (select record_id, y, a, b, unnest([stratum, 'all']) as stratum from p) select stratum, count(*) as n, round(avg(abs(b - a)), 6) as mean_abs, round(quantile_cont(abs(b - a), 0.5), 6) as median_abs, round(avg(b - a), 6) as shift, round(corr(a, b), 6) as correlation, round(count(*) filter (a >= 0.5::double and y = 1)::double / count(*) filter (y = 1), 6) as sensitivity_a, round(count(*) filter (b >= 0.5::double and y = 1)::double / count(*) filter (y = 1), 6) as sensitivity_b from r group by stratum""")
+@query("M16_stratum_damage", """with $scores, p as (select a.record_id, a.class, a.y, a.prob as a, b.prob as b, case when a.record_id % 100 > 60 then 'poor' else 'fine' end as stratum from scores a join scores_b b on a.record_id = b.record_id and a.class_idx = b.class_idx),
+r as (select record_id, class, y, a, b, unnest([stratum, 'all']) as stratum from p) select stratum, class, count(*) as n, round(avg(abs(b - a)), 6) as mean_abs, round(quantile_cont(abs(b - a), 0.5), 6) as median_abs, round(avg(b - a), 6) as shift, round(corr(a, b), 6) as correlation, round(count(*) filter (a >= 0.5::double and y = 1)::double / count(*) filter (y = 1), 6) as sensitivity_a, round(count(*) filter (b >= 0.5::double and y = 1)::double / count(*) filter (y = 1), 6) as sensitivity_b from r group by stratum, class""")
 def _(spark, sf):
     from .evaluation import pairs
 
     d, y = F.col("b") - F.col("a"), F.col("y") == 1
-    r = pairs(spark, sf).where("class = 'FN'").withColumn("stratum", F.explode(F.array(F.when(F.col("record_id") % 100 > 60, "poor").otherwise("fine"), F.lit("all"))))
+    r = pairs(spark, sf).withColumn("stratum", F.explode(F.array(F.when(F.col("record_id") % 100 > 60, "poor").otherwise("fine"), F.lit("all"))))
     hit = lambda c: F.try_divide(F.count_if((F.col(c) >= 0.5) & y).cast("double"), F.count_if(y))
-    out = r.groupBy("stratum").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.percentile(F.abs(d), 0.5).alias("median_abs"), F.avg(d).alias("shift"), M.correlation(F.col("a"), F.col("b")).alias("correlation"), hit("a").alias("sensitivity_a"), hit("b").alias("sensitivity_b"))
-    return rounded(out, *out.columns[2:])
+    out = r.groupBy("stratum", "class").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mean_abs"), F.percentile(F.abs(d), 0.5).alias("median_abs"), F.avg(d).alias("shift"), M.correlation(F.col("a"), F.col("b")).alias("correlation"), hit("a").alias("sensitivity_a"), hit("b").alias("sensitivity_b"))
+    return rounded(out, *out.columns[3:])
 
 
 SQL_CASE = f"$scores, {ONE}, quota as (select cast(round_even(sum(y) * 0.5::double, 0) as bigint) as quota from one), neg as (select *, row_number() over (order by md5('42|' || record_id::varchar), record_id) as place from one where y = 0)"

@@ -211,12 +211,12 @@ def arms(spark, sf):
     return S.unpivot_arms(p.withColumn("m", (F.col("a") + F.col("b")) / 2), {"clean": "a", "second": "b", "mean": "m"}, ["record_id", "class", "y"])
 
 
-@query("M13_three_arms", SQL_ARMS + f""", one as (select * from arms where class = 'FN'), {sql_ranking('rk', 'one', 'arm')}, c as (select arm, {sql_counts('prob >= 0.5::double')} from one group by arm),
-r as (select corr(a, b) as r from pairs where class = 'FN') select arm, tp, fp, tn, fn, {SQL_RATES}, n, positives, round(auroc, 6) as auroc, round(average_precision, 6) as average_precision, round(r, 6) as score_correlation from c join rk using (arm), r""")
+@query("M13_three_arms", SQL_ARMS + f""", {sql_ranking('rk', 'arms', 'arm, class')}, c as (select arm, class, {sql_counts('prob >= 0.5::double')} from arms group by arm, class),
+r as (select class, corr(a, b) as r from pairs group by class) select arm, class, tp, fp, tn, fn, {SQL_RATES}, n, positives, round(auroc, 6) as auroc, round(average_precision, 6) as average_precision, round(r, 6) as score_correlation from c join rk using (arm, class) join r using (class)""")
 def _(spark, sf):
-    point = M.operating_point(arms(spark, sf).where("class = 'FN'"), ["arm"])
-    r = pairs(spark, sf).where("class = 'FN'").agg(M.correlation(F.col("a"), F.col("b")).alias("score_correlation"))
-    return rounded(point.crossJoin(r), *RATES, "auroc", "average_precision", "score_correlation")  # r is one row
+    point = M.operating_point(arms(spark, sf), ["arm", "class"])
+    r = pairs(spark, sf).groupBy("class").agg(M.correlation(F.col("a"), F.col("b")).alias("score_correlation"))
+    return rounded(point.join(r, "class"), *RATES, "auroc", "average_precision", "score_correlation")
 
 
 @query("M14_three_views", SQL_ARMS + f""", {sql_ranking('rk', 'arms', 'arm, class')}, sep as (select arm, class, quantile_cont(prob, 0.5) filter (y = 1) - quantile_cont(prob, 0.5) filter (y = 0) as separation from arms group by arm, class)

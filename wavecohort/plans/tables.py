@@ -77,11 +77,14 @@ def _(spark, sf):
 
 
 def _scratch(spark, name):
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``."""
     import tempfile
     import uuid
 
-    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reports-")
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if held is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors would not see a local folder")
+    held = held or tempfile.mkdtemp(prefix="reports-")
     return f"{held}/{name}-{uuid.uuid4().hex}"
 
 
@@ -99,16 +102,33 @@ def _(spark, sf):
     return spark.read.schema("s_suppkey long, s_name string").json(path)
 
 
-@query("S12_validity_cache", "with $audit select count(*) as n, count(*) filter (status = 'success' and median_correlation is not null) as n_valid from audit")
+@query("S12_validity_cache", "with $audit select image_id, median_correlation, coalesce(status = 'success' and median_correlation is not null, false) as valid from audit")
 def _(spark, sf):
-    v = T.with_validity(audit(spark, sf), (F.col("status") == "success") & F.col("median_correlation").isNotNull())
-    return v.agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
+    rows = T.with_validity(audit(spark, sf), (F.col("status") == "success") & F.col("median_correlation").isNotNull()).select("image_id", "median_correlation", "valid")
+    path = _scratch(spark, "cache")
+    T.cached(rows, path)
+    return T.cached(rows.limit(0), path)  # what is there is read, not made again
 
 
-@query("S13_submission", "with $scores select record_id, case when record_id % 17 <> 0 and prob >= 0.6::double then 1 else 0 end as decision from scores where class = 'FA'")
+SQL_SUB = "with $scores, sub as (select record_id, class, case when record_id % 17 <> 0 and prob >= 0.6::double then 1 else 0 end as decision from scores)"
+
+
+def _submitted(spark, sf):
+    path = _scratch(spark, "submission")
+    rows = T.with_validity(scores(spark, sf), F.col("record_id") % 17 != 0)
+    T.write_submission(T.submission(rows, 0.6).select("record_id", "class", "decision"), path, ["class"])
+    return path
+
+
+@query("S13_submission", f"{SQL_SUB} select record_id, class, decision from sub")
 def _(spark, sf):
-    rows = T.with_validity(scores(spark, sf).where("class = 'FA'"), F.col("record_id") % 17 != 0)
-    return T.submission(rows, 0.6).select("record_id", "decision")
+    return spark.read.option("header", True).schema("record_id long, class string, decision int").csv(f"{_submitted(spark, sf)}/rows")
+
+
+@query("S13_submission_metadata", f"{SQL_SUB} select class, count(*) as n, cast(sum(decision) as bigint) as positives, round(avg(decision), 6) as positive_rate from sub group by class")
+def _(spark, sf):
+    meta = spark.read.schema("class string, n long, positives long, positive_rate double").json(f"{_submitted(spark, sf)}/metadata")
+    return meta.withColumn("positive_rate", F.round("positive_rate", 6))
 
 
 URL = "u as (select page_id, regexp_replace(url, '^https?://', '') as p from pages)"
@@ -168,14 +188,14 @@ def _(spark, sf):
 
 @query("P10_saved_signals", "select vec_id, len(list_filter(embedding, lambda x: abs(x) > 0.3)) >= 3 as active, len(embedding) = 64 and len(list_filter(embedding, lambda x: isnan(x))) = 0 as sound from embeddings")
 def _(spark, sf):
-    return read(spark, sf, "embeddings").select("vec_id", (F.size(F.filter("embedding", lambda x: F.abs(x.cast("double")) > F.lit(0.3))) >= 3).alias("active"), ((F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x))).alias("sound"))
+    return T.signal_state(read(spark, sf, "embeddings"), "embedding", 64, 0.3, 3).select("vec_id", "active", "sound")
 
 
-@query("P16_flat_records", "with $audit select image_id, category, status, case when status = 'success' then layout_cost end as layout_cost, case when status = 'success' then median_correlation end as median_correlation, case when status = 'success' then median_rmse_mv end as rmse from audit")
+@query("P16_flat_records", "with $audit select image_id, category, status, case when status = 'success' then layout_cost end as layout_cost, case when status = 'success' then median_correlation end as median_correlation, case when status = 'success' then median_rmse_mv end as median_rmse_mv from audit")
 def _(spark, sf):
     ok = F.col("status") == "success"
     nested = audit(spark, sf).select("image_id", "category", "status", F.when(ok, F.struct("layout_cost", "raw_lines_count")).alias("diagnostics"), F.when(ok, F.struct("median_correlation", F.struct("median_rmse_mv").alias("absolute"))).alias("fidelity"))
-    return nested.select("image_id", "category", "status", "diagnostics.layout_cost", "fidelity.median_correlation", F.col("fidelity.absolute.median_rmse_mv").alias("rmse"))
+    return T.flat(nested, ["image_id", "category", "status", "diagnostics.layout_cost", "fidelity.median_correlation", "fidelity.absolute.median_rmse_mv"])
 
 
 @query("F7_content_address", """with r as (select sha256(s_name || '|' || s_suppkey) as r from supplier), p as (select substr(r, 1, 3) as p, sha256(string_agg(r, '' order by r)) as d, count(*) as n from r group by 1) select sha256(string_agg(p || d, '' order by p)) as manifest_id, cast(sum(n) as bigint) as n from p""")
@@ -208,20 +228,22 @@ def _(spark, sf):
     return _manifest(spark, sf).select("k", C.strict_true(F.col("phi_reviewed")).alias("reviewed"))
 
 
-@query("D18_manifest_validation", f"""with {SQL_MAN}, r as (select case_id, unnest(list_filter([case when not regexp_full_match(case_id, 'case_[0-9]+') then 'case_id is not anonymous' end, case when lower(trim(phi)) <> 'true' then 'PHI review must be explicitly true' end, case when variant not in ('flat', 'angled') then 'unsupported variant' end, case when split not in ('tune', 'test') then 'unsupported split' end,
- case when path like '/%' or list_contains(string_split(path, '/'), '..') or path = '' then 'path must be a safe relative path' end, case when not regexp_full_match(sha256, '[0-9a-f]{{64}}') then 'sha256 must be lowercase' end], lambda x: x is not null)) as error from m
- union all select case_id, 'case in several splits' from m group by case_id having count(distinct split) > 1 union all select min(case_id), 'photo_id is repeated' from m group by photo_id having count(*) > 1) select error, count(*) as n, count(distinct case_id) as n_cases from r group by error""")
+SQL_ERRORS = f"""{SQL_MAN}, checks as (select case_id, unnest([struct_pack(field := 'case_id', rule := 'pattern', ok := regexp_full_match(case_id, 'case_[0-9]+')), struct_pack(field := 'phi_reviewed', rule := 'flag', ok := lower(trim(phi)) = 'true'), struct_pack(field := 'variant', rule := 'choice', ok := variant in ('flat', 'angled')),
+ struct_pack(field := 'split', rule := 'choice', ok := split in ('tune', 'test')), struct_pack(field := 'path', rule := 'path', ok := not (path like '/%' or list_contains(string_split(path, '/'), '..') or path = '')), struct_pack(field := 'sha256', rule := 'digest', ok := regexp_full_match(sha256, '[0-9a-f]{{64}}'))]) as c from m),
+errors as (select case_id, c.field as field, c.rule as rule from checks where not c.ok union all select case_id, 'split', 'leak' from m group by case_id having count(distinct split) > 1 union all select min(case_id), 'photo_id', 'repeat' from m group by photo_id having count(*) > 1)"""
+
+
+@query("D18_manifest_validation", f"with {SQL_ERRORS} select field, rule, count(*) as n, count(distinct case_id) as n_cases from errors group by field, rule")
 def _(spark, sf):
     e = C.manifest_errors(_manifest(spark, sf), ["flat", "angled"], ["tune", "test"], r"^case_[0-9]+$")
-    return e.groupBy("error").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("n_cases"))
+    return e.groupBy("field", "rule").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("n_cases"))
 
 
-@query("D19_inventory_to_manifest")
+@query("D19_inventory_to_manifest", f"with {SQL_ERRORS}, f as (select p_partkey as k, sha256(p_name) as found from part where p_partkey % 29 <> 0) select m.k, case_id, path, found as sha256, split from m join f using (k) where case_id not in (select case_id from errors) and lower(m.sha256) = found")
 def _(spark, sf):
-    m = _manifest(spark, sf)
-    files = T.fingerprints(read(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name"), "p_name").select("k", F.col("sha256").alias("found"))
-    out = m.join(files, "k")
-    return out.select("k", "case_id", "path", "found", (F.lower("sha256") == F.col("found")).alias("same"))
+    files = read(spark, sf, "part").where("p_partkey % 29 <> 0").select(F.col("p_partkey").alias("k"), "p_name")  # some files are missing
+    found = T.fingerprints(files, "p_name").select("k", F.col("sha256").alias("found"))
+    return C.built_manifest(_manifest(spark, sf), found, "k", ["flat", "angled"], ["tune", "test"], r"^case_[0-9]+$").select("k", "case_id", "path", "sha256", "split")
 
 
 @query("L1_linear_probe")
@@ -233,7 +255,7 @@ def _(spark, sf):
     return L.probe_scores(v, model, "embedding").select("record_id", "y", F.round("prob", 4).alias("prob"), "held_out")
 
 
-@query("L2_batch_scoring")
+@query("L2_batch_scoring", "select vec_id, vec_id % 9 <> 0 and len(embedding) = 64 as valid, case when vec_id % 9 <> 0 and len(embedding) = 64 then round(1 / (1 + exp(-list_avg(list_transform(embedding, lambda x: x::double)))), 5) end as prob from embeddings")
 def _(spark, sf):
     from ..operators import models as L
 

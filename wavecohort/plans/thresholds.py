@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators import thresholds as H
-from .evaluation import SQL_ARMS, SQL_METRICS, METRICS, arms, rounded, sql_counts, sql_ranking, sql_report
+from .evaluation import METRICS, SQL_ARMS, SQL_METRICS, SQL_RATES, arms, rounded, sql_counts, sql_ranking, sql_report
 from .proxies import doc_scores, scores, scores_b
 from .registry import query
 
@@ -29,6 +29,43 @@ def sql_rates(source: str, by: str, name: str = "rates", cuts: str = "cand", wei
   case when p + tp + fp = 0 then 0 else 2 * tp / (p + tp + fp) end as f1, case when 4 * p + tp + fp = 0 then 0 else 5 * tp / (4 * p + tp + fp) end as f2 from {name}_r join {name}_all using ({by}) where is_cut = 1)"""
 
 
+def sql_logit(p: str) -> str:
+    return f"ln(least(greatest({p}, 1e-6), 1 - 1e-6) / (1 - least(greatest({p}, 1e-6), 1 - 1e-6)))"
+
+
+def sql_poisson(seed: int, replicate: str, unit: str) -> tuple[str, str]:
+    """A hash draw ``u``, and the Poisson(1) count of it."""
+    at, total, steps = 0.36787944117144233, 0.0, []
+    for k in range(6):
+        total += at
+        steps.append(f"(u >= {total!r}::double)::int")
+        at /= k + 1
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {replicate}::varchar, {unit}::varchar)), 1, 13))::bigint::double / 4503599627370496::double as u", " + ".join(steps)
+
+
+def sql_bootstrap(units: str, unit: str, by: str = "", replicates: int = 500) -> str:
+    """CTEs: ``boot`` has the interval of sum(a) / sum(b) over ``units`` (by, unit, a, b)."""
+    draw, count = sql_poisson(7, "replicate", unit)
+    lead, using = (f"{by}, ", f"join ends using ({by})") if by else ("", ", ends")
+    return f"""drawn as (select u.*, replicate, {draw} from {units} u, (select unnest(range(0, {replicates})) as replicate)), weighed as (select *, {count} as w from drawn),
+value as (select {lead}replicate, sum(w * a) / sum(w * b) as value from weighed where w > 0 group by {lead}replicate having sum(w * b) > 0),
+ends as (select {lead}quantile_cont(value, 0.025) as low, quantile_cont(value, 0.975) as high, count(*) as n_replicates from value {f"group by {by}" if by else ""}),
+point as (select {lead}sum(a) / sum(b) as estimate, count(*) as n_units from {units} {f"group by {by}" if by else ""}),
+boot as (select {lead}round(estimate, 4) as estimate, n_units, round(low, 4) as low, round(high, 4) as high, n_replicates from point {using})"""
+
+
+def sql_platt(source: str, rounds: int = 12) -> str:
+    """CTEs: ``platt`` has slope and intercept of each class, by Newton's method."""
+    out = f"""px as (select class, sum(y)::double as pos, count(*)::double as n, {sql_logit('prob')} as x from {source} group by class, prob),
+pf0 as (select class, 0::double as a, 0::double as b, sum(pos) as p, sum(n) as m from px group by class)"""
+    for k in range(rounds):
+        out += f""",
+pg{k} as (select class, a, b, p, m, sum((n * q - pos) * x) + a as ga, sum(n * q - pos) as gb, sum(n * q * (1 - q) * x * x) + 1 as haa, sum(n * q * (1 - q) * x) as hab, sum(n * q * (1 - q)) as hbb from (select px.*, a, b, p, m, 1 / (1 + exp(-(a * x + b))) as q from px join pf{k} using (class)) group by class, a, b, p, m),
+pf{k + 1} as (select class, case when haa * hbb - hab * hab > 1e-12 then a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) else a end as a, case when haa * hbb - hab * hab > 1e-12 then b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) else b end as b, p, m from pg{k})"""
+    return out + f""",
+platt as (select class, case when p > 0 and p < m and a > 0 then a end as slope, case when p > 0 and p < m and a > 0 then b end as intercept from pf{rounds})"""
+
+
 SCAN = f"with $scores, {sql_candidates('scores', 'class')}, {sql_rates('scores', 'class')}"
 
 
@@ -101,12 +138,14 @@ def _(spark, sf):
     return M.ranking(s, ["class"]).join(H.best_f1_observed(s, ["class"]), "class").select("class", "positives", H.assign_tier().alias("tier"))
 
 
-@query("H11_platt_fit")
+@query("H11_platt_fit", f"with $scores, {sql_platt('scores')} select class, round(slope, 4) as slope, round(intercept, 4) as intercept from platt")
 def _(spark, sf):
     return rounded(H.platt_fit(scores(spark, sf), ["class"]), "slope", "intercept", n=4)
 
 
-@query("H12_fit_calibration")
+@query("H12_fit_calibration", f"""with $scores, {sql_platt('scores')}, enough as (select class from scores group by class having sum(y) >= 10),
+fitted as (select record_id, class, y, case when slope is null then prob else 1 / (1 + exp(-(slope * {sql_logit('prob')} + intercept))) end as prob from scores join enough using (class) join platt using (class)), {sql_ranking('rk', 'fitted', 'class')}, {sql_observed('fitted')}
+select class, positives, round(auroc, 4) as auroc, round(cutoff, 4) as cutoff, round(f1, 4) as f1, {SQL_TIER_CASE} from rk join ship using (class)""")
 def _(spark, sf):
     s = scores(spark, sf)
     enough = s.groupBy("class").agg(F.sum("y").alias("k")).where("k >= 10").select("class")
@@ -121,32 +160,32 @@ def _(spark, sf):
     return rounded(M.multilabel_report(audit, ["arm"]), *METRICS)
 
 
-@query("H15_arm_report", SQL_ARMS + f""", one as (select * from arms where class = 'FR'), {sql_candidates('one', 'arm')}, {sql_rates('one', 'arm')}, inherited as (select arm, {sql_counts('prob >= 0.5::double')}, quantile_cont(prob, 0.5) filter (y = 1) as med1, quantile_cont(prob, 0.5) filter (y = 0) as med0 from one group by arm),
-best as (select arm, cutoff, f1 from (select *, row_number() over (partition by arm order by round(f1, 12) desc, cutoff) as place from rates) where place = 1)
-select arm, tp, fp, tn, fn, round(med1, 6) as median_positive, round(med0, 6) as median_negative, round(cutoff, 6) as best_cutoff, round(f1, 6) as best_f1 from inherited join best using (arm)""")
+@query("H15_arm_report", SQL_ARMS + f""", {sql_candidates('arms', 'arm, class')}, {sql_rates('arms', 'arm, class')}, inherited as (select arm, class, {sql_counts('prob >= 0.5::double')}, quantile_cont(prob, 0.5) filter (y = 1) as med1, quantile_cont(prob, 0.5) filter (y = 0) as med0 from arms group by arm, class),
+best as (select arm, class, cutoff, f1 from (select *, row_number() over (partition by arm, class order by round(f1, 12) desc, cutoff) as place from rates) where place = 1)
+select arm, class, tp, fp, tn, fn, round(med1, 6) as median_positive, round(med0, 6) as median_negative, round(cutoff, 6) as best_cutoff, round(f1, 6) as best_f1 from inherited join best using (arm, class)""")
 def _(spark, sf):
     return rounded(_arm_report(spark, sf), "median_positive", "median_negative", "best_cutoff", "best_f1")
 
 
 def _arm_report(spark, sf):
-    one = arms(spark, sf).where("class = 'FR'")
+    rows, by = arms(spark, sf), ["arm", "class"]
     med = lambda v: F.percentile(F.when(F.col("y") == v, F.col("prob")), 0.5)
-    inherited = one.groupBy("arm").agg(*M.counts(F.col("prob") >= 0.5), med(1).alias("median_positive"), med(0).alias("median_negative"))
-    best = H.best_fbeta(one, ["arm"]).select("arm", F.col("cutoff").alias("best_cutoff"), F.col("score").alias("best_f1"))
-    return inherited.join(best, "arm")
+    inherited = rows.groupBy(*by).agg(*M.counts(F.col("prob") >= 0.5), med(1).alias("median_positive"), med(0).alias("median_negative"))
+    best = H.best_fbeta(rows, by).select(*by, F.col("cutoff").alias("best_cutoff"), F.col("score").alias("best_f1"))
+    return inherited.join(best, by)
 
 
-@query("H16_sensitivity_gap", SQL_ARMS + f""", one as (select * from arms where class = 'FR'), {sql_candidates('one', 'arm')}, {sql_rates('one', 'arm')}, inherited as (select arm, count(*) filter (prob >= 0.5::double and y = 1)::double / count(*) filter (y = 1) as sens, count(*) filter (prob < 0.5::double and y = 0)::double / count(*) filter (y = 0) as spec from one group by arm),
-clean as (select sens as clean_sens, spec as clean_spec from inherited where arm = 'clean'), iso as (select arm, max(sensitivity) as iso_sensitivity from rates, clean where specificity >= clean_spec - 1e-12 group by arm)
-select arm, round(clean_sens - sens, 6) as gap, round(clean_sens - iso_sensitivity, 6) as iso_gap, round(sens * 0.05::double * 1000, 6) as true_alerts, round((1 - spec) * 0.95::double * 1000, 6) as false_alerts from inherited join iso using (arm), clean""")
+@query("H16_sensitivity_gap", SQL_ARMS + f""", {sql_candidates('arms', 'arm, class')}, {sql_rates('arms', 'arm, class')}, inherited as (select arm, class, count(*) filter (prob >= 0.5::double and y = 1)::double / count(*) filter (y = 1) as sens, count(*) filter (prob < 0.5::double and y = 0)::double / count(*) filter (y = 0) as spec from arms group by arm, class),
+clean as (select class, sens as clean_sens, spec as clean_spec from inherited where arm = 'clean'), iso as (select arm, class, max(sensitivity) as iso_sensitivity from rates join clean using (class) where specificity >= clean_spec - 1e-12 group by arm, class)
+select arm, class, round(clean_sens - sens, 6) as gap, round(clean_sens - iso_sensitivity, 6) as iso_gap, round(sens * 0.05::double * 1000, 6) as true_alerts, round((1 - spec) * 0.95::double * 1000, 6) as false_alerts from inherited join iso using (arm, class) join clean using (class)""")
 def _(spark, sf):
-    one = arms(spark, sf).where("class = 'FR'")
-    at = M.with_rates(one.groupBy("arm").agg(*M.counts(F.col("prob") >= 0.5)))
-    clean = at.where("arm = 'clean'").select(F.col("sensitivity").alias("clean_sens"), F.col("specificity").alias("clean_spec"))
-    rates = H.rates_at(one, H.candidates(one, ["arm"]), ["arm"])
-    iso = rates.crossJoin(F.broadcast(clean)).where("specificity >= clean_spec - 1e-12D").groupBy("arm").agg(F.max("sensitivity").alias("iso"))  # clean is one row
+    rows, by = arms(spark, sf), ["arm", "class"]
+    at = M.with_rates(rows.groupBy(*by).agg(*M.counts(F.col("prob") >= 0.5)))
+    clean = at.where("arm = 'clean'").select("class", F.col("sensitivity").alias("clean_sens"), F.col("specificity").alias("clean_spec"))
+    rates = H.rates_at(rows, H.candidates(rows, by), by)
+    iso = rates.join(clean, "class").where("specificity >= clean_spec - 1e-12D").groupBy(*by).agg(F.max("sensitivity").alias("iso"))
     burden = H.alert_burden(F.col("sensitivity"), F.col("specificity"), 0.05)[:2]
-    out = at.join(iso, "arm").crossJoin(F.broadcast(clean)).select("arm", (F.col("clean_sens") - F.col("sensitivity")).alias("gap"), (F.col("clean_sens") - F.col("iso")).alias("iso_gap"), *burden)
+    out = at.join(iso, by).join(clean, "class").select(*by, (F.col("clean_sens") - F.col("sensitivity")).alias("gap"), (F.col("clean_sens") - F.col("iso")).alias("iso_gap"), *burden)
     return rounded(out, "gap", "iso_gap", "true_alerts", "false_alerts")
 
 
@@ -161,26 +200,34 @@ def _(spark, sf):
     return rounded(H.prevalence_weight(doc_scores(spark, sf), ["lang"], 0.05), "weight")
 
 
-@query("H8_bootstrap_mean")
+@query("H8_bootstrap_mean", f"with $doc_scores, units as (select record_id, sum(prob) as a, count(*)::double as b from doc_scores group by record_id), {sql_bootstrap('units', 'record_id')} select estimate, n_units, low, high, n_replicates from boot")
 def _(spark, sf):
     # every record is a unit of its own
     s = doc_scores(spark, sf).withColumn("one", F.lit(1))
     return rounded(H.bootstrap_interval(s, "record_id", [], "prob", "one"), "estimate", "low", "high", n=4)
 
 
-@query("H9_cluster_bootstrap")
+@query("H9_cluster_bootstrap", f"with $doc_scores, units as (select lang, source, count(*) filter (prob >= 0.5::double)::double as a, count(*)::double as b from doc_scores where y = 1 group by lang, source), {sql_bootstrap('units', 'source', 'lang')} select lang, estimate, n_units, low, high, n_replicates from boot")
 def _(spark, sf):
     rows = doc_scores(spark, sf).where("y = 1").withColumns({"hit": (F.col("prob") >= 0.5).cast("int"), "one": F.lit(1)})
     return rounded(H.bootstrap_interval(rows, "source", ["lang"], "hit", "one"), "estimate", "low", "high", n=4)
 
 
-@query("H9_bootstrap_auroc")
+@query("H9_bootstrap_auroc", f"""with $doc_scores, counted as (select source, prob, sum(y)::double as pos, sum(1 - y)::double as neg from doc_scores group by source, prob), drawn as (select c.*, replicate, {sql_poisson(7, 'replicate', 'source')[0]} from counted c, (select unnest(range(0, 100)) as replicate)),
+ties as (select replicate, prob, sum(w * pos) as pos, sum(w * neg) as neg from (select *, {sql_poisson(7, 'replicate', 'source')[1]} as w from drawn) where w > 0 group by replicate, prob),
+run as (select *, coalesce(sum(neg) over (partition by replicate order by prob rows between unbounded preceding and 1 preceding), 0) as below from ties),
+value as (select sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) as value from run group by replicate having sum(pos) > 0 and sum(neg) > 0)
+select round(quantile_cont(value, 0.025), 4) as low, round(quantile_cont(value, 0.5), 4) as mid, round(quantile_cont(value, 0.975), 4) as high, count(*) as n_replicates from value""")
 def _(spark, sf):
-    auroc = lambda df, by: M.ranking(df, by).select(*by, F.col("auroc").alias("value"))
+    auroc = lambda ties, by: M.ranking_of(ties, by).select(*by, F.col("auroc").alias("value"))
     return rounded(H.bootstrap_metric(doc_scores(spark, sf), "source", auroc, 100), "low", "mid", "high", n=4)
 
 
-@query("H17_strategy_comparison")
+@query("H17_strategy_comparison", f"""with $scores, fit as (select * from scores where record_id % 5 < 4), held as (select * from scores where record_id % 5 = 4), {sql_candidates('fit', 'class')}, {sql_rates('fit', 'class')},
+places as (select class, cutoff, row_number() over (partition by class order by round(f1, 12) desc, cutoff) as f1, row_number() over (partition by class order by (sensitivity >= 0.9::double) desc, case when sensitivity >= 0.9::double then -specificity end, cutoff) as sensitivity,
+  row_number() over (partition by class order by (specificity >= 0.9::double) desc, case when specificity >= 0.9::double then -sensitivity end, case when specificity >= 0.9::double then cutoff else -cutoff end) as specificity from rates),
+cuts as (select class, 'f1' as strategy, cutoff from places where f1 = 1 union all select class, 'sensitivity', cutoff from places where sensitivity = 1 union all select class, 'specificity', cutoff from places where specificity = 1),
+c as (select strategy, class, {sql_counts('prob >= cutoff')} from held join cuts using (class) group by strategy, class) select strategy, class, tp, fp, tn, fn, {SQL_RATES.replace(', 6)', ', 4)')} from c""")
 def _(spark, sf):
     s = scores(spark, sf)
     fit, held = s.where("record_id % 5 < 4"), s.where("record_id % 5 = 4")
