@@ -176,7 +176,7 @@ def morphology(beats: DataFrame, df: DataFrame, by: list[str], fs: float, half:
     w = Window.partitionBy(*keys).orderBy("i")
     up, down = F.col("v") >= share * F.col("peak"), F.col("v") <= -share * F.col("peak")
     d = d.withColumns({"up": up, "down": down, "slope": F.signum(F.col("v") - F.lag("v").over(w))}).withColumn("turn", (F.col("slope") != F.lag("slope").over(w)) & (F.col("slope") != 0))
-    out = d.groupBy(*keys).agg(F.greatest(F.max("v"), F.lit(0.0)).alias("r"), F.greatest(-F.min("v"), F.lit(0.0)).alias("s"), F.min(F.when(F.col("up"), F.col("i"))).alias("first_up"), F.min(F.when(F.col("down"), F.col("i"))).alias("first_down"), F.max_by("i", "v").alias("r_at"), F.min_by("i", "v").alias("s_at"), F.count_if("turn").alias("turns"), F.min("i").alias("on"))
+    out = d.groupBy(*keys).agg(F.greatest(F.max("v"), F.lit(0.0)).alias("r"), F.greatest(-F.min("v"), F.lit(0.0)).alias("s"), F.min(F.when(F.col("up"), F.col("i"))).alias("first_up"), F.min(F.when(F.col("down"), F.col("i"))).alias("first_down"), F.max_by("i", F.struct("v", -F.col("i"))).alias("r_at"), F.min_by("i", F.struct("v", "i")).alias("s_at"), F.count_if("turn").alias("turns"), F.min("i").alias("on"))
     has_r, has_s = F.col("first_up").isNotNull(), F.col("first_down").isNotNull()
     r_first = has_r & (~has_s | (F.col("first_up") < F.col("first_down")))
     pattern = F.when(has_r & ~has_s, "r").when(~has_r & has_s, "qs").when(r_first, "rs").when(has_r & has_s & (F.col("s_at") > F.col("r_at")), "qrs").when(has_r & has_s, "qr")

@@ -99,15 +99,16 @@ def short(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PROXIES["long"] = """
-long as (select user_id % 10 as record_id, event_type as lead, row_number() over (partition by user_id % 10, event_type order by ts, event_id) - 1 as i,
+long as (select user_id // 15 as record_id, event_type as lead, row_number() over (partition by user_id // 15, event_type order by ts, event_id) - 1 as i,
   value as whole, event_id from events),
 gappy as (select record_id, lead, i, case when i % 17 = 5 or i % 97 between 40 and 60 or i < 3 then null else whole end as mv from long)"""
 
 
 def long(spark: SparkSession, sf: str) -> DataFrame:
-    """Series of record and lead, in time order; ``whole`` has all values."""
-    w = Window.partitionBy(F.col("user_id") % 10, "event_type").orderBy("ts", "event_id")
-    return read(spark, sf, "events").select((F.col("user_id") % 10).alias("record_id"), F.col("event_type").alias("lead"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("whole"), "event_id")
+    """Series of record and lead, in time order; ``whole`` has all values. A record is 15 users, so that records grow in number, not in length."""
+    record = F.expr("user_id div 15")
+    w = Window.partitionBy(record, "event_type").orderBy("ts", "event_id")
+    return read(spark, sf, "events").select(record.alias("record_id"), F.col("event_type").alias("lead"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("whole"), "event_id")
 
 
 def gappy(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,13 +69,33 @@ def _(spark, sf):
     return rounded(G.fill_gaps(gappy(spark, sf), BY, 5), "mv")
 
 
-@query("W8_neighbour_repair")
+#: Each lead loses stretches of its own, so that neighbours have what a lead lacks.
+SQL_APART = "apart as (select record_id, lead, i, case when (i + 40 * len(lead)) % 97 between 40 and 60 then null else whole end as mv from long)"
+
+
+def apart(spark, sf):
+    lost = ((F.col("i") + 40 * F.length("lead")) % 97).between(40, 60)
+    return long(spark, sf).select("record_id", "lead", "i", F.when(~lost, F.col("whole")).alias("mv"))
+
+
+@query("W8_neighbour_repair", f"""with $long, {SQL_APART}, pairs as (select * from (values ('view', 'click', 0), ('view', 'scroll', 1), ('click', 'view', 0), ('scroll', 'view', 0)) t(lead, other, rank)),
+g as (select record_id, lead, min(i) as start, max(i) + 1 as stop from (select *, i - row_number() over (partition by record_id, lead, mv is null order by i) as run from apart) where mv is null group by record_id, lead, run having max(i) + 1 - min(i) > 10),
+c as (select record_id, lead, start, stop, other, rank, unnest(range(greatest(start - 50, 0), stop + 50)) as i from g join pairs using (lead)),
+p as (select c.*, a.mv, b.mv as x from c left join apart a on a.record_id = c.record_id and a.lead = c.lead and a.i = c.i left join apart b on b.record_id = c.record_id and b.lead = c.other and b.i = c.i),
+f as (select record_id, lead, start, stop, other, rank, count(*) filter (i >= start and i < stop and x is not null) / count(*) filter (i >= start and i < stop) as share, count(*) filter (mv is not null and x is not null) as points, regr_slope(mv, x) as slope, regr_intercept(mv, x) as shift from p group by all),
+best as (select * from (select *, row_number() over (partition by record_id, lead, start order by rank, other) as place from f where share >= 0.55::double and points >= 12 and abs(slope) <= 8) where place = 1),
+fill as (select e.record_id, e.lead, e.i, slope * x.mv + shift as fill from (select *, unnest(range(start, stop)) as i from best) e join apart x on x.record_id = e.record_id and x.lead = e.other and x.i = e.i)
+select a.record_id, a.lead, a.i, round(coalesce(mv, fill), 5) as mv from apart a left join fill using (record_id, lead, i)""")
 def _(spark, sf):
     pairs = spark.createDataFrame([("view", "click", 0), ("view", "scroll", 1), ("click", "view", 0), ("scroll", "view", 0)], "lead string, other string, rank int")
-    return rounded(G.repair_from_neighbours(gappy(spark, sf), pairs, 10), "mv", n=5)
+    return rounded(G.repair_from_neighbours(apart(spark, sf), pairs, 10), "mv", n=5)
 
 
-@query("W9_expand_segments")
+@query("W9_expand_segments", """with $short, lost as (select record_id, lead_idx, i, case when i // 16 = lead_idx % 4 then mv end as mv from short), sp as (select record_id, lead_idx, count(*) as n, min(case when mv is not null then i end) as first, max(case when mv is not null then i end) as last from lost group by 1, 2),
+shape as (select record_id, cast(least(greatest(round(max(n) / quantile_cont(last - first + 1, 0.5)), 1), 6) as int) as columns from sp where last is not null group by 1), med as (select record_id, lead_idx, quantile_cont(mv, 0.5) as med from lost group by 1, 2),
+seg as (select l.record_id, l.lead_idx, columns, l.i - first as k, l.mv, last - first + 1 as width from lost l join sp using (record_id, lead_idx) join shape using (record_id) where l.i between first and last),
+tiles as (select seg.*, (63 - k) // width + 1 as times from seg)
+select record_id, lead_idx, columns, cast(any_value(width) as int) as width, 64 as n, round(sum(mv * times), 4) as total from tiles group by 1, 2, 3""")
 def _(spark, sf):
     lost = short(spark, sf).withColumn("mv", F.when(F.floor(F.col("i") / 16) == F.col("lead_idx") % 4, F.col("mv")))
     out = G.expand_segments(lost, "record_id", "lead_idx", 64)
@@ -157,18 +177,16 @@ def _(spark, sf):
     return rounded(rounded(shifts(spark, sf), "corr"), "nrmse", n=5)
 
 
-@query("J16_cross_correlation", """with $second, r as (select a.record_id, a.lead_idx as a, b.lead_idx as b, shift, corr(a.mv, b.mv) as r from short a, (select unnest([-1, 0, 1]) as shift) s, second b where a.record_id < 5 and b.record_id = a.record_id and b.i = a.i + shift group by 1, 2, 3, 4)
+@query("J16_cross_correlation", """with $second, r as (select a.record_id, a.lead_idx as a, b.lead_idx as b, shift, corr(a.mv, b.mv) as r from short a, (select unnest([-1, 0, 1]) as shift) s, second b where b.record_id = a.record_id and b.i = a.i + shift group by 1, 2, 3, 4)
 select record_id, a, b, cast(shift as int) as shift, round(r, 6) as corr from (select *, row_number() over (partition by record_id, a, b order by round(r, 12) desc, shift) as p from r) where p = 1""")
 def _(spark, sf):
-    few = F.col("record_id") < 5
-    return rounded(G.cross_correlations(short(spark, sf).where(few), second(spark, sf).where(few), 1).select("record_id", "a", "b", "shift", "corr"), "corr")
+    return rounded(G.cross_correlations(short(spark, sf), second(spark, sf), 1).select("record_id", "a", "b", "shift", "corr"), "corr")
 
 
-@query("D23_lead_triage", """with $second, r as (select a.record_id, a.lead_idx as a, b.lead_idx as b, shift, corr(a.mv, b.mv) as r from short a, (select unnest([-3, 0]) as shift) s, second b where b.record_id = a.record_id and b.i = a.i + shift and a.lead_idx < 4 and b.lead_idx < 4 and shift = 0 group by 1, 2, 3, 4),
+@query("D23_lead_triage", """with $second, r as (select a.record_id, a.lead_idx as a, b.lead_idx as b, shift, corr(a.mv, b.mv) as r from short a, (select unnest([-3, 0]) as shift) s, second b where b.record_id = a.record_id and b.i = a.i + shift and shift = 0 group by 1, 2, 3, 4),
 o as (select record_id, a, r as own from r where a = b), t as (select record_id, a, arg_max(b, struct_pack(r := round(r, 9), o := -b)) as b, max(r) as other from r where a <> b group by 1, 2) select record_id, a, b, round(own, 6) as own, round(other, 6) as other from o join t using (record_id, a) where other > own + 0.1::double""")
 def _(spark, sf):
-    few = F.col("lead_idx") < 4
-    m = G.cross_correlations(short(spark, sf).where(few), second(spark, sf).where(few), 0)
+    m = G.cross_correlations(short(spark, sf), second(spark, sf), 0)
     return rounded(G.permuted_leads(m).select("record_id", "a", "b", "own", "other"), "own", "other")
 
 
@@ -233,7 +251,9 @@ def _(spark, sf):
     return rounded(B.rate(beats(spark, sf), BY, FS), "bpm")
 
 
-@query("W20_autocorrelation_rate")
+@query("W20_autocorrelation_rate", f"""with $long, {SQL_DETREND}, z as (select record_id, lead, i, mv - avg(mv) over (partition by record_id, lead) as z from dt), r as (select a.record_id, a.lead, lag, sum(a.z * b.z) as r from z a, (select unnest(range(4, 62)) as lag) l, z b where b.record_id = a.record_id and b.lead = a.lead and b.i = a.i + lag group by 1, 2, 3),
+r0 as (select record_id, lead, sum(z * z) as r0 from z group by 1, 2), w as (select *, lag(r) over o as p, lead(r) over o as q from r join r0 using (record_id, lead) window o as (partition by record_id, lead order by lag))
+select record_id, lead, min(lag) as lag, round(60 * 50 / min(lag)::double, 4) as bpm from w where r >= p and r > q and r >= 0.05::double * r0 group by 1, 2""")
 def _(spark, sf):
     return rounded(B.autocorrelation_rate(detrended(spark, sf), BY, FS, 5, 60, 0.05), "bpm", n=4)
 
@@ -267,7 +287,20 @@ def delineated(spark, sf):
     return B.waves(qrs(spark, sf), detrended(spark, sf), BY, 10, 14)
 
 
-@query("W23_waves")
+PROXIES["waves"] = """$qrs, wpre as (select q.record_id, q.lead, q.r_i, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.qrs_on - 10 and q.qrs_on - 1),
+wbase as (select record_id, lead, r_i, quantile_cont(mv, 0.5) as baseline, arg_max(i, struct_pack(v := mv, i := i)) as p_i, max(mv) as p_v from wpre group by 1, 2, 3),
+wspan as (select q.record_id, q.lead, q.r_i, max(mv) - min(mv) as reach from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.r_i - 10 and q.r_i + 14 group by 1, 2, 3),
+wp as (select b.record_id, b.lead, b.r_i, baseline, p_v, case when p_v - baseline >= 0.1::double * reach then p_i end as p_i from wbase b join wspan using (record_id, lead, r_i)),
+wlow as (select record_id, lead, r_i, max(i) as p_on from wpre join wp using (record_id, lead, r_i) where i <= p_i and mv - baseline <= 0.2::double * (p_v - baseline) group by 1, 2, 3),
+wpost as (select q.record_id, q.lead, q.r_i, baseline, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.qrs_off + 1 and q.qrs_off + 14 join wbase b on b.record_id = q.record_id and b.lead = q.lead and b.r_i = q.r_i),
+wpeak as (select record_id, lead, r_i, arg_max(i, struct_pack(v := abs(mv - baseline), o := -i)) as t_i from wpost group by 1, 2, 3),
+wslope as (select p.*, mv - lag(mv) over (partition by record_id, lead, r_i order by i) as s from wpost p),
+wsteep as (select record_id, lead, r_i, baseline, arg_max(struct_pack(i := i, mv := mv, s := s), struct_pack(v := abs(s), o := -i)) as m from wslope join wpeak using (record_id, lead, r_i) where i > t_i and s is not null group by 1, 2, 3, 4),
+wend as (select record_id, lead, r_i, case when abs(m.s) > 1e-12 then cast(round(m.i + (baseline - m.mv) / m.s) as bigint) end as t_end from wsteep),
+waves as (select q.*, b.baseline, p_on, t_end from qrs q left join wbase b using (record_id, lead, r_i) left join wlow using (record_id, lead, r_i) left join wend using (record_id, lead, r_i))"""
+
+
+@query("W23_waves", "with $waves select record_id, lead, r_i, p_on, t_end, round(baseline, 5) as baseline from waves")
 def _(spark, sf):
     return rounded(delineated(spark, sf).select("record_id", "lead", "r_i", "p_on", "t_end", "baseline"), "baseline", n=5)
 
@@ -278,7 +311,11 @@ def _(spark, sf):
     return rounded(B.intervals(flat, BY, FS).select("record_id", "lead", "n_beats", "qrs_ms"), "qrs_ms")
 
 
-@query("W24_all_intervals")
+@query("W24_all_intervals", """with $waves, ms as (select record_id, lead, (qrs_on - p_on) / 50::double * 1000 as pr, (qrs_off - qrs_on) / 50::double * 1000 as qrs, (t_end - qrs_on) / 50::double * 1000 as qt from waves),
+ok as (select record_id, lead, case when pr > 0 and pr between 80 and 400 then pr end as pr, case when qrs > 0 and qrs between 40 and 220 then qrs end as qrs, case when qt > 0 and qt between 200 and 700 then qt end as qt from ms),
+g as (select record_id, lead, count(*) as n_beats, quantile_cont(pr, 0.5) as pr_ms, quantile_cont(qrs, 0.5) as qrs_ms, quantile_cont(qt, 0.5) as qt_ms, count(qt) / count(*) as qt_rate from ok group by 1, 2)
+select record_id, lead, n_beats, round(case when n_beats >= 3 then pr_ms end, 4) as pr_ms, round(case when n_beats >= 3 then qrs_ms end, 4) as qrs_ms, round(case when n_beats >= 3 then qt_ms end, 4) as qt_ms, round(qt_rate, 4) as qt_rate,
+ case when qt_rate = 0 then 'unmeasurable' when n_beats >= 6 and qt_rate >= 0.5::double then 'good' else 'low' end as quality from g""")
 def _(spark, sf):
     return rounded(B.intervals(delineated(spark, sf), BY, FS), "pr_ms", "qrs_ms", "qt_ms", "qt_rate", n=4)
 
@@ -322,7 +359,17 @@ def shapes(spark, sf):
     return B.morphology(qrs(spark, sf), detrended(spark, sf), BY, FS, 6)
 
 
-@query("W33_morphology")
+PROXIES["shapes"] = """$qrs, hs as (select q.record_id, q.lead, q.r_i, q.beat_no, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.r_i - 6 and q.r_i + 6 and dt.i between q.qrs_on and q.qrs_off),
+hv as (select *, mv - quantile_cont(mv, 0.5) over (partition by record_id, lead, r_i) as v from hs), hp as (select *, max(abs(v)) over (partition by record_id, lead, r_i) as peak, sign(v - lag(v) over (partition by record_id, lead, r_i order by i)) as slope from hv),
+ht as (select *, slope <> lag(slope) over (partition by record_id, lead, r_i order by i) and slope <> 0 as turn from hp),
+ho as (select record_id, lead, r_i, beat_no, greatest(max(v), 0) as r, greatest(-min(v), 0) as s, min(case when v >= 0.18::double * peak then i end) as up, min(case when v <= -0.18::double * peak then i end) as down, arg_max(i, struct_pack(v := v, o := -i)) as r_at, arg_min(i, struct_pack(v := v, o := i)) as s_at, count(*) filter (turn) as turns, min(i) as first from ht group by 1, 2, 3, 4),
+hf as (select *, up is not null and (down is null or up < down) as r_first from ho),
+shapes as (select record_id, lead, r_i, beat_no, case when up is not null and down is null then 'r' when up is null and down is not null then 'qs' when r_first then 'rs' when up is not null and down is not null and s_at > r_at then 'qrs' when up is not null and down is not null then 'qr' end as pattern,
+ case when r_first then 'r' when down is not null then 'q' end as initial, case when r > s then 'positive' when r < s then 'negative' else 'mixed' end as polarity, case when s <> 0 then r / s end as r_s, turns > 2 as notched,
+ case when up is not null and down is not null and s_at > r_at then (s_at - r_at) / 50::double * 1000 end as rs_ms, case when down is not null then (s_at - first) / 50::double * 1000 end as nadir_ms from hf)"""
+
+
+@query("W33_morphology", "with $shapes select record_id, lead, r_i, beat_no, pattern, initial, polarity, round(r_s, 4) as r_s, notched, round(rs_ms, 4) as rs_ms, round(nadir_ms, 4) as nadir_ms from shapes")
 def _(spark, sf):
     return rounded(shapes(spark, sf), "r_s", "rs_ms", "nadir_ms", n=4)
 
