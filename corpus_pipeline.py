@@ -36,6 +36,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the stages keep of ``documents``, each stage written before the next.
+
+    Null and empty texts fail the quality rules, so they go first. Rows that repeat an id are judged one by one, and share
+    their links; further columns of any name are carried along and left out by the last stage. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
