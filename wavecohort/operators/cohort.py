@@ -22,7 +22,10 @@ def draw(seed: int, *ids: Column) -> Column:
 
 
 def guarded(df: DataFrame, bad: DataFrame, what: str) -> DataFrame:
-    """``df``, if ``bad`` is empty; else an error that shows some of its rows."""
+    """``df``, if ``bad`` is empty; else an error that shows some of its rows.
+
+    A guard runs a job when it is called, so that a broken cohort stops the program before anything is written.
+    """
     rows = bad.limit(5).collect()
     if rows:
         raise CohortError(f"{what}: {rows}")
@@ -43,7 +46,7 @@ def select_fold(df: DataFrame, fold: int, holdout: bool, column: str = "fold") -
 
 
 def select_split(df: DataFrame, split: str, column: str = "split") -> DataFrame:
-    """Rows of an explicit split; nothing there is an error."""
+    """Rows of an explicit split; nothing there is an error, found by a job when this is called."""
     if split not in ("tune", "test"):
         raise CohortError(f"split {split}")
     out = df.where(F.col(column) == split)

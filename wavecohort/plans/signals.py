@@ -311,19 +311,20 @@ def _(spark, sf):
     return rounded(B.intervals(flat, BY, FS).select("record_id", "lead", "n_beats", "qrs_ms"), "qrs_ms")
 
 
-@query("W24_all_intervals", """with $waves, ms as (select record_id, lead, (qrs_on - p_on) / 50::double * 1000 as pr, (qrs_off - qrs_on) / 50::double * 1000 as qrs, (t_end - qrs_on) / 50::double * 1000 as qt from waves),
+PROXIES["spans"] = """$waves, ms as (select record_id, lead, (qrs_on - p_on) / 50::double * 1000 as pr, (qrs_off - qrs_on) / 50::double * 1000 as qrs, (t_end - qrs_on) / 50::double * 1000 as qt from waves),
 ok as (select record_id, lead, case when pr > 0 and pr between 80 and 400 then pr end as pr, case when qrs > 0 and qrs between 40 and 220 then qrs end as qrs, case when qt > 0 and qt between 200 and 700 then qt end as qt from ms),
-g as (select record_id, lead, count(*) as n_beats, quantile_cont(pr, 0.5) as pr_ms, quantile_cont(qrs, 0.5) as qrs_ms, quantile_cont(qt, 0.5) as qt_ms, count(qt) / count(*) as qt_rate from ok group by 1, 2)
-select record_id, lead, n_beats, round(case when n_beats >= 3 then pr_ms end, 4) as pr_ms, round(case when n_beats >= 3 then qrs_ms end, 4) as qrs_ms, round(case when n_beats >= 3 then qt_ms end, 4) as qt_ms, round(qt_rate, 4) as qt_rate,
- case when qt_rate = 0 then 'unmeasurable' when n_beats >= 6 and qt_rate >= 0.5::double then 'good' else 'low' end as quality from g""")
+spans as (select record_id, lead, count(*) as n_beats, quantile_cont(pr, 0.5) as pr_ms, quantile_cont(qrs, 0.5) as qrs_ms, quantile_cont(qt, 0.5) as qt_ms, count(qt) / count(*) as qt_rate from ok group by 1, 2)"""
+SQL_QUALITY = "case when qt_rate = 0 then 'unmeasurable' when n_beats >= 6 and qt_rate >= 0.5::double then 'good' else 'low' end as quality"
+
+
+@query("W24_all_intervals", f"""with $spans select record_id, lead, n_beats, round(case when n_beats >= 3 then pr_ms end, 4) as pr_ms, round(case when n_beats >= 3 then qrs_ms end, 4) as qrs_ms, round(case when n_beats >= 3 then qt_ms end, 4) as qt_ms, round(qt_rate, 4) as qt_rate, {SQL_QUALITY} from spans""")
 def _(spark, sf):
     return rounded(B.intervals(delineated(spark, sf), BY, FS), "pr_ms", "qrs_ms", "qt_ms", "qt_rate", n=4)
 
 
-@query("W26_measurement_quality", "with $beats, q as (select record_id, lead, count(*) as n_beats, avg((r_i % 3 <> 0)::int::double) as qt_rate from beats group by 1, 2) select record_id, lead, case when qt_rate = 0 then 'unmeasurable' when n_beats >= 6 and qt_rate >= 0.5::double then 'good' else 'low' end as quality from q")
+@query("W26_measurement_quality", f"with $spans select record_id, lead, {SQL_QUALITY} from spans")
 def _(spark, sf):
-    q = beats(spark, sf).groupBy(*BY).agg(F.count("*").alias("n_beats"), F.avg((F.col("r_i") % 3 != 0).cast("double")).alias("qt_rate"))
-    return q.select("record_id", "lead", B.measurement_quality().alias("quality"))
+    return B.intervals(delineated(spark, sf), BY, FS).select("record_id", "lead", "quality")
 
 
 SQL_RR = "rst as (select record_id, lead, count(*) as n_beats, avg(rr) / 50 * 1000 as m, stddev_pop(rr) / (avg(rr) + 1e-9) as cv, sqrt(avg(dd * dd)) / 50 * 1000 as rmssd from (select *, rr - lag(rr) over (partition by record_id, lead order by r_i) as dd from rrs) group by 1, 2)"
@@ -339,19 +340,21 @@ def _(spark, sf):
     return B.premature_wide(qrs(spark, sf), BY, FS)
 
 
-@query("W29_p_fraction", "with $qrs select record_id, lead, round(coalesce(count(*) filter (r_i % 4 <> 0 and qrs_on is not null)::double / nullif(count(qrs_on), 0), 0), 6) as p_fraction from qrs group by 1, 2")
+SQL_P = "pf as (select record_id, lead, coalesce(count(*) filter (p_on is not null and qrs_on is not null)::double / nullif(count(qrs_on), 0), 0) as pf from waves group by 1, 2)"
+
+
+@query("W29_p_fraction", f"with $waves, {SQL_P} select record_id, lead, round(pf, 6) as p_fraction from pf")
 def _(spark, sf):
-    marked = qrs(spark, sf).withColumn("p_on", F.when(F.col("r_i") % 4 != 0, F.col("r_i") - 8))
-    return rounded(B.p_fraction(marked, BY), "p_fraction")
+    return rounded(B.p_fraction(delineated(spark, sf), BY), "p_fraction")
 
 
-@query("W30_rhythm", f"""with $beats, {SQL_RR}, x as (select record_id, lead, 60 * 50 / nullif(quantile_cont(rr, 0.5), 0) as bpm from rrs group by 1, 2), y as (select record_id, lead, bpm, cv, (record_id % 10) / 10::double as pf from rst join x using (record_id, lead)),
+@query("W30_rhythm", f"""with $waves, {SQL_RR}, {SQL_P}, x as (select record_id, lead, 60 * 50 / nullif(quantile_cont(rr, 0.5), 0) as bpm from rrs group by 1, 2), y as (select record_id, lead, bpm, cv, pf from rst join x using (record_id, lead) join pf using (record_id, lead)),
 c as (select *, case when bpm is null then 'unknown' when bpm < 60 then 'bradycardia' when bpm > 100 then 'tachycardia' else 'normal' end as rate_category, case when cv >= 0.16::double and pf < 0.35::double then 'atrial_fibrillation' when cv < 0.12::double and pf >= 0.5::double then 'sinus' else 'undetermined' end as rhythm_basis from y)
 select record_id, lead, rate_category, rhythm_basis, case rhythm_basis when 'atrial_fibrillation' then 'Atrial fibrillation' || case rate_category when 'tachycardia' then ' with rapid ventricular response' when 'bradycardia' then ' with slow ventricular response' else '' end when 'sinus' then case rate_category when 'tachycardia' then 'Sinus tachycardia' when 'bradycardia' then 'Sinus bradycardia' else 'Normal sinus rhythm' end else 'Undetermined rhythm' || case rate_category when 'tachycardia' then ' (tachycardic)' when 'bradycardia' then ' (bradycardic)' else '' end end as classification from c""")
 def _(spark, sf):
-    b = beats(spark, sf)
+    b = delineated(spark, sf)
     bpm = B.rr(b, BY).groupBy(*BY).agg((60 * FS / F.percentile("rr", 0.5)).alias("bpm"))
-    rows = B.rr_statistics(b, BY, FS).join(bpm, BY).withColumn("p_fraction", (F.col("record_id") % 10) / 10.0)
+    rows = B.rr_statistics(b, BY, FS).join(bpm, BY).join(B.p_fraction(b, BY), BY)
     return B.rhythm(rows).select("record_id", "lead", "rate_category", "rhythm_basis", "classification")
 
 
@@ -374,23 +377,15 @@ def _(spark, sf):
     return rounded(shapes(spark, sf), "r_s", "rs_ms", "nadir_ms", n=4)
 
 
-SQL_SHAPE = "shp as (select record_id, lead, beat_no, (['r', 'rs', 'qs'])[r_i % 3 + 1] as pattern, (r_i % 7) / 2::double as r_s, case when r_i % 3 = 1 then (r_i % 9)::double end as rs_ms, r_i % 5 = 0 as notched from beats)"
-
-
-def marked(spark, sf):
-    r = F.col("r_i")
-    return beats(spark, sf).select(*BY, "beat_no", F.element_at(F.array(*map(F.lit, ["r", "rs", "qs"])), (r % 3 + 1).cast("int")).alias("pattern"), ((r % 7) / 2.0).alias("r_s"), F.when(r % 3 == 1, (r % 9).cast("double")).alias("rs_ms"), (r % 5 == 0).alias("notched"))
-
-
-SQL_LEADS = f"""{SQL_SHAPE}, md as (select record_id, lead, arg_max(pattern, struct_pack(k := k, s := -seen)) as pattern from (select record_id, lead, pattern, count(*) as k, min(beat_no) as seen from shp group by 1, 2, 3) group by 1, 2),
-ld as (select record_id, lead, count(*) as beats, quantile_cont(r_s, 0.5) as r_s, quantile_cont(rs_ms, 0.5) as rs_ms, count(*) filter (notched) >= greatest(1, count(*) // 2) as notched, count(*) filter (rs_ms is not null) >= greatest(1, count(*) // 2) as has_rs from shp group by 1, 2)"""
+SQL_LEADS = """md as (select record_id, lead, arg_max(pattern, struct_pack(k := k, s := -seen)) as pattern from (select record_id, lead, pattern, count(*) as k, min(beat_no) as seen from shapes where pattern is not null group by 1, 2, 3) group by 1, 2),
+ld as (select record_id, lead, count(*) as beats, quantile_cont(r_s, 0.5) as r_s, quantile_cont(rs_ms, 0.5) as rs_ms, count(*) filter (notched) >= greatest(1, count(*) // 2) as notched, count(*) filter (rs_ms is not null) >= greatest(1, count(*) // 2) as has_rs from shapes group by 1, 2)"""
 
 
-@query("W34_lead_morphology", f"with $beats, {SQL_LEADS} select record_id, lead, beats, r_s, rs_ms, notched, has_rs, pattern from ld left join md using (record_id, lead)")
+@query("W34_lead_morphology", f"with $shapes, {SQL_LEADS} select record_id, lead, beats, round(r_s, 4) as r_s, round(rs_ms, 4) as rs_ms, notched, has_rs, pattern from ld left join md using (record_id, lead)")
 def _(spark, sf):
-    return B.lead_morphology(marked(spark, sf), BY)
+    return rounded(B.lead_morphology(shapes(spark, sf), BY), "r_s", "rs_ms", n=4)
 
 
-@query("W35_record_features", f"with $beats, {SQL_LEADS} select record_id, count(*) as leads, bool_and(not has_rs) as rs_absent, max(rs_ms) as max_rs_ms from ld where lead in ('view', 'click', 'scroll') and beats >= 3 group by record_id")
+@query("W35_record_features", f"with $shapes, {SQL_LEADS} select record_id, count(*) as leads, bool_and(not has_rs) as rs_absent, round(max(rs_ms), 4) as max_rs_ms from ld where lead in ('view', 'click', 'scroll') and beats >= 3 group by record_id")
 def _(spark, sf):
-    return B.record_features(B.lead_morphology(marked(spark, sf), BY), "record_id", "lead", ["view", "click", "scroll"])
+    return rounded(B.record_features(B.lead_morphology(shapes(spark, sf), BY), "record_id", "lead", ["view", "click", "scroll"]), "max_rs_ms", n=4)
