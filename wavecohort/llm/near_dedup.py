@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles. Each of its buckets has a hash function of its own and keeps, of the
 least hash, the count of leading zeros and the first mantissa bits: two bytes. Buckets are banded four by four, a band
 of two documents agreeing with probability J^4, so that a pair at the threshold shares none of 60 bands once in 10^10.
-Within a band documents are first compared with a few hubs, not with each other; a collision-corrected estimate of the
+Documents are first compared with a few hubs of their bands, not with each other; a collision-corrected estimate of the
 Jaccard index prunes, and full shingle sets confirm. What a band then still holds of different components is compared
 across components. Both run in cells of bounded size, which give out rows of documents and as many links as connect them,
 never pairs, so that no link between different texts is lost and no table grows with the square of a group.
@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_hash, mixed, release, utf8, word_hashes, written
+from .common import checkpointed, id_hash, mixed, release, spare_name, utf8, word_hashes, written
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 60, 4
-HUBS = 3
+HUBS, NEAREST = 3, 4
 MANTISSA = 10
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
@@ -233,9 +233,12 @@ def stars(members: DataFrame, block: int) -> DataFrame:
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub0"), *least)
     pairs = members.join(hubs, "band").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"hub{s}" for s in range(HUBS)]))).alias("hub")).where("rep <> hub")
     low, high = F.least("rep", "hub"), F.greatest("rep", "hub")
-    pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("hub").alias("k"), F.max(F.when(F.col("rep") == low, F.col("n"))).alias("n_low"), F.max(F.when(F.col("rep") == high, F.col("n"))).alias("n_high"))
+    pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.count("*").alias("bands"), F.min("hub").alias("k"), F.max(F.when(F.col("rep") == low, F.col("n"))).alias("n_low"), F.max(F.when(F.col("rep") == high, F.col("n"))).alias("n_high"))
     first = F.col("k") == F.col("low")
-    spokes = checkpointed(pairs.select("k", F.when(first, F.col("high")).otherwise(F.col("low")).alias("id"), F.when(first, F.col("n_high")).otherwise(F.col("n_low")).alias("n")))
+    spokes = pairs.select("k", "bands", F.when(first, F.col("high")).otherwise(F.col("low")).alias("id"), F.when(first, F.col("n_high")).otherwise(F.col("n_low")).alias("n"))
+    # a few hubs connect a document that has a link at all: those it shares most bands with. What they miss, the grids compare
+    nearest = Window.partitionBy("id").orderBy(F.desc("bands"), "k")
+    spokes = checkpointed(spokes.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= NEAREST).drop("place", "bands"))
     sizes = spokes.groupBy("k").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).select("k", _blocks("count", "shingles", block).alias("blocks"))
     several = sizes.where("blocks > 1")
     zero = F.lit(0).cast("long").alias("j")
@@ -296,7 +299,7 @@ def near_duplicates(docs: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns unchanged, that stand for their component."""
-    held = [F.col(f"`{c}`") for c in docs.columns]
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.select(*held).join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """The documents, all columns unchanged, that stand for their component; a column of any name stays."""
+    held, gone = [F.col(f"`{c}`") for c in docs.columns], spare_name(docs, "gone")
+    others = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.select(*held).join(others, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
