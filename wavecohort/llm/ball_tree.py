@@ -206,10 +206,13 @@ def reachable(state: dict[str, np.ndarray], roots: dict[str, np.ndarray], most:
 def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_rows: int) -> DataFrame:
     # equal rows are one; an id's vectors are dealt each by itself, so that a common id fills no shard
     distinct = checkpointed(held.distinct())
-    sample = distinct.orderBy(id_hash("id", "x", seed=2), "id").limit(PIVOTS).toPandas()
-    placed = checkpointed(_regions(distinct, np.stack(sample["x"].to_numpy()).astype(float)))
-    vectors, shards = _parts(placed, shard_rows, "shard", 3)
-    queries, _ = _parts(placed.where(F.col("id") % every == 0), block_rows, "block", 5)
+    asked = distinct.where(F.col("id") % every == 0)
+    # no more regions than there are full shards, or full blocks
+    n, nq = (min(PIVOTS, max(1, df.count() // rows)) for df, rows in ((distinct, shard_rows), (asked, block_rows)))
+    sample = distinct.orderBy(id_hash("id", "x", seed=2), "id").limit(max(n, nq)).toPandas()
+    pivots = np.stack(sample["x"].to_numpy()).astype(float)
+    vectors, shards = _parts(checkpointed(_regions(distinct, pivots[:n])), shard_rows, "shard", 3)
+    queries, _ = _parts(checkpointed(_regions(asked, pivots[:nq])), block_rows, "block", 5)
 
     def tree(part: pd.DataFrame) -> pd.DataFrame:
         built = build_tree(part["id"].to_numpy(np.int64), np.stack(part["x"].to_numpy()).astype(float))
