@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         step = label.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("was"))
-        up = label.select(F.col("id").alias("c"), F.col("component").alias("cc"))
+        # labels that have a smaller one themselves: a few, however large a component is
+        up = label.select(F.col("component").alias("c")).distinct().join(label.select(F.col("id").alias("c"), F.col("component").alias("cc")), "c").where("cc < c")
         step = checkpointed(step.join(up, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("component"), "was"))
         label = step.select("id", "component")
         if step.where("component <> was").isEmpty():

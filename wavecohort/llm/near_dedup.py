@@ -24,6 +24,7 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 60, 4
 HUBS, NEAREST = 3, 4
+SALTS = 64
 MANTISSA = 10
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
@@ -240,9 +241,10 @@ def stars(members: DataFrame, block: int) -> DataFrame:
     nearest = Window.partitionBy("id").orderBy(F.desc("bands"), "k")
     spokes = checkpointed(spokes.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= NEAREST).drop("place", "bands"))
     sizes = spokes.groupBy("k").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).select("k", _blocks("count", "shingles", block).alias("blocks"))
-    several = sizes.where("blocks > 1")
+    # a hub may have a third of all documents: they meet its size under SALTS keys
+    several = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     zero = F.lit(0).cast("long").alias("j")
-    spokes = spokes.join(several, "k", "left").select("k", F.pmod(id_hash("id", seed=53), F.coalesce("blocks", F.lit(1))).alias("i"), zero, "id", F.lit(MEMBER).alias("role"))
+    spokes = spokes.withColumn("salt", F.pmod(id_hash("id", seed=54), F.lit(SALTS)).cast("int")).join(several, ["k", "salt"], "left").select("k", F.pmod(id_hash("id", seed=53), F.coalesce("blocks", F.lit(1))).alias("i"), zero, "id", F.lit(MEMBER).alias("role"))
     centres = sizes.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), zero, F.col("k").alias("id"), F.lit(STRAY).alias("role"))
     return spokes.unionByName(centres).withColumn("component", F.col("id"))
 
