@@ -69,8 +69,10 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while reach < deepest:
         jumps.append((reach, step.where("up is not null").select("conv", "node_id", "up")))
         ahead = step.select("conv", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"), F.col("length").alias("further"))
-        joined = step.join(ahead, ["conv", "up"], "left")
-        step = checkpointed(joined.select("conv", "node_id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")))
+        # messages that have reached their root are not joined again
+        joined = step.where("up is not null").join(ahead, ["conv", "up"])
+        joined = joined.select("conv", "node_id", F.col("up2").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("length") + F.col("further")).alias("length"))
+        step = checkpointed(step.where("up is null").unionByName(joined))
         reach *= 2
     # leaves whose pointer ran out reach a root; of these the best are chosen, and only their paths are made
     leaves = step.where("up is null").join(parents, ["conv", "node_id"], "left_anti")
