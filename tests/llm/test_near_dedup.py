@@ -39,7 +39,7 @@ def test_chains_edges_and_odd_rows(spark):
     assert N.near_duplicates(docs.limit(0)).count() == 0
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {c for _, c in near_components(rows).values()} | {None}
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in near_components(rows).values()}  # the row without id is a copy of 4
 
 
 def test_members_not_linked_to_the_hub_are_compared(spark):
@@ -108,3 +108,20 @@ def test_unrelated_sets_are_corrected_to_nothing():
     r = N.registers(list(h))
     found = [N.estimate(r[i : i + 1], r[j : j + 1], np.array([500]), np.array([500]))[0] for i in range(40) for j in range(i)]
     assert abs(np.mean(found)) < 1e-3
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated ids with different texts, repeated rows, and copies without ids."""
+    a, b, c = ("alpha one two three four five six seven", "beta uno due tre quattro cinque sei sette", "gamma eins zwei drei vier fünf sechs acht")
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, "only copies here without any id at all"), (None, "only copies here without any id at all"), (4, None), (4, None)]
+    rows += [(5, long), (5, long + " x"), (6, b.replace("beta", "delta") + " one more"), (2, long + " y")]
+    docs = spark.createDataFrame([(i, t, k, {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, h int, `of` map<string,int>")
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    rest = [(r, t) for r, t in found if t is None or not t.startswith("w0")]
+    assert sorted(rest, key=str) == sorted([(1, a), (2, b), (3, c), (None, rows[6][1]), (4, None), (4, None), (6, rows[12][1])], key=str)
+    assert [(r, t) for r, t in found if t and t.startswith("w0")] == [(2, long + " y")]
+    told = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(docs).where("doc_id in (1, 2, 5)").collect())
+    assert told == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (5, 2, False), (5, 2, False)]

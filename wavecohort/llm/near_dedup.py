@@ -79,7 +79,7 @@ PRUNE = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / _BUCKETS) **
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set key (k1, k2: 128 bits that equal sets share) and registers (null for an empty set)."""
+    """doc_id, h (of the text), n_shingles, set key (k1, k2: 128 bits that equal sets share) and registers (null for an empty set)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,10 +95,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     k2 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_shingles": n, "k1": k1, "k2": k2, "registers": regs})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "h": part["h"].to_numpy(), "n_shingles": n, "k1": k1, "k2": k2, "registers": regs})
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, k1 long, k2 long, registers array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInPandas(sign, "doc_id long, h long, n_shingles long, k1 long, k2 long, registers array<long>")
 
 
 # A cell is a bounded piece of comparing: rows (k, i, j, id, role) of equal (k, i, j). Strays meet members there.
@@ -198,10 +198,11 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def confirmed(cells: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(cells: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between strays and members of ``cells`` by their texts' full shingle sets: in each cell as many as connect what its links connect."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    held = _dealt(cells, 1000).join(texts, "id")
+    # a class has the text of one of its rows; -1 stands for no doc_id, the hash tells its rows apart
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("of"), F.xxhash64("text").alias("h"), "text").where("text is not null")
+    held = _dealt(cells, 1000).join(reps.select(F.col("rep").alias("id"), F.coalesce("doc_id", F.lit(-1)).alias("of"), "h"), "id").join(texts, ["of", "h"])
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t) for t in utf8(part["text"])]
@@ -210,6 +211,7 @@ def confirmed(cells: DataFrame, docs: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for at in _cells(part):
             at = at[full[at]]
+            at = at[np.append(True, (ids[at[1:]] != ids[at[:-1]]) | (role[at[1:]] != role[at[:-1]]))] if len(at) else at  # repeated rows
             strays, members = at[role[at] >= STRAY], at[role[at] != STRAY]
             if len(strays) and len(members):
                 both = intersections([sets[x] for x in strays], [sets[x] for x in members])
@@ -275,33 +277,70 @@ def grids(members: DataFrame, label: DataFrame, block: int) -> DataFrame:
     return held.select(F.col("band").alias("k"), "rep", "component", F.explode(cells).alias("c")).select("k", "c.i", "c.j", F.col("rep").alias("id"), "c.role", "component")
 
 
-def near_duplicates(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; other columns are ignored).
+def classes(signed: DataFrame) -> DataFrame:
+    """A row for each set: k1, k2, n_shingles, registers, doc_id and h of its first row (null ids last), and its number ``rep``.
 
-    Equal shingle sets are one class, whose least doc_id stands for it; only classes are compared. Null or empty texts
-    have no shingles and are linked with nothing. Rows that repeat a doc_id are judged by their own texts and share
-    that id's links; a row without doc_id belongs to no component (null) and is kept. Empty table: no rows.
+    The number is that doc_id. Where one id is the first of several sets, and where a set has no id, it is a hash above
+    all of them, so that no two sets are one.
     """
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
+    held = signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(first, F.first("registers").alias("registers"))
+    held = written(held.select("k1", "k2", "n_shingles", "registers", "first.doc_id", "first.h"), "sets")
+    least = held.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "n_shingles")).alias("own")).where("n > 1").drop("n")
+    odd = F.col("doc_id").isNull() | (F.col("own") != F.struct("k1", "k2", "n_shingles"))
+    return held.join(least, "doc_id", "left").withColumn("rep", F.when(odd, id_hash("k1", "k2", "n_shingles", seed=57).bitwiseOR(F.lit(2**62))).otherwise(F.col("doc_id"))).drop("own")
+
+
+def judged(docs: DataFrame, block: int = 1024) -> DataFrame:
+    """doc_id, h, n_shingles and component (null for an empty set) of each row of ``docs``; least, the component's least doc_id (null: it has none)."""
     signed = written(signatures(docs), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = written(sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
+    reps = written(classes(signed), "classes")
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode("registers").alias("at", "key"))
     banded = banded.select("rep", "n", F.xxhash64("at", "key").bitwiseAND(F.lit(-64)).bitwiseOR(F.col("at").cast("long")).alias("band"))
     several = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpointed(banded.join(several.select("band"), "band"))
-    links = confirmed(promising(stars(members, block), reps, False), docs)
+    links = confirmed(promising(stars(members, block), reps, False), reps, docs)
     label = components(links)
-    further = confirmed(promising(grids(members, label, block), reps, True), docs)
+    further = confirmed(promising(grids(members, label, block), reps, True), reps, docs)
     if not further.isEmpty():
         label = components(links.unionByName(further))
-    known = reps.select("k1", "k2", "n_shingles", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id"))
-    out = signed.drop("registers").join(known, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    known = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", "rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    # a number that is no doc_id: the component's ids are looked up. A few, unless ids repeat
+    others = known.where("rep >= bigint(pow(2, 62))").groupBy("component").agg(F.min("doc_id").alias("other"))
+    numbered = F.when(F.col("component") < 2**62, F.col("component"))
+    known = known.join(others, "component", "left").select("k1", "k2", "n_shingles", "component", F.least(numbered, "other").alias("least"))
+    return signed.drop("registers").join(known, ["k1", "k2", "n_shingles"], "left").select("doc_id", "h", "n_shingles", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Equal shingle sets are one class, and only classes are compared. Null or empty texts have no shingles and are linked
+    with nothing. Rows that repeat a doc_id are judged by their own texts; a row without doc_id gets no component (null)
+    and is kept. A very long text is one row of a batch, and is read whole. Empty table: no rows.
+    """
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), None).otherwise(F.col("least"))
+    out = judged(docs, block).select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns unchanged, that stand for their component; a column of any name stays."""
-    held, gone = [F.col(f"`{c}`") for c in docs.columns], spare_name(docs, "gone")
-    others = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.select(*held).join(others, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
+    """One row of each component, that with the least doc_id (null ids last), all columns unchanged; a column of any name stays.
+
+    Rows go by their id and text, so that an id with two texts may keep either. Of rows that repeat id and text one
+    stays. Texts without words all stay.
+    """
+    rows = written(judged(docs).where("component is not null").select("component", F.coalesce("doc_id", F.lit(-1)).alias("of"), F.col("doc_id").isNull().alias("none"), "h"), "judged")
+    best = rows.groupBy("component").agg(F.min(F.struct("none", "of", "h")).alias("best"))
+    counted = rows.groupBy("component", "none", "of", "h").agg(F.count("*").alias("n")).join(best, "component")
+    stays = F.col("best") == F.struct("none", "of", "h")
+    told = counted.where(~stays | (F.col("n") > 1)).select("none", "of", "h", stays.alias("stays"))  # no row: as it is
+    names = {c: spare_name(docs, c) for c in ("none", "of", "h", "stays")}
+    told = told.select(*[F.col(c).alias(n) for c, n in names.items()])
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.select(*given, F.col("doc_id").isNull().alias(names["none"]), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(names["of"]), F.xxhash64("text").alias(names["h"]))
+    held = held.join(told, [names[c] for c in ("none", "of", "h")], "left")
+    alone = held.where(F.col(names["stays"]).isNull()).select(*given)
+    key = [names["none"], names["of"], names["h"]]
+    repeats = held.where(F.col(names["stays"])).groupBy(*key).agg(F.min_by(F.struct(*given), F.to_json(F.struct(*given))).alias(names["stays"]))
+    return alone.unionByName(repeats.select(*[F.col(names["stays"]).getField(c).alias(c) for c in docs.columns]))
