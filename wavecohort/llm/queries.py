@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, warc
+from . import ball_tree, chat, filter_audit, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, warc
 from .common import written
 
 
@@ -151,9 +151,44 @@ select d.doc_id, cast(n as bigint) as n_bytes, coalesce(n_removed, 0) as n_remov
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL_OP11 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+e as (select t, min(doc_id) as least from d group by t),
+marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least < d.doc_id, false)] as fails
+  from d join e using (t) left join marks using (doc_id)
+),
+x as (select unnest(range(1, 6)) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda k: 'ABCDE'[k]), '') as filter_order
+  from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+p as (select part, good, toxic, fails, count(*) as n from f group by all),
+s as (
+  select part, filter_order, step, o[step] as own, n, good, toxic, fails[o[step]] as failing,
+    len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 as gone, len(list_filter(fails, lambda k: k)) = 1 as alone
+  from p, orders, (select unnest(range(1, 6)) as step)
+),
+r as (
+  select part, filter_order, cast(step as integer) as step, own, coalesce(sum(n) filter (where not failing and not gone), 0) as kept, coalesce(sum(n) filter (where failing and not gone), 0) as removed,
+    coalesce(sum(n) filter (where failing and gone), 0) as redundant, coalesce(sum(n) filter (where failing and alone), 0) as unique_fails,
+    coalesce(sum(n) filter (where failing and not gone and good), 0) as good_lost, coalesce(sum(n) filter (where failing and not gone and toxic), 0) as toxic_lost
+  from s group by part, filter_order, step, own
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SQL_OP2, "op3_top_k": SQL_OP3, "op4_warc": SQL_OP4, "op5_near_dedup": SQL_OP5, "op8_chat_format": SQL_OP8, "op10_suffix_array_dedup": SQL_OP10}
+    return {"op2_substring_dedup": SQL_OP2, "op3_top_k": SQL_OP3, "op4_warc": SQL_OP4, "op5_near_dedup": SQL_OP5, "op8_chat_format": SQL_OP8, "op10_suffix_array_dedup": SQL_OP10, "op11_filter_audit": SQL_OP11}
