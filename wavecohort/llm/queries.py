@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, filter_audit, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, warc
+from . import ball_tree, chat, filter_audit, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, subword_quality, suffix_dedup, warc
 from .common import written
 
 
@@ -186,6 +186,11 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 """
 
 
+def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword_quality.assessed(docs, subword_quality.train_on(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

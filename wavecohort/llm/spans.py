@@ -94,3 +94,15 @@ def distinct(view: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owners:
         at = at[~same]
         slot[at] = (slot[at] + 1) & (size - 1)
     return first
+
+
+def words(buffer: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and texts of all maximal runs of bytes that are not ``white`` (256 booleans); no run goes from one text to the next."""
+    inside = np.append(~white[buffer], False)
+    cut = np.zeros(len(inside), bool)
+    cut[offsets] = True
+    begin, end = inside.copy(), np.zeros(len(inside), bool)
+    begin[1:] &= ~inside[:-1] | cut[1:]
+    end[1:] = inside[:-1] & (~inside[1:] | cut[1:])
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    return begin, end - begin, np.searchsorted(offsets, begin, "right") - 1
