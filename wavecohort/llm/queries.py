@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat, filter_audit, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, subword_quality, suffix_dedup, warc
+from . import ball_tree, chat, filter_audit, language_id, near_dedup, packing, phrases, quality_rules, sentencepieces, substring_dedup, subword_quality, suffix_dedup, warc
 from .common import written
 
 
@@ -186,6 +186,36 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 """
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+SQL_OP12 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as (
+  select lang, words, len(words) as m, count(*) as f
+  from (select lang, w[k:k + m - 1] as words from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as k from w, (select unnest(range(1, 5)) as m)))
+  group by lang, words
+),
+c as (select * from g where m > 1 and f >= 30),
+cuts as (select lang, words, m, f as a, unnest(range(1, m)) as k from c),
+s as (
+  select x.lang, x.words, x.m, x.a, x.k, l.f as l, r.f as r, cast((2000000::hugeint * x.a) // (l.f::hugeint + r.f) as bigint) as score
+  from cuts x join g l on l.lang = x.lang and l.words = x.words[1:x.k] join g r on r.lang = x.lang and r.words = x.words[x.k + 1:x.m]
+),
+best as (select * from s qualify row_number() over (partition by lang, words order by score, k) = 1),
+inside as (
+  select lang, words[i:i + j - 1] as words, max(f) as longer from c, (select unnest(range(1, 4)) as i), (select unnest(range(2, 4)) as j)
+  where i + j - 1 <= m and j < m group by all
+),
+kept as (select best.* from best left join inside using (lang, words) where longer is null or 100::hugeint * longer < 80::hugeint * a),
+ranked as (select *, array_to_string(words, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(words, ' ')) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword_quality.assessed(docs, subword_quality.train_on(docs, table(spark, sf_dir, "labels")))
@@ -196,4 +226,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SQL_OP2, "op3_top_k": SQL_OP3, "op4_warc": SQL_OP4, "op5_near_dedup": SQL_OP5, "op8_chat_format": SQL_OP8, "op10_suffix_array_dedup": SQL_OP10, "op11_filter_audit": SQL_OP11}
+    return {"op2_substring_dedup": SQL_OP2, "op3_top_k": SQL_OP3, "op4_warc": SQL_OP4, "op5_near_dedup": SQL_OP5, "op8_chat_format": SQL_OP8, "op10_suffix_array_dedup": SQL_OP10, "op11_filter_audit": SQL_OP11, "op12_phrases": SQL_OP12}
