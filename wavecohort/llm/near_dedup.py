@@ -305,10 +305,13 @@ def judged(docs: DataFrame, block: int = 1024) -> DataFrame:
     if not further.isEmpty():
         label = components(links.unionByName(further))
     known = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", "rep", "doc_id", F.coalesce("component", "rep").alias("component"))
-    # a number that is no doc_id: the component's ids are looked up. A few, unless ids repeat
-    others = known.where("rep >= bigint(pow(2, 62))").groupBy("component").agg(F.min("doc_id").alias("other"))
-    numbered = F.when(F.col("component") < 2**62, F.col("component"))
-    known = known.join(others, "component", "left").select("k1", "k2", "n_shingles", "component", F.least(numbered, "other").alias("least"))
+    odd = known.where("rep >= bigint(pow(2, 62))")
+    if odd.isEmpty():
+        known = known.select("k1", "k2", "n_shingles", "component", F.col("component").alias("least"))
+    else:  # a number that is no doc_id: the component's ids are looked up. A few, unless ids repeat
+        others = odd.groupBy("component").agg(F.min("doc_id").alias("other"))
+        numbered = F.when(F.col("component") < 2**62, F.col("component"))
+        known = known.join(others, "component", "left").select("k1", "k2", "n_shingles", "component", F.least(numbered, "other").alias("least"))
     return signed.drop("registers").join(known, ["k1", "k2", "n_shingles"], "left").select("doc_id", "h", "n_shingles", "component", "least")
 
 
