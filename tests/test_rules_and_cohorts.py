@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,43 @@ def test_files(spark, tmp_path):
     cells.mkdir()
     (cells / "armA_f3_s7.json").write_text('{"value": 0.5}')
     assert [(r.arm, r.fold, r.seed, r.value) for r in T.sweep_cells(spark, str(cells)).collect()] == [("armA", 3, 7, 0.5)]
+
+
+def test_split_sizes_are_exact_for_any_signatures(spark):
+    """30 groups of 30 different signatures, and mixes of common and rare ones: exact sizes, every category within its bound."""
+    shares = {"train": 0.7, "tune": 0.15, "test": 0.15}
+    names = [f"c{k}" for k in range(5)]
+    cases = {
+        "all different": {g: [n for k, n in enumerate(names) if (g + 1) >> k & 1] for g in range(30)},
+        "one signature": {g: ["c0", "c1"] for g in range(17)},
+        "rare ones": {g: ["c0"] + (["c1"] if g % 50 == 0 else []) + (["c2"] if g % 7 == 0 else []) for g in range(300)},
+    }
+    for name, groups in cases.items():
+        rows = spark.createDataFrame([(g, c, v) for g, held in groups.items() for c in held for v in range(2)], "g int, c string, v int")
+        found = {r.g: r.split for r in C.grouped_split(rows.repartition(5), "g", "c", shares).collect()}
+        assert set(found) == set(groups), name
+        sizes = Counter(found.values())
+        assert sizes == Counter({k: v for k, v in C.share_totals(len(groups), shares).items() if v}), (name, sizes)
+        for c in names:
+            held = [found[g] for g in groups if c in groups[g]]
+            runs = len({tuple(groups[g]) for g in groups if c in groups[g]})
+            for split, share in shares.items():
+                assert abs(held.count(split) - share * len(held)) <= 2 * runs, (name, c, split)
+        rarest = min((c for c in names if any(c in h for h in groups.values())), key=lambda c: (sum(c in h for h in groups.values()), c))
+        held = [found[g] for g in groups if rarest in groups[g]]
+        assert abs(held.count("train") - 0.7 * len(held)) < 1, name
+    assert C.share_totals(30, shares) == {"train": 21, "tune": 5, "test": 4} and C.share_totals(0, shares) == {"train": 0, "tune": 0, "test": 0}
+    assert C.grouped_split(rows.limit(0), "g", "c", shares).count() == 0
+
+
+def test_holdouts_have_the_size_asked_for(spark):
+    """Layouts of three rows each get test rows as they come, and the total is exact."""
+    rows = spark.createDataFrame([(k, f"l{k % 10}" if k % 10 else None) for k in range(30)], "id int, layout string")
+    for share, want in ((0.15, 4), (0.5, 15), (7, 7), (0, 0), (30, 30)):
+        out = C.proportional_holdout(rows, "layout", "id", share).collect()
+        assert len(out) == 30 and sum(r.split == "test" for r in out) == want
+        each = Counter(r.layout for r in out if r.split == "test")
+        assert all(abs(each[f"l{k}" if k else None] - want / 10) < 1 for k in range(10))
+    with pytest.raises(C.CohortError):
+        C.proportional_holdout(rows, "layout", "id", 31)
+    assert C.proportional_holdout(rows.limit(0), "layout", "id", 0.5).count() == 0

@@ -95,21 +95,60 @@ def allocate_groups(total: Column, shares: dict[str, float]) -> dict[str, Column
     return {k: (floor[k] + F.when(place(k) < left, 1).otherwise(0)).cast("long") for k in names}
 
 
+def share_totals(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """Largest-remainder counts of a whole number; equal remainders in the order given."""
+    exact = {k: round(total * v, 9) for k, v in shares.items()}
+    out = {k: int(e) for k, e in exact.items()}
+    for k in sorted(shares, key=lambda k: (out[k] - exact[k], list(shares).index(k)))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def _taken(place: Column, part: int, whole: int) -> Column:
+    """How many of the first ``place`` of ``whole`` places are dealt to a part that gets ``part`` of them, evenly spread."""
+    return F.call_function("div", place.cast("decimal(19,0)") * F.lit(part).cast("decimal(18,0)"), F.lit(max(1, whole)).cast("decimal(18,0)"))
+
+
+def dealt(position: Column, totals: dict[str, int]) -> Column:
+    """The part that a position (from 1 on, up to the sum of ``totals``) goes to; parts are spread evenly over the positions.
+
+    Parts are dealt in turn: the first takes every place at which its rounded-down share grows, the next does so with the
+    places that are left. Totals are exact. Of any stretch of positions the first part gets its share, less or more than
+    one; each later part less or more than two.
+    """
+    names, left = list(totals), sum(totals.values())
+    out, place = None, position
+    for k in names[:-1]:
+        here = _taken(place, totals[k], left) > _taken(place - 1, totals[k], left)
+        out = F.when(here, k) if out is None else out.when(here, k)
+        place, left = place - _taken(place, totals[k], left), left - totals[k]
+    return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
+
+
+def positions(df: DataFrame, key: str, by: str, seed: int) -> DataFrame:
+    """Adds ``position``: rows in order of ``by`` (null first), and in hash order of ``key`` where that is equal, counted from 1.
+
+    Values of ``by`` are a table much smaller than ``df``; its sizes are added up in order, rows are counted within ranges.
+    """
+    order = Window.orderBy(F.col(by).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(by).agg(F.count("*").alias("__n")).select(by, F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__first"))
+    return met(top_by_hash(df, key, seed, [by]), sizes, [by]).withColumn("position", F.col("__first") + F.col("place")).drop("place", "__first")
+
+
 def grouped_split(records: DataFrame, group: str, category: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """(group, split): no group is in two splits, and each category signature is shared out alike.
+    """(group, split): no group is in two splits, the splits' sizes are the largest-remainder counts of all groups, and categories are shared out alike.
 
-    Groups of one signature (the set of their categories) are ordered by hash and cut by largest-remainder quotas: the
-    parallel form of a greedy balance, with the same guarantees and another draw.
+    Groups stand in order of their signature (their categories, the rarest first) and then of a hash; splits are dealt
+    evenly along that order. So each signature, and each run of signatures that begin with the same rare categories, gets
+    its share of each split within 2 (of the first split, within 1), and a category is off by no more than that for each
+    run it is spread over. This is the parallel form of a greedy balance: sizes are as exact, the draw is another.
+    Sizes are counted by a job when this is called.
     """
-    groups = records.groupBy(group).agg(F.array_join(F.sort_array(F.collect_set(category)), "+").alias("signature"))
-    sizes = groups.groupBy("signature").agg(F.count("*").alias("total"))
-    quota = sizes.withColumns({f"q_{k}": c for k, c in allocate_groups(F.col("total"), shares).items()})
-    placed = met(top_by_hash(groups, group, seed, ["signature"]), quota, ["signature"])
-    split, upto = None, F.lit(0)
-    for k in shares:
-        upto = upto + F.col(f"q_{k}")
-        split = F.when(F.col("place") <= upto, k) if split is None else split.when(F.col("place") <= upto, k)
-    return placed.select(group, split.alias("split"))
+    pairs = records.select(group, category).distinct()
+    often = pairs.groupBy(category).agg(F.count("*").alias("__often"))
+    ranked = met(pairs, often, [category]).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__often", category))).alias("__all"))
+    groups = ranked.select(group, F.array_join(F.transform("__all", lambda c: F.concat(F.lpad(c["__often"].cast("string"), 19, "0"), F.lit(":"), c[category].cast("string"))), "+").alias("signature"))
+    return positions(groups, group, "signature", seed).select(group, dealt(F.col("position"), share_totals(groups.count(), shares)).alias("split"))
 
 
 def split_leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -128,11 +167,19 @@ def fold_summary(df: DataFrame, group: str, positive: str = "y") -> DataFrame:
     return df.groupBy("fold").agg(F.count("*").alias("records"), F.countDistinct(group).alias("groups"), F.sum(positive).cast("long").alias("positives"), F.avg(F.col(positive).cast("double")).alias("rate"))
 
 
-def proportional_holdout(df: DataFrame, layout: str, key: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds split tune or test: of each layout the rounded share, in hash order, is test."""
-    sizes = df.groupBy(layout).agg(F.bround(F.count("*") * share).alias("__quota"))
-    placed = met(top_by_hash(df, key, seed, [layout]), sizes, [layout])
-    return placed.withColumn("split", F.when(F.col("place") <= F.col("__quota"), "test").otherwise("tune")).drop("place", "__quota")
+def proportional_holdout(df: DataFrame, layout: str, key: str, share: float | int, seed: int = 42) -> DataFrame:
+    """Adds split tune or test: exactly ``share`` rows (a float: that share of all, rounded half to even) are test.
+
+    Rows stand in order of layout and then of a hash, and test is dealt evenly along it: each layout, and all layouts up
+    to any, has its share within 1. A count that is more than there are is an error; rows are counted by a job when this
+    is called.
+    """
+    total = df.count()
+    test = share if isinstance(share, int) else round(total * share)
+    if test > total:
+        raise CohortError(f"{test} of {total} rows")
+    place = positions(df, key, layout, seed)
+    return place.withColumn("split", dealt(F.col("position"), {"test": test, "tune": total - test})).drop("position")
 
 
 def priority_sample(df: DataFrame, key: str, rules: list[tuple[str, Column, int]], seed: int = 42) -> DataFrame:

@@ -139,12 +139,14 @@ def _(spark, sf):
 # splits and samples
 
 SHARES = {"train": 0.6, "tune": 0.2, "test": 0.2}
-SQL_SPLIT = """$audit, g as (select group_id, array_to_string(list_sort(list_distinct(list(category))), '+') as signature from audit group by group_id), s as (select signature, count(*) as total from g group by signature),
-q as (select signature, total, floor(total * 0.6::double) as f1, floor(total * 0.2::double) as f2, round(total * 0.6::double - floor(total * 0.6::double), 9) as r1, round(total * 0.2::double - floor(total * 0.2::double), 9) as r2 from s),
-k as (select *, total - f1 - 2 * f2 as rest, case when r2 > r1 then 2 else 0 end as p1, case when r1 >= r2 then 1 else 0 end as p2 from q),
-c as (select signature, f1 + case when p1 < rest then 1 else 0 end as q1, f2 + case when p2 < rest then 1 else 0 end as q2 from k),
-p as (select group_id, signature, row_number() over (partition by signature order by md5('42|' || group_id::varchar), group_id) as place from g),
-splits as (select group_id, case when place <= q1 then 'train' when place <= q1 + q2 then 'tune' else 'test' end as split from p join c using (signature))"""
+SQL_SPLIT = """$audit, pairs as (select distinct group_id, category from audit), often as (select category, count(*) as often from pairs group by category),
+g as (select group_id, list_sort(list({'often': often, 'category': category})) as held from pairs join often using (category) group by group_id),
+o as (select group_id, row_number() over (order by array_to_string(list_transform(held, lambda c: lpad(c.often::varchar, 19, '0') || ':' || c.category), '+'), md5('42|' || group_id::varchar), group_id)::hugeint as p, count(*) over () as total from g),
+t as (select *, 0.6::double * total as e1, 0.2::double * total as e2 from o),
+n as (select *, total - floor(e1) - 2 * floor(e2) as spare, round(e1 - floor(e1), 9) as r1, round(e2 - floor(e2), 9) as r2 from t),
+k as (select *, (floor(e1) + case when (case when r2 > r1 then 2 else 0 end) < spare then 1 else 0 end)::hugeint as n1, (floor(e2) + case when (case when r1 >= r2 then 1 else 0 end) < spare then 1 else 0 end)::hugeint as n2 from n),
+d as (select *, (p * n1) // total as t1, ((p - 1) * n1) // total as t0, total - n1 as left_ from k),
+splits as (select group_id, case when t1 > t0 then 'train' when ((p - t1) * n2) // left_ > ((p - t1 - 1) * n2) // left_ then 'tune' else 'test' end as split from d)"""
 
 
 def splits(spark, sf):
@@ -197,7 +199,7 @@ def _(spark, sf):
     return rounded(C.fold_summary(one(spark, sf).join(folds(spark, sf).select("patient_id", "fold"), "patient_id"), "patient_id"), "rate")
 
 
-SQL_HOLD = "$audit, hold as (select image_id, category, case when row_number() over (partition by category order by md5('42|' || image_id::varchar), image_id) <= round_even(count(*) over (partition by category) * 0.25::double, 0) then 'test' else 'tune' end as split from audit)"
+SQL_HOLD = "$audit, o as (select image_id, category, row_number() over (order by category nulls first, md5('42|' || image_id::varchar), image_id)::hugeint as p, count(*) over () as total from audit), h as (select *, round_even(total * 0.25::double, 0)::hugeint as n from o), hold as (select image_id, category, case when (p * n) // total > ((p - 1) * n) // total then 'test' else 'tune' end as split from h)"
 
 
 @query("G6_layout_holdout", f"with {SQL_HOLD} select image_id, split from hold")
