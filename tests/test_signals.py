@@ -1,10 +1,14 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from wavecohort.operators import arrays as A
 from wavecohort.operators import beats as B
 from wavecohort.operators import models as L
+from wavecohort.operators import qrs as Q
 from wavecohort.operators import signal as G
 
 
@@ -116,3 +120,123 @@ def test_probe_and_batch_scores(spark):
     broken = df.withColumn("e", F.when(F.col("id") == 3, None).when(F.col("id") == 4, F.slice("e", 1, 2)).otherwise(F.col("e")))
     scored = {r.id: (r.valid, r.prob) for r in L.batch_scores(broken, "e", 8, L.mean_predictor).collect()}
     assert scored[3] == (False, None) and scored[4] == (False, None) and 0 < scored[5][1] < 1
+
+
+def test_refractory_peaks_equal_a_plain_loop(spark):
+    """Dense chains of peaks: the highest stays, all nearer than the distance go."""
+    rng = random.Random(4)
+    for trial in range(12):
+        at, tops = 0, []
+        for _ in range(60):
+            at += rng.randrange(1, 9)
+            tops.append((float(rng.randrange(5 if trial % 2 else 1000)), at))
+        left, want = sorted(tops, reverse=True), []
+        while left:
+            want.append(left[0])
+            left = [t for t in left[1:] if abs(t[1] - want[-1][1]) >= 10]
+        df = spark.createDataFrame([(tops,)], "t array<struct<value:double,at:int>>")
+        got = df.select(A.apart(F.col("t"), 10).alias("t")).first().t
+        assert [(x.value, x.at) for x in got] == sorted(want, key=lambda t: t[1])
+
+
+def test_peaks_runs_and_prominence(spark):
+    of = lambda values, column: spark.createDataFrame([(values,)], "a array<double>").select(column(F.col("a")).alias("x")).first().x
+    assert [(r.value, r["from"], r.to) for r in of([1.0, 1.0, 2.0, 1.0], A.runs)] == [(1, 0, 1), (2, 2, 2), (1, 3, 3)] and of([], A.runs) == []
+    wave = [0.0, 3.0, 1.0, 2.0, 2.0, 2.0, 0.5, 5.0, 4.5, 4.8, 0.0, 9.0]
+    assert [(p.value, p.at) for p in of(wave, A.peaks)] == [(3, 1), (2, 4), (5, 7), (4.8, 9)]
+    plain = {}
+    for v, at in ((3, 1), (2, 4), (5, 7), (4.8, 9)):
+        left = next((k for k in range(at, -1, -1) if wave[k] > v), -1)
+        right = next((k for k in range(at, len(wave)) if wave[k] > v), len(wave))
+        plain[at] = v - max(min(wave[left + 1 : at + 1]), min(wave[at:right]))
+    for least in (0.2, 0.3, 1.0, 1.01, 2.9, 4.6):
+        assert [p.at for p in of(wave, lambda a: A.prominent(a, least))] == [at for at, p in plain.items() if p >= least]
+    assert of([1.0, 2.0, 4.0, 8.0], A.gradient) == [1, 1.5, 3, 4] and of([3.0, 1.0], A.median) == 2 and of([], A.median) is None
+    assert of([3.0, 3.0, 3.0], lambda a: A.smoothed(a, 3)) == [2, 3, 2]
+
+
+def polyline(points, n, at=0):
+    v = [0.0] * n
+    for (a, x), (b, y) in zip(points, points[1:]):
+        for k in range(a, b):
+            v[at + k] = x + (y - x) * (k - a) / (b - a)
+    return v
+
+
+#: Corners of complexes at 500 Hz, in samples and mV, and what they are called.
+COMPLEXES = {
+    "r": [(0, 0), (25, 1.5), (50, 0)],
+    "qs": [(0, 0), (25, -1.5), (50, 0)],
+    "qr": [(0, 0), (12, -0.8), (30, 1.2), (50, 0)],
+    "qrs": [(0, 0), (10, -0.6), (26, 1.4), (42, -0.7), (55, 0)],
+    "rs": [(0, 0), (15, 0.9), (40, -1.2), (60, 0)],
+    "rsr": [(0, 0), (12, 0.7), (28, -1.0), (46, 1.1), (60, 0)],
+}
+
+
+def test_six_patterns_from_lines(spark):
+    beats, rows = [], []
+    for name, points in COMPLEXES.items():
+        v = polyline(points, 1500, 400)
+        rows += [(name, 1, i, x) for i, x in enumerate(v)]
+        beats.append((name, 1, 400 + 15, 0))
+    df = spark.createDataFrame(rows, "record string, lead int, i long, mv double")
+    b = spark.createDataFrame(beats, "record string, lead int, r_i long, beat_no int")
+    by = ["record", "lead"]
+    found = {r.record: r for r in Q.morphology(b, df, by, 500.0).collect()}
+    assert {name: r.pattern for name, r in found.items()} == {name: name for name in COMPLEXES}
+    assert {name: r.initial for name, r in found.items()} == {"r": "r", "rs": "r", "rsr": "r", "qs": "q", "qr": "q", "qrs": "q"}
+    assert {name for name, r in found.items() if r.has_rs} == {"rs", "rsr", "qrs"} and found["r"].polarity == "positive" and found["qs"].polarity == "negative"
+    assert found["rs"].rs_ms == pytest.approx((40 - 2) * 2, abs=6) and found["rs"].nadir_ms == pytest.approx(76, abs=6) and found["rs"].r_s == pytest.approx(0.75, abs=0.05)
+    assert found["rsr"].taller is False and found["rs"].taller is None and found["r"].r_s is None and found["r"].nadir_ms is None
+    assert not any(r.notched or r.s_notched for r in found.values())
+    notched = polyline([(0, 0), (12, -0.9), (16, -0.4), (30, -1.5), (50, 0)], 1500, 400)
+    one = spark.createDataFrame([("n", 1, i, x) for i, x in enumerate(notched)], df.schema)
+    assert Q.morphology(spark.createDataFrame([("n", 1, 420, 0)], b.schema), one, by, 500.0).first().pattern == "qs"
+    flat = spark.createDataFrame([("r", 1, i, 0.0) for i in range(1500)], df.schema)
+    assert Q.morphology(b, flat, by, 500.0).count() == 0 and Q.morphology(b.limit(0), df, by, 500.0).count() == 0
+
+
+def test_leads_and_features(spark):
+    rows = []
+    for record in (1, 2):
+        for lead, name in (("II", "rs"), ("V1", "qr"), ("V6", "rs"), ("aVR", "qs")):
+            v = [0.0] * 4000
+            for at in range(300, 3600, 230):
+                for k, x in enumerate(polyline(COMPLEXES[name], 60)):
+                    v[at + k] = x if record == 1 or lead != "II" else 0.0
+            rows += [(record, lead, i, x) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "record int, lead string, i long, mv double")
+    beats = B.detect(df, ["record", "lead"], 60, 125, 25)
+    anchored = Q.anchor_beats(beats, df, "record", "lead", ["II", "V1"])
+    found = {r.record: r for r in Q.record_features(anchored, df, "record", "lead", ["V1", "V6"], "V1", "V6", "aVR", 500.0).collect()}
+    assert {k: r.anchor_lead for k, r in found.items()} == {1: "II", 2: "V1"}  # a flat lead is no anchor
+    assert all(r.n_beats >= 14 and r.leads == 2 and r.v1.pattern == "qr" and r.v6.pattern == "rs" and r.avr.initial == "q" and r.rs_absent is False and r.max_rs_ms > 50 for r in found.values()), found
+
+
+def test_p_wave_is_the_last_one_and_never_a_t_tail(spark):
+    """A T wave's tail reaches the search window, higher than P: the later, smaller P counts; without P there is none."""
+    fs, n = 500.0, 4000
+
+    def lead(with_p):
+        v = [0.0] * n
+        for at in range(400, 3600, 300):
+            for a, points in ((at, [(0, 0), (15, 2.0), (30, 0)]), (at + 60, [(0, 0), (70, 0.6), (135, 0)])) + (((at - 70, [(0, 0), (15, 0.3), (30, 0)]),) if with_p else ()):
+                for k, x in enumerate(polyline(points, points[-1][0])):
+                    v[a + k] += x
+        return v
+
+    rows = [(1, int(p), i, x) for p in (True, False) for i, x in enumerate(lead(p))]
+    df = spark.createDataFrame(rows, "record int, lead int, i long, mv double")
+    beats = spark.createDataFrame([(1, p, at + 15, k, at, at + 30) for p in (0, 1) for k, at in enumerate(range(400, 3600, 300))], "record int, lead int, r_i long, beat_no int, qrs_on long, qrs_off long")
+    found = B.waves(beats, df, ["record", "lead"], fs).collect()
+    with_p = [r for r in found if r.lead == 1]
+    assert all(r.p_on is not None and abs(r.p_on - (r.qrs_on - 70)) <= 8 for r in with_p)
+    assert all(abs(r.t_end - (r.qrs_on + 60 + 135)) <= 12 for r in with_p if r.t_end is not None) and sum(r.t_end is not None for r in with_p) >= 10
+    assert all(r.p_on is None for r in found if r.lead == 0 and r.r_i > 500)
+
+
+def test_rate_of_the_first_usable_lead(spark):
+    rates = spark.createDataFrame([(1, "II", None, 90.0), (1, "V1", 80.0, 85.0), (1, "V2", 70.0, None), (2, "II", None, None), (2, "V2", None, 66.0), (2, "V1", None, 60.0), (3, "II", None, None)], "record int, lead string, bpm double, acf_bpm double")
+    found = {r.record: (r.lead, r.bpm, r.basis) for r in B.lead_rate(rates, "record", "lead", ["II", "V1"]).collect()}
+    assert found == {1: ("V1", 80.0, "beats"), 2: ("V1", 60.0, "autocorrelation")}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import arrays as A
 
 def corrected_qt(df: DataFrame, irregular_above: float = 0.15) -> DataFrame:
     """Adds bazett, fridericia, preferred and formula of qt_ms and rr_sec (rr_cv tells irregularity)."""
@@ -24,24 +25,25 @@ BOUNDS = {"pr_ms": (80.0, 400.0), "qrs_ms": (40.0, 220.0), "qt_ms": (200.0, 700.
 def detect(df: DataFrame, by: list[str], width: int, refractory: int, reach: int, factor: float = 0.5) -> DataFrame:
     """Beats (…, r_i, beat_no) of detrended samples (…, i, mv).
 
-    Energy is the moving mean over ``width`` samples of the squared first difference. Samples above mean + factor * sd that
-    are no smaller than both neighbours are peaks; peaks nearer than ``refractory`` to the one before them are one cluster,
-    of which the strongest stays. A beat is moved to the largest deviation from the series' mean within ``reach``. Clusters
-    are the parallel form of a refractory scan: they differ where a chain of near peaks is longer than the period.
+    Energy is the moving mean over ``width`` samples of the squared first difference. A run of equal energies that is higher
+    than both neighbours, and not below mean + factor * sd, is a peak, at its middle. The highest peak stays and all nearer
+    than ``refractory`` samples go, then the next highest that is left, and so on; of equal ones the later comes first.
+    Peaks that near ones chain together are one row's array for this; no chain ends within a gap. A beat is then moved to
+    the largest deviation from the series' mean within ``reach``.
     """
     w = Window.partitionBy(*by).orderBy("i")
     all_ = Window.partitionBy(*by)
     d = df.withColumn("d", F.coalesce(F.pow(F.col("mv") - F.lag("mv").over(w), 2), F.lit(0.0)))
     e = d.withColumn("e", F.round(F.avg("d").over(w.rowsBetween(-(width // 2), width // 2)), 6))
-    e = e.withColumns({"cut": F.avg("e").over(all_) + factor * F.stddev_pop("e").over(all_), "before": F.lag("e").over(w), "after": F.lead("e").over(w)})
-    peak = e.where((F.col("e") > F.col("cut")) & (F.col("e") >= F.coalesce("before", F.lit(-1.0))) & (F.col("e") >= F.coalesce("after", F.lit(-1.0)))).select(*by, "i", "e")
+    e = e.withColumns({"cut": F.avg("e").over(all_) + factor * F.stddev_pop("e").over(all_), "before": F.lag("e").over(w)})
+    run = e.where("before is null or before <> e").withColumns({"after": F.lead("e").over(w), "next": F.lead("i").over(w)})
+    peak = run.where("e > before and e > after and e >= cut").select(*by, "e", F.floor((F.col("i") + F.col("next") - 1) / 2).alias("i"))
     cluster = peak.withColumn("new", F.when(F.col("i") - F.lag("i").over(w) < refractory, 0).otherwise(1)).withColumn("cluster", F.sum("new").over(w))
-    # the middle of the strongest samples: a moving mean has a plateau
-    strongest = F.when(F.col("e") == F.max("e").over(Window.partitionBy(*by, "cluster")), F.col("i"))
-    top = cluster.withColumn("top", strongest).groupBy(*by, "cluster").agg(F.floor(F.avg("top")).alias("p"))
+    chain = cluster.groupBy(*by, "cluster").agg(F.collect_list(F.struct(F.col("e").alias("value"), F.col("i").alias("at"))).alias("tops"))
+    top = chain.select(*by, F.explode(A.apart(F.col("tops"), refractory)["at"]).alias("p"))
     near = top.withColumn("i", F.explode(F.sequence(F.col("p") - reach, F.col("p") + reach)))
     level = df.withColumn("dev", F.abs(F.col("mv") - F.avg("mv").over(all_))).select(*by, "i", "dev")
-    moved = near.join(level, [*by, "i"]).groupBy(*by, "cluster").agg(F.max_by("i", F.struct(F.round("dev", 12), (-F.col("i")).alias("o"))).alias("r_i")).select(*by, "r_i").distinct()
+    moved = near.join(level, [*by, "i"]).groupBy(*by, "p").agg(F.max_by("i", F.struct(F.round("dev", 12), (-F.col("i")).alias("o"))).alias("r_i")).select(*by, "r_i").distinct()
     return moved.withColumn("beat_no", F.row_number().over(Window.partitionBy(*by).orderBy("r_i")) - 1)
 
 
@@ -56,15 +58,44 @@ def rate(beats: DataFrame, by: list[str], fs: float, low: float = 25.0, high: fl
     return each.groupBy(*by).agg(F.count("*").alias("n_beats"), (60 * fs / F.percentile("ok", 0.5)).alias("bpm"))
 
 
-def autocorrelation_rate(df: DataFrame, by: list[str], fs: float, lag_low: int, lag_high: int, share: float = 0.3) -> DataFrame:
-    """bpm of the first local maximum of the autocorrelation between two lags that reaches that share of lag 0."""
-    z = df.withColumn("z", F.col("mv") - F.avg("mv").over(Window.partitionBy(*by)))
-    left = z.select(*by, "i", "z").withColumn("lag", F.explode(F.sequence(F.lit(lag_low - 1).cast("long"), F.lit(lag_high + 1).cast("long")))).withColumn("j", F.col("i") + F.col("lag"))
-    r = left.join(z.select(*by, F.col("i").alias("j"), F.col("z").alias("y")), [*by, "j"]).groupBy(*by, "lag").agg(F.sum(F.col("z") * F.col("y")).alias("r"))
-    w = Window.partitionBy(*by).orderBy("lag")
-    r = r.join(z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("r0")), by).withColumns({"p": F.lag("r").over(w), "q": F.lead("r").over(w)})
-    peak = r.where((F.col("r") >= F.col("p")) & (F.col("r") > F.col("q")) & (F.col("r") >= share * F.col("r0"))).groupBy(*by).agg(F.min("lag").alias("lag"))
-    return peak.select(*by, "lag", (60 * fs / F.col("lag")).alias("bpm"))
+def autocorrelation_rate(df: DataFrame, by: list[str], fs: float, lag_low: int, lag_high: int, least: float = 0.05, apart: int | None = None) -> DataFrame:
+    """lag and bpm of the first prominent peak of the autocorrelation of the squared difference, its mean taken away, between two lags (the upper excluded).
+
+    Samples (…, i, mv) have no gaps in i; lags that are not below the number of differences less one don't count, and
+    fewer than ten lags give no row, nor does a series without such a peak. Prominence is told in shares of lag 0; peaks stand ``apart`` lags from higher ones (0.15 s, if not told). A series is
+    cut into blocks of 4096 samples, each with the samples that its lags reach, and a block gives a vector with a sum for
+    each lag: no sample is copied for each lag.
+    """
+    block = 4096
+    w = Window.partitionBy(*by).orderBy("i")
+    d = df.withColumn("d", F.pow(F.col("mv") - F.lag("mv").over(w), 2)).where("d is not null")
+    z = d.select(*by, "i", (F.col("d") - F.avg("d").over(Window.partitionBy(*by))).alias("z"))
+    z = z.withColumn("own", F.floor(F.col("i") / block))
+    # a sample is in its own block and, near its start, in the one before
+    z = z.withColumn("block", F.explode(F.when(F.col("i") % block < lag_high, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))))
+    held = z.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("i", "z"))).alias("s"))
+    own = F.size(F.filter("s", lambda x: F.floor(x["i"] / block) == F.col("block")))
+    held = held.select(*by, "block", F.transform("s", lambda x: x["z"]).alias("z"), own.alias("own")).where("own > 0")
+    product = lambda lag: A.total(F.zip_with(A.some(F.col("z"), 0, F.least(F.col("own"), F.size("z") - lag)), A.some(F.col("z"), lag, F.least(F.col("own"), F.size("z") - lag)), lambda x, y: x * y))
+    sums = held.select(*by, "own", F.posexplode(F.transform(F.concat(F.array(F.lit(0)), F.sequence(F.lit(lag_low), F.lit(lag_high - 1))), product)).alias("k", "r"))
+    acf = sums.groupBy(*by, "k").agg(F.sum("r").alias("r"), F.sum("own").alias("n")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("r"), F.first("n").alias("n"))
+    share = F.transform(F.filter("r", lambda x: (x["k"] > 0) & (x["k"] <= F.col("n") - 1 - lag_low)), lambda x: F.round(x["r"] / (F.get("r", 0)["r"] + 1e-10), 9))
+    near = int(0.15 * fs) if apart is None else apart
+    found = A.worked_out(acf, {"acf": share}).where(F.size("acf") >= 10)
+    found = A.worked_out(found, {"tops": A.apart(A.peaks(F.col("acf")), near), "real": F.transform(A.prominent(F.col("acf"), least), lambda p: p["at"])})
+    peak = F.get(F.filter("tops", lambda p: F.array_contains("real", p["at"])), 0)["at"] + lag_low
+    return found.select(*by, peak.cast("long").alias("lag"), (60 * fs / peak).alias("bpm")).where("lag is not null")
+
+
+def lead_rate(rates: DataFrame, record: str, lead: str, preferred: list) -> DataFrame:
+    """(record, lead, bpm, basis) of each record: its first lead in order with a rate from beats or, if none has one, from the autocorrelation.
+
+    rates: (record, lead, bpm, acf_bpm); leads not told come last, by name. A record without any rate has no row.
+    """
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, preferred)), F.col(lead)), F.lit(0))
+    place = Window.partitionBy(record).orderBy(F.col("bpm").isNull(), F.when(order == 0, len(preferred) + 1).otherwise(order), lead)
+    first = rates.where("bpm is not null or acf_bpm is not null").withColumn("place", F.row_number().over(place)).where("place = 1")
+    return first.select(record, lead, F.coalesce("bpm", "acf_bpm").alias("bpm"), F.when(F.col("bpm").isNotNull(), "beats").otherwise("autocorrelation").alias("basis"))
 
 
 def measurement_lead(df: DataFrame, record: str, lead: str, preferred: list, least_sd: float = 0.1) -> DataFrame:
@@ -90,26 +121,59 @@ def qrs_bounds(beats: DataFrame, df: DataFrame, by: list[str], half: int, share:
     return top.groupBy(*by, "r_i", "beat_no").agg(F.min(hit).alias("qrs_on"), F.max(hit).alias("qrs_off"))
 
 
-def waves(beats: DataFrame, df: DataFrame, by: list[str], before: int, after: int, swing: float = 0.10, foot: float = 0.20) -> DataFrame:
-    """p_on, t_end and baseline of beats with qrs_on and qrs_off.
+#: Fixed values, in seconds: how far back a P wave may lie, how near the QRS it must end, its longest rise, and the least, first and last place of a T wave.
+P_BACK, P_END, P_LEAST, P_RISE, PR_SEGMENT, T_AFTER, T_SPAN = 0.25, 0.04, 0.02, 0.07, 0.05, 0.04, 0.60
+#: Shares of the RR interval that bound the searches, and of swings and peaks.
+P_RR, T_RR, P_SWING, P_FOOT, P_FALLBACK = 0.45, 0.55, 0.10, 0.20, 0.15
+
 
-    P: of the window before qrs_on the largest sample above the window's median by ``swing`` of the beat's range, walked
-    back to ``foot`` of its height. T: of the window after qrs_off the largest deviation, then the steepest slope after it,
-    whose tangent meets the baseline. The baseline is the median of the window before qrs_on.
+def waves(beats: DataFrame, df: DataFrame, by: list[str], fs: float) -> DataFrame:
+    """p_on, t_end and baseline of beats with qrs_on and qrs_off, from samples (…, i from 0 on, mv).
+
+    The baseline is the median of the PR segment, or of the series where that has under two samples. P is the *last* local
+    maximum of the deflection before the QRS that reaches P_SWING of the swing there; the search goes back no further than
+    P_RR of the series' median RR, so that a T wave's tail isn't taken for it. Its onset is where it falls to P_FOOT of the
+    peak or, if that is too far off, to P_FALLBACK within the longest rise. T is the largest deflection after the QRS; the
+    steepest slope after it is drawn on to the baseline. A beat's samples are one array.
     """
     keys = [*by, "r_i"]
-    pre = beats.where("qrs_on is not null").withColumn("i", F.explode(F.sequence(F.col("qrs_on") - before, F.col("qrs_on") - 1))).join(df, [*by, "i"])
-    base = pre.groupBy(*keys).agg(F.percentile("mv", 0.5).alias("baseline"), F.max_by("i", F.struct("mv", "i")).alias("p_i"), F.max("mv").alias("p_v"), (F.max("mv") - F.min("mv")).alias("pre_range"))
-    span = around(beats, df, by, before, after).groupBy(*keys).agg((F.max("mv") - F.min("mv")).alias("range"))
-    p = base.join(span, keys).withColumn("p_i", F.when(F.col("p_v") - F.col("baseline") >= swing * F.col("range"), F.col("p_i")))
-    low = pre.join(p, keys).where((F.col("i") <= F.col("p_i")) & (F.col("mv") - F.col("baseline") <= foot * (F.col("p_v") - F.col("baseline")))).groupBy(*keys).agg(F.max("i").alias("p_on"))
-    post = beats.where("qrs_off is not null").withColumn("i", F.explode(F.sequence(F.col("qrs_off") + 1, F.col("qrs_off") + after))).join(df, [*by, "i"]).join(base.select(*keys, "baseline"), keys)
-    peak = post.groupBy(*keys, "baseline").agg(F.max_by("i", F.struct(F.abs(F.col("mv") - F.col("baseline")), -F.col("i"))).alias("t_i"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    slope = post.join(peak.drop("baseline"), keys).withColumn("s", F.col("mv") - F.lag("mv").over(w)).where("i > t_i and s is not null")
-    steep = slope.groupBy(*keys, "baseline").agg(F.max_by(F.struct("i", "mv", "s"), F.struct(F.abs("s"), -F.col("i"))).alias("m"))
-    end = steep.select(*keys, F.when(F.abs(F.col("m.s")) > 1e-12, F.round(F.col("m.i") + (F.col("baseline") - F.col("m.mv")) / F.col("m.s")).cast("long")).alias("t_end"))
-    return beats.join(base.select(*keys, "baseline"), keys, "left").join(low, keys, "left").join(end, keys, "left")
+    n = lambda seconds: int(seconds * fs)
+    rise = max(n(P_RISE), 1)
+    known = rr(beats, by).groupBy(*by).agg(F.percentile("rr", 0.5).alias("rr"))
+    level = df.groupBy(*by).agg(F.percentile("mv", 0.5).alias("level"))
+    span = F.least(F.floor(T_RR * F.col("rr")), F.lit(n(T_SPAN))).cast("int")
+    b = beats.where("qrs_on is not null").join(known, by).join(level, by).withColumns({"back": F.least(F.floor(P_RR * F.col("rr")), F.lit(n(P_BACK))).cast("int"), "span": F.coalesce(span, F.lit(0))})
+    b = b.withColumn("back", F.coalesce("back", F.lit(0)))
+    near = b.withColumn("i", F.explode(F.sequence(F.col("qrs_on") - F.greatest(F.col("back"), F.lit(n(PR_SEGMENT))), F.greatest(F.col("qrs_on"), F.col("qrs_off") + F.col("span") - 1))))
+    near = near.join(df, [*by, "i"]).groupBy(*keys, "qrs_on", "qrs_off", "rr", "level", "back", "span").agg(F.array_sort(F.collect_list(F.struct("i", "mv"))).alias("all"))
+    of = lambda low, high: F.transform(F.filter("all", lambda x: (x["i"] >= low) & (x["i"] < high)), lambda x: x["mv"])
+    on, off = F.col("qrs_on"), F.col("qrs_off")
+    pr = of(F.greatest(on - n(PR_SEGMENT), F.lit(0)), on)
+    d = A.worked_out(near, {"baseline": F.when(F.size(pr) < 2, F.col("level")).otherwise(A.median(pr))})
+    start, end = F.greatest(on - F.col("back"), F.lit(0)), F.greatest(on - n(P_END), F.lit(0))
+    against = lambda a: F.transform(a, lambda x: F.round(x - F.col("baseline"), 9))
+    swing = of(start, on + 1)
+    t_start = off + n(T_AFTER)
+    d = A.worked_out(d, {"p": against(of(start, end)), "swing": F.array_max(swing) - F.array_min(swing), "t": against(of(t_start, off + F.col("span")))})
+    high = F.transform("p", F.abs)
+    top = F.try_element_at(F.filter(A.peaks(high), lambda x: x["value"] >= P_SWING * F.col("swing")), F.lit(-1))
+    d = A.worked_out(d, {"top": F.when((F.size("p") >= n(P_LEAST)) & (F.col("swing") > 0), top)})
+    at = F.col("top")["at"]
+    low = F.coalesce(A.last_place(A.some(high, 0, at + 1), lambda x: x <= P_FOOT * F.col("top")["value"]), F.lit(0))
+    lo = F.greatest(at - rise, F.lit(0))
+    signed = F.transform(A.some(F.col("p"), lo, at - lo + 1), lambda x: x * F.signum(F.get("p", at)))
+    bounded = lo + F.coalesce(A.last_place(signed, lambda x: x <= P_FALLBACK * F.col("top")["value"]), F.lit(0))
+    d = d.withColumn("p_on", F.when(at.isNotNull(), start + F.when((low == 0) | (at - low > rise), bounded).otherwise(low)))
+    t, size = F.col("t"), F.size("t")
+    flat = lambda a: A.place_of_min(F.transform(a, lambda x: -F.abs(x)))
+    d = A.worked_out(d, {"t_at": flat(t)})
+    d = A.worked_out(d, {"slopes": A.gradient(A.some(t, F.col("t_at"), size))})
+    d = A.worked_out(d, {"steep": flat("slopes")})
+    place, slope = F.col("t_at") + F.col("steep"), F.get("slopes", F.col("steep").cast("int"))
+    zero = F.bround(place - F.get(t, place.cast("int")) / slope).cast("long")
+    sound = (size >= max(1, n(T_AFTER))) & (F.col("t_at") < size - 2) & (F.abs(slope) >= 1e-6)
+    d = d.withColumn("t_end", F.when(sound, t_start + F.greatest(place, F.least(size - 1, zero))).cast("long"))
+    return beats.join(d.select(*keys, F.col("p_on").cast("long").alias("p_on"), "t_end", "baseline"), keys, "left")
 
 
 def interval(start: Column, end: Column, fs: float, name: str) -> Column:
@@ -160,38 +224,3 @@ def rhythm(df: DataFrame) -> DataFrame:
     said = lambda f, s, n: F.when(fast, f).when(slow, s).otherwise(n)
     label = F.when(F.col("rhythm_basis") == "atrial_fibrillation", said("Atrial fibrillation with rapid ventricular response", "Atrial fibrillation with slow ventricular response", "Atrial fibrillation")).when(F.col("rhythm_basis") == "sinus", said("Sinus tachycardia", "Sinus bradycardia", "Normal sinus rhythm")).otherwise(said("Undetermined rhythm (tachycardic)", "Undetermined rhythm (bradycardic)", "Undetermined rhythm"))
     return df.withColumns({"rate_category": category, "rhythm_basis": basis}).withColumn("classification", label)
-
-
-def morphology(beats: DataFrame, df: DataFrame, by: list[str], fs: float, half: int, share: float = 0.18) -> DataFrame:
-    """Shape of each beat within its QRS bounds: r and s heights, polarity, initial deflection, pattern, RS interval, notches.
-
-    Samples are taken against the window's median; deflections count from ``share`` of the largest one.
-    """
-    keys = [*by, "r_i", "beat_no"]
-    seg = around(beats, df, by, half, half).where("i between qrs_on and qrs_off")
-    mid = seg.groupBy(*keys).agg(F.percentile("mv", 0.5).alias("base"))
-    d = seg.join(mid, keys).withColumn("v", F.col("mv") - F.col("base"))
-    top = d.groupBy(*keys).agg(F.max(F.abs("v")).alias("peak"))
-    d = d.join(top, keys)
-    w = Window.partitionBy(*keys).orderBy("i")
-    up, down = F.col("v") >= share * F.col("peak"), F.col("v") <= -share * F.col("peak")
-    d = d.withColumns({"up": up, "down": down, "slope": F.signum(F.col("v") - F.lag("v").over(w))}).withColumn("turn", (F.col("slope") != F.lag("slope").over(w)) & (F.col("slope") != 0))
-    out = d.groupBy(*keys).agg(F.greatest(F.max("v"), F.lit(0.0)).alias("r"), F.greatest(-F.min("v"), F.lit(0.0)).alias("s"), F.min(F.when(F.col("up"), F.col("i"))).alias("first_up"), F.min(F.when(F.col("down"), F.col("i"))).alias("first_down"), F.max_by("i", F.struct("v", -F.col("i"))).alias("r_at"), F.min_by("i", F.struct("v", "i")).alias("s_at"), F.count_if("turn").alias("turns"), F.min("i").alias("on"))
-    has_r, has_s = F.col("first_up").isNotNull(), F.col("first_down").isNotNull()
-    r_first = has_r & (~has_s | (F.col("first_up") < F.col("first_down")))
-    pattern = F.when(has_r & ~has_s, "r").when(~has_r & has_s, "qs").when(r_first, "rs").when(has_r & has_s & (F.col("s_at") > F.col("r_at")), "qrs").when(has_r & has_s, "qr")
-    return out.select(*keys, pattern.alias("pattern"), F.when(r_first, "r").when(has_s, "q").alias("initial"), F.when(F.col("r") > F.col("s"), "positive").when(F.col("r") < F.col("s"), "negative").otherwise("mixed").alias("polarity"), F.try_divide("r", "s").alias("r_s"), (F.col("turns") > 2).alias("notched"), F.when(has_r & has_s & (F.col("s_at") > F.col("r_at")), (F.col("s_at") - F.col("r_at")) / fs * 1000).alias("rs_ms"), F.when(has_s, (F.col("s_at") - F.col("on")) / fs * 1000).alias("nadir_ms"))
-
-
-def lead_morphology(shapes: DataFrame, by: list[str]) -> DataFrame:
-    """Medians, modes (of equal counts the first seen) and majorities of each series' beats."""
-    first = shapes.groupBy(*by, "pattern").agg(F.count("*").alias("k"), F.min("beat_no").alias("seen")).where("pattern is not null").groupBy(*by).agg(F.max_by("pattern", F.struct("k", -F.col("seen"))).alias("pattern"))
-    most = lambda c: F.count_if(c) >= F.greatest(F.lit(1), F.floor(F.count("*") / 2))
-    out = shapes.groupBy(*by).agg(F.count("*").alias("beats"), F.percentile("r_s", 0.5).alias("r_s"), F.percentile("rs_ms", 0.5).alias("rs_ms"), most(F.col("notched")).alias("notched"), most(F.col("rs_ms").isNotNull()).alias("has_rs"))
-    return out.join(first, by, "left")
-
-
-def record_features(leads: DataFrame, record: str, lead: str, precordial: list, least: int = 3) -> DataFrame:
-    """Of each record the number of precordial leads with enough beats, whether none has an RS, and the longest RS."""
-    chest = leads.where(F.col(lead).isin(precordial) & (F.col("beats") >= least))
-    return chest.groupBy(record).agg(F.count("*").alias("leads"), F.every(~F.col("has_rs")).alias("rs_absent"), F.max("rs_ms").alias("max_rs_ms"))

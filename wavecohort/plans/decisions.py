@@ -296,18 +296,20 @@ def wct(spark, sf):
     return audit(spark, sf).select("image_id", F.when(k % 10 != 0, (80 + k * 3 % 100).cast("double")).alias("heart_rate"), (90 + k * 7 % 90).cast("double").alias("qrs_ms"), (k % 8).alias("n_beats"), (k * 11 % 160).cast("double").alias("max_rs_ms"), (k % 12 == 0).alias("rs_absent"), F.when(k % 3 == 0, k % 2 == 0).alias("av_dissociation"), F.when(k % 5 == 0, False).alias("capture_beats"), (k % 4 != 0).alias("regular"), lead(4, 7).alias("v1"), lead(5, 9).alias("v6"), avr.alias("avr"))
 
 
-PROXIES["wct"] = """$audit, w0 as (select image_id, image_id as k from audit),
-wct as (select image_id, k, case when k % 10 <> 0 then 80 + k * 3 % 100 end as hr, 90 + k * 7 % 90 as qrs, k % 8 as nb, k * 11 % 160 as rs, k % 12 = 0 as rs_absent, case when k % 3 = 0 then k % 2 = 0 end as av, case when k % 5 = 0 then false end as cap, k % 4 <> 0 as regular,
-  k % 4 as b1, case when k % 7 <> 0 then (['r', 'qr', 'rs', 'qs', 'qrs'])[k * 7 % 5 + 1] end as p1, (['positive', 'negative', 'mixed'])[k % 3 + 1] as pol, (k * 13 % 30) / 10::double as r_s, (['r', 'q'])[k % 2 + 1] as ini, k * 3 % 60 as ini_ms, case when k % 4 <> 0 then k * 5 % 90 end as nadir, k % 19 = 0 as notch, k % 23 = 0 as ear,
-  k % 5 as b6, case when k % 9 <> 0 then (['r', 'qr', 'rs', 'qs', 'qrs'])[k * 7 % 5 + 1] end as p6, k % 3 as ba, k * 17 % 70 as a_ms, k % 6 = 0 as a_notch, (k * 29 % 30) / 10::double as vivt from w0),
+PROXIES["criteria"] = """
 w1 as (select *, b1 > 0 and p1 is not null as m1, b6 > 0 and p6 is not null as m6, qrs >= 140 as elig, case when hr is null or nb < 3 then 'unmeasurable' when hr <= 100 or qrs < 120 then 'not_wide_complex_tachycardia' else '' end as scope from wct),
-w2 as (select *, coalesce(p1 in ('r', 'qr') or (p1 = 'rs' and r_s >= 1), false) or ear as r1, coalesce(p6 in ('r', 'qr', 'qs') or (p6 = 'rs' and r_s < 1), false) as r6,
-  list_filter([case when (ini = 'r' and ini_ms > 30) or coalesce(nadir > 60, false) or notch then 'brugada_terminal_v1_lbbb_morphology' end, case when m6 and p6 in ('qr', 'qs', 'qrs') then 'brugada_terminal_v6_lbbb_q_wave' end], lambda x: x is not null) as lb from w1),
+w2 as (select *, coalesce(p1 in ('r', 'qr') or (p1 = 'rs' and r_s >= 1), false) or coalesce(ear, false) as r1, coalesce(p6 in ('r', 'qr', 'qs') or (p6 = 'rs' and r_s6 < 1), false) as r6,
+  list_filter([case when (ini = 'r' and ini_ms > 30) or coalesce(nadir > 60, false) or coalesce(notch, false) then 'brugada_terminal_v1_lbbb_morphology' end, case when m6 and p6 in ('qr', 'qs', 'qrs') then 'brugada_terminal_v6_lbbb_q_wave' end], lambda x: x is not null) as lb from w1),
 w3 as (select *, case when not m1 then null when pol = 'positive' then case when not m6 then null else r1 and r6 end when pol = 'negative' then case when len(lb) > 0 then true when not m6 then null else false end end as tsup,
   case when m1 and pol = 'positive' and m6 and r1 and r6 then ['brugada_terminal_v1_v6_rbbb_morphology'] when m1 and pol = 'negative' then lb else [] end as tcrit from w2),
 w4 as (select *, list_concat(list_filter([case when elig and rs_absent then 'brugada_absent_rs_all_precordial' end, case when elig and rs > 100 and rs <= qrs + 20 then 'brugada_rs_interval_gt_100ms' end, case when av then 'brugada_av_dissociation' end, case when cap then 'brugada_capture_or_fusion_beats' end], lambda x: x is not null), case when elig and coalesce(tsup, false) then tcrit else [] end) as bru,
-  list_filter([case when elig and ba > 0 and ini = 'r' then 'vereckei_initial_r_in_avr' end, case when elig and ba > 0 and a_ms > 40 then 'vereckei_initial_r_or_q_gt_40ms' end, case when elig and ba > 0 and a_notch then 'vereckei_initial_downstroke_notching' end, case when elig and ba > 0 and vivt <= 1 then 'vereckei_vi_vt_ratio_leq_1' end], lambda x: x is not null) as ver,
+  list_filter([case when elig and ba > 0 and a_ini = 'r' then 'vereckei_initial_r_in_avr' end, case when elig and ba > 0 and a_ms > 40 then 'vereckei_initial_r_or_q_gt_40ms' end, case when elig and ba > 0 and a_notch then 'vereckei_initial_downstroke_notching' end, case when elig and ba > 0 and vivt <= 1 then 'vereckei_vi_vt_ratio_leq_1' end], lambda x: x is not null) as ver,
   list_filter([case when scope <> '' then 'criteria_apply_only_to_tachycardia_with_qrs_at_least_120ms' end, case when not regular then 'irregular_rhythm_algorithms_validated_for_regular_wct' end, case when scope = '' and not elig then 'automated_morphology_support_requires_qrs_at_least_140ms' end, case when rs > 100 and rs > qrs + 20 then 'rs_interval_exceeds_measured_qrs_consistency' end, case when av is null then 'av_dissociation_not_assessed' end, case when cap is null then 'capture_or_fusion_beats_not_assessed' end, case when tsup is null then 'terminal_v1_v6_morphology_not_measurable' end], lambda x: x is not null) as lim from w3)"""
+PROXIES["wct"] = """$audit, w0 as (select image_id, image_id as k from audit),
+wct as (select image_id, k, case when k % 10 <> 0 then 80 + k * 3 % 100 end as hr, 90 + k * 7 % 90 as qrs, k % 8 as nb, k * 11 % 160 as rs, k % 12 = 0 as rs_absent, case when k % 3 = 0 then k % 2 = 0 end as av, case when k % 5 = 0 then false end as cap, k % 4 <> 0 as regular,
+  k % 4 as b1, case when k % 7 <> 0 then (['r', 'qr', 'rs', 'qs', 'qrs'])[k * 7 % 5 + 1] end as p1, (['positive', 'negative', 'mixed'])[k % 3 + 1] as pol, (k * 13 % 30) / 10::double as r_s, (['r', 'q'])[k % 2 + 1] as ini, k * 3 % 60 as ini_ms, case when k % 4 <> 0 then k * 5 % 90 end as nadir, k % 19 = 0 as notch, k % 23 = 0 as ear,
+  k % 5 as b6, case when k % 9 <> 0 then (['r', 'qr', 'rs', 'qs', 'qrs'])[k * 7 % 5 + 1] end as p6, k % 3 as ba, k * 17 % 70 as a_ms, k % 6 = 0 as a_notch, (k * 29 % 30) / 10::double as vivt, (k * 13 % 30) / 10::double as r_s6, (['r', 'q'])[k % 2 + 1] as a_ini from w0),
+$criteria"""
 
 
 @query("D12_wct_classification", "with $wct select image_id, scope, case when scope <> '' then scope when len(bru) + len(ver) > 0 then 'vt_supported' else 'indeterminate_wide_complex_tachycardia' end as classification from w4")

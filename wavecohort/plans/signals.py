@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import beats as B
+from ..operators import qrs as Q
+from ..operators import rules as U
 from ..operators import signal as G
 from .evaluation import rounded
 from .proxies import gappy, long, read, short
@@ -227,12 +229,15 @@ def _(spark, sf):
 
 # beats, with all times in samples
 
-PROXIES["beats"] = f"""$long, {SQL_DETREND},
+PROXIES["detrended"] = f"$long, {SQL_DETREND}"
+PROXIES["beats"] = """$detrended,
 b0 as (select *, coalesce((mv - lag(mv) over (partition by record_id, lead order by i)) ** 2, 0) as d from dt), b1 as (select *, round(avg(d) over (partition by record_id, lead order by i rows between 3 preceding and 3 following), 6) as e from b0),
-b2 as (select *, avg(e) over p + 0.5::double * stddev_pop(e) over p as cut, lag(e) over o as bf, lead(e) over o as af from b1 window p as (partition by record_id, lead), o as (partition by record_id, lead order by i)),
-b3 as (select record_id, lead, i, e from b2 where e > cut and e >= coalesce(bf, -1) and e >= coalesce(af, -1)), b4 as (select *, case when i - lag(i) over (partition by record_id, lead order by i) < 8 then 0 else 1 end as new from b3), b5 as (select *, sum(new) over (partition by record_id, lead order by i) as cl from b4),
-b6 as (select record_id, lead, cl, cast(floor(avg(i) filter (e = m)) as bigint) as p from (select *, max(e) over (partition by record_id, lead, cl) as m from b5) group by 1, 2, 3), lv as (select record_id, lead, i, abs(mv - avg(mv) over (partition by record_id, lead)) as dev from dt),
-b7 as (select record_id, lead, cl, arg_max(lv.i, struct_pack(d := round(dev, 12), o := -lv.i)) as r_i from b6 join lv using (record_id, lead) where lv.i between p - 3 and p + 3 group by 1, 2, 3),
+b2 as (select *, avg(e) over p + 0.5::double * stddev_pop(e) over p as cut, lag(e) over o as bf from b1 window p as (partition by record_id, lead), o as (partition by record_id, lead order by i)),
+b3 as (select *, lead(e) over o as af, lead(i) over o as nx from b2 where bf is null or bf <> e window o as (partition by record_id, lead order by i)), b4 as (select record_id, lead, e, (i + nx - 1) // 2 as i from b3 where e > bf and e > af and e >= cut),
+b5 as (select *, sum(new) over (partition by record_id, lead order by i) as cl from (select *, case when i - lag(i) over (partition by record_id, lead order by i) < 8 then 0 else 1 end as new from b4)),
+b6 as (select record_id, lead, unnest(list_reduce(tops, lambda kept, x: case when len(list_filter(kept, lambda y: abs(y - x) < 8)) > 0 then kept else list_append(kept, x) end, []::bigint[])) as p from (select record_id, lead, cl, list(i order by e desc, i desc) as tops from b5 group by 1, 2, 3)),
+lv as (select record_id, lead, i, abs(mv - avg(mv) over (partition by record_id, lead)) as dev from dt),
+b7 as (select record_id, lead, p, arg_max(lv.i, struct_pack(d := round(dev, 12), o := -lv.i)) as r_i from b6 join lv using (record_id, lead) where lv.i between p - 3 and p + 3 group by 1, 2, 3),
 beats as (select record_id, lead, r_i, row_number() over (partition by record_id, lead order by r_i) - 1 as beat_no from (select distinct record_id, lead, r_i from b7)),
 rrs as (select *, r_i - lag(r_i) over (partition by record_id, lead order by r_i) as rr from beats)"""
 
@@ -251,11 +256,31 @@ def _(spark, sf):
     return rounded(B.rate(beats(spark, sf), BY, FS), "bpm")
 
 
-@query("W20_autocorrelation_rate", f"""with $long, {SQL_DETREND}, z as (select record_id, lead, i, mv - avg(mv) over (partition by record_id, lead) as z from dt), r as (select a.record_id, a.lead, lag, sum(a.z * b.z) as r from z a, (select unnest(range(4, 62)) as lag) l, z b where b.record_id = a.record_id and b.lead = a.lead and b.i = a.i + lag group by 1, 2, 3),
-r0 as (select record_id, lead, sum(z * z) as r0 from z group by 1, 2), w as (select *, lag(r) over o as p, lead(r) over o as q from r join r0 using (record_id, lead) window o as (partition by record_id, lead order by lag))
-select record_id, lead, min(lag) as lag, round(60 * 50 / min(lag)::double, 4) as bpm from w where r >= p and r > q and r >= 0.05::double * r0 group by 1, 2""")
+PROXIES["acf"] = """$detrended, a0 as (select record_id, lead, i, (mv - lag(mv) over (partition by record_id, lead order by i)) ** 2 as d from dt), a1 as (select record_id, lead, i, d - avg(d) over (partition by record_id, lead) as z, count(*) over (partition by record_id, lead) as n from a0 where d is not null),
+a2 as (select a.record_id, a.lead, a.n, l.lag, sum(a.z * coalesce(b.z, 0)) as r from a1 a join (select unnest([0] || range(3, 20)) as lag) l on l.lag < a.n - 1 left join a1 b on b.record_id = a.record_id and b.lead = a.lead and b.i = a.i + l.lag group by 1, 2, 3, 4),
+a3 as (select record_id, lead, list(round(r / r0, 9) order by lag) as h from (select *, max(case when lag = 0 then r end) over (partition by record_id, lead) + 1e-10 as r0 from a2) where lag > 0 group by 1, 2 having count(*) >= 10),
+a4 as (select *, list_filter(range(2, len(h)), lambda k: h[k] > h[k - 1] and h[k] > h[k + 1]) as tops from a3),
+a5 as (select *, list_reduce(list_transform(list_reverse_sort(list_transform(tops, lambda k: {'v': h[k], 'k': k})), lambda x: x.k), lambda kept, x: case when len(list_filter(kept, lambda y: abs(y - x) < 7)) > 0 then kept else list_append(kept, x) end, []::bigint[]) as held from a4),
+a6 as (select record_id, lead, h, unnest(held) as k from a5),
+a7 as (select *, (select max(j) from unnest(range(1, k)) as t(j) where h[j] > h[k]) as lo, (select min(j) from unnest(range(k + 1, len(h) + 1)) as t(j) where h[j] > h[k]) as hi from a6),
+acf as (select record_id, lead, min(k) + 2 as lag from a7 where h[k] - greatest(list_min(h[coalesce(lo, 0) + 1:k]), list_min(h[k + 1:coalesce(hi, len(h) + 1) - 1])) >= 0.05::double group by 1, 2)"""
+
+
+def acf_rate(spark, sf):
+    return B.autocorrelation_rate(detrended(spark, sf), BY, FS, 3, 20)
+
+
+@query("W20_autocorrelation_rate", "with $acf select record_id, lead, lag, round(60 * 50 / lag::double, 4) as bpm from acf")
 def _(spark, sf):
-    return rounded(B.autocorrelation_rate(detrended(spark, sf), BY, FS, 5, 60, 0.05), "bpm", n=4)
+    return rounded(acf_rate(spark, sf), "bpm", n=4)
+
+
+@query("W19_record_rate", """with $beats, $acf, x as (select record_id, lead, 60 * 50 / quantile_cont(case when rr >= 3000 / 220::double and rr <= 3000 / 25::double then rr end, 0.5) as bpm from rrs group by 1, 2),
+y as (select record_id, lead, bpm, 60 * 50 / lag::double as acf_bpm from x full join acf using (record_id, lead)), z as (select *, row_number() over (partition by record_id order by bpm is null, case lead when 'purchase' then 1 when 'click' then 2 else 3 end, lead) as p from y where bpm is not null or acf_bpm is not null)
+select record_id, lead, round(coalesce(bpm, acf_bpm), 6) as bpm, case when bpm is not null then 'beats' else 'autocorrelation' end as basis from z where p = 1""")
+def _(spark, sf):
+    rates = B.rate(beats(spark, sf), BY, FS).join(acf_rate(spark, sf).select(*BY, F.col("bpm").alias("acf_bpm")), BY, "full")
+    return rounded(B.lead_rate(rates, "record_id", "lead", ["purchase", "click"]), "bpm")
 
 
 @query("W21_measurement_lead", "with $long, s as (select record_id, lead, stddev_pop(whole) as sd from long group by 1, 2) select record_id, lead from (select *, row_number() over (partition by record_id order by case lead when 'purchase' then 1 when 'click' then 2 else 3 end, lead) as p from s where sd >= 0.1::double) where p = 1")
@@ -270,12 +295,12 @@ def _(spark, sf):
 
 
 PROXIES["qrs"] = """$beats, g0 as (select record_id, lead, i, abs(coalesce(lead(mv) over o, mv) - coalesce(lag(mv) over o, mv)) / 2 as g from dt window o as (partition by record_id, lead order by i)), g1 as (select record_id, lead, i, avg(g) over (partition by record_id, lead order by i rows between 2 preceding and 2 following) as g from g0),
-q0 as (select b.record_id, b.lead, b.r_i, b.beat_no, g1.i, g1.g, max(g1.g) over (partition by b.record_id, b.lead, b.r_i) as m from beats b join g1 on g1.record_id = b.record_id and g1.lead = b.lead and g1.i between b.r_i - 6 and b.r_i + 6),
-qrs as (select record_id, lead, r_i, beat_no, min(case when g > 0.4::double * m then i end) as qrs_on, max(case when g > 0.4::double * m then i end) as qrs_off from q0 group by 1, 2, 3, 4)"""
+q0 as (select b.record_id, b.lead, b.r_i, b.beat_no, g1.i, g1.g, max(g1.g) over (partition by b.record_id, b.lead, b.r_i) as m from beats b join g1 on g1.record_id = b.record_id and g1.lead = b.lead and g1.i between b.r_i - 4 and b.r_i + 4),
+qrs as (select record_id, lead, r_i, beat_no, min(case when g > 0.15::double * m then i end) as qrs_on, max(case when g > 0.15::double * m then i end) as qrs_off from q0 group by 1, 2, 3, 4)"""
 
 
 def qrs(spark, sf):
-    return B.qrs_bounds(beats(spark, sf), detrended(spark, sf), BY, 6, 0.4)
+    return B.qrs_bounds(beats(spark, sf), detrended(spark, sf), BY, 4)
 
 
 @query("W22_qrs_bounds", "with $qrs select record_id, lead, r_i, qrs_on, qrs_off from qrs")
@@ -284,25 +309,31 @@ def _(spark, sf):
 
 
 def delineated(spark, sf):
-    return B.waves(qrs(spark, sf), detrended(spark, sf), BY, 10, 14)
+    return B.waves(qrs(spark, sf), detrended(spark, sf), BY, FS)
 
 
-PROXIES["waves"] = """$qrs, wpre as (select q.record_id, q.lead, q.r_i, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.qrs_on - 10 and q.qrs_on - 1),
-wbase as (select record_id, lead, r_i, quantile_cont(mv, 0.5) as baseline, arg_max(i, struct_pack(v := mv, i := i)) as p_i, max(mv) as p_v from wpre group by 1, 2, 3),
-wspan as (select q.record_id, q.lead, q.r_i, max(mv) - min(mv) as reach from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.r_i - 10 and q.r_i + 14 group by 1, 2, 3),
-wp as (select b.record_id, b.lead, b.r_i, baseline, p_v, case when p_v - baseline >= 0.1::double * reach then p_i end as p_i from wbase b join wspan using (record_id, lead, r_i)),
-wlow as (select record_id, lead, r_i, max(i) as p_on from wpre join wp using (record_id, lead, r_i) where i <= p_i and mv - baseline <= 0.2::double * (p_v - baseline) group by 1, 2, 3),
-wpost as (select q.record_id, q.lead, q.r_i, baseline, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.qrs_off + 1 and q.qrs_off + 14 join wbase b on b.record_id = q.record_id and b.lead = q.lead and b.r_i = q.r_i),
-wpeak as (select record_id, lead, r_i, arg_max(i, struct_pack(v := abs(mv - baseline), o := -i)) as t_i from wpost group by 1, 2, 3),
-wslope as (select p.*, mv - lag(mv) over (partition by record_id, lead, r_i order by i) as s from wpost p),
-wsteep as (select record_id, lead, r_i, baseline, arg_max(struct_pack(i := i, mv := mv, s := s), struct_pack(v := abs(s), o := -i)) as m from wslope join wpeak using (record_id, lead, r_i) where i > t_i and s is not null group by 1, 2, 3, 4),
-wend as (select record_id, lead, r_i, case when abs(m.s) > 1e-12 then cast(round(m.i + (baseline - m.mv) / m.s) as bigint) end as t_end from wsteep),
-waves as (select q.*, b.baseline, p_on, t_end from qrs q left join wbase b using (record_id, lead, r_i) left join wlow using (record_id, lead, r_i) left join wend using (record_id, lead, r_i))"""
+SQL_LOCAL = "list_filter(range(2, len({0})), lambda j: h[{0}[j]] > h[{0}[j - 1]] and h[{0}[j]] > h[{0}[j + 1]])"  # runs that are higher than both neighbours
+PROXIES["waves"] = f"""$qrs, v0 as (select record_id, lead, quantile_cont(rr, 0.5) as rr from rrs group by 1, 2), v1 as (select record_id, lead, quantile_cont(mv, 0.5) as level from dt group by 1, 2),
+v2 as (select q.*, level, coalesce(least(floor(0.45::double * rr), 12), 0)::bigint as back, coalesce(least(floor(0.55::double * rr), 30), 0)::bigint as span from qrs q join v0 using (record_id, lead) join v1 using (record_id, lead) where qrs_on is not null),
+v3 as (select v2.record_id, v2.lead, r_i, qrs_on, qrs_off, level, back, span, list(mv order by i) filter (i >= greatest(qrs_on - 2, 0) and i < qrs_on) as pr, list(mv order by i) filter (i >= greatest(qrs_on - back, 0) and i < greatest(qrs_on - 2, 0)) as p,
+  max(mv) filter (i >= greatest(qrs_on - back, 0) and i <= qrs_on) - min(mv) filter (i >= greatest(qrs_on - back, 0) and i <= qrs_on) as swing, list(mv order by i) filter (i >= qrs_off + 2 and i < qrs_off + span) as t
+  from v2 join dt on dt.record_id = v2.record_id and dt.lead = v2.lead and dt.i between qrs_on - greatest(back, 2) and greatest(qrs_on, qrs_off + span - 1) group by all),
+v4 as (select *, case when coalesce(len(pr), 0) < 2 then level else list_median(pr) end as baseline from v3),
+v5 as (select *, list_transform(p, lambda x: round(x - baseline, 9)) as s, list_transform(p, lambda x: abs(round(x - baseline, 9))) as h, list_transform(t, lambda x: round(x - baseline, 9)) as u from v4),
+v6 as (select *, list_filter(range(1, len(h) + 1), lambda k: k = 1 or h[k] <> h[k - 1]) as g from v5),
+v7 as (select *, list_transform(list_filter({SQL_LOCAL.format("g")}, lambda j: h[g[j]] >= 0.1::double * swing), lambda j: (g[j] + g[j + 1] - 1) // 2)[-1] as top from v6 where swing > 0 and len(p) >= 1),
+v8 as (select *, h[top] as m, list_filter(range(1, top + 1), lambda k: h[k] <= 0.2::double * h[top])[-1] as low, greatest(top - 3, 1) as lo from v7 where top is not null),
+v9 as (select record_id, lead, r_i, greatest(qrs_on - back, 0) - 1 + case when low is null or low = 1 or top - low > 3 then coalesce(list_filter(range(lo, top + 1), lambda k: s[k] * sign(s[top]) <= 0.15::double * m)[-1], lo) else low end as p_on from v8),
+u1 as (select record_id, lead, r_i, qrs_off, u, list_position(list_transform(u, lambda x: abs(x)), list_max(list_transform(u, lambda x: abs(x)))) as ta from v5 where len(u) >= 2),
+u2 as (select *, list_transform(range(ta, len(u) + 1), lambda k: case when k = ta then u[k + 1] - u[k] when k = len(u) then u[k] - u[k - 1] else (u[k + 1] - u[k - 1]) / 2 end) as gr from u1 where ta < len(u) - 1),
+u3 as (select *, list_position(list_transform(gr, lambda x: abs(x)), list_max(list_transform(gr, lambda x: abs(x)))) as st from u2), u4 as (select *, ta + st - 2 as place, gr[st] as slope from u3),
+u5 as (select record_id, lead, r_i, (qrs_off + 2 + greatest(place, least(len(u) - 1, round_even(place - u[place + 1] / slope, 0))))::bigint as t_end from u4 where abs(slope) >= 1e-6),
+waves as (select q.*, v4.baseline, p_on, t_end from qrs q left join v4 using (record_id, lead, r_i) left join v9 using (record_id, lead, r_i) left join u5 using (record_id, lead, r_i))"""
 
 
-@query("W23_waves", "with $waves select record_id, lead, r_i, p_on, t_end, round(baseline, 5) as baseline from waves")
+@query("W23_waves", "with $waves select record_id, lead, r_i, p_on, t_end, round(baseline, 6) as baseline from waves")
 def _(spark, sf):
-    return rounded(delineated(spark, sf).select("record_id", "lead", "r_i", "p_on", "t_end", "baseline"), "baseline", n=5)
+    return rounded(delineated(spark, sf).select("record_id", "lead", "r_i", "p_on", "t_end", "baseline"), "baseline", n=6)
 
 
 @query("W24_intervals", "with $qrs, w as (select *, (qrs_off - qrs_on) / 50::double * 1000 as ms from qrs) select record_id, lead, count(*) as n_beats, round(case when count(*) >= 3 then quantile_cont(case when ms between 40 and 220 and qrs_off > qrs_on then ms end, 0.5) end, 6) as qrs_ms from w group by 1, 2")
@@ -359,33 +390,90 @@ def _(spark, sf):
 
 
 def shapes(spark, sf):
-    return B.morphology(qrs(spark, sf), detrended(spark, sf), BY, FS, 6)
+    return Q.morphology(beats(spark, sf), detrended(spark, sf), BY, FS)
+
+
+def sql_shapes(beats: str, out: str) -> str:
+    """Shapes of the beats of a table, as ``out``: window 3 before to 11 after, lists in place of arrays."""
+    smooth = lambda x, k: f"case when len({x}) < {2 * k + 1} then {x} else list_transform({x}, lambda e, i: round(list_sum({x}[greatest(i - {k}, 1):i + {k}]) / {2 * k + 1}, 9)) end"
+    notch = lambda x: f"coalesce(len({x}) >= 4 and list_max({x}) - list_min({x}) > 1e-9 and len(list_filter(range(2, len({x})), lambda k: {x}[k] - {x}[k - 1] < -0.08::double * (list_max({x}) - list_min({x})) and {x}[k + 1] - {x}[k] > 0.08::double * (list_max({x}) - list_min({x})))) > 0, false)"
+    return f"""{out}_0 as (select b.record_id, b.lead, b.r_i, b.beat_no, list(mv order by i) filter (i >= r_i - 3) as seg, quantile_cont(mv, 0.5) filter (i >= greatest(r_i - 11, 0) and i < greatest(greatest(r_i - 11, 0) + 1, r_i - 4)) as base
+  from {beats} b join dt on dt.record_id = b.record_id and dt.lead = b.lead and dt.i between r_i - 11 and r_i + 10 group by 1, 2, 3, 4),
+{out}_1 as (select * replace (list_transform({smooth("seg", 2)}, lambda x: round(x - base, 9)) as seg) from {out}_0 where len(seg) >= 4),
+{out}_2 as (select *, list_filter(range(1, len(seg) + 1), lambda k: abs(seg[k]) >= 0.12::double * list_max(list_transform(seg, lambda x: abs(x)))) as act from {out}_1 where list_max(list_transform(seg, lambda x: abs(x))) > 1e-6),
+{out}_3 as (select *, seg[act[1]:act[-1]] as q, 0.18::double * list_max(list_transform(seg[act[1]:act[-1]], lambda x: abs(x))) as cut from {out}_2 where len(act) > 1),
+{out}_4 as (select *, len(q) as size, list_filter(range(1, len(q) + 1), lambda k: q[k] > cut) as pos, list_filter(range(1, len(q) + 1), lambda k: q[k] < -cut) as neg, list_position(q, list_min(q)) as nadir from {out}_3),
+{out}_5 as (select *, case when pos[1] < coalesce(neg[1], size + 1) then 1 when neg[1] is not null then -1 end as sg, case when pos[1] is not null then pos[1] - 1 + list_position(q[pos[1]:], list_min(q[pos[1]:])) end as s_at from {out}_4),
+{out}_6 as (select *, coalesce(list_filter(pos, lambda k: k > s_at + 2), []) as late, pos[1] is not null and neg[-1] > pos[1] and q[s_at] < -cut as rs, list_transform(q, lambda x: x * sg) as w, {smooth("list_transform(q[1:4], lambda x: -x)", 1)} as d1, {smooth("list_transform(q[greatest(nadir - 4, 1):nadir], lambda x: -x)", 1)} as d2 from {out}_5),
+{out} as (select record_id, lead, r_i, beat_no, (size - 1) / 50::double * 1000 as qrs_ms,
+  case when sg is null then null when neg[1] is null then 'r' when pos[1] is null then 'qs' when sg = -1 then case when neg[-1] > pos[1] then 'qrs' else 'qr' end when len(late) > 0 then 'rsr' else 'rs' end as pattern,
+  case sg when 1 then 'r' when -1 then 'q' end as initial, case when sg is not null then (coalesce(list_filter(range(case sg when 1 then pos[1] else neg[1] end + 1, size + 1), lambda k: w[k] <= 0.08::double * list_max(w))[1] - 1, size)) / 50::double * 1000 end as initial_ms,
+  case when abs(list_max(q)) >= abs(list_min(q)) then 'positive' else 'negative' end as polarity, coalesce(rs, false) as has_rs, case when rs then (s_at - pos[1]) / 50::double * 1000 end as rs_ms, case when neg[1] is not null then (nadir - 1) / 50::double * 1000 end as nadir_ms,
+  case when pos[1] is not null and neg[1] is not null then list_max(q) / abs(list_min(q)) end as r_s, case when size > 4 and abs(q[size] - q[size - 2]) > 1e-9 then abs(q[3] - q[1]) / abs(q[size] - q[size - 2]) end as vi_vt,
+  case when pos[1] is not null and neg[1] is not null and len(late) > 0 then list_max(q[pos[1]:s_at]) > list_max(list_transform(late, lambda k: q[k])) end as taller, coalesce(sg = -1, false) and {notch("d1")} as notched, neg[1] is not null and {notch("d2")} as s_notched from {out}_6)"""
 
 
-PROXIES["shapes"] = """$qrs, hs as (select q.record_id, q.lead, q.r_i, q.beat_no, dt.i, dt.mv from qrs q join dt on dt.record_id = q.record_id and dt.lead = q.lead and dt.i between q.r_i - 6 and q.r_i + 6 and dt.i between q.qrs_on and q.qrs_off),
-hv as (select *, mv - quantile_cont(mv, 0.5) over (partition by record_id, lead, r_i) as v from hs), hp as (select *, max(abs(v)) over (partition by record_id, lead, r_i) as peak, sign(v - lag(v) over (partition by record_id, lead, r_i order by i)) as slope from hv),
-ht as (select *, slope <> lag(slope) over (partition by record_id, lead, r_i order by i) and slope <> 0 as turn from hp),
-ho as (select record_id, lead, r_i, beat_no, greatest(max(v), 0) as r, greatest(-min(v), 0) as s, min(case when v >= 0.18::double * peak then i end) as up, min(case when v <= -0.18::double * peak then i end) as down, arg_max(i, struct_pack(v := v, o := -i)) as r_at, arg_min(i, struct_pack(v := v, o := i)) as s_at, count(*) filter (turn) as turns, min(i) as first from ht group by 1, 2, 3, 4),
-hf as (select *, up is not null and (down is null or up < down) as r_first from ho),
-shapes as (select record_id, lead, r_i, beat_no, case when up is not null and down is null then 'r' when up is null and down is not null then 'qs' when r_first then 'rs' when up is not null and down is not null and s_at > r_at then 'qrs' when up is not null and down is not null then 'qr' end as pattern,
- case when r_first then 'r' when down is not null then 'q' end as initial, case when r > s then 'positive' when r < s then 'negative' else 'mixed' end as polarity, case when s <> 0 then r / s end as r_s, turns > 2 as notched,
- case when up is not null and down is not null and s_at > r_at then (s_at - r_at) / 50::double * 1000 end as rs_ms, case when down is not null then (s_at - first) / 50::double * 1000 end as nadir_ms from hf)"""
+def sql_leads(shapes: str, out: str) -> str:
+    mode = lambda c: f"{out}_{c} as (select record_id, lead, arg_max({c}, struct_pack(k := k, s := -seen)) as {c} from (select record_id, lead, {c}, count(*) as k, min(beat_no) as seen from {shapes} where {c} is not null group by 1, 2, 3) group by 1, 2)"
+    most = lambda c, n: f"count(*) filter ({c}) >= greatest(1, {n} // 2)"
+    medians = ", ".join(f"quantile_cont({c}, 0.5) as {c}" for c in ("qrs_ms", "rs_ms", "initial_ms", "nadir_ms", "r_s", "vi_vt"))
+    names = ("pattern", "initial", "polarity")
+    return f"""{", ".join(map(mode, names))}, {out}_0 as (select record_id, lead, count(*) as beats, {medians}, {most("has_rs", "count(*)")} as has_rs, {most("notched", "count(*)")} as notched, {most("s_notched", "count(*)")} as s_notched, case when count(taller) > 0 then {most("taller", "count(taller)")} end as taller from {shapes} group by 1, 2),
+{out} as (select * from {out}_0 {" ".join(f"left join {out}_{c} using (record_id, lead)" for c in names)})"""
 
 
-@query("W33_morphology", "with $shapes select record_id, lead, r_i, beat_no, pattern, initial, polarity, round(r_s, 4) as r_s, notched, round(rs_ms, 4) as rs_ms, round(nadir_ms, 4) as nadir_ms from shapes")
+MS = ("qrs_ms", "rs_ms", "initial_ms", "nadir_ms", "r_s", "vi_vt")
+SQL_MS = ", ".join(f"round({c}, 4) as {c}" for c in MS)
+PROXIES["shapes"] = "$beats, " + sql_shapes("beats", "shapes")
+CHEST, V1, V6, AVR, ANCHORS = ["view", "click", "error"], "view", "click", "signup", ["purchase", "view", "click", "error"]
+
+
+@query("W33_morphology", f"with $shapes select record_id, lead, r_i, beat_no, {SQL_MS}, pattern, initial, polarity, has_rs, taller, notched, s_notched from shapes")
+def _(spark, sf):
+    return rounded(shapes(spark, sf), *MS, n=4)
+
+
+@query("W34_lead_morphology", f"with $shapes, {sql_leads('shapes', 'leads')} select record_id, lead, beats, {SQL_MS}, pattern, initial, polarity, has_rs, taller, notched, s_notched from leads")
 def _(spark, sf):
-    return rounded(shapes(spark, sf), "r_s", "rs_ms", "nadir_ms", n=4)
+    return rounded(Q.lead_morphology(shapes(spark, sf), BY), *MS, n=4)
 
 
-SQL_LEADS = """md as (select record_id, lead, arg_max(pattern, struct_pack(k := k, s := -seen)) as pattern from (select record_id, lead, pattern, count(*) as k, min(beat_no) as seen from shapes where pattern is not null group by 1, 2, 3) group by 1, 2),
-ld as (select record_id, lead, count(*) as beats, quantile_cont(r_s, 0.5) as r_s, quantile_cont(rs_ms, 0.5) as rs_ms, count(*) filter (notched) >= greatest(1, count(*) // 2) as notched, count(*) filter (rs_ms is not null) >= greatest(1, count(*) // 2) as has_rs from shapes group by 1, 2)"""
+# leads of a record in place of V1 to V6 and aVR; the anchor is the first with beats in its order
+PROXIES["features"] = f"""$beats, n0 as (select record_id, lead, count(*) as n from beats group by 1, 2 having count(*) >= 3), n1 as (select record_id, lead from dt group by 1, 2 having stddev_pop(mv) >= 0.05::double),
+n2 as (select record_id, lead, row_number() over (partition by record_id order by case lead when 'purchase' then 1 when 'view' then 2 when 'click' then 3 when 'error' then 4 else 5 end, lead) as p from n0 join n1 using (record_id, lead)),
+anchored as (select b.record_id, b.lead as anchor, r_i, beat_no from beats b join n2 using (record_id, lead) where p = 1), spread as (select record_id, unnest(['view', 'click', 'error', 'signup']) as lead, r_i, beat_no from anchored), {sql_shapes("spread", "fshapes")}, {sql_leads("fshapes", "fleads")},
+fwide as (select record_id, count(*) filter (lead <> 'signup') as leads, bool_and(not has_rs) filter (lead <> 'signup') as rs_absent, max(rs_ms) filter (lead <> 'signup') as max_rs_ms from fleads group by 1),
+features as (select * from (select record_id, any_value(anchor) as anchor_lead, count(*) as n_beats from anchored group by 1) left join fwide using (record_id))"""
 
 
-@query("W34_lead_morphology", f"with $shapes, {SQL_LEADS} select record_id, lead, beats, round(r_s, 4) as r_s, round(rs_ms, 4) as rs_ms, notched, has_rs, pattern from ld left join md using (record_id, lead)")
+def features(spark, sf):
+    df, b = detrended(spark, sf), beats(spark, sf)
+    return Q.record_features(Q.anchor_beats(b, df, "record_id", "lead", ANCHORS), df, "record_id", "lead", CHEST, V1, V6, AVR, FS)
+
+
+@query("W35_record_features", "with $features select record_id, anchor_lead, n_beats, leads, rs_absent, round(max_rs_ms, 4) as max_rs_ms, a.beats as v1_beats, a.pattern as v1_pattern, b.pattern as v6_pattern, c.initial as avr_initial, round(c.vi_vt, 4) as avr_vi_vt from features left join fleads a on a.record_id = features.record_id and a.lead = 'view' left join fleads b on b.record_id = features.record_id and b.lead = 'click' left join fleads c on c.record_id = features.record_id and c.lead = 'signup'".replace("select record_id, anchor", "select features.record_id, anchor"))
 def _(spark, sf):
-    return rounded(B.lead_morphology(shapes(spark, sf), BY), "r_s", "rs_ms", n=4)
+    f = features(spark, sf)
+    return rounded(f.select("record_id", "anchor_lead", "n_beats", "leads", "rs_absent", "max_rs_ms", F.col("v1.beats").alias("v1_beats"), F.col("v1.pattern").alias("v1_pattern"), F.col("v6.pattern").alias("v6_pattern"), F.col("avr.initial").alias("avr_initial"), F.col("avr.vi_vt").alias("avr_vi_vt")), "max_rs_ms", "avr_vi_vt", n=4)
+
+
+# the criteria of wide complexes, from samples on: shapes at the anchor's beats, its rate (or another lead's), width and regularity
+PROXIES["wct_features"] = f"""$features, $waves, $acf, cf1 as (select f.record_id, quantile_cont(ms, 0.5) as qrs from features f join (select record_id, lead, case when qrs_off > qrs_on and (qrs_off - qrs_on) * 20 between 40 and 220 then (qrs_off - qrs_on) / 50::double * 1000 end as ms from qrs) q on q.record_id = f.record_id and q.lead = f.anchor_lead group by 1),
+{SQL_RR}, cf2 as (select r.record_id, cv < 0.12::double as regular from rst r join features f on f.record_id = r.record_id and f.anchor_lead = r.lead),
+cf3 as (select record_id, lead, 60 * 50 / quantile_cont(case when rr >= 3000 / 220::double and rr <= 3000 / 25::double then rr end, 0.5) as bpm from rrs group by 1, 2), cf4 as (select record_id, lead, bpm, 60 * 50 / lag::double as acf_bpm from cf3 full join acf using (record_id, lead)),
+cf5 as (select record_id, coalesce(bpm, acf_bpm) as hr from (select *, row_number() over (partition by record_id order by bpm is null, case lead when 'purchase' then 1 when 'view' then 2 when 'click' then 3 when 'error' then 4 else 5 end, lead) as p from cf4 where bpm is not null or acf_bpm is not null) where p = 1),
+wct as (select f.record_id as image_id, hr, qrs, f.n_beats as nb, f.max_rs_ms as rs, coalesce(f.rs_absent, false) as rs_absent, null::boolean as av, null::boolean as cap, regular, coalesce(a.beats, 0) as b1, a.pattern as p1, a.polarity as pol, a.r_s, a.initial as ini, a.initial_ms as ini_ms, a.nadir_ms as nadir, a.s_notched as notch, a.taller as ear,
+  coalesce(b.beats, 0) as b6, b.pattern as p6, b.r_s as r_s6, coalesce(c.beats, 0) as ba, c.initial as a_ini, c.initial_ms as a_ms, c.notched as a_notch, c.vi_vt as vivt
+  from features f left join cf1 using (record_id) left join cf2 using (record_id) left join cf5 using (record_id) left join fleads a on a.record_id = f.record_id and a.lead = 'view' left join fleads b on b.record_id = f.record_id and b.lead = 'click' left join fleads c on c.record_id = f.record_id and c.lead = 'signup'), $criteria"""
 
 
-@query("W35_record_features", f"with $shapes, {SQL_LEADS} select record_id, count(*) as leads, bool_and(not has_rs) as rs_absent, round(max(rs_ms), 4) as max_rs_ms from ld where lead in ('view', 'click', 'scroll') and beats >= 3 group by record_id")
+@query("D13_criteria_from_samples", "with $wct_features select image_id as record_id, scope, array_to_string(case when scope = '' then list_concat(bru, ver) else [] end, ',') as evidence, array_to_string(lim, ',') as limitations, case when scope <> '' then scope when len(bru) + len(ver) > 0 then 'vt_supported' else 'indeterminate_wide_complex_tachycardia' end as classification from w4")
 def _(spark, sf):
-    return rounded(B.record_features(B.lead_morphology(shapes(spark, sf), BY), "record_id", "lead", ["view", "click", "scroll"]), "max_rs_ms", n=4)
+    f, q, b = features(spark, sf), qrs(spark, sf), beats(spark, sf)
+    of_anchor = lambda df, *c: df.join(f.select("record_id", F.col("anchor_lead").alias("lead")), BY).select("record_id", *c)
+    spans = B.intervals(q.withColumns({"p_on": F.lit(None).cast("long"), "t_end": F.lit(None).cast("long")}), BY, FS, 1)
+    rates = B.rate(b, BY, FS).join(acf_rate(spark, sf).select(*BY, F.col("bpm").alias("acf_bpm")), BY, "full")
+    rate = B.lead_rate(rates, "record_id", "lead", ANCHORS).select("record_id", F.col("bpm").alias("heart_rate"))
+    rows = f.join(of_anchor(spans, "qrs_ms"), "record_id", "left").join(of_anchor(B.rr_statistics(b, BY, FS), "regular"), "record_id", "left").join(rate, "record_id", "left")
+    rows = rows.withColumns({c: F.lit(None).cast("boolean") for c in ("av_dissociation", "capture_beats")})
+    return U.assess_wct(rows).select("record_id", "scope", F.array_join("evidence", ",").alias("evidence"), F.array_join("limitations", ",").alias("limitations"), "classification")
