@@ -171,3 +171,26 @@ def test_platt_fit(spark):
 def test_tiers(spark):
     rows = spark.createDataFrame([(9, 0.99, 0.9), (10, 0.8, 0.3), (10, 0.79, 0.9), (50, None, 0.5)], "positives int, auroc double, f1 double")
     assert [r.t for r in rows.select(H.assign_tier().alias("t")).collect()] == ["research_only", "validated", "provisional", "research_only"]
+
+
+def test_one_pass_gives_the_rates_of_all_candidates(spark):
+    """Rates at every candidate as counted anew: clipped midpoints, single and null scores, neighbouring doubles."""
+    rng = random.Random(7)
+    up = math.nextafter(0.4, 1)
+    cases = {
+        "mixed": [rng.choice([0.0, 1.0, 0.0002, 0.0005, 0.9993, 0.9999, rng.random()]) for _ in range(60)], "low": [0.0, 0.0001, 0.0004], "high": [0.9995, 0.9999, 1.0], "ends": [0.0, 1.0], "one": [0.7, 0.7], "small": [0.2],
+        "null": [None, 0.3, 0.6, None], "nulls": [None, None], "near": [0.4, up, math.nextafter(up, 1), 0.9], "edge": [0.0005, 0.0015, 0.9985, 0.9995], "bounds": [0.001, 0.999],
+    }
+    rows = [(g, p, rng.randrange(2)) for g, ps in cases.items() for p in ps]
+    df = spark.createDataFrame(rows, "g string, prob double, y int")
+    found = {(r.g, r.cutoff): (r.tp, r.fp, r.p, r.q) for r in H.scanned(M.tie_table(df, ["g"]), ["g"]).collect()}
+    want = {}
+    for g, ps in cases.items():
+        s = sorted({p for p in ps if p is not None})
+        for c in {min(max((a + b) / 2, 0.001), 0.999) for a, b in zip(s, s[1:])} or {0.5}:
+            hit = [y for k, p, y in rows if k == g and p is not None and p >= c]
+            all_ = [y for k, _, y in rows if k == g]
+            want[g, c] = (sum(hit), len(hit) - sum(hit), sum(all_), len(all_) - sum(all_))
+    assert found == want
+    again = {(r.g, r.cutoff): (r.tp, r.fp, r.p, r.q) for r in H.rates_at(df, H.candidates(df, ["g"]), ["g"]).collect()}
+    assert again == want

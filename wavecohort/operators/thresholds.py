@@ -53,10 +53,46 @@ def first_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__place = 1").drop("__place")
 
 
+def scanned(ties: DataFrame, by: list[str]) -> DataFrame:
+    """As ``rates_of`` at all ``candidates_of`` a tie table, from one running pass over it.
+
+    What is at or above the midpoint after a score is all that comes after that score. A bound that midpoints are clipped
+    to has what comes after the last score below it. A cutoff may be told by several rows, which are equal.
+    """
+    counted = ties.select(*by, "prob", "pos", "neg", F.when(F.col("prob").isNotNull(), 1.0).otherwise(0.0).alias("one"))
+    run = running(counted, by, "prob", ["pos", "neg", "one"])
+    prob, then, place, scores_ = F.col("prob"), F.col("prob_next"), F.col("one_before"), F.col("one_all")
+    mid = (prob + then) / 2
+    all_ = [F.col("pos_all").alias("tp"), F.col("neg_all").alias("fp")]
+    after = [(F.col("pos_all") - F.col("pos_before") - F.col("pos")).alias("tp"), (F.col("neg_all") - F.col("neg_before") - F.col("neg")).alias("fp")]
+    # neighbouring doubles have no midpoint between them: it is one of the two
+    at_mid = [F.when(mid > prob, a).otherwise(F.col(f"{c}_all") - F.col(f"{c}_before")).alias(n) for a, c, n in zip(after, ("pos", "neg"), ("tp", "fp"))]
+    none = [F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp")]
+    last_below = lambda bound: (prob < bound) & (then.isNull() | (then >= bound)) & (scores_ >= 2)
+    cut = lambda c, rates: F.struct((c if isinstance(c, Column) else F.lit(c)).cast("double").alias("cutoff"), *rates)
+    cases = [
+        F.when(mid.between(LOWEST, HIGHEST), cut(mid, at_mid)),
+        F.when(last_below(LOWEST) & ((place > 0) | (mid < LOWEST)), cut(LOWEST, after)),
+        F.when(last_below(HIGHEST) & then.isNotNull() & ((mid > HIGHEST) | (place + 2 < scores_)), cut(HIGHEST, after)),
+        F.when((place == 0) & (prob >= HIGHEST) & (scores_ >= 2), cut(HIGHEST, all_)),
+        F.when((scores_ == 1) & (prob >= DEFAULT), cut(DEFAULT, all_)).when((scores_ == 1) & (prob < DEFAULT), cut(DEFAULT, none)).when((scores_ == 0) & prob.isNull(), cut(DEFAULT, none)),
+    ]
+    found = run.select(*by, F.explode(F.filter(F.array(*cases), lambda c: c.isNotNull())).alias("c"), F.col("pos_all").alias("p"), F.col("neg_all").alias("q"))
+    tp, fp, p, q = (F.col(c) for c in ("tp", "fp", "p", "q"))
+    return found.select(*by, "c.cutoff", "c.tp", "c.fp", "p", "q").withColumns({"sensitivity": ratio(tp, p), "specificity": ratio(q - fp, q), "precision": ratio(tp, tp + fp)})
+
+
+def greatest_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    """The row of each group with the greatest ``order``; partial maxima, no sort."""
+    rest = [c for c in df.columns if c not in by]
+    best = df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])).alias("best"))
+    return best.select(*by, "best.*")
+
+
 def best_fbeta_of(ties: DataFrame, by: list[str], beta: float = 1.0) -> DataFrame:
     """As ``best_fbeta``, of a tie table."""
-    at = rates_of(ties, candidates_of(ties, by), by).withColumn("score", F.round(fbeta(beta), 12))
-    return first_by(at, by, F.desc("score"), F.asc("cutoff"))
+    at = scanned(ties, by).withColumn("score", F.round(fbeta(beta), 12))
+    return greatest_by(at, by, F.col("score"), -F.col("cutoff"))
 
 
 def best_fbeta(scores: DataFrame, by: list[str], beta: float = 1.0, weight: Column | None = None) -> DataFrame:
@@ -66,23 +102,33 @@ def best_fbeta(scores: DataFrame, by: list[str], beta: float = 1.0, weight: Colu
 
 def at_sensitivity(scores: DataFrame, by: list[str], floor: float) -> DataFrame:
     """The greatest specificity with at least that sensitivity; if none reaches it, the smallest cutoff."""
-    at = rates_at(scores, candidates(scores, by), by).withColumn("reached", F.col("sensitivity") >= floor)
-    return first_by(at, by, F.desc("reached"), F.when(F.col("reached"), -F.col("specificity")), F.asc("cutoff"))
+    at = scanned(tie_table(scores, by), by).withColumn("reached", F.col("sensitivity") >= floor)
+    return greatest_by(at, by, F.col("reached"), F.when(F.col("reached"), F.col("specificity")), -F.col("cutoff"))
 
 
 def at_specificity(scores: DataFrame, by: list[str], floor: float) -> DataFrame:
     """The greatest sensitivity with at least that specificity; if none reaches it, the largest cutoff."""
-    at = rates_at(scores, candidates(scores, by), by).withColumn("reached", F.col("specificity") >= floor)
-    return first_by(at, by, F.desc("reached"), F.when(F.col("reached"), -F.col("sensitivity")), F.when(F.col("reached"), F.col("cutoff")).otherwise(-F.col("cutoff")))
+    at = scanned(tie_table(scores, by), by).withColumn("reached", F.col("specificity") >= floor)
+    return greatest_by(at, by, F.col("reached"), F.when(F.col("reached"), F.col("sensitivity")), F.when(F.col("reached"), -F.col("cutoff")).otherwise(F.col("cutoff")))
 
 
 def best_f1_observed(scores: DataFrame, by: list[str], least_precision: float = 0.30, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """The observed score of the greatest F1 with enough precision, clipped and scored again; else the default with its F1."""
-    seen = scores.select(*by, F.col("prob").alias("cutoff")).distinct()
-    best = rates_at(scores, seen, by).where((F.col("precision") >= least_precision) & (F.col("p") > 0)).withColumn("score", F.round(fbeta(), 12))
-    best = first_by(best, by, F.desc("score"), F.asc("cutoff")).select(*by, F.least(F.greatest("cutoff", F.lit(low)), F.lit(high)).alias("cutoff"))
-    every = scores.select(*by).distinct().join(best, by, "left").select(*by, F.coalesce("cutoff", F.lit(DEFAULT)).alias("cutoff"))
-    return rates_at(scores, every, by).select(*by, "cutoff", fbeta().alias("f1"))
+    """The observed score of the greatest F1 with enough precision, clipped and scored again; else the default with its F1.
+
+    One running pass: rates at an observed score are what is not before it, and those at the bounds and at the default are
+    sums of the same rows.
+    """
+    run = running(tie_table(scores, by), by, "prob", ["pos", "neg"])
+    rates = run.withColumns({"tp": F.col("pos_all") - F.col("pos_before"), "fp": F.col("neg_all") - F.col("neg_before"), "p": F.col("pos_all")})
+    score = F.round(fbeta(), 12)
+    sound = (ratio(F.col("tp"), F.col("tp") + F.col("fp")) >= least_precision) & (F.col("p") > 0) & F.col("prob").isNotNull()
+    best = F.max(F.when(sound, F.struct(score.alias("score"), (-F.col("prob")).alias("o"), "tp", "fp", F.col("prob").alias("cutoff")))).alias("best")
+    at = lambda c, name: F.struct(F.coalesce(F.sum(F.when(F.col("prob") >= c, F.col("pos"))), F.lit(0.0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("prob") >= c, F.col("neg"))), F.lit(0.0)).alias("fp"), F.lit(float(c)).alias("cutoff")).alias(name)
+    told = rates.groupBy(*by).agg(best, F.max("p").alias("p"), at(low, "low"), at(high, "high"), at(DEFAULT, "default"))
+    own = F.struct("best.tp", "best.fp", "best.cutoff")
+    chosen = F.when(F.col("best").isNull(), F.col("default")).when(F.col("best.cutoff") < low, F.col("low")).when(F.col("best.cutoff") > high, F.col("high")).otherwise(own)
+    out = told.select(*by, "p", chosen.alias("c")).select(*by, "p", "c.cutoff", "c.tp", "c.fp")
+    return out.select(*by, "cutoff", fbeta().alias("f1"))
 
 
 def crossfit(scores: DataFrame, group: str, by: list[str], blocks: int = 5, repeats: int = 2, beta: float = 1.0) -> DataFrame:
