@@ -194,3 +194,23 @@ def test_one_pass_gives_the_rates_of_all_candidates(spark):
     assert found == want
     again = {(r.g, r.cutoff): (r.tp, r.fp, r.p, r.q) for r in H.rates_at(df, H.candidates(df, ["g"]), ["g"]).collect()}
     assert again == want
+
+
+def test_paired_differences(spark):
+    """Groups of a few pairs, of ties and zeros, of equal differences, and of many pairs."""
+    rng = random.Random(2)
+    cases = {"few": [0.1, 0.2, -0.1], "six": [0.5, 0.2, -0.1, 0.4, 0.3, 0.6], "ties": [1.0, 1.0, -1.0, 2.0, 0.0, 3.0, None], "same": [0.25] * 6, "zero": [0.0] * 5, "many": [rng.gauss(0.15, 1) for _ in range(200)]}
+    df = spark.createDataFrame([(g, d) for g, ds in cases.items() for d in ds], "g string, d double")
+    found = {r.g: r for r in M.paired_test(df, ["g"], "d").collect()}
+    assert found["few"].w_p is None and found["few"].n == 3 and found["few"].wins == 2
+    assert found["six"].w == 1 and found["six"].w_p == pytest.approx(2 * 2 / 64)  # sums of at most 1: none, and the least rank
+    assert found["ties"].n == 6 and found["ties"].w == 2 and found["ties"].w_p == pytest.approx(2 * 4 / 32)  # ranks 2, 2, 2, 4, 5: none, or one of the three
+    assert found["same"].t is None and found["same"].t_p is None and found["same"].w_p == pytest.approx(2 / 64)
+    assert found["zero"].w_p is None and found["zero"].w is None
+    d = cases["many"]
+    mean, sd = sum(d) / 200, (sum((x - sum(d) / 200) ** 2 for x in d) / 199) ** 0.5
+    assert found["many"].t == pytest.approx(mean / (sd / 200**0.5)) and 0 < found["many"].t_p < 1
+    z = (found["many"].w - 200 * 201 / 4) / (200 * 201 * 401 / 24) ** 0.5
+    assert found["many"].w_p == pytest.approx(math.erfc(abs(z) / 2**0.5), abs=1e-9)
+    one = M.paired_test(df.where("g = 'six'"), [], "d").first()
+    assert one.w == 1 and one.t == pytest.approx(found["six"].t) and set(M.paired_test(df, [], "d").columns) == {"n", "wins", "mean", "sd", "t", "t_p", "w", "w_p"}

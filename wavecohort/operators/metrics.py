@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .distributions import EXACT_PAIRS, correlation_p, normal_two_sided, signed_rank_p, t_two_sided
+
 #: Ranges that a group's order is cut into.
 RANGES = 32
 
@@ -175,7 +177,7 @@ def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """rho of each group; null where a column is constant or there are fewer than two rows."""
+    """rho of each group, null where a column is constant or there are fewer than two rows, and its two-sided p, null below three."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("__times"))
     rank = lambda c, name: midranks_of(pairs, by, c, name)
     ranked = met(met(pairs, rank(x, "__x"), [*by, x]), rank(y, "__y"), [*by, y])
@@ -184,7 +186,34 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     sums = ranked.groupBy(*by).agg(n.alias("n"), (F.min("__x") == F.max("__x")).alias("flat_x"), (F.min("__y") == F.max("__y")).alias("flat_y"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), mean.alias("mean"))
     spread = lambda c: F.col(c) - F.col("n") * F.col("mean") * F.col("mean")
     steady = (F.col("n") < 2) | F.col("flat_x") | F.col("flat_y")
-    return sums.select(*by, "n", F.when(~steady, spread("ab") / F.sqrt(spread("aa") * spread("bb"))).alias("rho"))
+    out = sums.select(*by, "n", F.when(~steady, spread("ab") / F.sqrt(spread("aa") * spread("bb"))).alias("rho"))
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
+
+
+def paired_test(df: DataFrame, by: list[str], delta: str) -> DataFrame:
+    """n, wins, mean, sd, t, t_p, w and w_p of each group's paired differences; null differences are left out.
+
+    t needs two pairs that are not all equal. Signed ranks leave out zeros: w is the smaller sum of midranks, w_p counts all
+    signs out up to EXACT_PAIRS pairs and is normal, corrected for ties, beyond; null below five pairs or without a difference.
+    """
+    if not by:
+        return paired_test(df.withColumn("__one", F.lit(1)), ["__one"], delta).drop("__one")
+    rows = df.where(F.col(delta).isNotNull())
+    sd = F.stddev_samp(delta)
+    told = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(delta) > 0).alias("wins"), F.avg(delta).alias("mean"), F.when(F.count("*") > 1, sd).alias("sd"))
+    told = told.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))).withColumn("t_p", t_two_sided(F.col("t"), F.col("n") - 1))
+    sized = rows.where(F.col(delta) != 0).withColumn("size", F.round(F.abs(delta), 12))
+    ranks = midranks_of(sized.groupBy(*by, "size").agg(F.count("*").alias("__times")), by, "size", "r")
+    ranked = met(sized, ranks, [*by, "size"])
+    few = met(ranked, sized.groupBy(*by).agg(F.count("*").alias("pairs")), by).withColumn("doubled", F.when(F.col("pairs") <= EXACT_PAIRS, F.round(2 * F.col("r")).cast("int")))
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("r"))), F.lit(0.0))
+    sums = few.groupBy(*by).agg(F.first("pairs").alias("pairs"), F.least(side(F.col(delta) > 0), side(F.col(delta) < 0)).alias("w"), F.collect_list("doubled").alias("doubled"), F.sum(F.col("r") * F.col("r")).alias("squares"))
+    m = F.col("pairs").cast("double")
+    z = (F.col("w") - m * (m + 1) / 4) / F.sqrt(F.col("squares") / 4)  # the sum of squared midranks has the ties in it
+    sums = sums.withColumn("w_p", F.when(F.col("pairs") <= EXACT_PAIRS, signed_rank_p(F.col("doubled"), F.col("w"))).otherwise(normal_two_sided(z)))
+    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in by], "w", "w_p")
+    out = told.join(sums, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*[f"__{c}" for c in by])  # a row for each group
+    return out.withColumn("w_p", F.when(F.col("n") >= 5, F.col("w_p")))
 
 
 def midranks_of(counted: DataFrame, by: list[str], column: str, name: str) -> DataFrame:

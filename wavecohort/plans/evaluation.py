@@ -234,12 +234,24 @@ def _(spark, sf):
     return rounded(M.ranking(h.withColumn("prob", F.round("prob", 9)), ["head"]), "auroc", "average_precision")
 
 
-@query("M17_spearman", """with $scores, p as (select a.class, a.prob as x, abs(a.prob - b.prob) as z from scores a join scores_b b on a.record_id = b.record_id and a.class_idx = b.class_idx),
-k as (select class, rank() over (partition by class order by x) + (count(*) over (partition by class, x) - 1) / 2::double as rx, rank() over (partition by class order by round(z, 9)) + (count(*) over (partition by class, round(z, 9)) - 1) / 2::double as rz from p)
-select class, count(*) as n, round(corr(rx, rz), 6) as rho from k group by class""")
+def sql_t_p(source: str, t: str, df: str, name: str) -> str:
+    """Tables up to ``name``: ``source`` with p, the two-sided probability of Student's t, by the continued fraction of the incomplete beta function."""
+    even, odd = "(m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))", "(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))"
+    d, c = f"(1 + {even} * s.d)", f"(1 + {even} / s.c)"
+    e, f = f"(1 + {odd} / {d})", f"(1 + {odd} / {c})"
+    return f"""{name}_0 as (select *, ({t})::double as t_, ({df})::double as df_ from {source}), {name}_1 as (select *, df_ / (df_ + t_ * t_) as x0, df_ / 2 as a0, 0.5::double as b0 from {name}_0),
+{name}_2 as (select *, x0 < (a0 + 1) / (a0 + b0 + 2) as low from {name}_1), {name}_3 as (select *, case when low then a0 else b0 end as a, case when low then b0 else a0 end as b, case when low then x0 else 1 - x0 end as x from {name}_2),
+{name}_4 as (select *, list_reduce(range(1, 401), lambda s, m: {{'d': 1 / {e}, 'c': {f}, 'h': s.h * {c} / {d} * {f} / {e}}}, {{'d': 1 / (1 - (a + b) * x / (a + 1)), 'c': 1::double, 'h': 1 / (1 - (a + b) * x / (a + 1))}}).h as h from {name}_3),
+{name} as (select * exclude (t_, df_, x0, a0, b0, low, a, b, x, h), case when df_ > 0 then abs(case when low then 0 else 1 end - exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / a) end as p from {name}_4)"""
+
+
+@query("M17_spearman", f"""with $scores, p as (select a.class, a.prob as x, abs(a.prob - b.prob) as z from scores a join scores_b b on a.record_id = b.record_id and a.class_idx = b.class_idx),
+k as (select class, rank() over (partition by class order by x) + (count(*) over (partition by class, x) - 1) / 2::double as rx, rank() over (partition by class order by round(z, 9)) + (count(*) over (partition by class, round(z, 9)) - 1) / 2::double as rz from p),
+c as (select class, count(*) as n, corr(rx, rz) as rho from k group by class),
+{sql_t_p('c', 'rho * sqrt((n - 2) / (1 - rho * rho))', 'n - 2', 'pv')} select class, n, round(rho, 6) as rho, round(p, 6) as p from pv""")
 def _(spark, sf):
     p = pairs(spark, sf).select("class", F.col("a").alias("x"), F.round(F.abs(F.col("a") - F.col("b")), 9).alias("z"))
-    return rounded(M.spearman(p, ["class"], "x", "z"), "rho")
+    return rounded(M.spearman(p, ["class"], "x", "z"), "rho", "p")
 
 
 @query("M18_length_arms", SQL_ARMS + f", {sql_report('arms', 'arm')} select arm, {SQL_METRICS} from m")

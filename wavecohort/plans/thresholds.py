@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators import thresholds as H
-from .evaluation import METRICS, SQL_ARMS, SQL_METRICS, SQL_RATES, arms, rounded, sql_counts, sql_ranking, sql_report
+from .evaluation import sql_t_p, METRICS, SQL_ARMS, SQL_METRICS, SQL_RATES, arms, rounded, sql_counts, sql_ranking, sql_report
 from .proxies import doc_scores, scores, scores_b
 from .registry import query
 
@@ -264,11 +264,11 @@ def _(spark, sf):
     return rounded(_paired(spark, sf).select("fold", "seed", "delta"), "delta")
 
 
-@query("H18_paired_test", SQL_DELTA + ", k as (select *, rank() over (order by round(abs(delta), 12)) + (count(*) over (partition by round(abs(delta), 12)) - 1) / 2::double as r from p where delta <> 0) select (select count(*) from p) as n, (select count(*) filter (delta > 0) from p) as wins, (select round(avg(delta), 6) from p) as mean, (select round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 4) from p) as t, round(least(coalesce(sum(r) filter (delta > 0), 0), coalesce(sum(r) filter (delta < 0), 0)), 6) as w from k")
+@query("H18_paired_test", SQL_DELTA + f""", k as (select *, rank() over (order by round(abs(delta), 12)) + (count(*) over (partition by round(abs(delta), 12)) - 1) / 2::double as r from p where delta <> 0),
+a as (select count(*) as n, count(*) filter (delta > 0) as wins, avg(delta) as mean, stddev_samp(delta) as sd, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) as t from p), {sql_t_p('a', 't', 'n - 1', 'tp')}, l as (select list(r) as rs, least(coalesce(sum(r) filter (delta > 0), 0), coalesce(sum(r) filter (delta < 0), 0)) as w from k),
+-- every choice of signs is a number with a bit for each rank
+signs as (select w, list_sum(list_transform(rs, lambda r, i: case when (j >> (i - 1)) & 1 = 1 then r else 0 end)) as s from l, (select unnest(range(0, (select 2 ** count(*) from k)::bigint)) as j)),
+wp as (select any_value(w) as w, least(1, 2 * avg(case when s <= w then 1 else 0 end)) as w_p from signs)
+select n, wins, round(mean, 6) as mean, round(sd, 6) as sd, round(t, 4) as t, round(p, 6) as t_p, round(w, 6) as w, round(case when n >= 5 then w_p end, 6) as w_p from tp, wp""")
 def _(spark, sf):
-    d = _paired(spark, sf)
-    t = d.agg(F.count("*").alias("n"), F.count_if(F.col("delta") > 0).alias("wins"), F.avg("delta").alias("mean"), (F.avg("delta") / (F.stddev_samp("delta") / F.sqrt(F.count("*")))).alias("t"))
-    ranked = M.midranks(d.where("delta <> 0").withColumns({"size": F.round(F.abs("delta"), 12), "one": F.lit(1)}), ["one"], "size", "r")
-    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("r"))), F.lit(0.0))
-    w = ranked.agg(F.least(side(F.col("delta") > 0), side(F.col("delta") < 0)).alias("w"))
-    return rounded(rounded(t.crossJoin(w), "mean", "w"), "t", n=4)  # one row each
+    return rounded(rounded(M.paired_test(_paired(spark, sf), [], "delta"), "mean", "sd", "t_p", "w", "w_p"), "t", n=4)
