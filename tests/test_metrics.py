@@ -214,3 +214,16 @@ def test_paired_differences(spark):
     assert found["many"].w_p == pytest.approx(math.erfc(abs(z) / 2**0.5), abs=1e-9)
     one = M.paired_test(df.where("g = 'six'"), [], "d").first()
     assert one.w == 1 and one.t == pytest.approx(found["six"].t) and set(M.paired_test(df, [], "d").columns) == {"n", "wins", "mean", "sd", "t", "t_p", "w", "w_p"}
+
+
+def test_replicate_vectors_equal_repeated_rows(spark):
+    """Sums by replicate as from a row for each unit and replicate; null units, and more groups than a task holds."""
+    rows = [(g, None if u == 3 else f"u{u}", float(u + g), 1.0) for g in range(7) for u in range(9)]
+    df = spark.createDataFrame(rows, "g int, u string, a double, b double")
+    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("w", H.poisson_one(H.draw(7, F.col("replicate"), F.col("u"))))
+    want = {(r.g, r.replicate): (r.a, r.b) for r in each.groupBy("g", "replicate").agg(F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("b")).alias("b")).collect()}
+    found = {(r.g, r.replicate): (r.a, r.b) for r in H.replicate_sums(df.coalesce(2), "u", ["g"], 20, 7, groups=2).collect()}
+    assert found == want
+    plan = H.replicate_sums(df, "u", ["g"], 20, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row is repeated for the replicates
+    assert H.bootstrap_interval(df.limit(0), "u", ["g"], "a", "b").count() == 0 and H.bootstrap_interval(df.limit(0), "u", [], "a", "b").first().n_units == 0

@@ -5,11 +5,17 @@ Cutoffs of all groups are scanned in one cumulative pass over distinct scores, n
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .metrics import ratio, running, tie_table
+from .metrics import met, ratio, running, tie_table
 
 LOWEST, HIGHEST, DEFAULT = 0.001, 0.999, 0.5
 
@@ -188,18 +194,66 @@ def poisson_one(u: Column, most: int = 6) -> Column:
     return sum(steps[1:], steps[0])
 
 
+#: Thresholds of ``poisson_one``: its distribution function at 0 to 5.
+POISSON = tuple(sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1)) for k in range(6))
+
+
+def replicate_sums(units: DataFrame, unit: str, by: list[str], replicates: int, seed: int, groups: int = 256) -> DataFrame:
+    """(…by, replicate, a, b): sums of a and b over units, each weighed with its Poisson(1) draw for the replicate.
+
+    A unit is read once: a task keeps two vectors with an entry for each replicate for each group it has met, at most
+    ``groups`` at a time, and gives them out when it is full or done. What is shuffled are those vectors' entries, as
+    many as tasks x groups x replicates, whatever the number of units. Draws are those of ``draw`` and ``poisson_one``.
+    """
+    keys = units.select(*by).schema.fields
+    rows = units.select(*by, F.col(unit).cast("string").alias("__unit"), "a", "b")
+    cut = np.array(POISSON)
+    marks = [f"{seed}|{k}" for k in range(replicates)]
+
+    def weights(name: str | None) -> np.ndarray:
+        tail = "" if name is None else f"|{name}"
+        u = [int(hashlib.md5((m + tail).encode()).hexdigest()[:13], 16) for m in marks]
+        return np.searchsorted(cut, np.array(u, np.float64) / 2.0**52, "right").astype(np.float64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            n = len(held) * replicates
+            columns = [pa.array([k[c] for k in held for _ in range(replicates)], schema.field(c).type) for c in range(len(keys))]
+            sums = np.concatenate(list(held.values()), 1) if held else np.empty((2, 0))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n, dtype=np.int32) % replicates), pa.array(sums[0]), pa.array(sums[1])], names=[*[f.name for f in keys], "replicate", "a", "b"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for *key, name, a, b in zip(*[c.to_pylist() for c in batch.columns]):
+                w = weights(name)
+                at = held.setdefault(tuple(key), np.zeros((2, replicates)))
+                at[0] += w * a
+                at[1] += w * b
+                if len(held) > groups:
+                    yield told()
+        if held:
+            yield told()
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["replicate int", "a double", "b double"])
+    return rows.mapInArrow(add, kinds).groupBy(*by, "replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def bootstrap_interval(sums: DataFrame, unit: str, by: list[str], numerator: str, denominator: str, replicates: int = 500, seed: int = 7) -> DataFrame:
     """Percentile interval of sum(numerator) / sum(denominator) over resampled units (clusters).
 
     Rows are first summed by unit; a unit's weight in a replicate is a Poisson(1) hash draw, so that resampling is one
-    aggregation. Replicates without a denominator are left out, and their number is told.
+    aggregation (``replicate_sums``). Replicates without a denominator are left out, and their number is told.
     """
-    units = sums.groupBy(*by, unit).agg(F.sum(numerator).cast("double").alias("a"), F.sum(denominator).cast("double").alias("b"))
-    weighed = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_one(draw(seed, F.col("replicate"), F.col(unit)))).where("w > 0")
-    each = weighed.groupBy(*by, "replicate").agg(F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("b")).alias("b")).where("b > 0").withColumn("value", F.col("a") / F.col("b"))
-    point = units.groupBy(*by).agg((F.sum("a") / F.sum("b")).alias("estimate"), F.count("*").alias("n_units")) if by else units.agg((F.sum("a") / F.sum("b")).alias("estimate"), F.count("*").alias("n_units"))
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    units = sums.groupBy(*by, unit).agg(total(numerator).alias("a"), total(denominator).alias("b"))
+    each = replicate_sums(units, unit, by, replicates, seed).where("b > 0").withColumn("value", F.col("a") / F.col("b"))
+    point = units.groupBy(*by).agg(F.try_divide(F.sum("a"), F.sum("b")).alias("estimate"), F.count("*").alias("n_units")) if by else units.agg(F.try_divide(F.sum("a"), F.sum("b")).alias("estimate"), F.count("*").alias("n_units"))
     ends = [F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("*").alias("n_replicates")]
-    return point.join(each.groupBy(*by).agg(*ends), by) if by else point.crossJoin(each.agg(*ends))  # one row each
+    return met(point, each.groupBy(*by).agg(*ends), by) if by else point.crossJoin(each.agg(*ends))  # one row each
 
 
 def bootstrap_metric(scores: DataFrame, unit: str, metric, replicates: int = 200, seed: int = 7) -> DataFrame:
