@@ -227,3 +227,18 @@ def test_replicate_vectors_equal_repeated_rows(spark):
     plan = H.replicate_sums(df, "u", ["g"], 20, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # no row is repeated for the replicates
     assert H.bootstrap_interval(df.limit(0), "u", ["g"], "a", "b").count() == 0 and H.bootstrap_interval(df.limit(0), "u", [], "a", "b").first().n_units == 0
+
+
+def test_medians_without_buffers(spark):
+    """Medians of several columns by group, as by sorting: nulls, ties, one value, none, and a null group."""
+    rng = random.Random(5)
+    rows = [(g, rng.choice([None, 1.0, 2.0, rng.random()]), rng.choice([3, None, rng.randrange(100)])) for g in ("a", "b", None) for _ in range(rng.randrange(30, 60))] + [("one", 4.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y int")
+    found = {r.g: (r.mx, r.my) for r in M.medians(df, ["g"], {"mx": F.col("x"), "my": F.col("y")}).collect()}
+
+    def plain(values):
+        s = sorted(v for v in values if v is not None)
+        return (s[(len(s) - 1) // 2] + (s[len(s) // 2] - s[(len(s) - 1) // 2]) / 2) if s else None
+
+    assert found == {g: (plain([x for k, x, _ in rows if k == g]), plain([y for k, _, y in rows if k == g])) for g in ("a", "b", None, "one")}
+    assert M.medians(df, [], {"m": F.col("x")}).first().m == plain([x for _, x, _ in rows])

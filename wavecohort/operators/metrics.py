@@ -48,6 +48,22 @@ def running(df: DataFrame, by: list[str], key: str, sums: list[str]) -> DataFram
     return out.drop("__range", "__then", *[f"__{c}" for c in sums])
 
 
+def medians(df: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(…by, a column for each name): exact medians of few large groups; nulls don't count, a group without a value has null.
+
+    All columns are counted by value in one table, and places summed up within ranges, so that no buffer holds a group's
+    values: a median is the value, or the mean of the two, whose places enclose the middle.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), c.cast("double").alias("v")) for name, c in columns.items()])).alias("m")
+    values = df.select(*by, each).select(*by, "m.name", "m.v").groupBy(*by, "name", "v").agg(F.count("v").cast("double").alias("n"))
+    run = running(values, [*by, "name"], "v", ["n"])
+    middle = (F.col("n_all") - 1) / 2
+    holds = lambda place: (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
+    low, high = (F.max(F.when(holds(place), F.col("v"))) for place in (F.floor(middle), F.ceil(middle)))
+    ends = run.groupBy(*by, "name").agg(low.alias("low"), high.alias("high")).withColumn("median", F.col("low") + (F.col("high") - F.col("low")) / 2)
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("median"))).alias(name) for name in columns])
+
+
 def _ranks() -> list[Column]:
     """Aggregates over a running tie table: p, q, u (pairs in order) and a (precision sums)."""
     pos, neg = F.col("pos"), F.col("neg")
@@ -224,5 +240,5 @@ def midranks_of(counted: DataFrame, by: list[str], column: str, name: str) -> Da
 
 def separation(scores: DataFrame, by: list[str]) -> DataFrame:
     """Median score of positives less that of negatives."""
-    med = lambda v: F.percentile(F.when(F.col("y") == v, F.col("prob")), 0.5)
-    return scores.groupBy(*by).agg((med(1) - med(0)).alias("separation"))
+    found = medians(scores, by, {f"__{v}": F.when(F.col("y") == v, F.col("prob")) for v in (0, 1)})
+    return found.select(*by, (F.col("__1") - F.col("__0")).alias("separation"))
\ No newline at end of file
