@@ -281,15 +281,17 @@ def platt_fit(scores: DataFrame, by: list[str], rounds: int = 12) -> DataFrame:
     # equal scores are one weighted row
     x = scores.groupBy(*by, "prob").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count("*").cast("double").alias("n")).withColumn("x", logit(F.col("prob")))
     fit = x.groupBy(*by).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    # a row for each group; written down after the last round too: sums of doubles depend on their order, and what is
+    # scanned several times must not have two values
+    settled = lambda fit: scores.sparkSession.createDataFrame(fit.collect(), fit.schema)
     for k in range(rounds):
-        if k:
-            rows = fit.collect()  # a row for each group
-            fit = scores.sparkSession.createDataFrame(rows, fit.schema)
+        fit = settled(fit) if k else fit
         q = 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
         w = F.col("n") * q * (1 - q)
         g = x.join(F.broadcast(fit), by).groupBy(*by, "a", "b", "p", "m").agg(F.sum((F.col("n") * q - F.col("pos")) * F.col("x")).alias("ga"), F.sum(F.col("n") * q - F.col("pos")).alias("gb"), F.sum(w * F.col("x") * F.col("x")).alias("haa"), F.sum(w * F.col("x")).alias("hab"), F.sum(w).alias("hbb"))
         ga, haa = F.col("ga") + F.col("a"), F.col("haa") + 1
         det = haa * F.col("hbb") - F.col("hab") * F.col("hab")
         fit = g.select(*by, F.when(det > 1e-12, F.col("a") - (F.col("hbb") * ga - F.col("hab") * F.col("gb")) / det).otherwise(F.col("a")).alias("a"), F.when(det > 1e-12, F.col("b") - (haa * F.col("gb") - F.col("hab") * ga) / det).otherwise(F.col("b")).alias("b"), "p", "m")
+    fit = settled(fit)
     sound = (F.col("p") > 0) & (F.col("p") < F.col("m")) & (F.col("a") > 0)
     return fit.select(*by, F.when(sound, F.col("a")).alias("slope"), F.when(sound, F.col("b")).alias("intercept"))
