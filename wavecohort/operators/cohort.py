@@ -242,6 +242,20 @@ def class_weights(labels: DataFrame, cap: float = 50.0, least: int = 10) -> Data
     return c.withColumn("weight", F.when(F.col("pos") >= least, F.least(F.col("neg") / F.col("pos"), F.lit(cap))))
 
 
+def subgroup_weight(label: Column, member: Column, weight: float) -> Column:
+    """``weight`` for positives of a subgroup, 1 for all other rows, those with a null included."""
+    return F.when((label == 1) & (member == 1), F.lit(float(weight))).otherwise(1.0)
+
+
+def masked_labels(labels: DataFrame, weights: DataFrame) -> DataFrame:
+    """Labels whose class has no weight, or is unknown to ``weights`` (class, weight), as null: they teach nothing.
+
+    ``weights`` has a row for each class and is broadcast.
+    """
+    held = weights.where(F.col("weight").isNotNull()).select("class", F.lit(True).alias("__held"))
+    return labels.join(F.broadcast(held), "class", "left").withColumn("y", F.when(F.col("__held"), F.col("y"))).drop("__held")
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """One row, ``edges``: exact linear-interpolated quantiles of a column, from counts of its distinct values.
 

@@ -8,7 +8,7 @@ from ..operators import cohort as C
 from ..operators import metrics as M
 from . import decisions  # noqa: F401  (its proxies)
 from .evaluation import rounded
-from .proxies import audit, audit_b, read, scores
+from .proxies import audit, audit_b, doc_scores, read, scores
 from .registry import query
 
 ONE = "one as (select record_id, patient_id, y, prob from scores where class = 'FR')"
@@ -268,6 +268,19 @@ def _(spark, sf):
     return rounded(C.class_weights(scores(spark, sf).where("prob > 0.6D")), "weight")
 
 
+@query("G11_subgroup_weights", "with $doc_scores select source, count(*) as n, sum(case when y = 1 and quality = 1 then 4 else 1 end)::double as weight from doc_scores group by source")
+def _(spark, sf):
+    d = doc_scores(spark, sf).withColumn("w", C.subgroup_weight(F.col("y"), F.col("quality"), 4.0))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
+
+
+@query("G11_masked_labels", "with $scores, c as (select class, count(*) filter (y = 1) as pos from scores group by class) select class, count(*) as n, count(case when pos >= 500 then y end) as n_labelled from scores join c using (class) group by class")
+def _(spark, sf):
+    s = scores(spark, sf)
+    kept = C.masked_labels(s, C.class_weights(s, least=500))
+    return kept.groupBy("class").agg(F.count("*").alias("n"), F.count("y").alias("n_labelled"))
+
+
 @query("U2_complete_groups", "with $audit, g as (select group_id from audit group by group_id having count(distinct category) = 5) select category, count(*) as n, count(distinct group_id) as n_groups from audit where group_id in (select group_id from g) group by category")
 def _(spark, sf):
     a = audit(spark, sf)

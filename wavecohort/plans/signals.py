@@ -36,6 +36,20 @@ def _(spark, sf):
     return rounded(G.resample(short(spark, sf), LEAD, 100), "mv")
 
 
+SQL_RATE = "n as (select record_id, lead_idx, max(i) as last, ((max(i) + 1) * {to}) // 100 as m from short group by all), g as (select *, unnest(range(0, m)) as k from n), p as (select *, k * (last + 1) / m::double as pos from g), q as (select *, least(cast(floor(pos) as bigint), last) as lo, least(cast(floor(pos) as bigint) + 1, last) as hi from p), r as (select q.record_id, q.lead_idx, q.k as i, a.mv + (pos - lo) * (b.mv - a.mv) as mv from q join short a on a.record_id = q.record_id and a.lead_idx = q.lead_idx and a.i = lo join short b on b.record_id = q.record_id and b.lead_idx = q.lead_idx and b.i = hi)"
+
+
+@query("W2_resample_rate", f"with $short, {SQL_RATE.format(to=73)} select record_id, lead_idx, i, round(mv, 6) as mv from r")
+def _(spark, sf):
+    return rounded(G.resample_rate(short(spark, sf), LEAD, 100, 73), "mv")
+
+
+@query("W2_resample_rate_up", f"with $short, {SQL_RATE.format(to=250)} select record_id, lead_idx, count(*) as n, round(sum(mv), 4) as total from r group by record_id, lead_idx")
+def _(spark, sf):
+    up = G.resample_rate(short(spark, sf), LEAD, 100, 250)
+    return up.groupBy(*LEAD).agg(F.count("*").alias("n"), F.round(F.sum("mv"), 4).alias("total"))
+
+
 @query("W3_pad_or_cut", "select vec_id, round(list_sum(embedding[1:40])::double, 4) as cut_sum, 100 as padded, round(embedding[40]::double, 6) as last_kept from embeddings")
 def _(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import caches as K
 from ..operators import cohort as C
+from ..operators import manifests as N
+from ..operators import scans as A
 from ..operators import tables as T
 from . import decisions
 from .proxies import audit, read, scores
@@ -18,6 +21,31 @@ def _(spark, sf):
     return literal.select("event_id", T.dict_literal(F.col("props"))["k"].alias("k"))
 
 
+def _metadata(spark, sf):
+    """Event lines as CSV: some ids are no numbers, some are missing, some literals are cut off or hold no numbers, some lines are too long."""
+    path = _scratch(spark, "metadata")
+    k = F.col("event_id")
+    literal = F.translate("props", '"', "'")
+    text = F.when(k % 89 == 1, F.concat(literal, F.lit("{"))).when(k % 89 == 2, "{'k': 'high'}").when(k % 89 == 3, None).otherwise(literal)
+    ident = F.when(k % 97 == 4, F.concat(F.lit("x"), k.cast("string"))).when(k % 97 == 5, "").otherwise(k.cast("string"))
+    cells = F.concat_ws(",", ident, F.coalesce(text, F.lit("")), F.col("user_id").cast("string"), F.when(k % 101 == 6, "more"))
+    read(spark, sf, "events").select(cells.alias("value")).write.text(path)
+    return A.metadata_csv(spark, path, "event_id long, props string, user_id long", "event_id", "props", header=False)
+
+
+SQL_META = """m as (select *, case when event_id % 101 = 6 then 'line' when event_id % 97 = 4 then 'value' when event_id % 97 = 5 then 'key' when event_id % 89 in (1, 2) then 'literal' end as reason from events)"""
+
+
+@query("S1_csv_scan", f"with {SQL_META} select event_id, user_id, case when event_id % 89 <> 3 then cast(props::json->>'k' as double) end as k from m where reason is null")
+def _(spark, sf):
+    return _metadata(spark, sf)[0].select("event_id", "user_id", F.col("props")["k"].alias("k"))
+
+
+@query("S1_csv_rejects", f"with {SQL_META} select reason, count(*) as n, count(*) as n_lines from m where reason is not null group by reason")
+def _(spark, sf):
+    return _metadata(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("n"), F.count("line").alias("n_lines"))
+
+
 @query("S2_label_vectors", "with $scores select record_id, cast(sum(y) as bigint) as positives from scores group by record_id")
 def _(spark, sf):
     texts = scores(spark, sf).groupBy("record_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "y"))), lambda x: x["y"])).alias("labels_json"))
@@ -76,6 +104,32 @@ def _(spark, sf):
     return scores(spark, sf).select(name.alias("file")).select(*T.sweep_key(F.col("file"))).groupBy("arm", "fold", "seed").agg(F.count("*").alias("n"))
 
 
+SQL_CELLS = """g as (select class, record_id % 3 as fold, record_id % 2 as seed, count(*) as n, sum(y) as positives from scores group by all),
+c as (select *, case when fold = 1 and class like 'F%' then 'name' when fold = 2 and seed = 1 then 'json' when class = 'OR' then 'field' end as reason from g)"""
+
+
+def _sweep(spark, sf):
+    """A folder with one JSON file for each cell of class, fold and seed; some are cut off, misnamed or lack a field."""
+    path = _scratch(spark, "sweep")
+    k = F.col("record_id")
+    g = scores(spark, sf).groupBy("class", (k % 3).alias("fold"), (k % 2).alias("seed")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    name = F.concat("class", F.when((F.col("fold") == 1) & F.col("class").startswith("F"), "-").otherwise("_"), F.lit("f"), "fold", F.lit("_s"), "seed", F.lit(".json"))
+    text = F.when(F.col("class") == "OR", F.to_json(F.struct("n"))).otherwise(F.to_json(F.struct("n", "positives")))
+    text = F.when((F.col("fold") == 2) & (F.col("seed") == 1), F.concat(F.lit("{"), text)).otherwise(text)
+    g.select(text.alias("value"), name.alias("cell")).write.partitionBy("cell").text(path)  # 36 cells
+    return A.sweep_files(spark, path, "n long, positives long")
+
+
+@query("S9_sweep_files", f"with $scores, {SQL_CELLS} select class as arm, cast(fold as int) as fold, cast(seed as int) as seed, n, cast(positives as bigint) as positives from c where reason is null")
+def _(spark, sf):
+    return _sweep(spark, sf)[0].select("arm", "fold", "seed", "n", "positives")
+
+
+@query("S9_sweep_rejects", f"with $scores, {SQL_CELLS} select class || case when reason = 'name' then '-' else '_' end || 'f' || fold || '_s' || seed || '.json' as cell, reason from c where reason is not null")
+def _(spark, sf):
+    return _sweep(spark, sf)[1].select(F.regexp_extract("file", "cell=([^/]+)/", 1).alias("cell"), "reason")
+
+
 def _scratch(spark, name):
     """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``."""
     import tempfile
@@ -110,6 +164,38 @@ def _(spark, sf):
     return T.cached(rows.limit(0), path)  # what is there is read, not made again
 
 
+def _made(rows):
+    """What a preprocessing step makes of audit records: a number, or why there is none."""
+    error = F.when(F.col("status") != "success", "failed").when(F.col("median_correlation").isNull(), "no correlation")
+    return rows.select("image_id", F.when(error.isNull(), F.round(F.col("median_correlation") * 100)).cast("int").alias("percent"), error.alias("error"))
+
+
+def _refreshed(spark, sf):
+    """A cache made of one state of the records, then refreshed with another: digests and hints changed, records gone and new."""
+    path = _scratch(spark, "refreshed")
+    k = F.col("image_id")
+    ways = audit(spark, sf).withColumns({"version": F.lit("1"), "mode": F.lit("m"), "hint": F.when(k % 8 != 0, "h")})
+    first = ways.where(k % 50 != 7).withColumn("digest", F.lit("d"))
+    K.refresh(first, path, "image_id", _made)
+    second = ways.where(k % 50 != 9).withColumns({"digest": F.when(k % 10 == 3, "e").otherwise("d"), "hint": F.when(k % 16 == 0, "g").otherwise(F.col("hint"))})
+    K.refresh(second, path, "image_id", _made)
+    return path
+
+
+SQL_CACHE = """w as (select image_id, case when status <> 'success' then 'failed' when median_correlation is null then 'no correlation' end as error, cast(round(median_correlation * 100) as int) as percent,
+ case when image_id % 50 = 7 or image_id % 10 = 3 or image_id % 16 = 0 then 2 else 1 end as made from audit where image_id % 50 <> 9)"""
+
+
+@query("S12_refreshed_cache", f"with $audit, {SQL_CACHE} select image_id, percent, made as refresh from w where error is null")
+def _(spark, sf):
+    return K.values(spark, _refreshed(spark, sf), "image_id").select("image_id", "percent", "refresh")
+
+
+@query("S12_cache_failures", f"with $audit, {SQL_CACHE} select image_id, error from w where error is not null")
+def _(spark, sf):
+    return K.failures(spark, _refreshed(spark, sf), "image_id")
+
+
 SQL_SUB = "with $scores, sub as (select record_id, class, case when record_id % 17 <> 0 and prob >= 0.6::double then 1 else 0 end as decision from scores)"
 
 
@@ -239,6 +325,41 @@ def _(spark, sf):
     return e.groupBy("field", "rule").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("n_cases"))
 
 
+RULES = N.SetRules(required_splits=("tune", "test"), splits=("tune", "test", "spare"), least_cases=10**9, least_sources=3)
+SQL_SETS = """m as (select p_partkey as k, 'case' || lpad((p_partkey % 500)::varchar, case when p_partkey % 500 = 77 then 2 else 3 end, '0') as case_id, 'ph' || (p_partkey % 1990) as photo_id, (['front', 'angle', 'wild'])[p_partkey % 3 + 1] as variant,
+ case when p_partkey % 7 = 0 then ' ' else '3x4' end as layout, 'd' as device_model, case when p_partkey % 2 = 0 then 'p' else 'q' end as printer_model, 'img/' || p_partkey || '.png' as photo_path, sha256(p_name) as photo_sha256,
+ case when p_partkey % 11 = 0 then null else 'flatbed_scan' end as reference_type, case when p_partkey % 13 = 0 then '../r' else 'ref/' || (p_partkey % 500) end as reference_path,
+ case when p_partkey % 997 = 5 then upper(sha256('r')) else sha256('r' || (p_partkey % 500)) end as reference_sha256, case when p_partkey % 500 < 100 then 'spare' when p_partkey % 211 = 3 then 'other' else 'tune' end as split, p_partkey % 17 <> 0 as phi_reviewed, 'x' as barcode from part),
+f as (select 'img/' || p_partkey || '.png' as path, case when p_partkey % 31 = 0 then sha256('z') else sha256(p_name) end as found from part where p_partkey % 29 <> 0 union all select 'ref/' || k, sha256('r' || k) from (select unnest(range(0, 490)) as k)),
+checks as (select case_id, unnest([struct_pack(field := 'case_id', rule := 'pattern', ok := regexp_full_match(case_id, 'case[0-9]{3,}')), struct_pack(field := 'phi_reviewed', rule := 'flag', ok := phi_reviewed), struct_pack(field := 'variant', rule := 'choice', ok := variant in ('front', 'angle')),
+ struct_pack(field := 'reference_type', rule := 'choice', ok := reference_type is not null), struct_pack(field := 'split', rule := 'choice', ok := split <> 'other'), struct_pack(field := 'layout', rule := 'empty', ok := trim(layout) <> ''), struct_pack(field := 'reference_path', rule := 'path', ok := reference_path not like '..%'),
+ struct_pack(field := 'reference_sha256', rule := 'digest', ok := regexp_full_match(reference_sha256, '[0-9a-f]{64}'))]) as c from m),
+v as (select case_id as subject, c.field as field, c.rule as rule from checks where not c.ok
+ union all select '', 'barcode', 'forbidden' union all select '', 'case_id', 'too_few' union all select '', 'device_model', 'too_few' union all select 'test', 'split', 'empty_split'
+ union all select case_id, 'split', 'leak' from m group by case_id having count(distinct split) > 1 union all select case_id, 'reference_sha256', 'references' from m group by case_id having count(distinct reference_sha256) > 1
+ union all select photo_id, 'photo_id', 'repeat' from m group by photo_id having count(*) > 1
+ union all select case_id, case when found is null then 'photo_path' else 'photo_sha256' end, case when found is null then 'absent' else 'differs' end from m left join f on path = photo_path where found is null or found <> photo_sha256
+ union all select case_id, case when found is null then 'reference_path' else 'reference_sha256' end, case when found is null then 'absent' else 'differs' end from m left join f on path = reference_path where reference_path not like '..%' and (found is null or (found <> reference_sha256 and lower(reference_sha256) = reference_sha256)))"""
+
+
+@query("D18_manifest_sets", f"with {SQL_SETS} select field, rule, count(*) as n, count(distinct subject) as n_subjects from v group by field, rule")
+def _(spark, sf):
+    part = read(spark, sf, "part")
+    k, case = F.col("p_partkey"), F.col("p_partkey") % 500
+    text = lambda c: c.cast("string")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    m = part.select(
+        F.concat(F.lit("case"), F.lpad(text(case), 3, "0")).alias("c3"), F.concat(F.lit("ph"), text(k % 1990)).alias("photo_id"), F.element_at(F.array(*map(F.lit, ["front", "angle", "wild"])), (k % 3 + 1).cast("int")).alias("variant"),
+        F.when(k % 7 == 0, " ").otherwise("3x4").alias("layout"), F.lit("d").alias("device_model"), F.when(k % 2 == 0, "p").otherwise("q").alias("printer_model"), F.concat(F.lit("img/"), text(k), F.lit(".png")).alias("photo_path"), sha(F.col("p_name")).alias("photo_sha256"),
+        F.when(k % 11 != 0, "flatbed_scan").alias("reference_type"), F.when(k % 13 == 0, "../r").otherwise(F.concat(F.lit("ref/"), text(case))).alias("reference_path"),
+        F.when(k % 997 == 5, F.upper(sha(F.lit("r")))).otherwise(sha(F.concat(F.lit("r"), text(case)))).alias("reference_sha256"), F.when(case < 100, "spare").when(k % 211 == 3, "other").otherwise("tune").alias("split"), (k % 17 != 0).alias("phi_reviewed"), F.lit("x").alias("barcode"),
+    ).withColumn("case_id", F.when(F.col("c3") == "case077", "case77").otherwise(F.col("c3"))).drop("c3")
+    photos = part.where(k % 29 != 0).select(F.concat(F.lit("img/"), text(k), F.lit(".png")).alias("path"), F.when(k % 31 == 0, sha(F.lit("z"))).otherwise(sha(F.col("p_name"))).alias("found"))
+    references = spark.range(490).select(F.concat(F.lit("ref/"), text(F.col("id"))).alias("path"), sha(F.concat(F.lit("r"), text(F.col("id")))).alias("found"))
+    v = N.violations(m, RULES, photos.unionByName(references))
+    return v.groupBy("field", "rule").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("n_subjects"))
+
+
 @query("D19_inventory_to_manifest", f"with {SQL_ERRORS}, f as (select p_partkey as k, sha256(p_name) as found from part where p_partkey % 29 <> 0) select m.k, case_id, path, found as sha256, split from m join f using (k) where case_id not in (select case_id from errors) and lower(m.sha256) = found")
 def _(spark, sf):
     files = read(spark, sf, "part").where("p_partkey % 29 <> 0").select(F.col("p_partkey").alias("k"), "p_name")  # some files are missing
@@ -251,8 +372,11 @@ def _(spark, sf):
     from ..operators import models as L
 
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding", (F.col("label") % 2).cast("int").alias("y"), (F.col("vec_id") % 5 == 0).alias("held_out"))
-    model = L.fit_probe(v.where("not held_out"), "embedding", "y")
-    return L.probe_scores(v, model, "embedding").select("record_id", "y", F.round("prob", 4).alias("prob"), "held_out")
+    fitted = v.where("not held_out")
+    probe = L.fit_probe(fitted, "embedding", "y")
+    cutoff = L.probe_cutoff(fitted, probe, "embedding", "y")  # held-out rows have no say in it
+    scored = L.probe_scores(v, probe, "embedding")
+    return scored.select("record_id", "y", F.round("prob", 4).alias("prob"), "held_out", (F.col("prob") >= cutoff).cast("int").alias("decision"))
 
 
 @query("L2_batch_scoring", "select vec_id, vec_id % 9 <> 0 and len(embedding) = 64 as valid, case when vec_id % 9 <> 0 and len(embedding) = 64 then round(1 / (1 + exp(-list_avg(list_transform(embedding, lambda x: x::double)))), 5) end as prob from embeddings")
