@@ -82,6 +82,18 @@ def test_table(spark, sf):
     assert result(spark, rows, shard_rows=130, block_rows=4) == brute(rows, 5, 50)
 
 
+def test_packs_of_packs_and_parts_of_shards(spark, monkeypatch):
+    """Several levels of packs, and a copy of packs and trees for every few blocks, give the same rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(0, 1, 6) + 4 * (i % 5)).tolist()) for i in range(500)]
+    monkeypatch.setattr(B, "PACK", 3)
+    monkeypatch.setattr(B, "TOGETHER", 2)
+    want = brute(rows, 5, 10)
+    assert result(spark, rows, every=10, shard_rows=25, block_rows=6) == want
+    monkeypatch.setattr(B, "ROUNDS", ())
+    assert result(spark, rows, every=10, shard_rows=25, block_rows=6) == want
+
+
 def test_search_prunes():
     """A node whose bound is below the kth score is not opened."""
     rng = np.random.default_rng(2)

@@ -158,9 +158,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 819
 
 #: Vectors that stand for regions; a bounded sample, held by the driver and every task.
 PIVOTS = 256
-#: Roots that a block is held against at once, and shards of each such pack that it visits in the first rounds; then all.
+#: Balls that a block is held against at once: roots of shards, packs of these, and so on up to a single pack.
 PACK = 1024
+#: Packs on each level, and shards of each of the lowest, that a block visits in the first rounds; then all it may need.
 ROUNDS = (1, 4)
+#: Blocks that meet one pack, or one shard's tree, in a task; of more each such part gets a copy of the pack or tree.
+TOGETHER = 64
 
 
 def _regions(held: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -212,7 +215,7 @@ def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_r
     sample = distinct.orderBy(id_hash("id", "x", seed=2), "id").limit(max(n, nq)).toPandas()
     pivots = np.stack(sample["x"].to_numpy()).astype(float)
     vectors, shards = _parts(checkpointed(_regions(distinct, pivots[:n])), shard_rows, "shard", 3)
-    queries, _ = _parts(checkpointed(_regions(asked, pivots[:nq])), block_rows, "block", 5)
+    queries, blocks = _parts(checkpointed(_regions(asked, pivots[:nq])), block_rows, "block", 5)
 
     def tree(part: pd.DataFrame) -> pd.DataFrame:
         built = build_tree(part["id"].to_numpy(np.int64), np.stack(part["x"].to_numpy()).astype(float))
@@ -224,17 +227,29 @@ def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_r
         return pd.DataFrame({"block": [part["block"].iloc[0]], "state": [state]})
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        return pd.DataFrame({"pack": [part["pack"].iloc[0]], "roots": [_packed(shard=part["shard"].to_numpy(np.int64), centre=np.stack(part["centre"].to_numpy()), radius=part["radius"].to_numpy(float), most=part["most"].to_numpy(float))]})
-
-    def wanted(batches: Iterator[pd.DataFrame], most: int | None) -> Iterator[pd.DataFrame]:
+        """The balls of a pack, and a ball around them."""
+        part = part.sort_values("node")
+        centre, radius, most = np.stack(part["centre"].to_numpy()), part["radius"].to_numpy(float), part["most"].to_numpy(float)
+        middle = centre.mean(0)
+        around = float((np.sqrt(((centre - middle) ** 2).sum(1)) + radius).max())
+        roots = _packed(shard=part["node"].to_numpy(np.int64), centre=centre, radius=radius, most=most)
+        return pd.DataFrame({"pack": [part["pack"].iloc[0]], "roots": [roots], "centre": [middle], "radius": [around], "most": [most.max()]})
+
+    def packs(nodes: DataFrame) -> DataFrame:
+        held = nodes.withColumn("pack", F.expr(f"node div {PACK}")).groupBy("pack").applyInPandas(pack, "pack long, roots binary, centre array<double>, radius double, most double")
+        return checkpointed(held)
+
+    def wanted(batches: Iterator[pd.DataFrame], most: int | None, lowest: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                chosen = reachable(_unpacked(row.state), _unpacked(row.roots), most)
-                yield pd.DataFrame({"block": np.full(len(chosen), row.block, np.int64), "shard": chosen})
+                held = _unpacked(row.state)
+                if not lowest:  # packs are no shards
+                    held["seen"] = np.empty(0, np.int64)
+                chosen = reachable(held, _unpacked(row.roots), most)
+                yield pd.DataFrame({"block": np.full(len(chosen), row.block, np.int64), "node": chosen})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by shard, the tree first."""
+        """Rows come by shard and part, the tree first."""
         at, built = None, {}
         for batch in batches:
             for row in batch.itertuples():
@@ -255,26 +270,38 @@ def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_r
         return pd.DataFrame({"block": state["block"], "state": [_packed(**held)]})
 
     trees = written(vectors.groupBy("shard").applyInPandas(tree, "shard long, centre array<double>, radius double, most double, tree binary"), "trees")
-    roots = checkpointed(trees.select("shard", "centre", "radius", "most", F.expr(f"shard div {PACK}").alias("pack")).groupBy("pack").applyInPandas(pack, "pack long, roots binary"))
+    levels = [packs(trees.select(F.col("shard").alias("node"), "centre", "radius", "most"))]
+    number = -(-shards // PACK)
+    while number > 1:
+        levels.insert(0, packs(levels[0].select(F.col("pack").alias("node"), "centre", "radius", "most")))
+        number = -(-number // PACK)
+    salts = max(1, -(-blocks // TOGETHER))
     state = checkpointed(queries.groupBy("block").applyInPandas(block, "block long, state binary"))
-    packs = -(-shards // PACK)
-    every_pack = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack")
     best = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     steps = [m for m in ROUNDS if m < shards]
     found = None
     for most in [*steps, None]:
-        asked = state.select("block", "state", every_pack).join(roots.hint("shuffle_hash"), "pack").select("block", "state", "roots")
-        pairs = checkpointed(asked.mapInPandas(lambda b, most=most: wanted(b, most), "block long, shard long"))
-        # blocks go to the shards: a shard's tree leads its rows
-        lead = trees.join(pairs.select("shard").distinct(), "shard", "left_semi").select("shard", F.lit(-1).cast("long").alias("block"), F.col("tree").alias("data"))
-        rows = lead.unionByName(pairs.join(state, "block").select("shard", "block", F.col("state").alias("data")))
-        hits = rows.repartition("shard").sortWithinPartitions("shard", "block").mapInPandas(visit, "block long, query_id long, place long, vec_id long, score long")
+        # down from the single pack: each level tells the balls of the next that a block is held against
+        pairs = state.select("block", F.lit(0).cast("long").alias("node"))
+        for level in levels:
+            at = pairs.select("block", F.col("node").alias("pack"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+            balls = level.select("pack", "roots").join(at.select("pack", "salt").distinct(), "pack")
+            asked = at.join(state, "block").join(balls.hint("shuffle_hash"), ["pack", "salt"]).select("block", "state", "roots")
+            pairs = checkpointed(asked.mapInPandas(lambda b, most=most, lowest=level is levels[-1]: wanted(b, most, lowest), "block long, node long"))
+        pairs = pairs.withColumnRenamed("node", "shard")
+        # blocks go to the shards: a shard's tree leads its rows, in each part of a shard that many blocks visit
+        parts = pairs.groupBy("shard").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        one = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        lead = trees.join(parts.select("shard", one), "shard").select("shard", "part", F.lit(-1).cast("long").alias("block"), F.col("tree").alias("data"))
+        dealt = pairs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block")
+        rows = lead.unionByName(dealt.join(state, "block").select("shard", "part", "block", F.col("state").alias("data")))
+        hits = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "block").mapInPandas(visit, "block long, query_id long, place long, vec_id long, score long")
         found = hits if found is None else found.unionByName(hits)
         # an id's best score with a query's vector; a place is one vector of a query
         found = found.groupBy("block", "query_id", "place", "vec_id").agg(F.max("score").alias("score"))
         found = checkpointed(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
         if most is not None:
-            gone = pairs.groupBy("block").agg(F.collect_list("shard").alias("shards"))  # a few of each pack
+            gone = pairs.groupBy("block").agg(F.collect_list("shard").alias("shards"))  # a few
             known = found.drop("query_id").join(gone, "block")
             state = checkpointed(state.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(lambda s, f: merged(s, f, f["shards"].iloc[0]) if len(f) else s, "block long, state binary"))
             found = found.drop("rank")
