@@ -282,7 +282,8 @@ def _one_dimension(held: DataFrame, k: int, every: int, shard_rows: int, block_r
     found = None
     for most in [*steps, None]:
         # down from the single pack: each level tells the balls of the next that a block is held against
-        pairs = state.select("block", F.lit(0).cast("long").alias("node"))
+        # (0 as a column: a literal would leave the join without a key)
+        pairs = state.select("block", F.expr("block div 9223372036854775807L").alias("node"))
         for level in levels:
             at = pairs.select("block", F.col("node").alias("pack"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
             balls = level.select("pack", "roots").join(at.select("pack", "salt").distinct(), "pack")
