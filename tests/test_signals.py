@@ -240,3 +240,18 @@ def test_rate_of_the_first_usable_lead(spark):
     rates = spark.createDataFrame([(1, "II", None, 90.0), (1, "V1", 80.0, 85.0), (1, "V2", 70.0, None), (2, "II", None, None), (2, "V2", None, 66.0), (2, "V1", None, 60.0), (3, "II", None, None)], "record int, lead string, bpm double, acf_bpm double")
     found = {r.record: (r.lead, r.bpm, r.basis) for r in B.lead_rate(rates, "record", "lead", ["II", "V1"]).collect()}
     assert found == {1: ("V1", 80.0, "beats"), 2: ("V1", 60.0, "autocorrelation")}
+
+
+def joins(df):
+    """How often a plan joins, and how often it broadcasts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Join "), plan.count("BroadcastExchange")
+
+
+def test_resampling_needs_no_join_and_keeps_gaps_and_repeats(spark):
+    df = spark.createDataFrame([("r", "a", i, float(v)) for i, v in [(0, 0), (1, 2), (3, 8), (3, 9), (4, 5)]] + [("r", "b", 3, 1.0), ("r", "b", 4, 2.0)], "record_id string, lead string, i long, mv double")
+    got = G.resample(df, ["record_id", "lead"], 9)
+    assert joins(got) == (0, 0)
+    rows = sorted((r.lead, r.i, r.mv) for r in got.collect())
+    # of a, what needs the sample 2 is left out, and 3 is there twice; b starts at 3
+    assert rows == [("a", 0, 0.0), ("a", 1, 1.0), ("a", 6, 8.0), ("a", 6, 9.0), ("a", 7, 6.5), ("a", 7, 7.0), ("a", 8, 5.0), ("b", 6, 1.0), ("b", 7, 1.5), ("b", 8, 2.0)]
