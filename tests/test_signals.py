@@ -255,3 +255,18 @@ def test_resampling_needs_no_join_and_keeps_gaps_and_repeats(spark):
     rows = sorted((r.lead, r.i, r.mv) for r in got.collect())
     # of a, what needs the sample 2 is left out, and 3 is there twice; b starts at 3
     assert rows == [("a", 0, 0.0), ("a", 1, 1.0), ("a", 6, 8.0), ("a", 6, 9.0), ("a", 7, 6.5), ("a", 7, 7.0), ("a", 8, 5.0), ("b", 6, 1.0), ("b", 7, 1.5), ("b", 8, 2.0)]
+
+
+def test_shifts_meet_within_series_without_a_join(spark):
+    by = ["record_id", "lead_idx"]
+    x = [math.sin(k / 3) for k in range(40)]
+    rows = lambda v, keep: spark.createDataFrame([("r", lead, i, y * (lead + 1)) for lead in (0, 1) for i, y in enumerate(v) if keep(i)], "record_id string, lead_idx int, i long, mv double")
+    for keep in (lambda i: True, lambda i: i % 7 != 4):  # without and with gaps
+        ref, pred = rows(x, lambda i: True), rows([0.0] * 2 + x[:38], keep)
+        got = G.shifted_correlation(ref, pred, by, 3)
+        assert joins(got) == (0, 0)
+        assert sorted((r.lead_idx, r["shift"], round(r["corr"], 9)) for r in got.collect()) == [(0, 2, 1.0), (1, 2, 1.0)]
+        cross = G.cross_correlations(ref, pred, 3)
+        assert joins(cross) == (0, 0)
+        assert sorted((r.a, r.b, r["shift"]) for r in cross.collect()) == [(a, b, 2) for a in (0, 1) for b in (0, 1)]
+        assert {round(r.rmse, 9) for r in G.fidelity(ref, pred, by, got).collect()} == {0.0}
