@@ -278,8 +278,8 @@ def platt_fit(scores: DataFrame, by: list[str], rounds: int = 12) -> DataFrame:
     """
     from .scoring import logit
 
-    # equal scores are one weighted row
-    x = scores.groupBy(*by, "prob").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count("*").cast("double").alias("n")).withColumn("x", logit(F.col("prob")))
+    # equal scores are one weighted row; kept, as each round reads them
+    x = scores.groupBy(*by, "prob").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count("*").cast("double").alias("n")).withColumn("x", logit(F.col("prob"))).persist()
     fit = x.groupBy(*by).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.sum("pos").alias("p"), F.sum("n").alias("m"))
     # a row for each group; written down after the last round too: sums of doubles depend on their order, and what is
     # scanned several times must not have two values
@@ -293,5 +293,6 @@ def platt_fit(scores: DataFrame, by: list[str], rounds: int = 12) -> DataFrame:
         det = haa * F.col("hbb") - F.col("hab") * F.col("hab")
         fit = g.select(*by, F.when(det > 1e-12, F.col("a") - (F.col("hbb") * ga - F.col("hab") * F.col("gb")) / det).otherwise(F.col("a")).alias("a"), F.when(det > 1e-12, F.col("b") - (haa * F.col("gb") - F.col("hab") * ga) / det).otherwise(F.col("b")).alias("b"), "p", "m")
     fit = settled(fit)
+    x.unpersist()
     sound = (F.col("p") > 0) & (F.col("p") < F.col("m")) & (F.col("a") > 0)
     return fit.select(*by, F.when(sound, F.col("a")).alias("slope"), F.when(sound, F.col("b")).alias("intercept"))
