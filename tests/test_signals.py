@@ -270,3 +270,11 @@ def test_shifts_meet_within_series_without_a_join(spark):
         assert joins(cross) == (0, 0)
         assert sorted((r.a, r.b, r["shift"]) for r in cross.collect()) == [(a, b, 2) for a in (0, 1) for b in (0, 1)]
         assert {round(r.rmse, 9) for r in G.fidelity(ref, pred, by, got).collect()} == {0.0}
+
+
+def test_ink_and_trace_meet_in_one_grouping(spark):
+    px = lambda rows: spark.createDataFrame(rows, "image_id long, x long, y long")
+    got = G.ink_overlay(px([(1, 0, 10), (1, 0, 10), (1, 0, 30), (2, 0, 5), (None, 0, 5)]), px([(1, 0, 13), (1, 0, 24), (1, 1, 10), (None, 0, 5)]))
+    assert joins(got) == (0, 0) and got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    rows = sorted((r.image_id or 0, round(r.precision, 6), round(r.recall, 6), r.residual) for r in got.collect())
+    assert rows == [(0, 0.0, 0.0, 1.0), (0, 0.0, 0.0, 1.0), (1, 0.333333, 1.0, 0.5), (2, 0.0, 0.0, 1.0)]
