@@ -104,6 +104,14 @@ def test_rules_of_columns_and_of_the_set(spark):
     assert found(_manifest(spark, lambda k, r: r | {"split": "tune", "device_model": "d"})) == {("", "device_model", "too_few"), ("test", "split", "empty_split")}
 
 
+def test_a_split_is_empty_if_its_cases_are_in_others_too(spark):
+    rules = N.SetRules(least_cases=1)
+    shared = _manifest(spark, lambda k, r: r | {"case_id": f"case{k // 2:03}"}).withColumn("reference_sha256", F.lit("0" * 64))  # each case has a row in either split
+    assert found(shared, rules=rules) == {(f"case{k:03}", "split", "leak") for k in range(10)} | {("tune", "split", "empty_split"), ("test", "split", "empty_split")}
+    one = shared.unionByName(_manifest(spark, lambda k, r: r | {"case_id": "case099", "photo_id": "p99", "split": "tune"}, n=1))
+    assert {x for x in found(one, rules=rules) if x[2] == "empty_split"} == {("test", "split", "empty_split")}
+
+
 def test_every_error_of_rows_cases_and_files_is_told_at_once(spark):
     broken = {0: {"case_id": "Ann"}, 1: {"phi_reviewed": None}, 2: {"variant": "x"}, 3: {"reference_type": None}, 4: {"split": "other"}, 5: {"layout": " "}, 6: {"photo_path": "../a"}, 7: {"reference_sha256": "F" * 64}, 8: {"photo_id": "p9"}, 10: {"case_id": "case011", "split": "tune"}, 12: {"reference_path": "/x"}}
     rule = {(f"case{k:03}", c, r) for k, c, r in [(1, "phi_reviewed", "flag"), (2, "variant", "choice"), (3, "reference_type", "choice"), (4, "split", "choice"), (5, "layout", "empty"), (6, "photo_path", "path"), (7, "reference_sha256", "digest"), (11, "split", "leak"), (11, "reference_sha256", "references"), (12, "reference_path", "path")]}
