@@ -69,6 +69,26 @@ def test_a_refresh_makes_only_what_changed(spark, tmp_path):
         K.refresh(spark.createDataFrame(second + second[:1], WAYS), path, "k", make)
 
 
+def test_tasks_of_a_cache_have_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "ROWS", 50, raising=False)
+    path, plans = str(tmp_path / "cache"), []
+
+    def make(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.select("k", F.concat("digest", F.lit("!")).alias("value"), F.when(F.col("k") % 7 == 0, "broken").alias("error"))
+
+    for digest in ("d", "e"):
+        K.refresh(spark.range(400).select(F.col("id").cast("int").alias("k"), F.lit("1").alias("version"), F.lit("m").alias("mode"), F.when(F.col("id") % 3 == 0, digest).otherwise("c").alias("digest"), F.lit(None).cast("string").alias("hint")), path, "k", make)
+    found = K.values(spark, path, "k")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.k: (r.value, r.refresh) for r in found.collect()} == {k: ("e!", 2) if k % 3 == 0 else ("c!", 1) for k in range(400) if k % 7}
+    assert found.rdd.getNumPartitions() == 1 + (400 + 134 + 39) // 50  # the first part, what changed, what had failed
+    for p in plans[1:]:  # files are small enough to be broadcast, and partitions to be put together
+        assert "SortMergeJoin" in p and "Broadcast" not in p and "ENSURE_REQUIREMENTS" not in p
+    for folder in ("version-1", "version-2"):
+        assert max(r["count"] for r in spark.read.parquet(f"{path}/{folder}").groupBy(F.input_file_name()).count().collect()) <= 100
+
+
 def test_an_empty_cache_has_no_values(spark, tmp_path):
     path = str(tmp_path / "cache")
     K.refresh(spark.createDataFrame([], WAYS), path, "k", lambda rows: rows.select("k", F.lit(1).alias("value"), F.lit(None).cast("string").alias("error")))

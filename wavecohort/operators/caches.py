@@ -18,6 +18,8 @@ from .cohort import unique
 from .tables import is_reusable
 
 MADE_BY = ["version", "mode", "digest", "hint"]
+#: Rows in a task. Manifests take few bytes on disk and many in memory, so that sizes of files would have them broadcast.
+ROWS = 500_000
 
 
 class CacheConflict(RuntimeError):
@@ -54,11 +56,19 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> Data
     return spark.read.parquet(f"{path}/version-{last}")
 
 
+def _spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` in ``n`` partitions by ``keys``, to be met by sorting: neither broadcast nor put together by bytes."""
+    return df.repartition(n, *keys).hint("merge")
+
+
 def pending(wanted: DataFrame, made: DataFrame, key: str) -> DataFrame:
     """Wanted rows that no successful record was made of in the same way."""
-    held = made.select(key, "status", *[F.col(c).alias(f"__{c}") for c in MADE_BY])
-    same = is_reusable(*[F.col(f"__{c}") for c in MADE_BY])
-    return wanted.join(wanted.select(key, *MADE_BY).join(held, key).where(same).select(key), key, "left_anti")
+    held = made.where("status = 'success'").select(*[F.col(c).alias(f"__{c}") for c in (key, *MADE_BY)])
+    met = wanted.join(held.hint("merge"), F.col(key) == F.col(f"__{key}"), "left")  # only the key is met: partitions by it are kept
+    same = F.col(f"__{key}").isNotNull()
+    for c in MADE_BY:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return met.where(~same).select(*wanted.columns)
 
 
 def refresh(wanted: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame]) -> int:
@@ -70,42 +80,49 @@ def refresh(wanted: DataFrame, path: str, key: str, make: Callable[[DataFrame],
     starts anew in a part of its own. If two refreshes race, the second raises ``CacheConflict`` and its part is never read.
     """
     spark = wanted.sparkSession
-    wanted = unique(wanted.where(F.col(key).isNotNull()), [key])
     have = versions(spark, path)
     version = have[-1] + 1 if have else 1
-    ways = wanted.select(key, *MADE_BY)
-    todo = pending(wanted, manifest(spark, path), key) if have else wanted
+    old = manifest(spark, path) if have else None
+    wanted = wanted.where(F.col(key).isNotNull())
+    n = 1 + max(wanted.count(), old.count() if have else 0) // ROWS
+    wanted = unique(_spread(wanted, n, key), [key])
+    if have:
+        old = _spread(old.where("status = 'success'"), n, key)
     own = uuid.uuid4().hex
     part = f"part-{version}-{own}"
-    make(todo).write.parquet(f"{path}/{part}")
-    made = spark.read.parquet(f"{path}/{part}").select(key, "error", F.lit(True).alias("__made"))
+    make(pending(wanted, old, key) if have else wanted).write.parquet(f"{path}/{part}")
+    made = _spread(spark.read.parquet(f"{path}/{part}").select(F.col(key).alias("__key"), F.col("error").alias("__error"), F.lit(True).alias("__made")), n, "__key")
+    rows = wanted.select(key, *MADE_BY)
     if have:
-        old = manifest(spark, path).where("status = 'success'")
-        kept = ways.join(old.select(key, *[F.col(c).alias(f"__{c}") for c in MADE_BY], "status", "error", "refresh", "part"), key).where(is_reusable(*[F.col(f"__{c}") for c in MADE_BY]))
-        kept = kept.select(key, *MADE_BY, "status", "error", "refresh", "part")
-        fresh = ways.join(kept.select(key), key, "left_anti")
+        rows = rows.join(old.select(key, *[F.col(c).alias(f"__{c}") for c in MADE_BY], "status", F.col("refresh").alias("__refresh"), F.col("part").alias("__part")), key, "left")
+        rows = rows.withColumn("__kept", F.coalesce(is_reusable(*[F.col(f"__{c}") for c in MADE_BY]), F.lit(False)))
     else:
-        kept, fresh = None, ways
-    error = F.when(F.col("__made").isNull(), "left out").otherwise(F.col("error"))
-    status = F.when(error.isNull(), "success").otherwise("failed")
-    fresh = fresh.join(made, key, "left").select(key, *MADE_BY, status.alias("status"), error.alias("error"), F.lit(version).alias("refresh"), F.when(error.isNull(), part).alias("part"))
+        rows = rows.withColumns({"__kept": F.lit(False), "__refresh": F.lit(None).cast("int"), "__part": F.lit(None).cast("string")})
+    rows = rows.join(made, (F.col(key) == F.col("__key")) & ~F.col("__kept"), "left")
+    error = F.when(~F.col("__kept"), F.when(F.col("__made").isNull(), "left out").otherwise(F.col("__error")))
+    rows = rows.select(key, *MADE_BY, F.col("__kept"), F.col("__refresh"), F.col("__part"), error.alias("error"))
+    status = F.when(F.col("error").isNull(), "success").otherwise("failed")
+    refresh = F.when(F.col("__kept"), F.col("__refresh")).otherwise(version)
+    rows = rows.select(key, *MADE_BY, status.alias("status"), "error", refresh.alias("refresh"), F.when(F.col("__kept"), F.col("__part")).when(F.col("error").isNull(), part).alias("part"))
     aside = f"{path}/.making-{own}"
-    (fresh if kept is None else kept.unionByName(fresh)).write.parquet(aside)
+    rows.write.parquet(aside)
     _publish(spark, path, aside, version)
     return version
 
 
 def values(spark: SparkSession, path: str, key: str, version: int | None = None) -> DataFrame:
     """(key, …values, refresh) of what succeeded, each from the part that made it; parts that hold nothing current aren't read."""
-    rows = manifest(spark, path, version).where("status = 'success'").select(key, "refresh", "part")
-    parts = sorted(r["part"] for r in rows.select("part").distinct().collect())  # a row for each refresh
+    rows = manifest(spark, path, version).where("status = 'success'")
+    parts = sorted((r["refresh"], r["part"]) for r in rows.select("refresh", "part").distinct().collect())  # a row for each refresh
+    rows = rows.select(key, "refresh")
     out = None
-    for p in parts:
-        held = spark.read.parquet(f"{path}/{p}").drop("error").withColumn("part", F.lit(p))
+    for k, p in parts:
+        held = spark.read.parquet(f"{path}/{p}").drop("error").withColumn("refresh", F.lit(k))
         out = held if out is None else out.unionByName(held, allowMissingColumns=True)
     if out is None:
-        return rows.drop("part")
-    return out.join(rows, [key, "part"]).drop("part")
+        return rows
+    n = 1 + max(rows.count(), out.count()) // ROWS
+    return _spread(out, n, key, "refresh").join(_spread(rows, n, key, "refresh"), [key, "refresh"]).select(*out.columns)
 
 
 def failures(spark: SparkSession, path: str, key: str, version: int | None = None) -> DataFrame:
