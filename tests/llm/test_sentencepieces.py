@@ -112,3 +112,11 @@ def test_query_rows(spark):
         assert every(S.encoded(df.repartition(3), PATH, k=3)) == every(S.encoded(df, PATH, k=3, part_bytes=100))
     assert all(r.text == text[r.doc_id] for r in S.encoded(docs, PATH, k=2, decoded=True).collect())
     assert S.encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_texts_of_many_ids_are_what_each_decodes_to(held):
+    found = [x[0] for mine in S.sample(held, list(range(len(ODD))), [t.encode() for t in ODD], 3) for x in mine]
+    bounds = np.append(0, np.cumsum([len(x) for x in found]))
+    got = held.vocabulary.decoded(np.concatenate(found).astype(np.int32), bounds).to_pylist()
+    assert got == [held.vocabulary.decode(x.tolist()).decode() for x in found]
+    assert held.vocabulary.decoded(np.empty(0, np.int32), np.zeros(3, np.int64)).to_pylist() == ["", ""]

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import flat_ranges, mixed, release
 
 #: Chunks whose lattices a worker remembers; they begin anew when it is full.
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 400_000
 #: Bytes of a chunk above which it is cut further.
 LONG = 256
 _RUNS = re.compile(rb" +[^ ]*")
@@ -62,6 +62,7 @@ class Vocabulary:
         n = model.vocab_size()
         pieces: dict[bytes, int] = {}
         self.bytes_of = piece_bytes(path)
+        self.pieces = pa.array(self.bytes_of, pa.large_binary())
         self.byte_id = np.zeros(256, np.int64)
         for i, b in enumerate(self.bytes_of):
             if model.is_byte(i):
@@ -88,11 +89,20 @@ class Vocabulary:
             if prefix:
                 self.child[inner[prefix[:-1]], prefix[-1]] = k
 
-
     def decode(self, ids: list[int]) -> bytes:
         joined = b"".join(map(self.bytes_of.__getitem__, ids))
         return joined[1:] if joined[:1] == b" " else joined
 
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of runs of ids: the bytes of pieces that are taken lie next to each other, so that a text is a slice of them."""
+        if not len(ids):
+            return pa.array([""] * (len(bounds) - 1), pa.string())
+        taken = self.pieces.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][bounds]
+        joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), taken.buffers()[2]])
+        texts = pc.if_else(pc.starts_with(joined, b" "), pc.binary_replace_slice(joined, 0, 1, b""), joined)
+        return texts.cast(pa.binary()).cast(pa.string())
+
 
 class Lattices:
     """The lattices of the chunks seen so far: states are byte positions, edges are pieces.
@@ -306,7 +316,7 @@ def chunked(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         count[odd] = [len(r) for r in runs]
         first[odd] = len(code) - count[odd].sum() + np.cumsum(count[odd]) - count[odd]
         code = code[flat_ranges(first, count)]
-    return coded.dictionary.to_pylist(), code, np.append(0, np.cumsum(count))
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), code, np.append(0, np.cumsum(count))
 
 
 def _truncated(mu: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -366,24 +376,21 @@ def sample(lattices: Lattices, keys: list[int], texts: list[bytes], k: int) -> l
     upto = np.concatenate(([0], np.cumsum(count)))
     grow(list(range(n)), [nothing] * n, np.arange(len(state)), flat, count, np.diff(upto[offset]), root, 0)
     for draw in range(1, k):
-        rows, base, tops, first_state, first_chunk = [], [], [], [], []
-        for r in range(n):
-            if not heaps[r]:
-                continue
-            g, p, j, taken = heapq.heappop(heaps[r])
+        rows, base, tops, first_state, first_chunk, lefts = [], [], [], [], [], []
+        popped = [(r, *heapq.heappop(heaps[r])) for r in range(n) if heaps[r]]
+        at, step = np.array([x[0] for x in popped], np.int64), np.array([x[3] for x in popped], np.int64)
+        draws = uniform(salted(key[at], step, draw, 1 << 42)).tolist()
+        for (r, g, p, j, taken), v in zip(popped, draws):
             edges, where, logs, _, _ = paths[r][p]
             # the state of step j, without the edges that other paths have taken there
             chunk = int(where[j])
             s = int(lattices.next[edges[j - 1]]) if j and where[j - 1] == chunk else int(state[chunk])
             free = [e for e in range(int(lattices.first[s]), int(lattices.end[s])) if e not in taken]
             p_free = lattices.p[free]
-            u = float(uniform(salted(key[r], j, draw, 1 << 42))[0]) * p_free.sum()
+            u = v * p_free.sum()
             pick = free[min(int(np.searchsorted(np.cumsum(p_free), u)), len(free) - 1)]
             left = float(p_free[np.array(free) != pick].sum())
-            mu = float(logs[j]) + (np.log(left) if left > 0 else -np.inf)
-            again = float(_truncated(np.array([mu]), np.array([-g]), uniform(salted(key[r], j, draw, 1 << 43)))[0])
-            if again > -np.inf:
-                heapq.heappush(heaps[r], (-again, p, j, (*taken, pick)))
+            lefts.append((r, p, j, (*taken, pick), float(logs[j]) + (np.log(left) if left > 0 else -np.inf)))
             rows.append(r)
             base.append((np.append(edges[:j], pick), np.append(where[:j], chunk), logs[: j + 1], float(logs[j] + np.log(lattices.p[pick]))))
             tops.append(-g)
@@ -391,6 +398,10 @@ def sample(lattices: Lattices, keys: list[int], texts: list[bytes], k: int) -> l
             first_chunk.append(chunk)
         if not rows:
             break
+        again = _truncated(np.array([x[4] for x in lefts]), np.array(tops), uniform(salted(key[at], step, draw, 1 << 43))).tolist()
+        for (r, p, j, taken, _), x in zip(lefts, again):
+            if x > -np.inf:
+                heapq.heappush(heaps[r], (-x, p, j, taken))
         # the rest of the chunk and the chunks after it are drawn anew
         r = np.array(rows)
         after = np.array(first_chunk) + 1
@@ -437,30 +448,33 @@ def encoded(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed
     samples; a null id is a key like others. Other columns are ignored.
     """
 
-    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"] + ["text"] * decoded
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = lattices(path, sharpness)
         for batch in batches:
-            given = batch["text"].tolist()
-            ids = batch["doc_id"].astype("Int64")
+            ids, given = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist()
+            known = ids.to_pylist()
             a = 0
             while a < len(given):
                 z, size, texts = a, 0, []
                 while z < len(given) and (z == a or size < part_bytes):
-                    t = given[z]
-                    texts.append(b"" if t is None or t != t else t.encode("utf-8", "surrogatepass"))
+                    texts.append(given[z] or b"")
                     size += len(texts[-1])
                     z += 1
-                keys = [xxhash.xxh3_64_intdigest(f"{seed}|{i}".encode()) for i in ids.iloc[a:z]]
-                rows = [(i, s + 1, x[0].astype(np.int32), *x[1:], *([held.vocabulary.decode(x[0].tolist()).decode("utf-8", "surrogatepass")] if decoded else [])) for i, found in zip(ids.iloc[a:z], sample(held, np.array(keys, np.uint64).view(np.int64).tolist(), texts, k)) for s, x in enumerate(found)]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                keys = [xxhash.xxh3_64_intdigest(f"{seed}|{'<NA>' if i is None else i}".encode()) for i in known[a:z]]
+                found = sample(held, np.array(keys, np.uint64).view(np.int64).tolist(), texts, k)
+                paths = [x for mine in found for x in mine]
+                count = np.fromiter(map(len, found), np.int64, len(found))
+                numbers = np.concatenate([x[0] for x in paths]).astype(np.int32)
+                bounds = np.append(0, np.cumsum([len(x[0]) for x in paths]))
+                columns = {"doc_id": ids.take(pa.array(np.repeat(np.arange(a, z), count))), "sample": pa.array((flat_ranges(np.ones(len(count), np.int64), count)).astype(np.int32)), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(numbers))}
+                columns |= {name: pa.array([x[c] for x in paths], pa.float64()) for c, name in enumerate(("log_prob", "perturbed", "log_inclusion"), 1)}
+                if decoded:
+                    columns["text"] = held.vocabulary.decoded(numbers, bounds)
+                yield pa.RecordBatch.from_pydict(columns)
                 a = z
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
 
 def piece_bytes(path: str) -> list[bytes]:
